@@ -42,7 +42,7 @@ def asof_join(
         F.struct(*left.columns).alias("_row"),
     )
     sample = F.struct(to_micros(F.col(right_time)).alias("t"), *values)
-    samples = right.where(F.col(right_time).isNotNull()).select(
+    samples = right.dropna("any", subset=[*by, right_time]).select(
         *by, to_micros(F.col(right_time)).alias("_t"), F.lit(0).alias("_side"), sample.alias("_sample")
     )
     both = samples.unionByName(rows, allowMissingColumns=True)
@@ -71,7 +71,7 @@ def asof_join(
     if tolerance is not None:
         limit = tolerance // timedelta(microseconds=1)
         pick = F.when(F.abs(now - pick["t"]) <= limit, pick)
-    # A row without a time has no neighbour.
+    # A row without a time has no neighbour; one without a key meets no sample.
     near = near.withColumn("_pick", F.when(now.isNotNull(), pick))
     return near.select(
         *[F.col("_row")[c].alias(c) for c in left.columns],

@@ -57,9 +57,11 @@ def sized_join(
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi join; Spark picks the strategy from run-time sizes."""
+    """Equi join on same-named keys; Spark picks the strategy from run-time sizes.
+
+    Plain equality keeps the partitioning a window or aggregate on the same keys
+    has already made.
+    """
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    on = F.lit(True)
-    for key in keys:
-        on = F.col(key).eqNullSafe(F.col(f"_right_{key}")) & on
+    on = [F.col(k) == F.col(f"_right_{k}") for k in keys]
     return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])

@@ -3,9 +3,10 @@
 The work is done on *cells*, the spans between two grid ticks. Of all samples
 in a cell only the first and the last can be a neighbour of a tick, so a
 partial aggregation shrinks the samples to at most one row per group and tick
-before the first shuffle, however many samples a hot group holds. Neighbouring
-cells form segments; segments are cut at bucket edges and spread, and only then
-expanded to ticks. Expanded rows are neither sorted nor shuffled again.
+before the first shuffle, however many samples a hot group holds. Between
+neighbouring cells lie runs of ticks on one straight line per variable; nearest
+fill is worked out on runs as well. Runs are cut at bucket edges and spread, and
+only then expanded to ticks. Expanded rows are neither sorted nor shuffled again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,16 +129,23 @@ def align(
     position: str | None = None,
     categorical: str = "drop",
     on_conflict: str = "error",
+    suffix: Sequence[str] = (),
 ) -> DataFrame:
     """Resample every stream in one pass and merge the streams on time.
 
     All streams of one bucket are expanded in the same task, so the merge needs
-    no shuffle of grid rows.
+    no shuffle of grid rows. With ``suffix``, the names of the streams, every
+    variable becomes ``<variable>_<stream>`` and nothing can conflict.
     """
     grid = Grid.of(start, end, step)
     ticks = _resampled(samples, grid, [by], time, variables, max_gap, duplicates, position, categorical)
     names = _values_of(ticks, [by])
-    merged = ticks.groupBy("_bucket", "_tick").agg(*[merged_value(n, on_conflict).alias(n) for n in names])
+    if suffix:
+        own = {f"{n}_{s}": F.max(F.when(F.col(by) == s, F.col(n))) for s in suffix for n in names}
+        merged = ticks.groupBy("_bucket", "_tick").agg(*[c.alias(n) for n, c in own.items()])
+        names = list(own)
+    else:
+        merged = ticks.groupBy("_bucket", "_tick").agg(*[merged_value(n, on_conflict).alias(n) for n in names])
     return merged.select(from_micros(grid.time_of(F.col("_tick"))).alias(time), *names)
 
 
@@ -154,7 +164,9 @@ def _resampled(samples, grid, by, time, variables, max_gap, duplicates, position
         raise ValueError("categorical is 'drop' or 'previous'")
     labels = [c for c in wanted if c not in numeric] if categorical == "previous" else []
 
-    clean = samples.where(F.col(time).isNotNull()).select(
+    # A sample without a time or a group is part of no series.
+    present = [F.col(c).isNotNull() for c in (*by, time)]
+    clean = samples.where(reduce(and_, present)).select(
         *by,
         to_micros(F.col(time)).alias("_t"),
         *[F.col(c).cast("double").alias(c) for c in numeric],
@@ -162,11 +174,10 @@ def _resampled(samples, grid, by, time, variables, max_gap, duplicates, position
         *([position] if position else []),
     )
     clean = _one_per_instant(clean, by, [*numeric, *labels], duplicates, position)
-    segments = _segments(_cells(clean, grid, by, numeric, labels), grid, by, numeric, labels)
+    runs = _lines(_segments(_cells(clean, grid, by, numeric, labels), grid, by, numeric, labels), grid, numeric)
     if max_gap is not None:
-        segments = _with_fill_edges(segments, grid, by, numeric)
-    gap = None if max_gap is None else max_gap // timedelta(microseconds=1)
-    return _expand(segments, grid, by, numeric, labels, gap)
+        runs = _with_fills(runs, grid, by, numeric, max_gap // timedelta(microseconds=1))
+    return _expand(runs, grid, by, numeric, labels, max_gap is not None)
 
 
 def _one_per_instant(clean, by, values, duplicates, position) -> DataFrame:
@@ -187,22 +198,32 @@ def _one_per_instant(clean, by, values, duplicates, position) -> DataFrame:
 
 def _cells(clean, grid, by, numeric, labels) -> DataFrame:
     """First and last sample of each non-empty cell. All buffers are fixed-width, so it hashes."""
+    names = [*numeric, *labels]
     staged = clean.withColumn("_cell", grid.cell_of(F.col("_t")))
+    # Last before first, as in _segments: the optimizer merges the two, and only
+    # aggregates that list their functions in one order are computed once.
     return staged.groupBy(*by, "_cell").agg(
-        F.min("_t").alias("_ft"),
         F.max("_t").alias("_lt"),
-        *[F.min_by(c, "_t").alias(f"_f_{c}") for c in numeric],
-        *[F.max_by(c, "_t").alias(f"_l_{c}") for c in numeric],
-        *[F.min_by(c, "_t").alias(f"_f_{c}") for c in labels],
-        *[F.max_by(c, "_t").alias(f"_l_{c}") for c in labels],
+        *[F.max_by(c, "_t").alias(f"_l_{c}") for c in names],
+        F.min("_t").alias("_ft"),
+        *[F.min_by(c, "_t").alias(f"_f_{c}") for c in names],
     )
 
 
 def _segments(cells, grid, by, numeric, labels) -> DataFrame:
-    """Spans of ticks ``_lo.._hi`` with the sample before (a) and after (b) them."""
+    """Runs of ticks ``_lo.._hi`` with a sample before (a) and a sample after (b) them.
+
+    A sample exactly on a tick is a run of its own, with both sides at that
+    sample. So within a run a variable is non-null at every tick or at none.
+    """
     names = [*numeric, *labels]
     bucket = int_div(F.greatest(F.col("_cell"), F.lit(0)), F.lit(grid.bucket_ticks))
-    first = F.struct(
+    # Both sides carry their sample, so the two uses of the cells read the same
+    # columns and share one aggregation (and one scan) of the samples.
+    last_of = F.struct(
+        F.col("_cell").alias("cell"), F.col("_lt").alias("t"), *[F.col(f"_l_{c}").alias(c) for c in names]
+    )
+    first_of = F.struct(
         F.col("_cell").alias("cell"), F.col("_ft").alias("t"), *[F.col(f"_f_{c}").alias(c) for c in names]
     )
     linked = with_neighbours(
@@ -210,106 +231,113 @@ def _segments(cells, grid, by, numeric, labels) -> DataFrame:
         by,
         "_home",
         "_cell",
-        previous={"_prev": F.col("_cell")},
-        following={"_next": first},
+        previous={"_prev": last_of},
+        following={"_next": first_of},
     )
-    last_tick = F.lit(grid.ticks - 1).cast("bigint")
-    nothing = F.lit(None)
-    nxt = F.col("_next")
     kinds = {f.name: f.dataType for f in cells.schema}
-
-    after = F.struct(
-        (F.col("_cell") + 1).alias("_lo"),
-        F.coalesce(nxt["cell"], last_tick).alias("_hi"),
-        F.col("_lt").alias("_at"),
-        nxt["t"].alias("_bt"),
-        *[F.col(f"_l_{c}").alias(f"_a_{c}") for c in names],
-        *[nxt[c].alias(f"_b_{c}") for c in names],
-    )
-    before = F.struct(
-        F.lit(0).cast("bigint").alias("_lo"),
-        F.col("_cell").alias("_hi"),
-        nothing.cast("bigint").alias("_at"),
-        F.col("_ft").alias("_bt"),
-        *[nothing.cast(kinds[f"_l_{c}"]).alias(f"_a_{c}") for c in names],
-        *[F.col(f"_f_{c}").alias(f"_b_{c}") for c in names],
+    zero, last = F.lit(0).cast("bigint"), F.lit(grid.ticks - 1).cast("bigint")
+    cell, nxt = F.col("_cell"), F.col("_next")
+    own = {c: F.col(f"_f_{c}") for c in names}
+    end = {c: F.col(f"_l_{c}") for c in names}
+    after = {c: nxt[c] for c in names}
+    nothing = {c: F.lit(None).cast(kinds[f"_f_{c}"]) for c in names}
+    no_time = F.lit(None).cast("bigint")
+
+    def run(lo, hi, at, a, bt, b):
+        sides = [a[c].alias(f"_a_{c}") for c in names] + [b[c].alias(f"_b_{c}") for c in names]
+        return F.struct(lo.alias("_lo"), hi.alias("_hi"), at.alias("_at"), bt.alias("_bt"), *sides)
+
+    # The first cell of a group also opens the ticks before it.
+    own_hit = F.col("_ft") == grid.time_of(cell)
+    leading = F.when(F.col("_prev").isNull(), F.when(own_hit, cell - 1).otherwise(cell)).otherwise(F.lit(-1))
+    hit = nxt["t"] == grid.time_of(nxt["cell"])
+    reach = F.when(nxt.isNull(), last).otherwise(F.when(hit, nxt["cell"] - 1).otherwise(nxt["cell"]))
+    at_hit = F.when(own_hit, cell).otherwise(F.lit(-1).cast("bigint"))
+    runs = F.array(
+        run(zero, leading.cast("bigint"), no_time, nothing, F.col("_ft"), own),
+        run(F.greatest(at_hit, zero), at_hit, F.col("_ft"), own, F.col("_ft"), own),
+        run(cell + 1, reach, F.col("_lt"), end, nxt["t"], after),
     )
-    spans = F.when(F.col("_prev").isNull(), F.array(before, after)).otherwise(F.array(after))
     return (
-        linked.select(*by, "_home", F.explode(spans).alias("_s"))
+        linked.select(*by, "_home", F.explode(runs).alias("_s"))
         .select(*by, "_home", "_s.*")
         .where(F.col("_lo") <= F.col("_hi"))
     )
 
 
-def _linear(c: str, grid: Grid, tick: Column) -> Column:
-    now = grid.time_of(tick)
-    a, b, at, bt = F.col(f"_a_{c}"), F.col(f"_b_{c}"), F.col("_at"), F.col("_bt")
-    return F.when(bt == now, b).otherwise(a + (b - a) * (now - at) / (bt - at))
+def _lines(runs, grid, numeric) -> DataFrame:
+    """Per variable the straight line ``base + slope * (time - _at)`` of a run, null where it has none."""
+    span = F.col("_bt") - F.col("_at")
+    lines = {}
+    for c in numeric:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        lines[f"_base_{c}"] = F.when(b.isNotNull(), a)
+        lines[f"_slope_{c}"] = F.when(span > 0, (b - a) / span).otherwise(F.lit(0.0))
+    sides = [f"_{side}_{c}" for c in numeric for side in "ab"]
+    return runs.withColumns(lines).drop("_bt", *sides)
+
+
+def _line(c: str, grid: Grid, tick: Column) -> Column:
+    return F.col(f"_base_{c}") + F.col(f"_slope_{c}") * (grid.time_of(tick) - F.col("_at"))
 
 
-def _with_fill_edges(segments, grid, by, numeric) -> DataFrame:
-    """Per variable the last valid tick before a segment and the first one after it.
+def _with_fills(runs, grid, by, numeric, gap: int) -> DataFrame:
+    """Give every null run its nearest valid tick on both sides, as far as the gap allows.
 
-    Within a segment either every tick is valid, or only the last one (a sample
-    exactly on the tick), or none, so no grid rows are needed for this.
+    Up to the tick ``_cut`` a run then takes its line (the earlier value), after
+    it ``_late`` (the later value); nothing has to look beyond its own run.
     """
-    lo, hi = F.col("_lo"), F.col("_hi")
-    firsts, lasts = {}, {}
-    for c in numeric:
-        whole = F.col(f"_a_{c}").isNotNull() & F.col(f"_b_{c}").isNotNull()
-        end_only = (F.col("_bt") == grid.time_of(hi)) & F.col(f"_b_{c}").isNotNull()
-        at_end = F.struct(hi.alias("tick"), _linear(c, grid, hi).alias("v"))
-        at_start = F.struct(lo.alias("tick"), _linear(c, grid, lo).alias("v"))
-        firsts[c] = F.when(whole, at_start).when(end_only, at_end)
-        lasts[c] = F.when(whole | end_only, at_end)
     if not numeric:
-        return segments
+        return runs
+    lo, hi = F.col("_lo"), F.col("_hi")
+    valid = {c: F.col(f"_base_{c}").isNotNull() for c in numeric}
     near = with_neighbours(
-        segments,
+        runs,
         by,
         "_home",
         "_lo",
-        previous={f"_p_{c}": lasts[c] for c in numeric},
-        following={f"_q_{c}": firsts[c] for c in numeric},
-    )
-    return near.withColumns({f"_q_{c}": F.coalesce(firsts[c], F.col(f"_q_{c}")) for c in numeric})
-
-
-def _filled(c: str, value: Column, grid: Grid, tick: Column, gap: int) -> Column:
-    p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
-    start = F.coalesce(p["tick"], F.lit(0).cast("bigint"))
-    stop = F.coalesce(q["tick"], F.lit(grid.ticks - 1).cast("bigint"))
-    short = (stop - start) * F.lit(grid.step) <= F.lit(gap)
-    nearest = (
-        F.when(p.isNull(), q["v"]).when(q.isNull() | (tick - p["tick"] <= q["tick"] - tick), p["v"]).otherwise(q["v"])
+        previous={
+            f"_p_{c}": F.when(valid[c], F.struct(hi.alias("tick"), _line(c, grid, hi).alias("v"))) for c in numeric
+        },
+        following={
+            f"_q_{c}": F.when(valid[c], F.struct(lo.alias("tick"), _line(c, grid, lo).alias("v"))) for c in numeric
+        },
     )
-    return F.when(value.isNotNull(), value).when(short, nearest)
-
-
-def _expand(segments, grid, by, numeric, labels, gap) -> DataFrame:
+    none, first_tick, last_tick = F.lit(None).cast("double"), F.lit(0), F.lit(grid.ticks - 1)
+    changed = {}
+    for c in numeric:
+        p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
+        length = (F.coalesce(q["tick"], last_tick) - F.coalesce(p["tick"], first_tick)) * F.lit(grid.step)
+        fill = ~valid[c] & (length <= F.lit(gap))
+        middle = F.when(p.isNull(), F.lit(-1)).when(q.isNotNull(), int_div(p["tick"] + q["tick"], F.lit(2)))
+        changed[f"_base_{c}"] = F.when(valid[c], F.col(f"_base_{c}")).otherwise(F.when(fill, p["v"]).otherwise(none))
+        changed[f"_slope_{c}"] = F.when(valid[c], F.col(f"_slope_{c}")).otherwise(F.lit(0.0))
+        changed[f"_cut_{c}"] = F.coalesce(F.when(fill, middle), hi)
+        changed[f"_late_{c}"] = F.when(fill, q["v"])
+    filled = near.withColumns(changed).drop(*[f"_{side}_{c}" for c in numeric for side in "pq"])
+    # A run outside the samples has no time of its own; its line is constant.
+    return filled.withColumn("_at", F.coalesce("_at", F.lit(grid.start)))
+
+
+def _expand(runs, grid, by, numeric, labels, filled: bool) -> DataFrame:
     size = F.lit(grid.bucket_ticks).cast("bigint")
     bucket = F.col("_bucket")
     pieces = (
-        segments.withColumn(
-            "_bucket",
-            F.explode(F.sequence(int_div(F.col("_lo"), size), int_div(F.col("_hi"), size))),
-        )
+        runs.withColumn("_bucket", F.explode(F.sequence(int_div(F.col("_lo"), size), int_div(F.col("_hi"), size))))
         .withColumns(
             {
-                "_from": F.greatest(F.col("_lo"), bucket * size),
-                "_to": F.least(F.col("_hi"), bucket * size + size - 1),
+                "_lo": F.greatest(F.col("_lo"), bucket * size),
+                "_hi": F.least(F.col("_hi"), bucket * size + size - 1),
             }
         )
-        .repartition(grid.tasks(segments.sparkSession), "_bucket")
+        .repartition(grid.tasks(runs.sparkSession), "_bucket")
     )
-    ticks = pieces.withColumn("_tick", F.explode(F.sequence("_from", "_to")))
+    ticks = pieces.withColumn("_tick", F.explode(F.sequence("_lo", "_hi")))
     tick = F.col("_tick")
     values = []
     for c in numeric:
-        value = _linear(c, grid, tick)
-        values.append((value if gap is None else _filled(c, value, grid, tick, gap)).alias(c))
-    for c in labels:
-        exact = F.col("_bt") == grid.time_of(tick)
-        values.append(F.when(exact, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(c))
-    return ticks.select(*by, "_bucket", "_tick", *values)
+        value = _line(c, grid, tick)
+        if filled:
+            value = F.when(tick <= F.col(f"_cut_{c}"), value).otherwise(F.col(f"_late_{c}"))
+        values.append(value.alias(c))
+    return ticks.select(*by, "_bucket", "_tick", *values, *[F.col(f"_a_{c}").alias(c) for c in labels])

@@ -9,7 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.operators.merge import suffix_variables, tagged_union
+from sensorframe.operators.merge import tagged_union
 from sensorframe.operators.raster import CANVAS, SHADE_THRESHOLD, Bounds, bounds_struct, rasterize
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
 from sensorframe.operators.select import axis_columns, covers, plot_points, swap_key
@@ -48,10 +48,9 @@ def merge_selected(
     if len(selected) == 1:
         (only,) = selected.values()
         return only.drop("_pos")
-    frames = {name: df.drop("_pos") for name, df in selected.items()}
-    if suffix:
-        frames = dict(zip(frames, suffix_variables(frames)))
-    return align(tagged_union(frames, "stream"), start, end, step, max_gap=max_gap, duplicates=duplicates)
+    samples = tagged_union({name: df.drop("_pos") for name, df in selected.items()}, "stream")
+    names = list(selected) if suffix else ()
+    return align(samples, start, end, step, max_gap=max_gap, duplicates=duplicates, suffix=names)
 
 
 def uncovered_streams(streams: Mapping[str, Stream], start, end, mode: str = "reference") -> list[str]:

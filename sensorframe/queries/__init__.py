@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sensorframe.queries import series
+from sensorframe.queries import cruise, requests, series
 
-_MODULES = (series,)
+_MODULES = (series, requests, cruise)
 
 
 def all_queries() -> dict:

@@ -11,7 +11,7 @@ from sensorframe.functions.cftime import compact_time, decode_time, encode_time,
 from sensorframe.functions.values import nans_to_null
 from sensorframe.operators.asof import asof_join
 from sensorframe.operators.flatten import flatten_arrays
-from sensorframe.operators.merge import merge_conflicts, merge_on, suffix_variables, tagged_union
+from sensorframe.operators.merge import merge_conflicts, merge_on
 from sensorframe.operators.ranges import row_slices
 from sensorframe.operators.raster import rasterize
 from sensorframe.operators.resample import ONE_DAY, align, grid_ticks, resample
@@ -161,10 +161,8 @@ def categorical_previous(spark, sf_dir):
 
 def align_merge(spark, sf_dir):
     """Five streams on one 1-second grid, merged; shown as hourly means and counts."""
-    rows = event_streams(spark, sf_dir)
-    frames = {s: rows.where(F.col("stream") == s).select("time", "value") for s in STREAMS}
-    frames = dict(zip(frames, suffix_variables(frames)))
-    merged = align(tagged_union(frames, "stream"), START, END, duplicates="unique")
+    rows = event_streams(spark, sf_dir).drop("_pos", "user_id")
+    merged = align(rows, START, END, duplicates="unique", suffix=STREAMS)
     hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz").alias("hour")
     return merged.groupBy(hour).agg(
         F.count(F.lit(1)).alias("n"),
