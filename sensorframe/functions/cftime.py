@@ -60,8 +60,13 @@ def _epoch() -> Column:
 
 
 def to_micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zoneless timestamp; no session time zone involved."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts.cast("timestamp_ntz"))
+    """Microseconds since 1970 of a zoneless timestamp.
+
+    Goes through an interval, as the difference functions would read the wall
+    time in the session time zone.
+    """
+    elapsed = (ts.cast("timestamp_ntz") - _epoch()).cast("interval second").cast("decimal(18,6)")
+    return (elapsed * F.lit(1_000_000)).cast("bigint")
 
 
 def from_micros(micros: Column) -> Column:
@@ -137,7 +142,7 @@ def decode_time(value: Column, units: str = DEFAULT_UNITS, calendar: str = DEFAU
 def encode_time(ts: Column, units: str = DEFAULT_UNITS, calendar: str = DEFAULT_CALENDAR) -> Column:
     """Timestamps to CF offsets (double)."""
     factor, reference = parse_units(units, calendar)
-    return F.timestamp_diff("MICROSECOND", bound_column(reference), ts) / F.lit(factor)
+    return (to_micros(ts) - F.lit(bound_micros(reference))) / F.lit(factor)
 
 
 def compact_time(ts: Column) -> Column:

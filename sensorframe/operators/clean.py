@@ -74,7 +74,7 @@ def cast_measurements(df: DataFrame, strict: bool = False, by: Sequence[str] = (
     out = df
     if strict:
         spoiled = df.groupBy(*by).agg(*[F.bool_or(is_invalid(F.col(n))).alias(f"_bad_{n}") for n in names])
-        out = sized_join(df, spoiled, by, "left")
+        out = sized_join(df, spoiled, by, "left", costly=True)
     casts = {}
     for n in names:
         value = to_measurement(F.col(n))

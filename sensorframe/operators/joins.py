@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.session import materialize
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
@@ -31,22 +33,26 @@ def sized_join(
     keys: Sequence[str],
     how: str = "inner",
     condition: Column | None = None,
-    max_rows: int = BROADCAST_ROWS,
+    fits: bool | None = None,
+    costly: bool = False,
 ) -> DataFrame:
     """Equi join (``inner`` or ``left``) that survives a hot key on the ``big`` side.
 
     ``small`` is broadcast when its measured size allows. Otherwise the rows of
     ``big`` are spread over salts and ``small`` is repeated once per salt, so no
     key is handled by a single task. The key columns of ``small`` are dropped.
-    ``condition`` may add a predicate on the remaining columns.
+    ``condition`` may add a predicate on the remaining columns. ``fits`` gives a
+    measurement made before; a ``costly`` small side is stored first, so that
+    measuring it does not compute it twice.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
+    small = materialize(small) if costly else small
     right = small.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     on = condition if condition is not None else F.lit(True)
     for key in keys:
         on = F.col(key).eqNullSafe(F.col(f"_right_{key}")) & on
-    if fits_broadcast(small, max_rows):
+    if fits if fits is not None else fits_broadcast(small):
         joined = big.join(F.broadcast(right), on, how)
     else:
         salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))

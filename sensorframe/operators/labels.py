@@ -25,7 +25,8 @@ def parse_headers(headers: DataFrame, column: str = "header") -> DataFrame:
 def latest_labels(labels: DataFrame, by: str = "array_rd", order: str = "source_order") -> DataFrame:
     """The labels of the last source of every array; an aggregate, so no array is sorted."""
     last = labels.groupBy(by).agg(F.max(order).alias(order))
-    return sized_join(labels, last.withColumnRenamed(order, "_last"), [by]).where(F.col(order) == F.col("_last")).drop("_last")
+    joined = sized_join(labels, last.withColumnRenamed(order, "_last"), [by], costly=True)
+    return joined.where(F.col(order) == F.col("_last")).drop("_last")
 
 
 def merge_labels(first: DataFrame, second: DataFrame, key: str = "name") -> DataFrame:

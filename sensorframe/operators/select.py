@@ -120,10 +120,11 @@ def covers(start: Column, end: Column, first: Column, last: Column, mode: str =
     """Does a stream cover a request?
 
     ``reference``: one of the two ends lies in ``[first, last)``, so a request
-    that encloses the stream is not covered. ``overlap``: the spans intersect.
+    that encloses the stream is not covered. ``overlap``: the spans intersect
+    (a reversed request has no span).
     """
     if mode == "overlap":
-        found = (start <= last) & (end >= first)
+        found = (start <= end) & (start <= last) & (end >= first)
     elif mode == "reference":
         found = ((start >= first) & (start < last)) | ((end >= first) & (end < last))
     else:

@@ -81,8 +81,8 @@ def export(
 
 def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "time") -> None:
     """Time-ordered CSV (with header) or JSON parts; part order is time order."""
-    tie = F.xxhash64(*df.columns)
-    parts = df.repartitionByRange(n_files, F.col(time), tie).sortWithinPartitions(time)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = tied.repartitionByRange(n_files, time, "_tie").sortWithinPartitions(time, "_tie").drop("_tie")
     writer = parts.write.mode("overwrite")
     if kind == "csv":
         writer.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
@@ -93,8 +93,8 @@ def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "
 def write_slices(df: DataFrame, path: str, rows_per_slice: int, n_files: int, time: str = "time") -> None:
     """Contiguous slices of ``rows_per_slice`` rows in time order, one file each."""
     if n_files == 1:
-        # A single file is the plan only when everything fits one slice.
-        df.coalesce(1).sortWithinPartitions(time).write.mode("overwrite").parquet(f"{path}/slice_id=0")
+        # Planned only when everything fits one slice; what leads here stays parallel.
+        df.repartition(1).sortWithinPartitions(time).write.mode("overwrite").parquet(f"{path}/slice_id=0")
         return
     indexed = row_index(df, [time], "_row")
     sliced = indexed.withColumn("slice_id", F.floor(F.col("_row") / F.lit(rows_per_slice)).cast("bigint"))

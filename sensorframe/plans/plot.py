@@ -9,7 +9,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.operators.merge import tagged_union
+from sensorframe.functions.cftime import bound_column
+from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.raster import CANVAS, SHADE_THRESHOLD, Bounds, bounds_struct, rasterize
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
 from sensorframe.operators.select import axis_columns, covers, plot_points, swap_key
@@ -25,6 +26,7 @@ class PlotResult:
     count: int
     shaded: bool
     msg: str
+    status: str = "completed"
 
 
 def select_streams(
@@ -54,16 +56,21 @@ def merge_selected(
 
 
 def uncovered_streams(streams: Mapping[str, Stream], start, end, mode: str = "reference") -> list[str]:
-    """Names of the streams that do not cover the request (one min/max row per stream)."""
-    from sensorframe.functions.cftime import bound_column
+    """Names of the streams that do not cover the request; one job, one row per stream."""
+    extents = union_by_name(
+        [
+            s.base.agg(F.min("time").alias("a"), F.max("time").alias("b")).withColumn("stream", F.lit(name))
+            for name, s in streams.items()
+        ]
+    )
+    found = covers(bound_column(start), bound_column(end), F.col("a"), F.col("b"), mode)
+    return sorted(r["stream"] for r in extents.where(~found).select("stream").collect())
 
-    missing = []
-    for name, stream in streams.items():
-        extent = stream.base.agg(F.min("time").alias("a"), F.max("time").alias("b"))
-        row = extent.select(covers(bound_column(start), bound_column(end), F.col("a"), F.col("b"), mode).alias("ok"))
-        if not row.first()["ok"]:
-            missing.append(name)
-    return missing
+
+def _present(frames: Mapping[str, DataFrame]) -> set[str]:
+    """Names of the frames with at least one row; one job."""
+    tagged = union_by_name([df.limit(1).select(F.lit(name).alias("stream")) for name, df in frames.items()])
+    return {r["stream"] for r in tagged.collect()}
 
 
 def plot(
@@ -99,10 +106,17 @@ def plot_request(
     streams: Mapping[str, Stream], x: str, y: str, start: str, end: str, color: str = "", **options
 ) -> PlotResult:
     """The whole plot request over stored streams, with the reasons for an empty result."""
-    if uncovered_streams(streams, start, end):
+    missing = set(uncovered_streams(streams, start, end))
+    matched = _present(select_streams(streams, x, y, color, start, end, "inclusive"))
+    unmatched = [name for name in streams if name not in missing and name not in matched]
+    if unmatched:
+        msg = f"No sample of {','.join(unmatched)} lies between {start} and {end}."
+        return PlotResult(None, 0, False, msg, "failed")
+    if missing:
         return PlotResult(None, 0, False, "One of the dataset does not contain data.")
     selected = select_streams(streams, x, y, color, start, end)
-    empty = [name for name, df in selected.items() if not df.take(1)]
+    present = _present(selected)
+    empty = [name for name in streams if name not in present]
     if empty:
         return PlotResult(None, 0, False, f"Empty data stream(s) found: {','.join(empty)}.")
     merged = merge_selected(selected, start, end)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import bound_column, parse_datetime, to_micros
 from sensorframe.functions.values import fingerprint, size_text
-from sensorframe.operators.joins import join_on_keys, sized_join
+from sensorframe.operators.joins import fits_broadcast, join_on_keys, sized_join
 from sensorframe.operators.select import axis_columns_of, coverage, stream_extents
 from sensorframe.plans.limits import MAX_FILES, csv_parts, slice_count
 
@@ -102,20 +102,22 @@ def selected_rows(
     aggregated before they are shuffled. A stream with no match has no row.
     """
     batch = expanded.select("request_id", "stream", "start", "end")
+    fits = fits_broadcast(batch)
     span = batch.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
     rows = samples.select("stream", F.col(time).alias("_time"), F.col(position).alias("_at"))
     in_span = rows
     if span["low"] is not None and span["high"] is not None:
         in_span = rows.where(F.col("_time").between(bound_column(span["low"]), bound_column(span["high"])))
     inside = F.col("_time").between(F.col("start"), F.col("end"))
-    matched = sized_join(in_span, batch, ["stream"], "inner", inside)
+    matched = sized_join(in_span, batch, ["stream"], "inner", inside, fits)
     counted = matched.groupBy("request_id", "stream").agg(
         F.count(F.lit(1)).alias("n_match"), F.min("_at").alias("_from"), F.max("_at").alias("_to")
     )
     if time_ordered:
         return counted.select("request_id", "stream", "n_match", (F.col("n_match") - 1).alias("n_rows"))
     cut = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    kept = sized_join(rows, counted, ["stream"], "inner", cut)
+    # At most one row per row of the batch, so the batch's measurement holds for it.
+    kept = sized_join(rows, counted, ["stream"], "inner", cut, fits)
     n_rows = kept.groupBy("request_id", "stream").agg(F.count(F.lit(1)).alias("n_rows"))
     joined = counted.select("request_id", "stream", "n_match").join(n_rows, ["request_id", "stream"], "left")
     return joined.withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))

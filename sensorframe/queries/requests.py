@@ -244,7 +244,7 @@ def _size_sql(column: str) -> str:
 
 _COVERED = {
     "reference": "(st >= first_time AND st < last_time) OR (en >= first_time AND en < last_time)",
-    "overlap": "st <= last_time AND en >= first_time",
+    "overlap": "st <= en AND st <= last_time AND en >= first_time",
 }
 _WIDE = "8 * n + CASE WHEN color = '' THEN 8 * n ELSE 16 * n END"
 _LINES_SIZE = "SELECT l_returnflag, l_linestatus, count(*) AS rows, 66 * count(*) AS size FROM lineitem GROUP BY 1, 2"
