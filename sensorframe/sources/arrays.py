@@ -53,18 +53,31 @@ class ArrayMeta:
 
 
 def read_metadata(spark: SparkSession, root: str) -> list[ArrayMeta]:
-    """Metadata of every variable of a group: two small JSON files each."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load([f"{root}/*/.zarray", f"{root}/*/.zattrs"])
-        .select(F.col("path"), F.decode("content", "UTF-8").alias("text"))
-    )
-    found: dict[str, dict[str, dict]] = {}
-    for row in files.collect():
-        folder, name = row["path"].rsplit("/", 2)[-2:]
-        found.setdefault(folder, {})[name] = json.loads(row["text"])
-    return [_meta(name, parts[".zarray"], parts.get(".zattrs", {})) for name, parts in sorted(found.items())]
+    """Metadata of every variable of a group: two small JSON files each.
+
+    Read through Hadoop's file system, as Spark's sources skip dot files.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(conf)
+
+    def load(path):
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    metas = []
+    for status in files.listStatus(folder):
+        variable = status.getPath()
+        array = load(jvm.org.apache.hadoop.fs.Path(variable, ".zarray")) if status.isDirectory() else None
+        if array is not None:
+            attrs = load(jvm.org.apache.hadoop.fs.Path(variable, ".zattrs")) or {}
+            metas.append(_meta(variable.getName(), array, attrs))
+    return sorted(metas, key=lambda m: m.name)
 
 
 def _meta(name: str, array: dict, attrs: dict) -> ArrayMeta:
