@@ -18,6 +18,9 @@ MISSING_TEXT = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Fixed value: the shape of a number; a cast alone would take "5f" and "1d" for numbers.
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?[iI]nf(inity)?$"
+
 SIZE_UNITS = ("bytes", "KB", "MB", "GB", "TB")
 
 
@@ -32,7 +35,7 @@ def nans_to_null(df: DataFrame) -> DataFrame:
 
 
 def text_sentinel_to_null(value: Column) -> Column:
-    return F.when(~F.trim(value).isin(*MISSING_TEXT, *SENTINEL_TEXT), value)
+    return F.when(~value.isin(*MISSING_TEXT, *SENTINEL_TEXT), value)
 
 
 def number_sentinel_to_null(value: Column) -> Column:
@@ -41,8 +44,11 @@ def number_sentinel_to_null(value: Column) -> Column:
 
 def to_measurement(text: Column) -> Column:
     """Text to double; text that is no number, NaN and the sentinel become null."""
-    number = F.trim(text).try_cast("double")
-    return number_sentinel_to_null(nan_to_null(number))
+    return number_sentinel_to_null(F.when(is_number(text), F.trim(text).try_cast("double")))
+
+
+def is_number(text: Column) -> Column:
+    return F.trim(text).rlike(NUMBER_SHAPE)
 
 
 def first_sensor(primary: Column, secondary: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import parse_datetime
-from sensorframe.functions.values import number_sentinel_to_null, text_sentinel_to_null, to_measurement
+from sensorframe.functions.values import is_number, number_sentinel_to_null, text_sentinel_to_null, to_measurement
 from sensorframe.operators.joins import sized_join
 
 # Name parts that mark measurement columns, and parts that exempt them.
@@ -84,7 +84,7 @@ def cast_measurements(df: DataFrame, strict: bool = False, by: Sequence[str] = (
 
 def is_invalid(text: Column) -> Column:
     """Text in a measurement column that is not missing and not a number."""
-    return text_sentinel_to_null(text).isNotNull() & F.trim(text).try_cast("double").isNull()
+    return text_sentinel_to_null(text).isNotNull() & ~is_number(text)
 
 
 def invalid_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

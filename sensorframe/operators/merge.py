@@ -20,7 +20,17 @@ def tagged_union(frames: Mapping[str, DataFrame], tag: str) -> DataFrame:
 
 def merged_value(name: str, on_conflict: str = "error") -> Column:
     """Aggregate: the one non-null value of a column within a key, or an error."""
-    low, high = F.min(name), F.max(name)
+    return _agreed(name, F.min(name), F.max(name), on_conflict)
+
+
+def merged_of(columns: Sequence[Column], name: str, on_conflict: str = "error") -> Column:
+    """The one non-null value of several columns of a row, or an error."""
+    if len(columns) == 1:
+        return columns[0]
+    return _agreed(name, F.least(*columns), F.greatest(*columns), on_conflict)
+
+
+def _agreed(name: str, low: Column, high: Column, on_conflict: str) -> Column:
     if on_conflict == "keep":
         return high
     if on_conflict != "error":
@@ -28,7 +38,6 @@ def merged_value(name: str, on_conflict: str = "error") -> Column:
     message = F.concat(
         F.lit(f"conflicting values for '{name}': "), low.cast("string"), F.lit(" and "), high.cast("string")
     )
-    # raise_error has no value, so the cast only gives the branch a type.
     return F.when(low == high, high).when(low.isNotNull(), F.raise_error(message))
 
 

@@ -19,7 +19,7 @@ from sensorframe.operators.joins import join_on_keys
 def with_neighbours(
     df: DataFrame,
     by: Sequence[str],
-    bucket: str,
+    bucket: str | None,
     order: str,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
@@ -27,15 +27,26 @@ def with_neighbours(
     """Add, per output name, the nearest non-null value before / after each row.
 
     ``bucket`` must not decrease with ``order`` inside a group, and ``order``
-    must be unique inside a group. The row's own value is never used.
+    must be unique inside a group. The row's own value is never used. Without a
+    ``bucket`` every group is one; that is for groups of a known small size.
     Both directions are running frames; a frame that reaches forward would be
     recomputed for every row.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    keys = [*by, bucket]
+    keys = [*by, bucket] if bucket else [*by]
     values = {**previous, **following}
     staged = df.withColumns({f"_v_{n}": c for n, c in values.items()})
 
+    inside = W.partitionBy(*keys)
+    local = staged.withColumns(
+        {
+            **{f"_l_{n}": _running(f"_v_{n}", inside.orderBy(order)) for n in previous},
+            **{f"_l_{n}": _running(f"_v_{n}", inside.orderBy(F.desc(order))) for n in following},
+        }
+    )
+    if bucket is None:
+        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in values])
+
     last_one = {n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) for n in previous}
     first_one = {n: F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) for n in following}
     summary = staged.groupBy(*keys).agg(*[c.alias(f"_e_{n}") for n, c in {**last_one, **first_one}.items()])
@@ -46,13 +57,6 @@ def with_neighbours(
         *[_running(f"_e_{n}", across.orderBy(F.desc(bucket))).alias(f"_c_{n}") for n in following],
     )
 
-    inside = W.partitionBy(*keys)
-    local = staged.withColumns(
-        {
-            **{f"_l_{n}": _running(f"_v_{n}", inside.orderBy(order)) for n in previous},
-            **{f"_l_{n}": _running(f"_v_{n}", inside.orderBy(F.desc(order))) for n in following},
-        }
-    )
     joined = join_on_keys(local, carried, keys)
     return joined.select(
         *df.columns,

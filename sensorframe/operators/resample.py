@@ -19,17 +19,22 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import bound_micros, from_micros, to_micros
-from sensorframe.operators.merge import merged_value
+from sensorframe.operators.merge import merged_of, merged_value
 from sensorframe.operators.neighbours import with_neighbours
 
 ONE_SECOND = timedelta(seconds=1)
 ONE_DAY = timedelta(days=1)
+# Ticks expanded as one bucket, ticks whose cells one window may sort, ticks per task,
+# and the widest row (streams times variables) of a merge without aggregation.
 MIN_BUCKET_TICKS = 4096
+HOME_TICKS = 262_144
 TICKS_PER_TASK = 1_000_000
+WIDEST_MERGE = 64
 DUPLICATES = ("error", "first", "unique")
 
 
@@ -65,6 +70,16 @@ class Grid:
     def buckets(self) -> int:
         return -(-self.ticks // self.bucket_ticks)
 
+    @property
+    def home_ticks(self) -> int:
+        """Ticks whose cells share a window; the square root again bounds windows and edges."""
+        return max(HOME_TICKS, math.isqrt(self.ticks))
+
+    @property
+    def home(self) -> str | None:
+        """The window bucket column, or none when the whole grid fits one."""
+        return "_home" if self.ticks > self.home_ticks else None
+
     def time_of(self, tick: Column) -> Column:
         return tick * F.lit(self.step) + F.lit(self.start)
 
@@ -112,8 +127,9 @@ def resample(
     of the last sample.
     """
     grid = Grid.of(start, end, step)
-    ticks = _resampled(samples, grid, by, time, variables, max_gap, duplicates, position, categorical)
-    return ticks.select(*by, from_micros(grid.time_of(F.col("_tick"))).alias(time), *_values_of(ticks, by))
+    runs, numeric, labels = _runs(samples, grid, by, time, variables, max_gap, duplicates, position, categorical)
+    ticks = _expand(_pieces(runs, grid), grid, by, numeric, labels, max_gap is not None)
+    return ticks.select(*by, from_micros(grid.time_of(F.col("_tick"))).alias(time), *numeric, *labels)
 
 
 def align(
@@ -129,32 +145,39 @@ def align(
     position: str | None = None,
     categorical: str = "drop",
     on_conflict: str = "error",
-    suffix: Sequence[str] = (),
+    streams: Sequence[str] = (),
+    suffix: bool = False,
 ) -> DataFrame:
     """Resample every stream in one pass and merge the streams on time.
 
-    All streams of one bucket are expanded in the same task, so the merge needs
-    no shuffle of grid rows. With ``suffix``, the names of the streams, every
-    variable becomes ``<variable>_<stream>`` and nothing can conflict.
+    All streams of one bucket meet in the same task, so the merge needs no
+    shuffle of grid rows. When the ``streams`` are named, their runs are merged
+    before they are expanded and every tick is made once; otherwise the ticks
+    of all streams are aggregated. With ``suffix`` every variable becomes
+    ``<variable>_<stream>`` and nothing can conflict.
     """
+    if suffix and not streams:
+        raise ValueError("suffix needs the names of the streams")
     grid = Grid.of(start, end, step)
-    ticks = _resampled(samples, grid, [by], time, variables, max_gap, duplicates, position, categorical)
-    names = _values_of(ticks, [by])
+    runs, numeric, labels = _runs(samples, grid, [by], time, variables, max_gap, duplicates, position, categorical)
+    filled, names = max_gap is not None, [*numeric, *labels]
+    tick_time = from_micros(grid.time_of(F.col("_tick"))).alias(time)
+    if streams and len(streams) * len(names) <= WIDEST_MERGE:
+        ticks = _expand_merged(_pieces(runs, grid), grid, by, streams, numeric, labels, filled)
+        if suffix:
+            return ticks.select(tick_time, *[F.col(f"{n}_{s}") for s in streams for n in names])
+        values = [merged_of([F.col(f"{n}_{s}") for s in streams], n, on_conflict).alias(n) for n in names]
+        return ticks.select(tick_time, *values)
+    ticks = _expand(_pieces(runs, grid), grid, [by], numeric, labels, filled)
+    aggregates = [merged_value(n, on_conflict).alias(n) for n in names]
     if suffix:
-        own = {f"{n}_{s}": F.max(F.when(F.col(by) == s, F.col(n))) for s in suffix for n in names}
-        merged = ticks.groupBy("_bucket", "_tick").agg(*[c.alias(n) for n, c in own.items()])
-        names = list(own)
-    else:
-        merged = ticks.groupBy("_bucket", "_tick").agg(*[merged_value(n, on_conflict).alias(n) for n in names])
-    return merged.select(from_micros(grid.time_of(F.col("_tick"))).alias(time), *names)
-
-
-def _values_of(ticks: DataFrame, by: Sequence[str]) -> list[str]:
-    return [c for c in ticks.columns if c not in (*by, "_bucket", "_tick")]
+        own = {f"{n}_{s}": F.max(F.when(F.col(by) == s, F.col(n))) for s in streams for n in names}
+        aggregates, names = [c.alias(n) for n, c in own.items()], list(own)
+    return ticks.groupBy("_bucket", "_tick").agg(*aggregates).select(tick_time, *names)
 
 
-def _resampled(samples, grid, by, time, variables, max_gap, duplicates, position, categorical) -> DataFrame:
-    """Rows (by, _bucket, _tick, variables...), clustered by ``_bucket``."""
+def _runs(samples, grid, by, time, variables, max_gap, duplicates, position, categorical):
+    """(runs, numeric variables, other variables); the runs of a group tile the grid."""
     wanted = [c for c in samples.columns if c not in (*by, time, position)]
     if variables is not None:
         wanted = [c for c in wanted if c in set(variables)]
@@ -177,7 +200,7 @@ def _resampled(samples, grid, by, time, variables, max_gap, duplicates, position
     runs = _lines(_segments(_cells(clean, grid, by, numeric, labels), grid, by, numeric, labels), grid, numeric)
     if max_gap is not None:
         runs = _with_fills(runs, grid, by, numeric, max_gap // timedelta(microseconds=1))
-    return _expand(runs, grid, by, numeric, labels, max_gap is not None)
+    return runs, numeric, labels
 
 
 def _one_per_instant(clean, by, values, duplicates, position) -> DataFrame:
@@ -217,7 +240,7 @@ def _segments(cells, grid, by, numeric, labels) -> DataFrame:
     sample. So within a run a variable is non-null at every tick or at none.
     """
     names = [*numeric, *labels]
-    bucket = int_div(F.greatest(F.col("_cell"), F.lit(0)), F.lit(grid.bucket_ticks))
+    bucket = int_div(F.greatest(F.col("_cell"), F.lit(0)), F.lit(grid.home_ticks))
     # Both sides carry their sample, so the two uses of the cells read the same
     # columns and share one aggregation (and one scan) of the samples.
     last_of = F.struct(
@@ -229,7 +252,7 @@ def _segments(cells, grid, by, numeric, labels) -> DataFrame:
     linked = with_neighbours(
         cells.withColumn("_home", bucket),
         by,
-        "_home",
+        grid.home,
         "_cell",
         previous={"_prev": last_of},
         following={"_next": first_of},
@@ -277,8 +300,8 @@ def _lines(runs, grid, numeric) -> DataFrame:
     return runs.withColumns(lines).drop("_bt", *sides)
 
 
-def _line(c: str, grid: Grid, tick: Column) -> Column:
-    return F.col(f"_base_{c}") + F.col(f"_slope_{c}") * (grid.time_of(tick) - F.col("_at"))
+def _line(c: str, grid: Grid, tick: Column, side=F.col) -> Column:
+    return side(f"_base_{c}") + side(f"_slope_{c}") * (grid.time_of(tick) - side("_at"))
 
 
 def _with_fills(runs, grid, by, numeric, gap: int) -> DataFrame:
@@ -294,7 +317,7 @@ def _with_fills(runs, grid, by, numeric, gap: int) -> DataFrame:
     near = with_neighbours(
         runs,
         by,
-        "_home",
+        grid.home,
         "_lo",
         previous={
             f"_p_{c}": F.when(valid[c], F.struct(hi.alias("tick"), _line(c, grid, hi).alias("v"))) for c in numeric
@@ -319,25 +342,56 @@ def _with_fills(runs, grid, by, numeric, gap: int) -> DataFrame:
     return filled.withColumn("_at", F.coalesce("_at", F.lit(grid.start)))
 
 
-def _expand(runs, grid, by, numeric, labels, filled: bool) -> DataFrame:
+def _pieces(runs, grid) -> DataFrame:
+    """Runs cut at bucket edges, and all pieces of a bucket brought to one task."""
     size = F.lit(grid.bucket_ticks).cast("bigint")
     bucket = F.col("_bucket")
-    pieces = (
-        runs.withColumn("_bucket", F.explode(F.sequence(int_div(F.col("_lo"), size), int_div(F.col("_hi"), size))))
-        .withColumns(
-            {
-                "_lo": F.greatest(F.col("_lo"), bucket * size),
-                "_hi": F.least(F.col("_hi"), bucket * size + size - 1),
-            }
-        )
-        .repartition(grid.tasks(runs.sparkSession), "_bucket")
-    )
+    cut = runs.withColumn("_bucket", F.explode(F.sequence(int_div(F.col("_lo"), size), int_div(F.col("_hi"), size))))
+    edges = {
+        "_lo": F.greatest(F.col("_lo"), bucket * size),
+        "_hi": F.least(F.col("_hi"), bucket * size + size - 1),
+    }
+    return cut.withColumns(edges).repartition(grid.tasks(runs.sparkSession), "_bucket")
+
+
+def _value(c: str, grid: Grid, tick: Column, filled: bool, side=F.col) -> Column:
+    line = _line(c, grid, tick, side)
+    return F.when(tick <= side(f"_cut_{c}"), line).otherwise(side(f"_late_{c}")) if filled else line
+
+
+def _expand(pieces, grid, by, numeric, labels, filled: bool) -> DataFrame:
+    """One row per group and tick: ``by, _bucket, _tick`` and the variables."""
     ticks = pieces.withColumn("_tick", F.explode(F.sequence("_lo", "_hi")))
-    tick = F.col("_tick")
-    values = []
-    for c in numeric:
-        value = _line(c, grid, tick)
-        if filled:
-            value = F.when(tick <= F.col(f"_cut_{c}"), value).otherwise(F.col(f"_late_{c}"))
-        values.append(value.alias(c))
+    values = [_value(c, grid, F.col("_tick"), filled).alias(c) for c in numeric]
     return ticks.select(*by, "_bucket", "_tick", *values, *[F.col(f"_a_{c}").alias(c) for c in labels])
+
+
+def _expand_merged(pieces, grid, by, streams, numeric, labels, filled: bool) -> DataFrame:
+    """One row per tick: ``_tick`` and ``<variable>_<stream>``.
+
+    Where a piece starts, the latest pieces of the other streams still hold, as
+    the pieces of every stream tile the bucket. A bucket has at most one piece
+    per stream and tick.
+    """
+    parts = [f"_{p}_{c}" for c in numeric for p in (("base", "slope", "cut", "late") if filled else ("base", "slope"))]
+    held = F.struct("_at", *parts, *[f"_a_{c}" for c in labels])
+    order = W.partitionBy("_bucket").orderBy("_lo")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    size = F.lit(grid.bucket_ticks).cast("bigint")
+    bucket_end = F.least((F.col("_bucket") + 1) * size, F.lit(grid.ticks).cast("bigint")) - 1
+    joint = pieces.select(
+        "_lo",
+        F.coalesce(F.lead("_lo").over(order) - 1, bucket_end).alias("_hi"),
+        *[
+            F.last(F.when(F.col(by) == s, held), ignorenulls=True).over(so_far).alias(f"_s{i}")
+            for i, s in enumerate(streams)
+        ],
+    )
+    # Of several pieces that start together, only the last one knows all of them.
+    ticks = joint.where(F.col("_lo") <= F.col("_hi")).withColumn("_tick", F.explode(F.sequence("_lo", "_hi")))
+    values = []
+    for i, s in enumerate(streams):
+        side = F.col(f"_s{i}").getField
+        values += [_value(c, grid, F.col("_tick"), filled, side).alias(f"{c}_{s}") for c in numeric]
+        values += [side(f"_a_{c}").alias(f"{c}_{s}") for c in labels]
+    return ticks.select("_tick", *values)

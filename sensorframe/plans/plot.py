@@ -51,8 +51,9 @@ def merge_selected(
         (only,) = selected.values()
         return only.drop("_pos")
     samples = tagged_union({name: df.drop("_pos") for name, df in selected.items()}, "stream")
-    names = list(selected) if suffix else ()
-    return align(samples, start, end, step, max_gap=max_gap, duplicates=duplicates, suffix=names)
+    return align(
+        samples, start, end, step, max_gap=max_gap, duplicates=duplicates, streams=list(selected), suffix=suffix
+    )
 
 
 def uncovered_streams(streams: Mapping[str, Stream], start, end, mode: str = "reference") -> list[str]:

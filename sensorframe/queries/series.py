@@ -162,7 +162,7 @@ def categorical_previous(spark, sf_dir):
 def align_merge(spark, sf_dir):
     """Five streams on one 1-second grid, merged; shown as hourly means and counts."""
     rows = event_streams(spark, sf_dir).drop("_pos", "user_id")
-    merged = align(rows, START, END, duplicates="unique", suffix=STREAMS)
+    merged = align(rows, START, END, duplicates="unique", streams=STREAMS, suffix=True)
     hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz").alias("hour")
     return merged.groupBy(hour).agg(
         F.count(F.lit(1)).alias("n"),

@@ -128,8 +128,8 @@ def test_datetime_text(spark):
 
 
 def test_measurements(spark):
-    df = spark.createDataFrame([("1.5",), (" 2 ",), ("bad",), ("NaN",), ("-9999999",), ("-9999999.0",), (None,)], "s string")
-    assert [r[0] for r in df.select(to_measurement(F.col("s"))).collect()] == [1.5, 2.0, None, None, None, None, None]
+    df = spark.createDataFrame([("1.5",), (" 2 ",), ("bad",), ("NaN",), ("-9999999",), ("-9999999.0",), (None,), ("5f",), ("1e3",)], "s string")
+    assert [r[0] for r in df.select(to_measurement(F.col("s"))).collect()] == [1.5, 2.0, None, None, None, None, None, None, 1000.0]
 
 
 def test_only_nan_becomes_null(spark):

@@ -104,6 +104,7 @@ def test_empty_and_fractional_grids(spark, series):
 def test_random_series(series, monkeypatch, seed):
     """Several streams with gaps, nulls, dense bursts and odd fractions; tiny buckets."""
     monkeypatch.setattr(module, "MIN_BUCKET_TICKS", 5)
+    monkeypatch.setattr(module, "HOME_TICKS", 7 if seed % 2 else 10_000)
     rnd = random.Random(seed)
     step = rnd.choice([1, 2, 7])
     start, end = rnd.choice([(0, 300), (-40.5, 250), (20, 180.25)])
@@ -123,9 +124,13 @@ def test_random_series(series, monkeypatch, seed):
     for name, points in streams.items():
         check(linear.where(F.col("stream") == name), points, start, end, step)
         check(filled.where(F.col("stream") == name), points, start, end, step, gap)
-    merged = align(df, at(start), at(end), second(step), max_gap=second(gap), position="_pos", suffix="abc").cache()
+    merged = align(df, at(start), at(end), second(step), max_gap=second(gap), position="_pos", streams="abc", suffix=True).cache()
     for name, points in streams.items():
         check(merged, points, start, end, step, gap, f"v_{name}")
+    monkeypatch.setattr(module, "WIDEST_MERGE", 0)
+    again = align(df, at(start), at(end), second(step), max_gap=second(gap), position="_pos", streams="abc", suffix=True)
+    rounded = [F.round(c, 9).alias(c) if c != "time" else F.col(c) for c in merged.columns]
+    assert sorted(map(str, again.select(rounded).collect())) == sorted(map(str, merged.select(rounded).collect()))
 
 
 def test_hot_cell(spark):
@@ -165,8 +170,12 @@ def test_conflict_and_equal_values(series):
     same = series(a=[(0, 1), (10, 1)], b=[(0, 1), (10, 1)])
     assert set(values(align(same, at(0), at(5), position="_pos")).values()) == {1}
     differ = series(a=[(0, 1), (10, 1)], b=[(0, 2), (10, 2)])
-    with pytest.raises(Exception, match="conflicting values for 'v'"):
-        align(differ, at(0), at(5), position="_pos").collect()
+    for names in ((), ("a", "b")):
+        assert set(values(align(same, at(0), at(5), position="_pos", streams=names)).values()) == {1}
+        with pytest.raises(Exception, match="conflicting values for 'v'"):
+            align(differ, at(0), at(5), position="_pos", streams=names).collect()
+    with pytest.raises(ValueError, match="names of the streams"):
+        align(differ, at(0), at(5), position="_pos", suffix=True)
 
 
 def test_other_columns(spark):
@@ -187,12 +196,12 @@ def test_one_scan_and_no_shuffle_of_ticks(spark, sf_dir):
     from sensorframe.queries.bindings import END, START, event_streams
 
     rows = event_streams(spark, sf_dir).drop("_pos", "user_id")
-    df = align(rows, START, END, timedelta(minutes=5), duplicates="unique", suffix=["click", "view"])
+    df = align(rows, START, END, duplicates="unique", streams=["click", "view"], suffix=True)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     above = plan[: plan.index("explode(sequence(_lo")]
-    assert "Exchange" not in above
+    assert "Exchange" not in above and "Aggregate" not in above and "Sort" not in above
     assert "PushedFilters: [IsNotNull(event_type), IsNotNull(ts)]" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
