@@ -19,6 +19,7 @@ from sensorframe.session import build_session  # noqa: E402
 
 HEADLINE = (
     "single_plot",
+    "two_stream_download",
     "stream_profile",
     "time_select_reference",
     "time_select_ordered",

@@ -18,6 +18,7 @@ from sensorframe.operators.clean import (
 )
 from sensorframe.operators.labels import LABEL_COLUMNS, latest_labels, merge_labels
 from sensorframe.operators.split import OPTIONAL_COLUMNS, derive_columns, split_samples
+from sensorframe.session import materialize
 from sensorframe.sources.samples import read_cruises, write_labels, write_samples, write_sources
 
 TAGS = ("cruise_id", "array_rd")
@@ -54,7 +55,8 @@ def load_cruises(
     spark: SparkSession, sources: DataFrame, strict: bool = False, on_unknown: str = "error"
 ) -> CruiseTables:
     raw, labels = read_cruises(spark, sources)
-    samples = derive_columns(clean_samples(raw, strict), on_unknown)
+    # Stored once: three readers follow, and each needs only some of the columns.
+    samples = materialize(derive_columns(clean_samples(raw, strict), on_unknown))
     profile, discrete = split_samples(samples)
     return CruiseTables(profile, drop_empty_columns(discrete, OPTIONAL_COLUMNS), label_map(labels))
 

@@ -1,21 +1,14 @@
-"""Plot requests: select, align when there are several streams, points or raster."""
+"""Plots of a merged table: points or a mean raster."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import bound_column
-from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.raster import CANVAS, SHADE_THRESHOLD, Bounds, bounds_struct, rasterize
-from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
-from sensorframe.operators.select import axis_columns, covers, plot_points, swap_key
-from sensorframe.session import materialize
-from sensorframe.sources.streams import Stream
+from sensorframe.operators.select import plot_points, swap_key
 
 
 @dataclass(frozen=True)
@@ -29,51 +22,6 @@ class PlotResult:
     status: str = "completed"
 
 
-def select_streams(
-    streams: Mapping[str, Stream], x: str, y: str, color: str, start: str, end: str, mode: str = "reference"
-) -> dict[str, DataFrame]:
-    """Every stream cut to the wanted columns and the time range."""
-    wanted = axis_columns(x, y, color)
-    return {name: s.project(wanted).select(mode, time=(start, end)).df for name, s in streams.items()}
-
-
-def merge_selected(
-    selected: Mapping[str, DataFrame],
-    start: str,
-    end: str,
-    step: timedelta = ONE_SECOND,
-    max_gap: timedelta = ONE_DAY,
-    suffix: bool = False,
-    duplicates: str = "error",
-) -> DataFrame:
-    """One stream passes through as it is; several are resampled and merged on time."""
-    if len(selected) == 1:
-        (only,) = selected.values()
-        return only.drop("_pos")
-    samples = tagged_union({name: df.drop("_pos") for name, df in selected.items()}, "stream")
-    return align(
-        samples, start, end, step, max_gap=max_gap, duplicates=duplicates, streams=list(selected), suffix=suffix
-    )
-
-
-def uncovered_streams(streams: Mapping[str, Stream], start, end, mode: str = "reference") -> list[str]:
-    """Names of the streams that do not cover the request; one job, one row per stream."""
-    extents = union_by_name(
-        [
-            s.base.agg(F.min("time").alias("a"), F.max("time").alias("b")).withColumn("stream", F.lit(name))
-            for name, s in streams.items()
-        ]
-    )
-    found = covers(bound_column(start), bound_column(end), F.col("a"), F.col("b"), mode)
-    return sorted(r["stream"] for r in extents.where(~found).select("stream").collect())
-
-
-def _present(frames: Mapping[str, DataFrame]) -> set[str]:
-    """Names of the frames with at least one row; one job."""
-    tagged = union_by_name([df.limit(1).select(F.lit(name).alias("stream")) for name, df in frames.items()])
-    return {r["stream"] for r in tagged.collect()}
-
-
 def plot(
     merged: DataFrame,
     x: str,
@@ -81,17 +29,13 @@ def plot(
     color: str = "",
     shade_threshold: int = SHADE_THRESHOLD,
     canvas: tuple[int, int] = CANVAS,
-    several: bool = False,
 ) -> PlotResult:
     """Points up to ``shade_threshold`` rows, a mean raster above it.
 
     One pass measures rows and axis ranges; they are the only values that come
-    to the driver. ``several`` says that ``merged`` is a computed merge: it is
-    stored once rather than computed for each pass.
+    to the driver.
     """
-    table = materialize(merged) if several else merged
-    if x != "time":
-        table = swap_key(table, x)
+    table = merged if x == "time" else swap_key(merged, x)
     found = table.agg(F.count(F.lit(1)).alias("n"), bounds_struct(table, x, y).alias("bounds")).first()
     count = found["n"]
     if count == 0:
@@ -103,27 +47,6 @@ def plot(
     return PlotResult(pixels.withColumnRenamed("value", color or y), count, True, "Result finished.")
 
 
-def plot_request(
-    streams: Mapping[str, Stream], x: str, y: str, start: str, end: str, color: str = "", **options
-) -> PlotResult:
-    """The whole plot request over stored streams, with the reasons for an empty result."""
-    missing = set(uncovered_streams(streams, start, end))
-    matched = _present(select_streams(streams, x, y, color, start, end, "inclusive"))
-    unmatched = [name for name in streams if name not in missing and name not in matched]
-    if unmatched:
-        msg = f"No sample of {','.join(unmatched)} lies between {start} and {end}."
-        return PlotResult(None, 0, False, msg, "failed")
-    if missing:
-        return PlotResult(None, 0, False, "One of the dataset does not contain data.")
-    selected = select_streams(streams, x, y, color, start, end)
-    present = _present(selected)
-    empty = [name for name in streams if name not in present]
-    if empty:
-        return PlotResult(None, 0, False, f"Empty data stream(s) found: {','.join(empty)}.")
-    merged = merge_selected(selected, start, end)
-    return plot(merged, x, y, color, several=len(selected) > 1, **options)
-
-
 def column_lists(result: PlotResult, limit: int = SHADE_THRESHOLD) -> DataFrame:
     """A small result as one row of lists, in the order of its first column.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ from sensorframe.operators.select import (
     stream_extents,
     swap_key,
 )
-from sensorframe.plans.plot import plot_request
+from sensorframe.plans.fetch import fetch, plot_request
 from sensorframe.queries.bindings import END, START, event_streams, table
+from sensorframe.session import shared_folder
 from sensorframe.sources.streams import (
+    Stream,
     build_manifest,
     catalog,
     catalog_names,
@@ -47,6 +50,36 @@ def single_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plot_request({"click": click}, "time", "value", "2024-01-03", "2024-01-28 06:00:00", "user_id").data
 
 
+# A request on two streams, cut before it is aligned.
+FETCH_START, FETCH_END = "2024-01-03T00:00:00", "2024-01-27T00:00:00"
+
+
+def two_stream_download(spark, sf_dir):
+    """Download request on two streams: cut, 1-second grid, merge, slices; shown as hourly means."""
+    rows = event_streams(spark, sf_dir).drop("user_id")
+    streams = {
+        s: Stream(s, rows.where(F.col("stream") == s).drop("stream").withColumnRenamed("value", s), time_ordered=True)
+        for s in ("click", "view")
+    }
+    request = {
+        "ref": "click,view",
+        "x": "time",
+        "y": "click",
+        "color": "view",
+        "start_dt": FETCH_START,
+        "end_dt": FETCH_END,
+        "download": True,
+    }
+    done = fetch(request, streams, f"{shared_folder(spark)}/sensorframe-fetch-{uuid.uuid4().hex}")
+    data = spark.read.parquet(f"{done.path}/data")
+    hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz").alias("hour")
+    return data.groupBy(hour).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg("click"), 6).alias("click"),
+        F.round(F.avg("view"), 6).alias("view"),
+    )
+
+
 def catalog_list(spark, sf_dir):
     return catalog_names(build_manifest(event_streams(spark, sf_dir)))
 
@@ -273,6 +306,7 @@ def sliced_rows(spark, sf_dir):
 
 QUERIES = {
     "single_plot": single_plot,
+    "two_stream_download": two_stream_download,
     "catalog_list": catalog_list,
     "catalog_full": catalog_full,
     "catalog_describe": catalog_describe,
@@ -311,7 +345,7 @@ QUERIES = {
 _STREAM = "SELECT event_type AS stream, ts AS time, value, user_id, event_id AS _pos FROM events"
 
 
-def _resampled_sql(source: str, step: int, max_gap: int | None) -> str:
+def _resampled_sql(source: str, step: int, max_gap: int | None, start: str = START, end: str = END) -> str:
     """Common table expression ``filled(stream, t, v)`` over ``source(stream, t, v)``."""
     fill = "v" if max_gap is None else f"""
          CASE WHEN v IS NOT NULL THEN v
@@ -322,7 +356,7 @@ def _resampled_sql(source: str, step: int, max_gap: int | None) -> str:
   src AS ({source}),
   seg AS (SELECT stream, t, v, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM src
           WINDOW w AS (PARTITION BY stream ORDER BY t)),
-  grid AS (SELECT stream, unnest(range(epoch_us(TIMESTAMP '{START}'), epoch_us(TIMESTAMP '{END}'), {step})) AS t
+  grid AS (SELECT stream, unnest(range(epoch_us(TIMESTAMP '{start}'), epoch_us(TIMESTAMP '{end}'), {step})) AS t
            FROM (SELECT DISTINCT stream FROM src)),
   j AS (SELECT g.stream, g.t, s.t AS ta, s.v AS va, s.t2 AS tb, s.v2 AS vb
         FROM grid g ASOF LEFT JOIN seg s ON g.stream = s.stream AND g.t >= s.t),
@@ -394,6 +428,20 @@ ORACLES = {
   b AS (SELECT min(event_id) AS a, max(event_id) AS z FROM s
         WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28 06:00:00')
   SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, user_id FROM s, b WHERE event_id >= a AND event_id < z""",
+    "two_stream_download": "WITH"
+    + _resampled_sql(
+        f"""SELECT event_type AS stream, epoch_us(ts) AS t, value AS v FROM events
+            WHERE event_type IN ('click', 'view') AND ts BETWEEN TIMESTAMP '{FETCH_START}' AND TIMESTAMP '{FETCH_END}'
+            QUALIFY ts < max(ts) OVER (PARTITION BY event_type)""",
+        1_000_000,
+        86_400_000_000,
+        FETCH_START,
+        FETCH_END,
+    )
+    + """
+  SELECT date_trunc('hour', make_timestamp(t)) AS hour, count(DISTINCT t) AS n,
+         round(avg(v) FILTER (stream = 'click'), 6) AS click, round(avg(v) FILTER (stream = 'view'), 6) AS view
+  FROM filled GROUP BY 1""",
     "catalog_list": "SELECT DISTINCT event_type AS stream FROM events",
     "catalog_full": """
   SELECT event_type AS stream, 'user_id,value' AS variables, 'time' AS dims, count(*) AS n_values,

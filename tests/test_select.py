@@ -3,11 +3,17 @@ from conftest import at, seconds
 from pyspark.sql import functions as F
 
 from sensorframe.operators.select import axis_columns, covers, project, select_ranges, select_time, swap_key
-from sensorframe.plans.plot import column_lists, plot_request
+from sensorframe.plans.fetch import download_request, fetch, plot_request
+from sensorframe.plans.plot import column_lists
 from sensorframe.sources.streams import Stream, build_manifest, describe_stream, open_stream, write_stream
 
 A = [(0, 0), (10, 10), (20, 20), (30, 30)]
 
+
+def text(second):
+    return at(second).isoformat()
+
+
 # start, end, covered by reference, by overlap, inclusive rows, reference rows, outcome
 CASES = [
     (5, 25, True, True, [10, 20], [10], "points"),
@@ -118,3 +124,28 @@ def test_stored_stream_prunes_days(spark, series, tmp_path):
     assert sorted(r["v"] for r in cut.collect()) == list(range(24, 48))
     plan = cut._jdf.queryExecution().explainString(cut.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(time,2024-01-02" in plan and "LessThanOrEqual(time,2024-01-03" in plan
+
+
+def test_download(spark, stream, tmp_path):
+    done = download_request({"A": stream}, "time", "v", text(0), text(25), str(tmp_path), download_format="csv")
+    assert (done.n_files, done.n_rows) == (1, 2)
+    none = download_request({"A": stream}, "time", "v", text(12), text(18), str(tmp_path))
+    assert none.path is None and none.status == "failed"
+
+
+def test_fetch(stream, tmp_path):
+    request = {"ref": "A,A", "x": "time", "y": "v", "start_dt": text(0), "end_dt": text(25)}
+    assert fetch(request, {"A": stream}).count == 2
+    done = fetch({**request, "download": True, "download_format": ""}, {"A": stream}, str(tmp_path))
+    assert done.n_rows == 2
+    with pytest.raises(ValueError, match="no data stream named B"):
+        fetch({**request, "ref": "A,B"}, {"A": stream})
+    with pytest.raises(ValueError, match="folder"):
+        fetch({**request, "download": True}, {"A": stream})
+
+
+def test_admission_by_time_bytes(stream):
+    from sensorframe.plans.fetch import prepare
+
+    ready = prepare({"A": stream}, "time", "v", text(5), text(25), max_dimension_bytes=31)
+    assert ready.merged is None and "too large" in ready.msg
