@@ -39,7 +39,7 @@ def text_sentinel_to_null(value: Column) -> Column:
 
 
 def number_sentinel_to_null(value: Column) -> Column:
-    return F.when(value != F.lit(SENTINEL), value)
+    return F.nullif(value, F.lit(SENTINEL))
 
 
 def to_measurement(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorframe.functions.values import SENTINEL_TEXT, text_sentinel_to_null
+from sensorframe.functions.values import SENTINEL_TEXT
 from sensorframe.operators.joins import sized_join
 from sensorframe.operators.labels import LABEL_COLUMNS, parse_headers
 from sensorframe.operators.merge import union_by_name
@@ -22,16 +22,15 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
 
 
 def read_text_csv(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """CSV with a header, every column text, missing-data markers as null."""
+    """CSV with a header, every column text, empty cells and the missing-data marker as null."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    rows = (
+    return (
         spark.read.schema(_text_schema(names))
         .option("header", True)
         .option("enforceSchema", True)
         .option("nullValue", SENTINEL_TEXT[0])
         .csv(paths)
     )
-    return rows.select([text_sentinel_to_null(F.col(c)).alias(c) for c in rows.columns])
 
 
 def plain_path(path: Column) -> Column:
