@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions.cftime import bound_column, time_text
 from sensorframe.functions.values import nans_to_null
-from sensorframe.operators.joins import join_on_keys
+from sensorframe.operators.joins import join_on_keys, sized_join
 
 MODES = ("reference", "inclusive")
 
@@ -76,7 +76,8 @@ def select_ranges(
     # With one dimension the bounds scan can be pruned too.
     probe = df.where(inside[cut[0]]) if len(cut) == 1 else df
     if by:
-        out = join_on_keys(out, probe.groupBy(*by).agg(*edges), by, "inner")
+        # One row per group, measured before it is broadcast: the rows are never shuffled for it.
+        out = sized_join(out, probe.groupBy(*by).agg(*edges), by, "inner", costly=True)
         limit = {name: F.col(name) for d in cut for name in (f"_from_{d}", f"_to_{d}")}
     else:
         found = probe.agg(F.struct(*edges).alias("edges")).scalar()

@@ -12,7 +12,16 @@ from sensorframe.functions.cftime import parse_bound
 from sensorframe.functions.values import value_bytes
 from sensorframe.operators.flatten import flatten_arrays
 from sensorframe.operators.ranges import row_index
-from sensorframe.plans.limits import CSV_PART_BYTES, MAX_FILES, SLICE_BYTES, plan_csv, plan_slices
+from sensorframe.plans.limits import (
+    CSV_PART_BYTES,
+    FINISHED,
+    MAX_FILES,
+    NO_DATA,
+    REFUSED,
+    SLICE_BYTES,
+    plan_csv,
+    plan_slices,
+)
 
 # The formats on offer; "netcdf" names the time-sliced export, stored as Parquet.
 EXPORT_FORMATS = ("csv", "json", "netcdf")
@@ -65,10 +74,9 @@ def export(
         plan = plan_csv(measure(df), part_bytes or CSV_PART_BYTES, max_files).first()
         kind = chosen.upper()
     if plan["rows"] == 0:
-        return ExportResult(None, 0, 0, "completed", f"No data found for {start} to {end}")
+        return ExportResult(None, 0, 0, "completed", NO_DATA.format(start=start, end=end))
     if not plan["allowed"]:
-        msg = f"The amount of data to be downloaded is too large for {kind} data format. Please make a smaller request."
-        return ExportResult(None, plan["n_files"], plan["rows"], "completed", msg)
+        return ExportResult(None, plan["n_files"], plan["rows"], "completed", REFUSED.format(kind=kind))
 
     path = f"{root}/{export_name(start, end)}"
     if chosen == "netcdf":
@@ -76,7 +84,7 @@ def export(
     else:
         write_parts(df, f"{path}/data", chosen, plan["n_files"], time)
     write_manifest(df.sparkSession, f"{path}/meta", streams, axes or {}, start, end, plan["n_files"], plan["rows"])
-    return ExportResult(path, plan["n_files"], plan["rows"], "completed", "Result finished.")
+    return ExportResult(path, plan["n_files"], plan["rows"], "completed", FINISHED)
 
 
 def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "time") -> None:

@@ -14,6 +14,7 @@ from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
 from sensorframe.operators.select import axis_columns, covers
 from sensorframe.plans.export import ExportResult, export
+from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED
 from sensorframe.plans.plot import PlotResult, plot
 from sensorframe.plans.requests import MAX_DIMENSION_BYTES, REQUEST_DEFAULTS
 from sensorframe.session import materialize
@@ -99,12 +100,12 @@ def prepare(
     if unmatched:
         return Prepared(None, f"No sample of {','.join(unmatched)} lies between {start} and {end}.", "failed")
     if missing:
-        return Prepared(None, "One of the dataset does not contain data.")
+        return Prepared(None, NOT_COVERED)
     selected = select_streams(streams, x, y, color, start, end)
     present = _present(selected)
     empty = [name for name in streams if name not in present]
     if empty:
-        return Prepared(None, f"Empty data stream(s) found: {','.join(empty)}.")
+        return Prepared(None, EMPTY_STREAMS.format(streams=",".join(empty)))
     merged = merge_selected(selected, start, end, step, suffix=suffix)
     return Prepared(materialize(merged) if len(selected) > 1 else merged)
 

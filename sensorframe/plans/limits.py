@@ -10,6 +10,14 @@ SLICE_BYTES = 100_000_000
 CSV_PART_BYTES = 10_000_000
 MAX_FILES = 50
 
+# What a request is answered with.
+FINISHED = "Result finished."
+NO_DATA = "No data found for {start} to {end}"
+NOT_COVERED = "One of the dataset does not contain data."
+EMPTY_STREAMS = "Empty data stream(s) found: {streams}."
+MERGED_EMPTY = "Merged dataset does not contain data."
+REFUSED = "The amount of data to be downloaded is too large for {kind} data format. Please make a smaller request."
+
 
 def csv_parts(size: Column, part_bytes: int | None = None) -> Column:
     """Parts of a CSV or JSON export; at least one."""
@@ -58,6 +66,5 @@ def plan_csv(
 ) -> DataFrame:
     """Add ``n_files``, ``allowed`` and ``msg`` to a table of export sizes."""
     planned = sizes.withColumn("n_files", csv_parts(F.col(size), part_bytes))
-    refused = "The amount of data to be downloaded is too large for CSV data format. Please make a smaller request."
     allowed = F.col("n_files") <= max_files
-    return planned.withColumns({"allowed": allowed, "msg": F.when(~allowed, F.lit(refused))})
+    return planned.withColumns({"allowed": allowed, "msg": F.when(~allowed, F.lit(REFUSED.format(kind="CSV")))})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators.raster import CANVAS, SHADE_THRESHOLD, Bounds, bounds_struct, rasterize
 from sensorframe.operators.select import plot_points, swap_key
+from sensorframe.plans.limits import FINISHED, MERGED_EMPTY
 
 
 @dataclass(frozen=True)
@@ -39,12 +40,12 @@ def plot(
     found = table.agg(F.count(F.lit(1)).alias("n"), bounds_struct(table, x, y).alias("bounds")).first()
     count = found["n"]
     if count == 0:
-        return PlotResult(None, 0, False, "Merged dataset does not contain data.")
+        return PlotResult(None, 0, False, MERGED_EMPTY)
     if count <= shade_threshold:
-        return PlotResult(plot_points(table, x, y, color), count, False, "Result finished.")
+        return PlotResult(plot_points(table, x, y, color), count, False, FINISHED)
     bounds = Bounds(**found["bounds"].asDict())
     pixels = rasterize(table, x, y, color or None, canvas, bounds)
-    return PlotResult(pixels.withColumnRenamed("value", color or y), count, True, "Result finished.")
+    return PlotResult(pixels.withColumnRenamed("value", color or y), count, True, FINISHED)
 
 
 def column_lists(result: PlotResult, limit: int = SHADE_THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ from sensorframe.functions.cftime import bound_column, parse_datetime, to_micros
 from sensorframe.functions.values import fingerprint, size_text
 from sensorframe.operators.joins import fits_broadcast, join_on_keys, sized_join
 from sensorframe.operators.select import axis_columns_of, coverage, stream_extents
-from sensorframe.plans.limits import MAX_FILES, csv_parts, slice_count
+from sensorframe.plans.limits import FINISHED, MAX_FILES, NO_DATA, REFUSED, csv_parts, slice_count
 
 REQUEST_SCHEMA = T.StructType(
     [
@@ -215,15 +215,13 @@ def _classify(sized: DataFrame, max_dimension_bytes: int, max_files: int, part_b
 
 
 def _message() -> Column:
-    none = F.concat(F.lit("No data found for "), F.col("start_dt"), F.lit(" to "), F.col("end_dt"))
-    refused = F.concat(
-        F.lit("The amount of data to be downloaded is too large for "),
-        F.when(F.col("format") == "netcdf", F.lit("NetCDF")).otherwise(F.upper("format")),
-        F.lit(" data format. Please make a smaller request."),
-    )
+    none = F.replace(F.lit(NO_DATA), F.lit("{start}"), F.col("start_dt"))
+    none = F.replace(none, F.lit("{end}"), F.col("end_dt"))
+    kind = F.when(F.col("format") == "netcdf", F.lit("NetCDF")).otherwise(F.upper("format"))
+    refused = F.replace(F.lit(REFUSED), F.lit("{kind}"), kind)
     return (
         F.when(F.col("outcome") == "no data", none)
         .when(F.col("outcome") == "refused", refused)
         .when(F.col("outcome") == "failed", F.concat(F.lit("Request failed: "), F.col("reason")))
-        .otherwise(F.lit("Result finished."))
+        .otherwise(F.lit(FINISHED))
     )

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import compact_time, decode_time, encode_time, time_text
+from sensorframe.functions.cftime import compact_time, decode_time, encode_time, time_text, to_micros
 from sensorframe.functions.values import nans_to_null
 from sensorframe.operators.asof import asof_join
 from sensorframe.operators.flatten import flatten_arrays
@@ -28,6 +34,7 @@ from sensorframe.operators.select import (
 from sensorframe.plans.fetch import fetch, plot_request
 from sensorframe.queries.bindings import END, START, event_streams, table
 from sensorframe.session import shared_folder
+from sensorframe.sources.arrays import read_arrays
 from sensorframe.sources.streams import (
     Stream,
     build_manifest,
@@ -304,7 +311,49 @@ def sliced_rows(spark, sf_dir):
     return row_slices(rows, LINE_KEY, 7_000)
 
 
+CHUNK = 1_000
+
+
+def _write_chunks(root: str):
+    """Writes the chunk files of one chunk of events; runs on the executors."""
+
+    def write(chunk):
+        files, base = pa.fs.FileSystem.from_uri(root)
+        chunk = chunk.sort_values("event_id")
+        number = int(chunk["event_id"].iloc[0]) // CHUNK
+        for name, kind in (("time", "<i8"), ("value", "<f8"), ("user_id", "<i4")):
+            block = np.zeros(CHUNK, dtype=kind)
+            block[: len(chunk)] = chunk[name].to_numpy()
+            with files.open_output_stream(f"{base}/{name}/{number}") as out:
+                out.write(zlib.compress(block.tobytes()))
+        return pd.DataFrame({"n": [len(chunk)]})
+
+    return write
+
+
+def array_stream(spark, sf_dir):
+    """Events stored as a chunked array folder, then opened as a stream table."""
+    folder = f"{shared_folder(spark)}/sensorframe-arrays-{uuid.uuid4().hex}"
+    root = folder if ":/" in folder else f"file://{folder}"
+    files, base = pa.fs.FileSystem.from_uri(root)
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", to_micros(F.col("ts")).alias("time"), "value", "user_id"
+    )
+    n = rows.count()
+    for name, kind in (("time", "<i8"), ("value", "<f8"), ("user_id", "<i4")):
+        files.create_dir(f"{base}/{name}", recursive=True)
+        array = {"shape": [n], "chunks": [CHUNK], "dtype": kind, "compressor": {"id": "zlib"}, "fill_value": None}
+        attrs = {"_ARRAY_DIMENSIONS": ["time"], "units": "microseconds since 1970-01-01"}
+        for part, content in ((".zarray", array), (".zattrs", attrs)):
+            with files.open_output_stream(f"{base}/{name}/{part}") as out:
+                out.write(json.dumps(content).encode())
+    chunk = F.floor(F.col("event_id") / F.lit(CHUNK)).alias("chunk")
+    rows.groupBy(chunk).applyInPandas(_write_chunks(root), "n bigint").agg(F.sum("n")).first()
+    return read_arrays(spark, root)
+
+
 QUERIES = {
+    "array_stream": array_stream,
     "single_plot": single_plot,
     "two_stream_download": two_stream_download,
     "catalog_list": catalog_list,
@@ -423,6 +472,7 @@ def _asof_sql(direction: str) -> str:
 
 _SPECTRA = "SELECT vec_id, embedding, label FROM embeddings"
 ORACLES = {
+    "array_stream": "SELECT event_id AS _pos, ts AS time, value, CAST(user_id AS DOUBLE) AS user_id FROM events",
     "single_plot": """
   WITH s AS (SELECT * FROM events WHERE event_type = 'click'),
   b AS (SELECT min(event_id) AS a, max(event_id) AS z FROM s
