@@ -50,6 +50,7 @@ def with_neighbours(
     last_one = {n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) for n in previous}
     first_one = {n: F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) for n in following}
     summary = staged.groupBy(*keys).agg(*[c.alias(f"_e_{n}") for n, c in {**last_one, **first_one}.items()])
+    # Over the summary only: one row per bucket, never the rows themselves.
     across = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     carried = summary.select(
         *keys,

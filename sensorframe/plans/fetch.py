@@ -6,15 +6,16 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sensorframe.functions.cftime import bound_column
+from sensorframe.functions.values import size_text
 from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
 from sensorframe.operators.select import axis_columns, covers
 from sensorframe.plans.export import ExportResult, export
-from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED
+from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED, TOO_LARGE
 from sensorframe.plans.plot import PlotResult, plot
 from sensorframe.plans.requests import MAX_DIMENSION_BYTES, REQUEST_DEFAULTS
 from sensorframe.session import materialize
@@ -92,8 +93,9 @@ def prepare(
 
     A merge of several streams is stored, as every result reads it more than once.
     """
-    if time_bytes(streams) > max_dimension_bytes:
-        return Prepared(None, "The time coordinates of the request are too large.")
+    times = time_size(streams)
+    if times["size"] > max_dimension_bytes:
+        return Prepared(None, TOO_LARGE.format(size=times["text"]))
     missing = set(uncovered_streams(streams, start, end))
     matched = _present(select_streams(streams, x, y, color, start, end, "inclusive"))
     unmatched = [name for name in streams if name not in missing and name not in matched]
@@ -110,10 +112,11 @@ def prepare(
     return Prepared(materialize(merged) if len(selected) > 1 else merged)
 
 
-def time_bytes(streams: Mapping[str, Stream]) -> int:
-    """Bytes of the time coordinates of whole streams; row counts come from file footers."""
+def time_size(streams: Mapping[str, Stream]) -> Row:
+    """``size`` in bytes, and as ``text``, of the time coordinates of whole streams; counting reads no column."""
     counts = union_by_name([s.base.agg(F.count(F.lit(1)).alias("n")) for s in streams.values()])
-    return counts.agg(F.sum("n")).first()[0] * TIME_BYTES
+    total = counts.agg((F.sum("n") * TIME_BYTES).alias("size"))
+    return total.select("size", size_text(F.col("size")).alias("text")).first()
 
 
 def plot_request(

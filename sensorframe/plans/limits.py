@@ -13,6 +13,7 @@ MAX_FILES = 50
 # What a request is answered with.
 FINISHED = "Result finished."
 NO_DATA = "No data found for {start} to {end}"
+TOO_LARGE = "Max dimension size of {size} is too large at this time"
 NOT_COVERED = "One of the dataset does not contain data."
 EMPTY_STREAMS = "Empty data stream(s) found: {streams}."
 MERGED_EMPTY = "Merged dataset does not contain data."

@@ -22,6 +22,8 @@ def build_session(app: str = "sensorframe", master: str | None = None, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording the calling line of every column costs as much as building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # The JVM leaves methods above 8000 bytes of bytecode uncompiled; wide projections
         # then run faster operator by operator.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")

@@ -38,6 +38,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
+def read_path() -> Column:
+    """Path of the file a row was read from, as it was asked for (Spark reports it URL-encoded)."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return plain_path(F.url_decode(encoded))
+
+
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, position, header`` for the header cells of every file.
 
@@ -45,7 +51,7 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     is found by an aggregate over their read order.
     """
     lines = spark.read.text(list(paths)).select(
-        plain_path(F.col("_metadata.file_path")).alias("file"),
+        read_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("order"),
         "value",
@@ -84,7 +90,7 @@ def read_cruises(spark: SparkSession, sources: DataFrame) -> tuple[DataFrame, Da
     tables = []
     for names, files in sorted(files_of.items()):
         table = read_text_csv(spark, [by_plain[f] for f in sorted(files)], names)
-        tables.append(table.withColumn("file", plain_path(F.col("_metadata.file_path"))))
+        tables.append(table.withColumn("file", read_path()))
     rows = union_by_name(tables)
     samples = sized_join(rows, listed.select("file", "cruise_id", "array_rd"), ["file"]).drop("file")
     labels = headers.join(listed.select("file", "array_rd", "source_order"), "file")

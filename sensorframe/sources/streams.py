@@ -39,6 +39,10 @@ class Stream:
     def reset(self) -> Stream:
         return replace(self, current=None)
 
+    def preview(self) -> DataFrame:
+        """One row per variable of the current columns (see ``profile_variables``)."""
+        return profile_variables(self.df.withColumn("stream", F.lit(self.name)))
+
 
 def open_stream(
     spark: SparkSession,

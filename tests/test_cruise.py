@@ -30,7 +30,7 @@ SR1,CE09OSSM,20170704T000000,-9999999.0,,1,1,33,33,20,*0,trace
 def sources(spark, tmp_path):
     rows = []
     for i, (cruise, array, text) in enumerate([("TN1", "RS", RS), ("SR1", "CE", CE), ("SR0", "CE", CE.replace("SR1", "SR0"))]):
-        path = tmp_path / f"{cruise}.csv"
+        path = tmp_path / f"{cruise} a+b 10%.csv"
         path.write_text(text)
         rows.append((cruise, array, str(path), i))
     return spark.createDataFrame(rows, "cruise_id string, array_rd string, summary_url string, source_order bigint")

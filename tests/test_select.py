@@ -148,4 +148,9 @@ def test_admission_by_time_bytes(stream):
     from sensorframe.plans.fetch import prepare
 
     ready = prepare({"A": stream}, "time", "v", text(5), text(25), max_dimension_bytes=31)
-    assert ready.merged is None and "too large" in ready.msg
+    assert ready.merged is None and ready.msg == "Max dimension size of 32.0 bytes is too large at this time"
+
+
+def test_preview(stream):
+    rows = {r["variable"]: r for r in stream.preview().collect()}
+    assert (rows["v"]["n_values"], rows["v"]["low"], rows["v"]["high"], rows["v"]["stream"]) == (4, "0.0", "30.0", "A")
