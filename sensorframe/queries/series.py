@@ -9,8 +9,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.fs  # noqa: F401
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -318,7 +317,7 @@ def _write_chunks(root: str):
     """Writes the chunk files of one chunk of events; runs on the executors."""
 
     def write(chunk):
-        files, base = pa.fs.FileSystem.from_uri(root)
+        files, base = arrow_fs.FileSystem.from_uri(root)
         chunk = chunk.sort_values("event_id")
         number = int(chunk["event_id"].iloc[0]) // CHUNK
         for name, kind in (("time", "<i8"), ("value", "<f8"), ("user_id", "<i4")):
@@ -335,7 +334,7 @@ def array_stream(spark, sf_dir):
     """Events stored as a chunked array folder, then opened as a stream table."""
     folder = f"{shared_folder(spark)}/sensorframe-arrays-{uuid.uuid4().hex}"
     root = folder if ":/" in folder else f"file://{folder}"
-    files, base = pa.fs.FileSystem.from_uri(root)
+    files, base = arrow_fs.FileSystem.from_uri(root)
     rows = table(spark, sf_dir, "events").select(
         "event_id", to_micros(F.col("ts")).alias("time"), "value", "user_id"
     )
