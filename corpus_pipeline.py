@@ -1,29 +1,63 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, tokens."""
+"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, tokens.
+
+Each stage takes what its predecessor kept and decides on all of it. All stages but
+the last return the columns of the documents; the last adds the token ids.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorframe.llm import bpe
-from sensorframe.session import materialize
+from sensorframe.llm import bpe, decontaminate, line_dedup, lm_scoring, quality, simhash
+from sensorframe.llm.tables import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; rows without an id are judged by their text too."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, labels, lm_scoring.remainder(F.col("doc_id"), 4) == 2)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that match an earlier one; ``n_chars`` follows the text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return simhash.representatives(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with the ids of their whole text."""
     return bpe.encode(docs, TOKENIZER)
 
 
-STAGES = [("bpe_encoding", encode_tokens)]
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("bpe_encoding", encode_tokens),
+]
 
-#: Near-dedup and BPE are beyond SQL; the tests compare with a brute-force version.
+#: The classifier, SimHash and BPE are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in their order; what each one returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -19,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.tables import Shared
+
 #: The public pattern that byte-level BPE vocabularies split text with.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 16_000_000
@@ -241,13 +244,23 @@ def _blocks(frame: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
         yield block
 
 
-def encode_batches(batches, vocab: Vocabulary, text_col: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Each block of rows with its ids and the bounds of each row."""
-    for batch in batches:
-        batch = batch.assign(**{text_col: batch[text_col].fillna("").astype(object)})
-        for block in _blocks(batch, text_col):
-            ids, bounds = encode_texts(block[text_col].tolist(), vocab)
-            yield block, ids, bounds
+def encode_blocks(texts: list[str | None], vocab: Vocabulary) -> Iterator[list[np.ndarray]]:
+    """The ids of each text, worked out in blocks of bounded text (one text at least)."""
+    block: list[str] = []
+    size = 0
+    for text in texts:
+        block.append(text or "")
+        size += len(block[-1])
+        if size >= BLOCK_CHARS:
+            yield _ids_of(block, vocab)
+            block, size = [], 0
+    if block:
+        yield _ids_of(block, vocab)
+
+
+def _ids_of(block: list[str], vocab: Vocabulary) -> list[np.ndarray]:
+    ids, bounds = encode_texts(block, vocab)
+    return np.split(ids, bounds[1:-1])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -256,22 +269,26 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     A null text counts as empty and has no ids. Rows are independent of each
     other, so nothing is shuffled. A column named like ``ids_col`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    shared = Shared(docs.sparkSession, Vocabulary(tokenizer_path))
     docs = docs.drop(ids_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
-        with_text = (batch.assign(__text=batch[text_col]) for batch in batches)
-        for block, ids, bounds in encode_batches(with_text, shared.value, "__text"):
-            lists = np.split(ids, bounds[1:-1])
-            yield block.drop(columns="__text").assign(**{ids_col: lists})
+        for batch in batches:
+            done = 0
+            for lists in encode_blocks(batch.column(text_col).to_pylist(), shared.value):
+                part = batch.slice(done, len(lists))
+                done += len(lists)
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
 
-    return docs.mapInPandas(run, f"{schema}, `{ids_col}` array<int>")
+    return docs.mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text that ``ids_col`` stands for; null ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    shared = Shared(encoded.sparkSession, Vocabulary(tokenizer_path))
 
     @F.pandas_udf("string")
     def read(ids: pd.Series) -> pd.Series:
@@ -287,21 +304,22 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     little-endian unsigned 32-bit integers, text in UTF-8. One row per input row;
     null ids of rows stay null, a null text is empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
-    kind = docs.schema[id_col].dataType.simpleString()
+    shared = Shared(docs.sparkSession, Vocabulary(tokenizer_path))
 
     def run(batches):
         vocab = shared.value
-        for block, ids, bounds in encode_batches(batches, vocab, "text"):
-            lists = np.split(ids.astype("<u4"), bounds[1:-1])
+        for batch in batches:
+            ids = [x.astype("<u4") for lists in encode_blocks(batch["text"].tolist(), vocab) for x in lists]
             yield pd.DataFrame(
                 {
-                    "doc_id": block["doc_id"].to_numpy(),
-                    "n_tokens": np.diff(bounds),
-                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in lists],
-                    "decoded_sha256": [hashlib.sha256(decode_ids(x, vocab).encode()).hexdigest() for x in lists],
+                    "doc_id": batch["doc_id"],
+                    "n_tokens": [len(x) for x in ids],
+                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(decode_ids(x, vocab).encode()).hexdigest() for x in ids],
                 }
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    # Ids travel as text: integers beside nulls would become floats in pandas.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    digests = rows.mapInPandas(run, "doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return digests.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

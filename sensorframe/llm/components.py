@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.session import materialize
+from sensorframe.llm.tables import stored
 
 MAX_ROUNDS = 100
 
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     all edges lead to roots. Rounds grow with the logarithm of the graph. The edges
     of each round are written to the shared folder, which cuts the lineage.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -40,5 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.filter("a <> b").union(least.select("u", "m")).distinct())
+        now = stored(small.filter("a <> b").union(least.select("u", "m")).distinct())
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.session import materialize
+from sensorframe.llm.tables import stored
 
 FAN = 4
 SLOT_ROWS = 50_000
@@ -142,7 +142,7 @@ def exact_dedup(
     first read stays, so exactly one row of each group has ``kept``. An empty table
     gives no rows.
     """
-    found = materialize(digests(docs, id_col, text_col))
+    found = stored(digests(docs, id_col, text_col))
     slots = slots_for(docs.sparkSession, found.count(), fan, slot_rows)
     best = smallest(found, slots, fan).select(
         *KEY,

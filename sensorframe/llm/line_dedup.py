@@ -4,8 +4,8 @@ A line is the set of its five-word shingles. Lines of one document or of several
 match when the Jaccard similarity of their sets is ``threshold`` or more, and a
 line with an earlier match goes.
 
-1. Lines equal in case-folded text form a class with one representative, its first
-   line, so a line that a third of the corpus shares is one row from here on.
+1. Lines of the same words in the same order form a class with one representative,
+   its first line, so a line that a third of the corpus shares is one row from here on.
 2. The shingles of a representative are ordered by rarity (the corpus counts of
    their words, kept in a table of fixed size), and only the first
    ``n - ceil(t * n) + 1`` are indexed (prefix filter): two sets that match share one.
@@ -22,17 +22,14 @@ the join complete.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.session import materialize
+from sensorframe.llm.tables import stored
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Entries of the table of word counts, and of the table that tells which lines to read again.
+#: Entries of the table of word counts, and of the table that tells which documents to read again.
 BUCKETS = 1 << 14
 MARKS = 1 << 16
 LAST = (1 << 63) - 1
@@ -48,22 +45,10 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _lines(documents: DataFrame, words: int) -> DataFrame:
-    """``(id, doc, pos, norm)``: lines of ``words`` words or more, case folded, white space as one space."""
+def _lines(documents: DataFrame) -> DataFrame:
+    """``(id, doc, pos, words)``: the words of every line."""
     rows = documents.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), WHITE, " "))
-    rows = rows.select("id", "doc", "pos", norm.alias("norm"))
-    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    return rows.filter(spaces >= words - 1)
-
-
-def _key(norm: str) -> tuple[Column, Column]:
-    """A line text's 64-bit key and a second hash that tells apart texts with the same key."""
-    return F.xxhash64(norm).alias("key"), F.crc32(norm).alias("check")
-
-
-def _first() -> Column:
-    return F.min(F.struct("id", "doc", "pos")).alias("first")
+    return rows.select("id", "doc", "pos", F.array_remove(F.split("line", WHITE), "").alias("words"))
 
 
 def _literal(values: list[int]) -> Column:
@@ -71,9 +56,10 @@ def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def word_counts(lines: DataFrame) -> list[int]:
+def word_counts(documents: DataFrame) -> list[int]:
     """Occurrences of words in all lines, by hash bucket."""
-    words = lines.select(F.explode(F.split("norm", " ")).alias("word"))
+    lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
     counts = [0] * BUCKETS
     for row in words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -81,37 +67,48 @@ def word_counts(lines: DataFrame) -> list[int]:
     return counts
 
 
-def _codes(counts: list[int], words: int) -> tuple[Column, Column]:
-    """Word hashes of ``norm``, and its distinct shingles as numbers whose order is that of rarity.
+def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
+    """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
 
-    The upper bits hold the sum of the logarithms of the word counts, the lower bits
-    a hash. Any order gives the same matches; this one makes shared prefixes rare.
+    A shingle is a number: the upper bits tell how frequent its rarest word is, the
+    lower ones are a hash. Numeric order is thus the order of rarity. ``key`` and
+    ``check`` are two hashes of the words of the line. Lines with fewer words than a
+    shingle have size 0 (a filter here would split every line twice).
     """
     logs = _literal([c.bit_length() for c in counts])
-    hashes = F.transform(F.split("norm", " "), lambda word: F.xxhash64(word))
 
-    def code(i: Column) -> Column:
-        at = [F.get(F.col("hashes"), i + j) for j in range(words)]
-        level = reduce(add, [F.get(logs, F.pmod(x, F.lit(BUCKETS)).cast("int")) for x in at])
-        return F.shiftleft(level, 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*at), 12))
+    def code(word: Column) -> Column:
+        hashed = F.xxhash64(word)
+        level = F.get(logs, F.pmod(hashed, F.lit(BUCKETS)).cast("int"))
+        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8)), F.lit(0).cast("bigint"))
+
+    def shingle(part: Column) -> Column:
+        rarest = F.least(*[part.getField(str(i)) for i in range(words)]) if words > 1 else part.getField("0")
+        level = F.shiftleft(F.shiftrightunsigned(rarest, 56), 56)
+        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
+
+    hashes = F.xxhash64("words").alias("key"), F.hash("words").alias("check")
+    keyed = lines.select("id", "doc", "pos", *hashes, F.transform("words", code).alias("codes"))
+    runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
+    moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
+    keyed = keyed.select("id", "doc", "pos", "key", "check", F.arrays_zip(*moved).alias("runs"))
+    keyed = keyed.withColumn("shingles", F.sort_array(F.array_distinct(F.transform("runs", shingle))))
+    size = F.size("shingles")
+    indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
+    return keyed.select(
+        "id", "doc", "pos", "key", "check", size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix")
+    )
 
-    return hashes, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("hashes") - words), code)))
 
+def _classes(coded: DataFrame, *more: Column) -> DataFrame:
+    first = F.min(F.struct("id", "doc", "pos")).alias("first")
+    return coded.groupBy("key", "check").agg(first, F.count(F.lit(1)).alias("n"), *more)
 
-def prefixes(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
-    """``(code, key, id, pos, size, at, rank)``: indexed shingles of every class; ``rank`` is lower for more copies."""
-    hashes, codes = _codes(counts, words)
-    coded = lines.select("id", "doc", "pos", *_key("norm"), hashes.alias("hashes"))
-    coded = coded.select("id", "doc", "pos", "key", "check", codes.alias("codes"))
-    size = F.size("codes")
-    indexed = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
-    coded = coded.select(
-        "id", "doc", "pos", "key", "check", size.alias("size"), F.slice("codes", F.lit(1), indexed).alias("prefix")
-    )
-    classes = coded.groupBy("key", "check").agg(
-        _first(), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("n")
-    )
-    return classes.select(
+
+def shared_prefixes(coded: DataFrame) -> DataFrame:
+    """Indexed shingles that several classes share, each row with the two leaders of its shingle."""
+    classes = _classes(coded, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    indexed = classes.select(
         F.posexplode("prefix").alias("at", "code"),
         "key",
         F.col("first.id").alias("id"),
@@ -119,6 +116,13 @@ def prefixes(lines: DataFrame, counts: list[int], words: int, threshold: float)
         "size",
         (-F.floor(F.log2("n"))).cast("int").alias("rank"),
     )
+    group = Window.partitionBy("code")
+    return indexed.select(
+        "*",
+        F.count(F.lit(1)).over(group).alias("rows"),
+        F.min(F.struct("id", "pos", "key", "size", "at")).over(group).alias("earliest"),
+        F.min(F.struct("rank", "id", "pos", "key", "size", "at")).over(group).alias("largest"),
+    ).filter("rows > 1")
 
 
 def _may_match(threshold: float) -> Column:
@@ -133,29 +137,26 @@ def _earlier() -> Column:
     return F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
 
 
-def _shingles(norm: str, words: int) -> Column:
-    parts = F.split(norm, " ")
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - words + 1), lambda i: F.array_join(F.slice(parts, i, words), " ")
-        )
-    )
-
-
-def verified(pairs: DataFrame, lines: DataFrame, words: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
     """The keys ``x`` of ``pairs (x, y)`` whose sets have the similarity asked for.
 
-    Only lines whose key falls on a mark of a table of fixed size are read again;
+    Only documents that fall on a mark of a table of fixed size are read again;
     when there are too many candidates for the table to tell, all are.
     """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    mark = F.pmod("key", F.lit(MARKS)).cast("int")
+    places = needed.join(coded.groupBy("key").agg(F.min(F.struct("id", "doc")).alias("first")), "key")
+    places = stored(places.select("key", F.col("first.doc").alias("doc")))
+    mark = F.pmod("doc", F.lit(MARKS)).cast("int")
     marks = [0] * MARKS
-    for row in needed.select(mark.alias("mark")).distinct().collect():
+    for row in places.select(mark.alias("mark")).distinct().collect():
         marks[row["mark"]] = 1
-    texts = lines.select(F.xxhash64("norm").alias("key"), "norm").filter(F.get(_literal(marks), mark) == 1)
-    texts = texts.groupBy("key").agg(F.first("norm").alias("norm")).join(needed, "key", "left_semi")
-    texts = materialize(texts.select("key", _shingles("norm", words).alias("set")))
+    lines = _lines(documents.filter(F.get(_literal(marks), mark) == 1))
+    texts = lines.select("doc", F.xxhash64("words").alias("key"), "words")
+    texts = texts.join(places, ["doc", "key"], "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    parts = F.transform(
+        F.sequence(F.lit(1), F.size("words") - words + 1), lambda i: F.array_join(F.slice("words", i, words), " ")
+    )
+    texts = stored(texts.select("key", F.array_distinct(parts).alias("set")))
     both = pairs.join(texts.select(F.col("key").alias("x"), F.col("set").alias("set_x")), "x")
     both = both.join(texts.select(F.col("key").alias("y"), F.col("set").alias("set_y")), "y")
     shared = F.size(F.array_intersect("set_x", "set_y"))
@@ -163,17 +164,9 @@ def verified(pairs: DataFrame, lines: DataFrame, words: int, threshold: float) -
     return both.filter(shared >= union * threshold - 1e-9).select("x").distinct()
 
 
-def later_matches(lines: DataFrame, words: int, threshold: float) -> DataFrame:
+def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
     """``(key,)`` of the classes that match an earlier line of another class."""
-    group = Window.partitionBy("code")
-    indexed = prefixes(lines, word_counts(lines), words, threshold)
-    indexed = indexed.select(
-        "*",
-        F.count(F.lit(1)).over(group).alias("rows"),
-        F.min(F.struct("id", "pos", "key", "size", "at")).over(group).alias("earliest"),
-        F.min(F.struct("rank", "id", "pos", "key", "size", "at")).over(group).alias("largest"),
-    )
-    shared = materialize(indexed.filter("rows > 1").drop("rows"))
+    shared = stored(shared_prefixes(coded).drop("rows"))
 
     led = shared.select(
         F.struct("id", "pos", "key", "size", "at").alias("x"),
@@ -185,16 +178,16 @@ def later_matches(lines: DataFrame, words: int, threshold: float) -> DataFrame:
         ).alias("y"),
     )
     led = led.filter(_earlier() & _may_match(threshold)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
-    led = materialize(led.distinct())
-    first = materialize(verified(led, lines, words, threshold))
+    led = stored(led.distinct())
+    first = stored(verified(led, documents, coded, words, threshold))
 
     open_lines = shared.select("code", F.struct("id", "pos", "key", "size", "at").alias("x"))
     open_lines = open_lines.join(first.withColumnRenamed("x", "done"), F.col("x.key") == F.col("done"), "left_anti")
     others = shared.select("code", F.struct("id", "pos", "key", "size", "at").alias("y"))
     pairs = open_lines.join(others, "code").filter(_earlier() & _may_match(threshold))
     pairs = pairs.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
-    pairs = materialize(pairs.join(led, ["x", "y"], "left_anti"))
-    rest = verified(pairs, lines, words, threshold)
+    pairs = stored(pairs.join(led, ["x", "y"], "left_anti"))
+    rest = verified(pairs, documents, coded, words, threshold)
     return first.union(rest).select(F.col("x").alias("key")).distinct()
 
 
@@ -208,23 +201,21 @@ def line_dedup(
     """``docs`` without the lines that match an earlier line; adds ``n_lines`` and ``n_removed``.
 
     Lines are split at line feeds and ordered by integer id, then position; null ids
-    come last. Equal lines (case and white space aside) match, and so do lines whose
-    sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` or more,
-    whether or not the earlier line stays. Lines with fewer words (empty ones too)
-    always stay. A null text is empty: one line. Rows that repeat an id and its text
-    count as one document and lose the same lines; a document may lose all its
-    lines and is then an empty text. An empty table gives no rows.
+    come last. Lines of the same words match, and so do lines whose sets of
+    ``words``-word shingles have a Jaccard similarity of ``threshold`` or more,
+    whether or not the earlier line stays. Words lie between ASCII white space. Lines
+    with fewer words (empty ones too) always stay. A null text is empty: one line.
+    Rows that repeat an id and its text count as one document and lose the same
+    lines; a document may lose all its lines and is then an empty text. An empty
+    table gives no rows.
     """
     documents = _documents(docs, id_col, text_col)
-    lines = _lines(documents, words)
-    matched = materialize(later_matches(lines, words, threshold))
-    keyed = lines.select("id", "doc", "pos", *_key("norm"))
-    classes = keyed.groupBy("key", "check").agg(_first(), F.count(F.lit(1)).alias("n"))
+    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("size > 0")
+    matched = stored(later_matches(documents, coded, words, threshold))
     # Classes of one line without a match lose nothing.
-    found = classes.join(matched.withColumn("matched", F.lit(True)), "key", "left").filter("n > 1 or matched")
-    gone = keyed.join(found.drop("n"), ["key", "check"]).filter(
-        F.coalesce("matched", F.lit(False)) | (F.struct("id", "doc", "pos") != F.col("first"))
-    )
+    found = _classes(coded).join(matched.withColumn("matched", F.lit(True)), "key", "left").filter("n > 1 or matched")
+    gone = coded.select("id", "doc", "pos", "key", "check").join(found.drop("n"), ["key", "check"])
+    gone = gone.filter(F.coalesce("matched", F.lit(False)) | (F.struct("id", "doc", "pos") != F.col("first")))
     gone = gone.groupBy("id", "doc").agg(F.collect_set("pos").alias("__gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), "__gone")
 
@@ -234,7 +225,7 @@ def line_dedup(
         "__doc": F.xxhash64(F.col(id_col).cast("bigint"), text),
     }
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(columns).withColumns(keys).join(gone, ["__id", "__doc"], "left")
+    joined = docs.select(columns).withColumns(keys).join(stored(gone).hint("shuffle_hash"), ["__id", "__doc"], "left")
     joined = joined.withColumn("__lines", F.split(text, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm import attention as A
 from sensorframe.llm.bpe import Vocabulary, encode_stretches, ragged
-from sensorframe.session import materialize
+from sensorframe.llm.tables import Shared, stored
 
 CHUNK_CHARS = 8_000_000
 #: One training document in so many is used for the parameters of the model.
@@ -56,9 +56,12 @@ def _number(texts) -> tuple[dict[bytes, int], list[np.ndarray]]:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> tuple[DataFrame, int]:
-    """``(doc_id, text, held_out, chunk)``, and the number of training documents."""
+    """``(doc_id, text, held_out, chunk)``, and the number of training documents.
+
+    Ids travel as text: integers beside nulls would become floats in pandas.
+    """
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("string").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         held_out.alias("held_out"),
     )
@@ -166,7 +169,7 @@ def train_model(rows: DataFrame, vocab, spelling, counts: np.ndarray, share: int
 
     chosen = rows.filter(~F.col("held_out")).withColumn("key", F.xxhash64("doc_id", "text"))
     chosen = chosen.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("key", "text")
-    samples = materialize(chosen.mapInPandas(encode, "key bigint, n bigint, ids binary"))
+    samples = stored(chosen.mapInPandas(encode, "key bigint, n bigint, ids binary"))
     tokens = samples.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(tokens / SHARD_TOKENS))
     params = A.initial(counts)
@@ -175,7 +178,7 @@ def train_model(rows: DataFrame, vocab, spelling, counts: np.ndarray, share: int
     shape = {k: v for k, v in params.items()}
     dealt = samples.withColumn("shard", F.pmod("key", F.lit(shards)))
     for number in range(ROUNDS):
-        now = spark.sparkContext.broadcast(params)
+        now = Shared(spark, params)
 
         def steps(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["key", "n"], kind="stable")
@@ -221,17 +224,17 @@ def score(
     """
     spark = docs.sparkSession
     rows, train_docs = chunked(docs, id_col, text_col, held_out)
-    words = materialize(word_counts(rows))
+    words = stored(word_counts(rows))
     totals = words.agg(
         F.coalesce(F.sum(F.when(F.col("first"), F.col("c"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum((F.col("first") & (F.col("c") > 0)).cast("bigint")), F.lit(0)).alias("v"),
     ).first()
     train_tokens = totals["n"] + train_docs
     distinct = totals["v"] + (train_docs > 0)
-    vocab = spark.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    vocab = Shared(spark, Vocabulary(tokenizer_path))
     values, bounds, counts = model_vocabulary(words, vocab, train_docs)
-    spelling = spark.sparkContext.broadcast((values, bounds))
-    params = spark.sparkContext.broadcast(train_model(rows, vocab, spelling, counts))
+    spelling = Shared(spark, (values, bounds))
+    params = Shared(spark, train_model(rows, vocab, spelling, counts))
     log_all = math.log10(train_tokens + distinct + 1)
 
     def one(docs_of: pd.DataFrame, words_of_chunk: pd.DataFrame) -> pd.DataFrame:
@@ -249,8 +252,8 @@ def score(
         mixed = np.logaddexp(spelled * np.log(10), base[tokens] * np.log(10)) / np.log(10) - np.log10(2)
         return pd.DataFrame(
             {
-                "doc_id": docs_of["doc_id"].to_numpy(),
-                "held_out": docs_of["held_out"].to_numpy(),
+                "doc_id": docs_of["doc_id"],
+                "held_out": docs_of["held_out"],
                 "n_tokens": n,
                 "n_known": np.add.reduceat(known[tokens].astype(np.int64), first),
                 "train_tokens": train_tokens,
@@ -260,10 +263,10 @@ def score(
             }
         )
 
-    kind = docs.schema[id_col].dataType.simpleString()
     schema = (
-        f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
+        "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint,"
         " base_score double, score double, spelling_score double"
     )
     own = words.select("chunk", "word", "c").groupBy("chunk")
-    return rows.groupBy("chunk").cogroup(own).applyInPandas(one, schema)
+    scored = rows.groupBy("chunk").cogroup(own).applyInPandas(one, schema)
+    return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm.components import components
-from sensorframe.session import materialize
+from sensorframe.llm.tables import stored
 
 SEED = 42
 CELL_ROWS = 20_000
@@ -64,16 +64,28 @@ def fingerprint(text: str, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, fp)``: one row per input row; ``fp`` holds the 64 bits as a signed integer."""
+    """``(doc_id, doc, fp)``: one row per input row.
+
+    ``fp`` holds the 64 bits as a signed integer; ``doc`` is a hash of id and text.
+    """
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t or "", size) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "fp": values.astype(np.int64)})
+            values = np.array([fingerprint(t, size) for t in batch["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "doc": batch["doc"], "fp": values.astype(np.int64)})
+
+    # Ids travel as text: integers beside nulls would become floats in pandas.
+    rows = docs.select(
+        F.col(id_col).cast("string").alias("doc_id"),
+        row_key(id_col, text_col).alias("doc"),
+        F.coalesce(text_col, F.lit("")).alias("text"),
+    )
+    found = rows.mapInPandas(run, "doc_id string, doc bigint, fp bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, fp bigint")
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -229,7 +241,7 @@ def links(classes: DataFrame, distance: int, cell_rows: int = CELL_ROWS) -> Data
 
     entered = classes.select("fp").mapInPandas(enter, "cell bigint, fp bigint")
     ordered = entered.repartition("cell").sortWithinPartitions("cell")
-    found = materialize(ordered.mapInPandas(compare, FOUND))
+    found = stored(ordered.mapInPandas(compare, FOUND))
     out = found.filter("cell is null").select("a", "b")
     more = _large_cells(found, distance, cell_rows)
     return out if more is None else out.union(more)
@@ -251,13 +263,40 @@ def near_duplicates(
     other. Null ids are never the smallest, unless all ids of a component are null.
     Repeated rows come back as often. An empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, size))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(classes, distance, cell_rows))
-    grouped = classes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = materialize(grouped.select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
+    rows = stored(fingerprints(docs, id_col, text_col, size))
+    rooted = _rooted(rows, distance, cell_rows, F.min("doc_id"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(rows: DataFrame, distance: int, cell_rows: int, least: Column) -> DataFrame:
+    """``(fp, least, root)`` of every distinct fingerprint."""
+    classes = stored(rows.groupBy("fp").agg(least.alias("least")))
+    roots = components(links(classes, distance, cell_rows))
+    grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return stored(grouped.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def representatives(
+    docs: DataFrame,
+    size: int = 4,
+    distance: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id, columns as they are.
+
+    Null ids come after all others; of rows that repeat an id, the one with the
+    smallest hash of its text stays, and of equal rows one.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col, size))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc"))
+    rooted = _rooted(rows, distance, cell_rows, order)
+    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc").alias("__doc")))
+    marked = docs.withColumn("__doc", row_key(id_col, text_col)).join(kept, "__doc", "left_semi")
+    one = Window.partitionBy("__doc").orderBy("__doc")
+    return marked.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(docs.columns)
