@@ -15,15 +15,11 @@ SALTS = 32
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure ``small`` (reading at most ``max_rows`` + 1 rows) against both bounds."""
-    size = (
-        small.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-        )
-        .first()
-    )
+    """Measure ``small`` against both bounds, by sums that every task makes of its own rows."""
+    size = small.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
+    ).first()
     return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 

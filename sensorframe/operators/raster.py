@@ -50,7 +50,7 @@ def rasterize(
     """Mean of ``color`` (``y`` without one) per pixel of a canvas over the data range.
 
     Columns ``px, py, x_center, y_center, value, n``. Without ``bounds`` they
-    come from a scalar subquery. The result never exceeds the canvas, and the
+    come from a scalar subquery; with them, points outside are left out. The result never exceeds the canvas, and the
     partial aggregation keeps what is shuffled within it per task. ``dense``
     also returns the empty pixels, with a null value.
     """
@@ -62,9 +62,13 @@ def rasterize(
         edge = {k: F.lit(v) for k, v in vars(bounds).items()}
     xs, ys = as_number(points, x), as_number(points, y)
     value = F.col(color or y).cast("double")
+    # Points outside given bounds lie on no pixel; a null axis value lies nowhere.
+    inside = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    if bounds is not None:
+        inside = F.col("_x").between(edge["x_low"], edge["x_high"]) & F.col("_y").between(edge["y_low"], edge["y_high"])
     pixels = (
         points.select(xs.alias("_x"), ys.alias("_y"), value.alias("_value"))
-        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        .where(inside)
         .groupBy(
             _cell(F.col("_x"), edge["x_low"], edge["x_high"], width).alias("px"),
             _cell(F.col("_y"), edge["y_low"], edge["y_high"], height).alias("py"),

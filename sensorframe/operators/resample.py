@@ -30,7 +30,8 @@ from sensorframe.operators.neighbours import with_neighbours
 ONE_SECOND = timedelta(seconds=1)
 ONE_DAY = timedelta(days=1)
 # Ticks expanded as one bucket, ticks whose cells one window may sort, ticks per task,
-# and the widest row (streams times variables) of a merge without aggregation.
+# and the widest row (streams times variables) of a merge without aggregation; a wider
+# one is aggregated, with the same result.
 MIN_BUCKET_TICKS = 4096
 HOME_TICKS = 262_144
 TICKS_PER_TASK = 1_000_000
@@ -162,6 +163,9 @@ def align(
     if suffix and not streams:
         raise ValueError("suffix needs the names of the streams")
     grid = Grid.of(start, end, step)
+    if streams:
+        # Whatever way is taken below, streams that are not named take no part.
+        samples = samples.where(F.col(by).isin(list(streams)))
     runs, numeric, labels = _runs(samples, grid, [by], time, variables, max_gap, duplicates, position, categorical)
     filled, names = max_gap is not None, [*numeric, *labels]
     tick_time = from_micros(grid.time_of(F.col("_tick"))).alias(time)

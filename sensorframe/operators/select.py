@@ -59,7 +59,7 @@ def select_ranges(
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     positions = {"time": "_pos"} if positions is None else dict(positions)
-    wanted = {d: _bounds(r) for d, r in ranges.items() if r is not None}
+    wanted = {d: range_bounds(r) for d, r in ranges.items() if r is not None}
     inside = {d: F.col(d).between(low, high) for d, (low, high) in wanted.items()}
     cut = [d for d in wanted if mode == "reference" and d in positions]
 
@@ -101,7 +101,8 @@ def select_time(
     return select_ranges(df, {time: (start, end)}, mode, by, {time: position}, [time] if ordered else [])
 
 
-def _bounds(pair: tuple) -> tuple[Column, Column]:
+def range_bounds(pair: tuple) -> tuple[Column, Column]:
+    """Both ends of a range as columns."""
     low, high = (pair.start, pair.stop) if isinstance(pair, slice) else pair
     return _bound(low), _bound(high)
 

@@ -22,6 +22,7 @@ from sensorframe.session import materialize
 from sensorframe.sources.samples import read_cruises, write_labels, write_samples, write_sources
 
 TAGS = ("cruise_id", "array_rd")
+FILE_TAG = "source_path"
 # The arrays whose labels are kept, in order of precedence.
 LABEL_ARRAYS = ("RS", "CE")
 
@@ -36,12 +37,14 @@ class CruiseTables:
 def clean_samples(raw: DataFrame, strict: bool = False, only_codes: bool = False) -> DataFrame:
     """Text rows with normalised names and the tags ``cruise_id, array_rd`` to typed rows.
 
-    Narrow throughout (``strict`` adds one aggregate per source).
+    Narrow throughout. ``strict`` adds one aggregate per source file, which the column
+    ``source_path`` names; without that column a cruise counts as one file.
     """
-    rows = require_column(null_sentinels(drop_empty_rows(raw, TAGS), TAGS), "cruise")
+    tags = [*TAGS, FILE_TAG] if FILE_TAG in raw.columns else [*TAGS]
+    rows = require_column(null_sentinels(drop_empty_rows(raw, tags), tags), "cruise")
     rows = parse_times(rows)
     rows = rows.withColumn("station", repair_station(F.col("station"), F.col("array_rd"), only_codes))
-    return cast_measurements(rows, strict, ["cruise_id"])
+    return cast_measurements(rows, strict, [FILE_TAG] if FILE_TAG in tags else ["cruise_id"]).drop(FILE_TAG)
 
 
 def label_map(labels: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def label_map(labels: DataFrame) -> DataFrame:
 def load_cruises(
     spark: SparkSession, sources: DataFrame, strict: bool = False, on_unknown: str = "error"
 ) -> CruiseTables:
-    raw, labels = read_cruises(spark, sources)
+    raw, labels = read_cruises(spark, sources, FILE_TAG if strict else None)
     # Stored once: three readers follow, and each needs only some of the columns.
     samples = materialize(derive_columns(clean_samples(raw, strict), on_unknown))
     profile, discrete = split_samples(samples)

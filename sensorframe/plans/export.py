@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -15,10 +16,10 @@ from sensorframe.operators.ranges import row_index
 from sensorframe.plans.limits import (
     CSV_PART_BYTES,
     FINISHED,
-    MAX_FILES,
     NO_DATA,
     REFUSED,
     SLICE_BYTES,
+    UNKNOWN_FORMAT,
     plan_csv,
     plan_slices,
 )
@@ -56,16 +57,16 @@ def export(
     axes: Mapping[str, str] | None = None,
     time: str = "time",
     part_bytes: int | None = None,
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
 ) -> ExportResult:
     """Write ``df`` in the asked format below ``root`` with a manifest beside it.
 
-    More parts than ``max_files`` are refused with a message. The table is read
-    once to measure it and once to write it.
+    With ``max_files``, more parts than that are refused with a message; without
+    it any size is written. The table is read once to measure it and once to write it.
     """
     chosen = download_format or "netcdf"
     if chosen not in EXPORT_FORMATS:
-        raise ValueError(f"unknown export format '{chosen}'; use one of {', '.join(EXPORT_FORMATS)}")
+        return ExportResult(None, 0, 0, "failed", UNKNOWN_FORMAT.format(kind=chosen))
     if chosen == "netcdf":
         plan = plan_slices(measure(df), part_bytes or SLICE_BYTES, max_files).first()
         kind = "NetCDF"
@@ -83,8 +84,15 @@ def export(
         write_slices(df, f"{path}/data", plan["rows_per_slice"], plan["n_files"], time)
     else:
         write_parts(df, f"{path}/data", chosen, plan["n_files"], time)
-    write_manifest(df.sparkSession, f"{path}/meta", streams, axes or {}, start, end, plan["n_files"], plan["rows"])
-    return ExportResult(path, plan["n_files"], plan["rows"], "completed", FINISHED)
+    n_files = count_files(df.sparkSession, f"{path}/data")
+    write_manifest(df.sparkSession, f"{path}/meta", streams, axes or {}, start, end, n_files, plan["rows"])
+    return ExportResult(path, n_files, plan["rows"], "completed", FINISHED)
+
+
+def count_files(spark, path: str) -> int:
+    """Data files below ``path``; only their names are listed."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+    return listed.load(path).select("path").count()
 
 
 def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "time") -> None:
@@ -93,17 +101,15 @@ def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "
     parts = tied.repartitionByRange(n_files, time, "_tie").sortWithinPartitions(time, "_tie").drop("_tie")
     writer = parts.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+        # Quotes are doubled inside quotes, which is what other readers expect.
+        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
+        writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     else:
         writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(path)
 
 
 def write_slices(df: DataFrame, path: str, rows_per_slice: int, n_files: int, time: str = "time") -> None:
     """Contiguous slices of ``rows_per_slice`` rows in time order, one file each."""
-    if n_files == 1:
-        # Planned only when everything fits one slice; what leads here stays parallel.
-        df.repartition(1).sortWithinPartitions(time).write.mode("overwrite").parquet(f"{path}/slice_id=0")
-        return
     indexed = row_index(df, [time], "_row")
     sliced = indexed.withColumn("slice_id", F.floor(F.col("_row") / F.lit(rows_per_slice)).cast("bigint"))
     placed = sliced.repartition(n_files, "slice_id").sortWithinPartitions("slice_id", "_row").drop("_row")
@@ -119,13 +125,19 @@ def write_manifest(spark, path, streams, axes, start, end, n_files, n_rows) -> N
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(path)
 
 
+def _result_folder(path: str, request_id: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", request_id):
+        raise ValueError("a request id consists of letters, digits, dots, dashes and underscores")
+    return f"{path}/request_id={request_id}"
+
+
 def write_result(df: DataFrame, path: str, request_id: str) -> None:
-    """Store the result of a request under its id; other requests' results stay."""
-    tagged = df.withColumn("request_id", F.lit(request_id))
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("request_id").parquet(path)
+    """Store the result of a request in a folder of its own, with its own columns."""
+    df.write.mode("overwrite").parquet(_result_folder(path, request_id))
 
 
 def read_result(spark, path: str, request_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("request_id") == request_id).drop("request_id")
+    """The result of one request; no other result is listed or read."""
+    return spark.read.parquet(_result_folder(path, request_id))
 
 

@@ -10,20 +10,17 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sensorframe.functions.cftime import bound_column
-from sensorframe.functions.values import size_text
+from sensorframe.functions.values import size_text, value_bytes
 from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
 from sensorframe.operators.select import axis_columns, covers
-from sensorframe.plans.export import ExportResult, export
-from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED, TOO_LARGE
+from sensorframe.plans.export import EXPORT_FORMATS, ExportResult, export
+from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED, TOO_LARGE, UNKNOWN_FORMAT
 from sensorframe.plans.plot import PlotResult, plot
-from sensorframe.plans.requests import MAX_DIMENSION_BYTES, REQUEST_DEFAULTS
+from sensorframe.plans.requests import REQUEST_DEFAULTS
 from sensorframe.session import materialize
 from sensorframe.sources.streams import Stream
 
-TIME_BYTES = 8
-
-
 @dataclass(frozen=True)
 class Prepared:
     """The merged rows of a request, or why there are none."""
@@ -87,15 +84,16 @@ def prepare(
     color: str = "",
     step: timedelta = ONE_SECOND,
     suffix: bool = False,
-    max_dimension_bytes: int = MAX_DIMENSION_BYTES,
+    max_dimension_bytes: int | None = None,
 ) -> Prepared:
-    """Admission, coverage and emptiness checks, then selection and merge.
+    """Admission (only with ``max_dimension_bytes``), coverage and emptiness checks, then selection and merge.
 
     A merge of several streams is stored, as every result reads it more than once.
     """
-    times = time_size(streams)
-    if times["size"] > max_dimension_bytes:
-        return Prepared(None, TOO_LARGE.format(size=times["text"]))
+    if max_dimension_bytes is not None:
+        dimensions = dimension_size(streams)
+        if dimensions["size"] > max_dimension_bytes:
+            return Prepared(None, TOO_LARGE.format(size=dimensions["text"]))
     missing = set(uncovered_streams(streams, start, end))
     matched = _present(select_streams(streams, x, y, color, start, end, "inclusive"))
     unmatched = [name for name in streams if name not in missing and name not in matched]
@@ -112,18 +110,29 @@ def prepare(
     return Prepared(materialize(merged) if len(selected) > 1 else merged)
 
 
-def time_size(streams: Mapping[str, Stream]) -> Row:
-    """``size`` in bytes, and as ``text``, of the time coordinates of whole streams; counting reads no column."""
-    counts = union_by_name([s.base.agg(F.count(F.lit(1)).alias("n")) for s in streams.values()])
-    total = counts.agg((F.sum("n") * TIME_BYTES).alias("size"))
+def dimension_size(streams: Mapping[str, Stream]) -> Row:
+    """``size`` in bytes, and as ``text``, of all dimension coordinates of whole streams; only those columns are read."""
+    sizes = []
+    for stream in streams.values():
+        fields = [f for f in stream.base.schema if f.name in stream.dims]
+        width = sum((value_bytes(f) for f in fields), F.lit(0).cast("bigint"))
+        sizes.append(stream.base.agg(F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("n")))
+    total = union_by_name(sizes).agg(F.sum("n").alias("size"))
     return total.select("size", size_text(F.col("size")).alias("text")).first()
 
 
 def plot_request(
-    streams: Mapping[str, Stream], x: str, y: str, start: str, end: str, color: str = "", **options
+    streams: Mapping[str, Stream],
+    x: str,
+    y: str,
+    start: str,
+    end: str,
+    color: str = "",
+    max_dimension_bytes: int | None = None,
+    **options,
 ) -> PlotResult:
     """``options`` go to ``plot``."""
-    ready = prepare(streams, x, y, start, end, color)
+    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes)
     if ready.merged is None:
         return PlotResult(None, 0, False, ready.msg, ready.status)
     return plot(ready.merged, x, y, color, **options)
@@ -138,18 +147,27 @@ def download_request(
     root: str,
     color: str = "",
     download_format: str = "netcdf",
+    max_dimension_bytes: int | None = None,
     **options,
 ) -> ExportResult:
-    """``options`` go to ``export``."""
-    ready = prepare(streams, x, y, start, end, color)
+    """``options`` go to ``export``. A format that is not on offer fails before anything is read."""
+    if (download_format or "netcdf") not in EXPORT_FORMATS:
+        return ExportResult(None, 0, 0, "failed", UNKNOWN_FORMAT.format(kind=download_format))
+    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes)
     if ready.merged is None:
         return ExportResult(None, 0, 0, ready.status, ready.msg)
     axes = {"x": x, "y": y, "z": color}
     return export(ready.merged, root, start, end, download_format, list(streams), axes, **options)
 
 
-def fetch(request: Mapping, catalog: Mapping[str, Stream], root: str | None = None) -> PlotResult | ExportResult:
-    """Run one request given by its fields; ``catalog`` finds the streams, ``root`` takes downloads."""
+def fetch(
+    request: Mapping, catalog: Mapping[str, Stream], root: str | None = None, **options
+) -> PlotResult | ExportResult:
+    """Run one request given by its fields; ``catalog`` finds the streams, ``root`` takes downloads.
+
+    Limits are the caller's choice: ``max_dimension_bytes`` for both kinds, ``shade_threshold``
+    for plots, ``max_files`` and ``part_bytes`` for downloads.
+    """
     fields = {**REQUEST_DEFAULTS, **request}
     names = list(dict.fromkeys(fields["ref"].split(",")))
     unknown = [n for n in names if n not in catalog]
@@ -158,7 +176,7 @@ def fetch(request: Mapping, catalog: Mapping[str, Stream], root: str | None = No
     streams = {n: catalog[n] for n in names}
     where = (streams, fields["x"], fields["y"], fields["start_dt"], fields["end_dt"])
     if not fields["download"]:
-        return plot_request(*where, fields["color"])
+        return plot_request(*where, fields["color"], **options)
     if root is None:
         raise ValueError("a download needs a folder to write to")
-    return download_request(*where, root, fields["color"], fields["download_format"])
+    return download_request(*where, root, fields["color"], fields["download_format"], **options)

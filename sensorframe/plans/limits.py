@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Part sizes in bytes (decimal megabytes) and the most files of one export.
+# Part sizes in bytes (decimal megabytes), and the most files of an export where a caller asks for a limit.
 SLICE_BYTES = 100_000_000
 CSV_PART_BYTES = 10_000_000
 MAX_FILES = 50
@@ -16,6 +16,7 @@ NO_DATA = "No data found for {start} to {end}"
 TOO_LARGE = "Max dimension size of {size} is too large at this time"
 NOT_COVERED = "One of the dataset does not contain data."
 EMPTY_STREAMS = "Empty data stream(s) found: {streams}."
+UNKNOWN_FORMAT = "Request failed: unknown format {kind}"
 MERGED_EMPTY = "Merged dataset does not contain data."
 REFUSED = "The amount of data to be downloaded is too large for {kind} data format. Please make a smaller request."
 
@@ -36,17 +37,25 @@ def slice_count(rows: Column, size: Column, slice_bytes: int | None = None) -> C
 
 
 def plan_slices(
-    sizes: DataFrame, slice_bytes: int = SLICE_BYTES, max_files: int = MAX_FILES, rows: str = "rows", size: str = "size"
+    sizes: DataFrame,
+    slice_bytes: int = SLICE_BYTES,
+    max_files: int | None = None,
+    rows: str = "rows",
+    size: str = "size",
 ) -> DataFrame:
-    """Add ``rows_per_slice``, ``n_files``, ``allowed`` and ``layout`` to a table of export sizes."""
+    """Add ``rows_per_slice``, ``n_files``, ``allowed`` and ``layout``; nothing is refused without ``max_files``."""
     planned = sizes.withColumn("rows_per_slice", rows_per_slice(F.col(rows), F.col(size), slice_bytes))
     planned = planned.withColumn("n_files", F.ceil(F.col(rows) / F.col("rows_per_slice")).cast("bigint"))
     layout = (
-        F.when(F.col("n_files") > max_files, F.lit("refused"))
+        F.when(~_allowed(max_files), F.lit("refused"))
         .when(F.col("n_files") == 1, F.lit("file"))
         .otherwise(F.lit("folder"))
     )
-    return planned.withColumns({"allowed": F.col("n_files") <= max_files, "layout": layout})
+    return planned.withColumns({"allowed": _allowed(max_files), "layout": layout})
+
+
+def _allowed(max_files: int | None) -> Column:
+    return F.lit(True) if max_files is None else F.coalesce(F.col("n_files") <= max_files, F.lit(True))
 
 
 def slice_bounds(planned: DataFrame, rows: str = "rows") -> DataFrame:
@@ -63,9 +72,9 @@ def slice_bounds(planned: DataFrame, rows: str = "rows") -> DataFrame:
 
 
 def plan_csv(
-    sizes: DataFrame, part_bytes: int = CSV_PART_BYTES, max_files: int = MAX_FILES, size: str = "size"
+    sizes: DataFrame, part_bytes: int = CSV_PART_BYTES, max_files: int | None = None, size: str = "size"
 ) -> DataFrame:
-    """Add ``n_files``, ``allowed`` and ``msg`` to a table of export sizes."""
+    """Add ``n_files``, ``allowed`` and ``msg``; nothing is refused without ``max_files``."""
     planned = sizes.withColumn("n_files", csv_parts(F.col(size), part_bytes))
-    allowed = F.col("n_files") <= max_files
+    allowed = _allowed(max_files)
     return planned.withColumns({"allowed": allowed, "msg": F.when(~allowed, F.lit(REFUSED.format(kind="CSV")))})

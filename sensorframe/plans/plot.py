@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.operators.raster import CANVAS, SHADE_THRESHOLD, Bounds, bounds_struct, rasterize
+from sensorframe.operators.raster import CANVAS, Bounds, bounds_struct, rasterize
 from sensorframe.operators.select import plot_points, swap_key
 from sensorframe.plans.limits import FINISHED, MERGED_EMPTY
 
@@ -28,10 +28,10 @@ def plot(
     x: str,
     y: str,
     color: str = "",
-    shade_threshold: int = SHADE_THRESHOLD,
+    shade_threshold: int | None = None,
     canvas: tuple[int, int] = CANVAS,
 ) -> PlotResult:
-    """Points up to ``shade_threshold`` rows, a mean raster above it.
+    """Points, or with ``shade_threshold`` a mean raster above that many rows.
 
     One pass measures rows and axis ranges; they are the only values that come
     to the driver.
@@ -41,20 +41,20 @@ def plot(
     count = found["n"]
     if count == 0:
         return PlotResult(None, 0, False, MERGED_EMPTY)
-    if count <= shade_threshold:
+    if shade_threshold is None or count <= shade_threshold:
         return PlotResult(plot_points(table, x, y, color), count, False, FINISHED)
     bounds = Bounds(**found["bounds"].asDict())
     pixels = rasterize(table, x, y, color or None, canvas, bounds)
     return PlotResult(pixels.withColumnRenamed("value", color or y), count, True, FINISHED)
 
 
-def column_lists(result: PlotResult, limit: int = SHADE_THRESHOLD) -> DataFrame:
-    """A small result as one row of lists, in the order of its first column.
+def column_lists(result: PlotResult, limit: int | None = None) -> DataFrame:
+    """A result as one row of lists, in the order of its columns.
 
-    Refused above ``limit`` rows, as the lists are built in one task.
+    One row is one value, so the lists are built in one task; ``limit`` refuses
+    results with more rows than the caller wants to hold.
     """
-    rows = result.data.limit(limit + 1).count()
-    if rows > limit:
+    if limit is not None and result.data.count() > limit:
         raise ValueError(f"result has more than {limit} rows")
     names = result.data.columns
     packed = result.data.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("p"))

@@ -10,7 +10,8 @@ from sensorframe.functions.cftime import bound_column, parse_datetime, to_micros
 from sensorframe.functions.values import fingerprint, size_text
 from sensorframe.operators.joins import fits_broadcast, join_on_keys, sized_join
 from sensorframe.operators.select import axis_columns_of, coverage, stream_extents
-from sensorframe.plans.limits import FINISHED, MAX_FILES, NO_DATA, REFUSED, csv_parts, slice_count
+from sensorframe.plans.export import EXPORT_FORMATS
+from sensorframe.plans.limits import FINISHED, NO_DATA, REFUSED, csv_parts, slice_count
 
 REQUEST_SCHEMA = T.StructType(
     [
@@ -25,10 +26,9 @@ REQUEST_SCHEMA = T.StructType(
         T.StructField("download", T.BooleanType(), True),
     ]
 )
-# What a request leaves out, the dimension limit, the export formats.
+# What a request leaves out, and the dimension limit where a caller asks for one.
 REQUEST_DEFAULTS = {"z": "", "color": "", "download_format": "netcdf", "download": False}
 MAX_DIMENSION_BYTES = 15 * 1024**3
-FORMATS = ("csv", "json", "netcdf")
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
@@ -76,18 +76,22 @@ def stream_sizes(expanded: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def request_totals(sizes: DataFrame, max_dimension_bytes: int = MAX_DIMENSION_BYTES) -> DataFrame:
-    """Per request the summed sizes, a readable message and the admission check."""
+def request_totals(sizes: DataFrame, max_dimension_bytes: int | None = None) -> DataFrame:
+    """Per request the summed sizes, a readable message and the admission check (if there is a limit)."""
     totals = sizes.groupBy("request_id").agg(
         F.sum("total_size").alias("total_size"), F.sum("total_dim_size").alias("total_dim_size")
     )
     return totals.select(
         "*",
         F.concat(F.lit("Max data request: "), size_text(F.col("total_size"))).alias("msg"),
-        (F.col("total_dim_size") <= max_dimension_bytes).alias("admitted"),
+        (~_too_large(max_dimension_bytes)).alias("admitted"),
     )
 
 
+def _too_large(max_dimension_bytes: int | None) -> Column:
+    return F.lit(False) if max_dimension_bytes is None else F.col("total_dim_size") > max_dimension_bytes
+
+
 def selected_rows(
     expanded: DataFrame,
     samples: DataFrame,
@@ -128,12 +132,14 @@ def request_outcomes(
     samples: DataFrame,
     manifest: DataFrame,
     time_ordered: bool = False,
-    max_dimension_bytes: int = MAX_DIMENSION_BYTES,
-    max_files: int = MAX_FILES,
+    max_dimension_bytes: int | None = None,
+    max_files: int | None = None,
     part_bytes: dict[str, int] | None = None,
 ) -> DataFrame:
     """What becomes of every request of a batch; the first rule that applies decides.
 
+    Requests are refused for their size only where a limit is given.
+
     ``requests`` carries ``request_id`` (see ``with_request_id``).
     """
     expanded = expand_requests(requests)
@@ -171,7 +177,7 @@ def request_outcomes(
     return _classify(sized, max_dimension_bytes, max_files, part_bytes or {})
 
 
-def _classify(sized: DataFrame, max_dimension_bytes: int, max_files: int, part_bytes: dict[str, int]) -> DataFrame:
+def _classify(sized: DataFrame, max_dimension_bytes: int | None, max_files: int | None, part_bytes: dict[str, int]) -> DataFrame:
     chosen = F.when(F.coalesce("download_format", F.lit("")) == "", F.lit("netcdf")).otherwise(F.col("download_format"))
     n, size = F.col("merged_rows"), F.col("merged_bytes")
     files = (
@@ -179,16 +185,17 @@ def _classify(sized: DataFrame, max_dimension_bytes: int, max_files: int, part_b
         .when(chosen == "netcdf", slice_count(n, size, part_bytes.get("netcdf")))
         .when(chosen.isin("csv", "json"), csv_parts(size, part_bytes.get("csv")))
     )
+    too_many = F.lit(False) if max_files is None else F.col("n_files") > max_files
     ladder = [
         (F.col("unknown"), "failed", "unknown stream"),
         (F.col("undated"), "failed", "unreadable time"),
-        (F.col("total_dim_size") > max_dimension_bytes, "no data", "too large"),
+        (_too_large(max_dimension_bytes), "no data", "too large"),
         (F.col("unmatched"), "failed", "no matching rows"),
         (F.col("uncovered"), "no data", "not covered"),
         (F.col("empty_streams") != "", "no data", "empty streams"),
         (F.col("merged_rows") == 0, "no data", "merged empty"),
-        (F.col("download") & (F.col("n_files") > max_files), "refused", "too many files"),
-        (F.col("download") & ~F.col("format").isin(*FORMATS), "failed", "unknown format"),
+        (F.col("download") & too_many, "refused", "too many files"),
+        (F.col("download") & ~F.col("format").isin(*EXPORT_FORMATS), "failed", "unknown format"),
         (F.col("download"), "file", "download"),
         (F.lit(True), "plot", "plot"),
     ]

@@ -85,6 +85,25 @@ def time_parsing(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_datetime(text).alias("time"))
 
 
+def time_forms(spark, sf_dir):
+    """One minute of every order, in the forms of spreadsheets."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    t = F.timestamp_add("MINUTE", F.pmod(k, F.lit(1440)).cast("int"), day)
+    forms = [
+        "M/d/yy H:mm",
+        "d-MMM-yyyy H:mm",
+        "M/d/yyyy h:mm a",
+        "yyyy-MM-dd hh:mm a",
+        "d MMM yyyy H:mm",
+        "yyyyMMdd HH:mm:ss",
+        "MMMM d, yyyy",
+    ]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(k % 7 == i, F.date_format(t, form)).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse_datetime(text).alias("time"))
+
+
 def area_of_station(spark, sf_dir):
     rows = raw_samples(spark, sf_dir).select("array_rd", "station")
     fixed = rows.withColumn("station", repair_station(F.col("station"), F.col("array_rd")))
@@ -247,6 +266,7 @@ QUERIES = {
     "strict_cast": strict_cast,
     "sentinel_nulls": sentinel_nulls,
     "time_parsing": time_parsing,
+    "time_forms": time_forms,
     "station_area": area_of_station,
     "station_code_repair": code_repair,
     "year_months": order_months,
@@ -304,6 +324,10 @@ ORACLES = {
   SELECT * FROM (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS amount,
                         CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name FROM customer WHERE c_custkey % 4 <> 0)
   WHERE amount IS NOT NULL OR name IS NOT NULL""",
+    "time_forms": """
+  SELECT o_orderkey, date_trunc('day', o_orderdate)
+         + CASE WHEN o_orderkey % 7 = 6 THEN INTERVAL 0 MINUTE ELSE to_minutes(o_orderkey % 1440) END AS time
+  FROM orders""",
     "time_parsing": """
   SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN o_orderdate + to_seconds(o_orderkey) END AS time FROM orders""",
     "station_area": f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions.values import size_text
 from sensorframe.operators.select import coverage, empty_streams, stream_extents
-from sensorframe.plans.export import export, measure, read_result, write_result
+from sensorframe.plans.export import count_files, export, measure, read_result, write_result
 from sensorframe.plans.limits import plan_csv, plan_slices, slice_bounds
 from sensorframe.plans.requests import (
     dedupe_requests,
@@ -151,6 +151,23 @@ def csv_roundtrip(spark, sf_dir):
     return read.csv(f"{done.path}/data")
 
 
+def _noted_events(spark, sf_dir):
+    """Events with a text of quotes, commas and line breaks."""
+    note = F.concat(F.lit('he said "'), "props", F.lit('", then\n'), "event_type")
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("ts").cast("timestamp_ntz").alias("time"), "event_id", note.alias("note"))
+
+
+def csv_quoted_roundtrip(spark, sf_dir):
+    """Text that needs quoting, out and in again; beside it whether the number of files is the reported one."""
+    rows = _noted_events(spark, sf_dir)
+    done = export(rows, _folder(spark, "quoted"), "2024-01-01", "2024-02-01", "csv", part_bytes=100_000)
+    read = spark.read.schema(rows.schema).option("header", True).option("multiLine", True)
+    read = read.option("quote", '"').option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    listed = count_files(spark, f"{done.path}/data")
+    return read.csv(f"{done.path}/data").withColumn("files_agree", F.lit(listed == done.n_files))
+
+
 def json_roundtrip(spark, sf_dir):
     done = _export(spark, sf_dir, "json", "json")
     schema = _timed_lines(spark, sf_dir).schema
@@ -190,6 +207,15 @@ def stored_results(spark, sf_dir):
     return read_result(spark, root, "first").unionByName(read_result(spark, root, "second"))
 
 
+def stored_results_mixed(spark, sf_dir):
+    """Results with different columns; each one comes back with its own."""
+    root = _folder(spark, "mixed")
+    events = event_streams(spark, sf_dir)
+    write_result(events.where(F.col("stream") == "click").select("time", "value"), root, "first")
+    write_result(events.where(F.col("stream") == "view").select("time", "user_id"), root, "second")
+    return read_result(spark, root, "second")
+
+
 def stored_stream(spark, sf_dir):
     """A stream written in day folders, opened by name and cut by time."""
     root = _folder(spark, "streams")
@@ -200,7 +226,7 @@ def stored_stream(spark, sf_dir):
 
 
 def json_records(spark, sf_dir):
-    return to_records(table(spark, sf_dir, "customer").drop("c_acctbal"))
+    return to_records(table(spark, sf_dir, "customer"))
 
 
 QUERIES = {
@@ -218,10 +244,12 @@ QUERIES = {
     "csv_part_plan": csv_part_plan,
     "table_sizes": table_sizes,
     "csv_roundtrip": csv_roundtrip,
+    "csv_quoted_roundtrip": csv_quoted_roundtrip,
     "json_roundtrip": json_roundtrip,
     "sliced_roundtrip": sliced_roundtrip,
     "export_manifest": export_manifest,
     "stored_results": stored_results,
+    "stored_results_mixed": stored_results_mixed,
     "stored_stream": stored_stream,
     "json_records": json_records,
 }
@@ -342,6 +370,9 @@ ORACLES = {
     UNION ALL SELECT 'region', count(*), CAST(sum(4 + strlen(r_name)) AS BIGINT) FROM region
     UNION ALL SELECT 'embeddings', count(*), CAST(sum(12 + 4 * len(embedding)) AS BIGINT) FROM embeddings)""",
     "csv_roundtrip": _LINE_TABLE,
+    "csv_quoted_roundtrip": """
+  SELECT ts AS time, event_id, 'he said "' || props || '", then' || chr(10) || event_type AS note, true AS files_agree
+  FROM events""",
     "json_roundtrip": _LINE_TABLE,
     "sliced_roundtrip": f"""
   WITH {_LINE_PLAN},
@@ -352,6 +383,7 @@ ORACLES = {
   WITH {_LINE_PLAN}
   SELECT 'lineitem' AS streams, 'time' AS x, 'l_quantity' AS y, '1995-01-01' AS start_datetime,
          '2003-01-01' AS end_datetime, CAST(ceil(n / step) AS BIGINT) AS n_files, n AS n_rows FROM plan""",
+    "stored_results_mixed": "SELECT ts AS time, user_id FROM events WHERE event_type = 'view'",
     "stored_results": """
   SELECT event_type AS stream, ts AS time, value, user_id, event_id AS _pos FROM events""",
     "stored_stream": """
@@ -360,6 +392,7 @@ ORACLES = {
   SELECT ts AS time, value, event_id AS _pos FROM events, b
   WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 06:00:00' AND event_id < z""",
     "json_records": """
-  SELECT CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_mktsegment: c_mktsegment})
+  SELECT CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_acctbal: c_acctbal,
+                       c_mktsegment: c_mktsegment})
               AS VARCHAR) AS record FROM customer""",
 }

@@ -13,7 +13,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import compact_time, decode_time, encode_time, time_text, to_micros
+from sensorframe.functions.cftime import compact_time, decode_time, encode_time, time_text, to_micros, whole_hour
 from sensorframe.functions.values import nans_to_null
 from sensorframe.operators.asof import asof_join
 from sensorframe.operators.flatten import flatten_arrays
@@ -78,7 +78,7 @@ def two_stream_download(spark, sf_dir):
     }
     done = fetch(request, streams, f"{shared_folder(spark)}/sensorframe-fetch-{uuid.uuid4().hex}")
     data = spark.read.parquet(f"{done.path}/data")
-    hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz").alias("hour")
+    hour = whole_hour(F.col("time")).alias("hour")
     return data.groupBy(hour).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("click"), 6).alias("click"),
@@ -164,6 +164,18 @@ def flatten_spectra(spark, sf_dir):
     return flatten_arrays(table(spark, sf_dir, "embeddings"), ["embedding"], "wavelength")
 
 
+def flatten_nulls(spark, sf_dir):
+    """Two arrays of a dimension, some null, some empty, of unequal lengths."""
+    v, whole = F.col("vec_id"), F.col("embedding")
+    none = F.array().cast("array<float>")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(v % 5 == 0, F.lit(None)).when(v % 5 == 1, none).otherwise(F.slice(whole, 1, 4)).alias("a"),
+        F.when(v % 3 != 0, F.slice(whole, 1, 2)).alias("b"),
+    )
+    return flatten_arrays(rows)
+
+
 def ticks(spark, sf_dir):
     span = event_streams(spark, sf_dir).agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
     return grid_ticks(spark, span["a"], span["b"], timedelta(minutes=1))
@@ -202,7 +214,7 @@ def align_merge(spark, sf_dir):
     """Five streams on one 1-second grid, merged; shown as hourly means and counts."""
     rows = event_streams(spark, sf_dir).drop("_pos", "user_id")
     merged = align(rows, START, END, duplicates="unique", streams=STREAMS, suffix=True)
-    hour = F.date_trunc("hour", F.col("time")).cast("timestamp_ntz").alias("hour")
+    hour = whole_hour(F.col("time")).alias("hour")
     return merged.groupBy(hour).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(f"value_{s}").alias(f"n_{s}") for s in STREAMS],
@@ -215,7 +227,7 @@ def _rounded(df, *names):
 
 
 def _hourly(spark, sf_dir, only, **aggs):
-    rows = event_streams(spark, sf_dir).withColumn("time", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    rows = event_streams(spark, sf_dir).withColumn("time", whole_hour(F.col("time")))
     if only:
         rows = rows.where(F.col("stream") == only)
     return rows.groupBy("time").agg(*[c.alias(n) for n, c in aggs.items()])
@@ -264,6 +276,14 @@ def raster_mean(spark, sf_dir):
     return _rounded(rasterize(event_streams(spark, sf_dir), "time", "value"), "y_center", "value")
 
 
+def plot_raster(spark, sf_dir):
+    """A plot request that asks for a raster above a number of rows."""
+    click = split_stream(event_streams(spark, sf_dir), "click", time_ordered=True)
+    ranges = "2024-01-03", "2024-01-28 06:00:00"
+    found = plot_request({"click": click}, "time", "value", *ranges, shade_threshold=100)
+    return _rounded(found.data, "y_center", "value")
+
+
 def raster_color(spark, sf_dir):
     return _rounded(rasterize(event_streams(spark, sf_dir), "time", "value", "user_id"), "y_center", "value")
 
@@ -369,6 +389,7 @@ QUERIES = {
     "dim_range_select": dim_range_select,
     "spectra_range_select": spectra_range_select,
     "flatten_spectra": flatten_spectra,
+    "flatten_nulls": flatten_nulls,
     "grid_ticks": ticks,
     "interp_linear": interp_linear,
     "gap_fill_short": gap_fill_short,
@@ -382,6 +403,7 @@ QUERIES = {
     "asof_nearest": _asof("nearest"),
     "asof_by_stream": asof_by_stream,
     "raster_mean": raster_mean,
+    "plot_raster": plot_raster,
     "raster_color": raster_color,
     "raster_dense": raster_dense,
     "points_plot": points_plot,
@@ -451,6 +473,10 @@ def _raster_sql(source: str, x: str, y: str, v: str, w: int, h: int, x_out: str)
          round(value, 6) AS value, n"""
 
 
+# The positional cut leaves out the last matching row.
+_CLICK_CUT = """(SELECT * FROM events WHERE event_type = 'click'
+         AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28 06:00:00'
+         QUALIFY row_number() OVER (ORDER BY ts DESC) > 1)"""
 _TIME_CENTER = "make_timestamp(CAST(round(x0 + (px + 0.5::DOUBLE) * (x1 - x0) / 888) AS BIGINT))"
 
 
@@ -533,6 +559,12 @@ ORACLES = {
     "flatten_spectra": f"""
   SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS wavelength, embedding[i] AS embedding
   FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM ({_SPECTRA}))""",
+    "flatten_nulls": """
+  WITH r AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 5 = 1 THEN [] ELSE embedding[1:4] END AS x,
+                    CASE WHEN vec_id % 3 <> 0 THEN embedding[1:2] END AS y FROM embeddings),
+  n AS (SELECT *, greatest(coalesce(len(x), 0), coalesce(len(y), 0)) AS m FROM r)
+  SELECT vec_id, CASE WHEN m > 0 THEN CAST(i AS INTEGER) END AS index, x[i + 1] AS a, y[i + 1] AS b
+  FROM (SELECT *, unnest(range(0, greatest(m, 1))) AS i FROM n)""",
     "grid_ticks": """
   SELECT make_timestamp(unnest(range(epoch_us(a), epoch_us(b), 60000000))) AS time
   FROM (SELECT min(ts) AS a, max(ts) AS b FROM events)""",
@@ -582,6 +614,7 @@ ORACLES = {
   SELECT o_orderkey, due, stream,
          CASE WHEN abs(epoch_us(due) - epoch_us(mt)) <= 1800000000 THEN mt END AS matched_time,
          CASE WHEN abs(epoch_us(due) - epoch_us(mt)) <= 1800000000 THEN mv END AS value FROM c""",
+    "plot_raster": _raster_sql(_CLICK_CUT, "epoch_us(ts)", "value", "value", 888, 450, _TIME_CENTER) + " FROM g, b",
     "raster_mean": _raster_sql("events", "epoch_us(ts)", "value", "value", 888, 450, _TIME_CENTER) + " FROM g, b",
     "raster_color": _raster_sql("events", "epoch_us(ts)", "value", "user_id", 888, 450, _TIME_CENTER) + " FROM g, b",
     "raster_dense": f"""

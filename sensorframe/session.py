@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def build_session(app: str = "sensorframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -36,20 +33,12 @@ def build_session(app: str = "sensorframe", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder of this application's tables: below ``spark.checkpoint.dir``, else below the warehouse.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost together with its executor.
+    Both are folders that all machines of a cluster share. ``release`` removes it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="sensorframe-")
-    return _local_folders[app]
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/sensorframe-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -59,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     physical plan (partition ids), and keeps column pruning for later reads.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sensorframe-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables this application wrote to the shared folder.
+
+    For the owner of the session, once results were read: a DataFrame that still
+    reads one of the tables fails afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

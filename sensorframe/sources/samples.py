@@ -22,12 +22,19 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
 
 
 def read_text_csv(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """CSV with a header, every column text, empty cells and the missing-data marker as null."""
+    """CSV with a header, every column text, empty cells and the missing-data marker as null.
+
+    Quotes are doubled inside quotes, and quoted cells may hold commas and line breaks;
+    a file is therefore read in one piece.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     return (
         spark.read.schema(_text_schema(names))
         .option("header", True)
         .option("enforceSchema", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", True)
         .option("nullValue", SENTINEL_TEXT[0])
         .csv(paths)
     )
@@ -58,16 +65,20 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
     first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "order").alias("line"))
     cells = F.split(F.regexp_replace("line", "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    unquoted = F.transform(cells, lambda c: F.regexp_replace(F.trim(c), r'^"|"$', ""))
+    unquoted = F.transform(
+        cells, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
+    )
     return first.select("file", F.posexplode(unquoted).alias("position", "header"))
 
 
-def read_cruises(spark: SparkSession, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_cruises(
+    spark: SparkSession, sources: DataFrame, file_column: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """All files of a source list (``cruise_id, array_rd, summary_url``) as (samples, labels).
 
     Files are grouped by header set: one scan per set, whatever the number of
-    files. Rows get ``cruise_id`` and ``array_rd`` from their source. Labels
-    carry ``array_rd`` and ``source_order`` (the place in the list).
+    files. Rows get ``cruise_id`` and ``array_rd`` from their source, and the path of
+    their file in ``file_column`` if that is named. Labels carry ``array_rd`` and ``source_order`` (the place in the list).
     """
     listed = number_sources(sources).select(
         plain_path(F.col("summary_url")).alias("file"), "cruise_id", "array_rd", "source_order", "summary_url"
@@ -92,7 +103,8 @@ def read_cruises(spark: SparkSession, sources: DataFrame) -> tuple[DataFrame, Da
         table = read_text_csv(spark, [by_plain[f] for f in sorted(files)], names)
         tables.append(table.withColumn("file", read_path()))
     rows = union_by_name(tables)
-    samples = sized_join(rows, listed.select("file", "cruise_id", "array_rd"), ["file"]).drop("file")
+    samples = sized_join(rows, listed.select("file", "cruise_id", "array_rd"), ["file"])
+    samples = samples.withColumnRenamed("file", file_column) if file_column else samples.drop("file")
     labels = headers.join(listed.select("file", "array_rd", "source_order"), "file")
     return samples, labels.select("array_rd", "source_order", *LABEL_COLUMNS)
 

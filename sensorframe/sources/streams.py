@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.values import fixed_width, nans_to_null, value_bytes
-from sensorframe.operators.select import check_dimensions, project, select_ranges
+from sensorframe.operators.select import check_dimensions, project, range_bounds, select_ranges
+
+DAY = "stream_day"
 
 
 @dataclass(frozen=True)
@@ -23,18 +25,30 @@ class Stream:
     attrs: Mapping[str, str] = field(default_factory=dict)
     time_ordered: bool = False
     current: DataFrame | None = None
+    #: Column of day folders, if the table lies in some.
+    day: str | None = None
 
     @property
     def df(self) -> DataFrame:
-        return self.base if self.current is None else self.current
+        """The current rows, without the column that names their folder."""
+        return self._rows().drop(self.day) if self.day else self._rows()
 
     def project(self, names: Sequence[str]) -> Stream:
-        return replace(self, current=project(self.df, names, keep=("_pos",)))
+        hidden = ("_pos", self.day) if self.day else ("_pos",)
+        return replace(self, current=project(self._rows(), names, keep=hidden))
 
     def select(self, mode: str = "reference", **ranges) -> Stream:
         check_dimensions(list(ranges), self.dims)
         ordered = ["time"] if self.time_ordered else []
-        return replace(self, current=select_ranges(self.df, ranges, mode, ordered=ordered))
+        rows = self._rows()
+        if self.day and self.time_ordered and ranges.get("time") is not None:
+            # The days of the range prune the folders before any file is opened.
+            low, high = (F.to_date(b) for b in range_bounds(ranges["time"]))
+            rows = rows.where(F.col(self.day).between(low, high))
+        return replace(self, current=select_ranges(rows, ranges, mode, ordered=ordered))
+
+    def _rows(self) -> DataFrame:
+        return self.base if self.current is None else self.current
 
     def reset(self) -> Stream:
         return replace(self, current=None)
@@ -54,7 +68,8 @@ def open_stream(
 ) -> Stream:
     """A stream stored as a Parquet table under ``root``, NaN read as null."""
     table = nans_to_null(spark.read.parquet(f"{root}/{name}"))
-    return Stream(name, table, tuple(dims), dict(attrs or {}), time_ordered)
+    day = DAY if DAY in table.columns else None
+    return Stream(name, table, tuple(dims), dict(attrs or {}), time_ordered, day=day)
 
 
 def write_stream(samples: DataFrame, root: str, name: str, time: str = "time") -> None:
@@ -63,9 +78,9 @@ def write_stream(samples: DataFrame, root: str, name: str, time: str = "time") -
     Range partitions keep the number of files per day small and cut a day with
     many samples into several; ties are split by input position.
     """
-    days = samples.withColumn("day", F.to_date(time)).withColumn("_tie", F.monotonically_increasing_id())
-    placed = days.repartitionByRange("day", time, "_tie").sortWithinPartitions("day", time, "_tie").drop("_tie")
-    placed.write.mode("overwrite").partitionBy("day").parquet(f"{root}/{name}")
+    days = samples.withColumn(DAY, F.to_date(time)).withColumn("_tie", F.monotonically_increasing_id())
+    placed = days.repartitionByRange(DAY, time, "_tie").sortWithinPartitions(DAY, time, "_tie").drop("_tie")
+    placed.write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/{name}")
 
 
 def split_stream(samples: DataFrame, stream: str, tag: str = "stream", **handle) -> Stream:

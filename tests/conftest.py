@@ -6,13 +6,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sensorframe.session import build_session  # noqa: E402
+from sensorframe.session import build_session, release  # noqa: E402
 
 ZERO = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -20,9 +20,11 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")
