@@ -112,7 +112,8 @@ def _seeds(items: DataFrame, masks: tuple[str, ...], min_words: int) -> DataFram
                 for mask in masks if len(hashes) >= min_words else ("1" * len(hashes),):
                     found = seed_hashes(hashes, mask)
                     out.append(pd.DataFrame({"hash": found.astype(np.int64), "item": item, "item_pos": np.arange(len(found))}))
-            yield pd.concat(out) if out else pd.DataFrame({"hash": [], "item": [], "item_pos": []}, dtype="int64")
+            if out:
+                yield pd.concat(out)
 
     return items.select("item", "words").mapInPandas(run, "hash bigint, item bigint, item_pos bigint")
 
@@ -167,7 +168,8 @@ def _passages(docs: DataFrame, table, masks: tuple[str, ...], longest: int) -> D
                     out["words"].append([w.decode() for w in words[first:last]])
                     out["hash"].append(found[part].astype(np.int64))
                     out["pos"].append(at[part])
-            yield pd.DataFrame(out)
+            if out["doc"]:
+                yield pd.DataFrame(out)
 
     return docs.mapInPandas(
         run, "doc_id string, doc bigint, start bigint, words array<string>, hash array<bigint>, pos array<bigint>"

@@ -4,8 +4,7 @@ A line is the set of its five-word shingles. Lines of one document or of several
 match when the Jaccard similarity of their sets is ``threshold`` or more, and a
 line with an earlier match goes.
 
-1. Lines of the same words in the same order form a class with one representative,
-   its first line, so a line that a third of the corpus shares is one row from here on.
+1. Lines of the same text form a class with one representative, its first line, so a line that a third of the corpus shares is one row from here on.
 2. The shingles of a representative are ordered by rarity (the corpus counts of
    their words, kept in a table of fixed size), and only the first
    ``n - ceil(t * n) + 1`` are indexed (prefix filter): two sets that match share one.
@@ -33,7 +32,6 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 14
 MARKS = 1 << 16
 LAST = (1 << 63) - 1
-WHITE = r"[\x20\x09-\x0D]+"
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,9 +44,15 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """``(id, doc, pos, words)``: the words of every line."""
+    """``(id, doc, pos, line, key, check)``: every line; two hashes of its text name its class."""
     rows = documents.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("id", "doc", "pos", F.array_remove(F.split("line", WHITE), "").alias("words"))
+    return rows.select("id", "doc", "pos", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("check"))
+
+
+def _words(line: str) -> Column:
+    """Words between ASCII white space; a split at single spaces is the fast one."""
+    plain = F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(F.col(line))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _literal(values: list[int]) -> Column:
@@ -70,34 +74,30 @@ def word_counts(documents: DataFrame) -> list[int]:
 def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
     """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
 
-    A shingle is a number: the upper bits tell how frequent its rarest word is, the
-    lower ones are a hash. Numeric order is thus the order of rarity. ``key`` and
-    ``check`` are two hashes of the words of the line. Lines with fewer words than a
-    shingle have size 0 (a filter here would split every line twice).
+    A shingle is a number: the upper bits tell how frequent its first word is, the
+    lower ones are a hash. Numeric order is thus an order of rarity. Lines with fewer
+    words than a shingle have size 0 (a filter here would split every line twice).
     """
     logs = _literal([c.bit_length() for c in counts])
 
     def code(word: Column) -> Column:
         hashed = F.xxhash64(word)
         level = F.get(logs, F.pmod(hashed, F.lit(BUCKETS)).cast("int"))
-        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8)), F.lit(0).cast("bigint"))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
     def shingle(part: Column) -> Column:
-        rarest = F.least(*[part.getField(str(i)) for i in range(words)]) if words > 1 else part.getField("0")
-        level = F.shiftleft(F.shiftrightunsigned(rarest, 56), 56)
+        level = F.shiftleft(F.shiftrightunsigned(part.getField("0"), 56), 56)
         return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
 
-    hashes = F.xxhash64("words").alias("key"), F.hash("words").alias("check")
-    keyed = lines.select("id", "doc", "pos", *hashes, F.transform("words", code).alias("codes"))
+    own = ["id", "doc", "pos", "key", "check"]
+    coded = lines.select(*own, F.transform(_words("line"), code).alias("codes"))
     runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
     moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
-    keyed = keyed.select("id", "doc", "pos", "key", "check", F.arrays_zip(*moved).alias("runs"))
-    keyed = keyed.withColumn("shingles", F.sort_array(F.array_distinct(F.transform("runs", shingle))))
+    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), shingle)))
+    coded = coded.select(*own, shingles.alias("shingles"))
     size = F.size("shingles")
     indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
-    return keyed.select(
-        "id", "doc", "pos", "key", "check", size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix")
-    )
+    return coded.select(*own, size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix"))
 
 
 def _classes(coded: DataFrame, *more: Column) -> DataFrame:
@@ -106,23 +106,36 @@ def _classes(coded: DataFrame, *more: Column) -> DataFrame:
 
 
 def shared_prefixes(coded: DataFrame) -> DataFrame:
-    """Indexed shingles that several classes share, each row with the two leaders of its shingle."""
+    """Indexed shingles that several classes share, each row with the two leaders of its shingle.
+
+    Most shingles stand in one class only; they are told by their number and the key
+    of the class alone, and what the others need is joined to them.
+    """
     classes = _classes(coded, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    indexed = classes.select(
-        F.posexplode("prefix").alias("at", "code"),
-        "key",
-        F.col("first.id").alias("id"),
-        F.col("first.pos").alias("pos"),
-        "size",
-        (-F.floor(F.log2("n"))).cast("int").alias("rank"),
+    classes = stored(
+        classes.select(
+            "key",
+            F.col("first.id").alias("id"),
+            F.col("first.pos").alias("pos"),
+            "size",
+            (-F.floor(F.log2("n"))).cast("int").alias("rank"),
+            "prefix",
+        )
     )
     group = Window.partitionBy("code")
-    return indexed.select(
-        "*",
-        F.count(F.lit(1)).over(group).alias("rows"),
+    indexed = classes.select(F.explode("prefix").alias("code"), "key")
+    common = stored(indexed.withColumn("rows", F.count(F.lit(1)).over(group)).filter("rows > 1").select("code", "key"))
+    rows = common.join(classes, "key").withColumn("at", (F.array_position("prefix", F.col("code")) - 1).cast("int"))
+    return rows.select(
+        "code",
+        "key",
+        "id",
+        "pos",
+        "size",
+        "at",
         F.min(F.struct("id", "pos", "key", "size", "at")).over(group).alias("earliest"),
         F.min(F.struct("rank", "id", "pos", "key", "size", "at")).over(group).alias("largest"),
-    ).filter("rows > 1")
+    )
 
 
 def _may_match(threshold: float) -> Column:
@@ -151,8 +164,8 @@ def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: in
     for row in places.select(mark.alias("mark")).distinct().collect():
         marks[row["mark"]] = 1
     lines = _lines(documents.filter(F.get(_literal(marks), mark) == 1))
-    texts = lines.select("doc", F.xxhash64("words").alias("key"), "words")
-    texts = texts.join(places, ["doc", "key"], "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    texts = lines.select("doc", "key", "line").join(places, ["doc", "key"], "left_semi")
+    texts = texts.groupBy("key").agg(F.first("line").alias("line")).select("key", _words("line").alias("words"))
     parts = F.transform(
         F.sequence(F.lit(1), F.size("words") - words + 1), lambda i: F.array_join(F.slice("words", i, words), " ")
     )
@@ -166,7 +179,7 @@ def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: in
 
 def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
     """``(key,)`` of the classes that match an earlier line of another class."""
-    shared = stored(shared_prefixes(coded).drop("rows"))
+    shared = stored(shared_prefixes(coded))
 
     led = shared.select(
         F.struct("id", "pos", "key", "size", "at").alias("x"),
@@ -201,7 +214,7 @@ def line_dedup(
     """``docs`` without the lines that match an earlier line; adds ``n_lines`` and ``n_removed``.
 
     Lines are split at line feeds and ordered by integer id, then position; null ids
-    come last. Lines of the same words match, and so do lines whose sets of
+    come last. Equal lines match, and so do lines whose sets of
     ``words``-word shingles have a Jaccard similarity of ``threshold`` or more,
     whether or not the earlier line stays. Words lie between ASCII white space. Lines
     with fewer words (empty ones too) always stay. A null text is empty: one line.
