@@ -9,22 +9,32 @@ from pyspark.sql import functions as F
 
 from sensorframe.session import materialize
 
+# Rows of a range partition: partitions grow in number, not in size.
+ROWS_PER_PARTITION = 2_000_000
 # monotonically_increasing_id: partition number above, row number in the lower 33 bits.
 _ROW_BITS = 33
 
 
 def range_ordered(
-    df: DataFrame, order_by: Sequence[str | Column], name: str = "_place", partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    name: str = "_place",
+    partitions: int | None = None,
+    rows_per_partition: int = ROWS_PER_PARTITION,
 ) -> DataFrame:
     """Sort ``df`` into balanced range partitions and number the rows in order.
 
     ``name`` grows with the order and ``bucket_of(name)`` is the partition. Ties
     are split by the input position, so even a group of identical rows spreads
     over several partitions. The result is written to the shared folder because
-    the numbers depend on the sampled partition bounds.
+    the numbers depend on the sampled partition bounds. Without a number of
+    ``partitions`` the rows are counted, and no partition is planned with more than
+    ``rows_per_partition``.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if n is None:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_partition))
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ordered = tied.repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")

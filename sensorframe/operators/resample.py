@@ -90,12 +90,10 @@ class Grid:
         cell = int_div(offset - F.pmod(offset, F.lit(self.step)), F.lit(self.step))
         return F.greatest(F.lit(-1).cast("bigint"), F.least(F.lit(self.ticks - 1).cast("bigint"), cell))
 
-    def tasks(self, spark: SparkSession, many_groups: bool = False) -> int:
+    def tasks(self, spark: SparkSession, groups: int = 1) -> int:
         """Tasks to expand in, a fixed number: before the expansion the data looks too small for them."""
-        wanted = max(spark.sparkContext.defaultParallelism, self.ticks // TICKS_PER_TASK)
-        if many_groups:
-            return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        return max(1, min(self.buckets, wanted))
+        wanted = max(spark.sparkContext.defaultParallelism, groups * self.ticks // TICKS_PER_TASK)
+        return max(1, min(groups * self.buckets, wanted))
 
 
 def grid_ticks(spark: SparkSession, start, end, step: timedelta = ONE_SECOND, time: str = "time") -> DataFrame:
@@ -132,7 +130,9 @@ def resample(
     """
     grid = Grid.of(start, end, step)
     runs, numeric, labels = _runs(samples, grid, by, time, variables, max_gap, duplicates, position, categorical)
-    ticks = _expand(_pieces(runs, grid, by), grid, by, numeric, labels, max_gap is not None)
+    # Groups times ticks are the rows to come; counting the groups reads their columns only.
+    groups = samples.select(*by).distinct().count() if by else 1
+    ticks = _expand(_pieces(runs, grid, by, groups), grid, by, numeric, labels, max_gap is not None)
     return ticks.select(*by, from_micros(grid.time_of(F.col("_tick"))).alias(time), *numeric, *labels)
 
 
@@ -349,7 +349,7 @@ def _with_fills(runs, grid, by, numeric, gap: int) -> DataFrame:
     return filled.withColumn("_at", F.coalesce("_at", F.lit(grid.start)))
 
 
-def _pieces(runs, grid, by=()) -> DataFrame:
+def _pieces(runs, grid, by=(), groups: int = 1) -> DataFrame:
     """Runs cut at bucket edges, and all pieces of a bucket (of a group) brought to one task."""
     size = F.lit(grid.bucket_ticks).cast("bigint")
     bucket = F.col("_bucket")
@@ -358,7 +358,7 @@ def _pieces(runs, grid, by=()) -> DataFrame:
         "_lo": F.greatest(F.col("_lo"), bucket * size),
         "_hi": F.least(F.col("_hi"), bucket * size + size - 1),
     }
-    return cut.withColumns(edges).repartition(grid.tasks(runs.sparkSession, bool(by)), *by, "_bucket")
+    return cut.withColumns(edges).repartition(grid.tasks(runs.sparkSession, max(groups, 1)), *by, "_bucket")
 
 
 def _value(c: str, grid: Grid, tick: Column, filled: bool, side=F.col) -> Column:

@@ -12,6 +12,7 @@ from sensorframe.functions.values import SENTINEL_TEXT
 from sensorframe.operators.joins import sized_join
 from sensorframe.operators.labels import LABEL_COLUMNS, parse_headers
 from sensorframe.operators.merge import union_by_name
+from sensorframe.session import materialize
 
 SAMPLE_TABLES = ("profile", "discrete")
 LABEL_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in LABEL_COLUMNS])
@@ -57,13 +58,11 @@ def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Only the rows of each file's first block take part, and the first of them
     is found by an aggregate over their read order.
     """
-    lines = spark.read.text(list(paths)).select(
-        read_path().alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("order"),
-        "value",
+    first_block = spark.read.text(list(paths)).where(F.col("_metadata.file_block_start") == 0)
+    lines = first_block.select(
+        read_path().alias("file"), F.monotonically_increasing_id().alias("order"), "value"
     )
-    first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "order").alias("line"))
+    first = lines.groupBy("file").agg(F.min_by("value", "order").alias("line"))
     cells = F.split(F.regexp_replace("line", "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     unquoted = F.transform(
         cells, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
@@ -88,7 +87,8 @@ def read_cruises(
     wrong = sorted(u for u in urls if not u.lower().endswith(".csv"))
     if wrong:
         raise ValueError(f"only .csv sources can be read: {', '.join(wrong)}")
-    headers = parse_headers(read_headers(spark, urls))
+    # Stored once, as labels, schemas and label maps all read this small table.
+    headers = materialize(parse_headers(read_headers(spark, urls)))
     per_file = headers.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("cells"))
     files_of: dict[tuple[str, ...], list[str]] = {}
     for row in per_file.collect():
