@@ -497,7 +497,7 @@ def _asof_sql(direction: str) -> str:
 
 _SPECTRA = "SELECT vec_id, embedding, label FROM embeddings"
 ORACLES = {
-    "array_stream": "SELECT event_id AS _pos, ts AS time, value, CAST(user_id AS DOUBLE) AS user_id FROM events",
+    "array_stream": "SELECT event_id AS _pos, ts AS time, value, user_id FROM events",
     "single_plot": """
   WITH s AS (SELECT * FROM events WHERE event_type = 'click'),
   b AS (SELECT min(event_id) AS a, max(event_id) AS z FROM s

@@ -15,7 +15,7 @@ from __future__ import annotations
 import gzip
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,11 +38,17 @@ class ArrayMeta:
     chunks: tuple[int, ...]
     dtype: str
     compressor: str | None
-    fill: float | None
+    fill: float | int | str | None
     order: str
     dims: tuple[str, ...]
     attrs: dict
 
+    @property
+    def kept_in(self) -> str:
+        """The field of a piece that holds the values: whole numbers and text keep their type."""
+        kind = np.dtype(self.dtype).kind
+        return "ints" if kind in "iub" else "texts" if kind in "US" else "data"
+
     @property
     def chunk_rows(self) -> int:
         return -(-self.shape[0] // self.chunks[0])
@@ -97,13 +103,19 @@ def _meta(name: str, array: dict, attrs: dict) -> ArrayMeta:
         tuple(array["chunks"]),
         array["dtype"],
         compressor,
-        None if fill is None else float(fill),
+        _fill(fill, np.dtype(array["dtype"]).kind),
         array.get("order", "C"),
         dims,
         attrs,
     )
 
 
+def _fill(value, kind: str):
+    if value is None:
+        return None
+    return int(value) if kind in "iub" else str(value) if kind in "US" else float(value)
+
+
 def _decompress(content: bytes, meta: ArrayMeta) -> bytes:
     if meta.compressor == "zlib":
         return zlib.decompress(content)
@@ -120,11 +132,16 @@ def _decompress(content: bytes, meta: ArrayMeta) -> bytes:
 
 def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Iterator[dict]:
     """One chunk as pieces that do not cross a block edge; a missing chunk is all fill value."""
+    kind = {"ints": "int64", "texts": "object", "data": "float64"}[meta.kept_in]
     if content is None:
-        values = np.full(meta.chunks, np.nan if meta.fill is None else meta.fill)
+        # Without a fill value there is nothing to read: NaN, which becomes null, or null itself.
+        missing = np.nan if meta.kept_in == "data" else None
+        values = np.full(meta.chunks, missing if meta.fill is None else meta.fill, dtype=None if kind == "int64" else kind)
     else:
         values = np.frombuffer(_decompress(content, meta), dtype=meta.dtype)
-        values = values.reshape(meta.chunks, order=meta.order).astype("float64")
+        if values.dtype.kind == "S":
+            values = np.char.decode(values, "utf-8")
+        values = values.reshape(meta.chunks, order=meta.order).astype(kind)
     start = i * meta.chunks[0]
     values = values[: meta.shape[0] - start]
     if values.ndim > 1:
@@ -139,13 +156,17 @@ def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Ite
             "row": inside,
             "column": j * meta.chunks[1] if values.ndim > 1 else 0,
             "width": values.shape[1] if values.ndim > 1 else 1,
-            "data": values[at : at + take].reshape(-1),
+            **{field: None for field in ("data", "ints", "texts")},
+            meta.kept_in: values[at : at + take].reshape(-1).tolist(),
         }
         at += take
 
 
 def decode_chunks(spark: SparkSession, root: str, metas: list[ArrayMeta]) -> DataFrame:
-    """Pieces ``(variable, block, row, column, width, data)`` of all chunks of the variables."""
+    """Pieces ``(variable, block, row, column, width, data, ints, texts)`` of all chunks of the variables.
+
+    A variable's values lie in the one field that fits its type.
+    """
     by_name = {m.name: m for m in metas}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{root}/{n}" for n in by_name])
     parts = F.split(F.col("path"), "/")
@@ -176,22 +197,66 @@ def decode_chunks(spark: SparkSession, root: str, metas: list[ArrayMeta]) -> Dat
                 if pieces:
                     yield pd.DataFrame(pieces)
 
-    schema = "variable string, block bigint, row int, column int, width int, data array<double>"
+    schema = (
+        "variable string, block bigint, row int, column int, width int, data array<double>, ints array<bigint>,"
+        " texts array<string>"
+    )
     return todo.mapInPandas(decode, schema)
 
 
-def read_arrays(spark: SparkSession, root: str) -> DataFrame:
+def read_coordinates(spark: SparkSession, root: str) -> DataFrame:
+    """``variable, dimension, index, value, text`` of the one-dimensional variables that do not lie along time.
+
+    A variable named like its dimension holds that dimension's coordinates. Numbers
+    are in ``value`` (whole ones too), text in ``text``.
+    """
+    metas = [m for m in read_metadata(spark, root) if len(m.shape) == 1 and m.dims and m.dims[0] != "time"]
+    schema = "variable string, dimension string, index bigint, value double, text string"
+    if not metas:
+        return spark.createDataFrame([], schema)
+    along = F.create_map(*[F.lit(x) for m in metas for x in (m.name, m.dims[0])])
+    numbers = F.coalesce("data", F.col("ints").cast("array<double>"))
+    items = F.coalesce(
+        F.transform(numbers, lambda v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("text"))),
+        F.transform("texts", lambda t: F.struct(F.lit(None).cast("double").alias("value"), t.alias("text"))),
+    )
+    pieces = decode_chunks(spark, root, metas)
+    rows = pieces.select("variable", "block", "row", F.posexplode(items).alias("at", "item"))
+    index = F.col("block") * F.lit(BLOCK_ROWS) + F.col("row") + F.col("at")
+    return rows.select("variable", along[F.col("variable")].alias("dimension"), index.alias("index"), "item.*")
+
+
+def _index_ranges(spark: SparkSession, root: str, ranges: Mapping[str, tuple]) -> dict[str, tuple[int, int]]:
+    """First and last index of each dimension whose coordinate lies in its range; one row per dimension comes back."""
+    coordinates = read_coordinates(spark, root).where(F.col("variable") == F.col("dimension"))
+    known = {r["dimension"] for r in coordinates.select("dimension").distinct().collect()}
+    found = {}
+    for dimension, (low, high) in ranges.items():
+        if dimension not in known:
+            raise ValueError(f"'{dimension}' has no coordinates in this group")
+        inside = coordinates.where((F.col("dimension") == dimension) & F.col("value").between(low, high))
+        edge = inside.agg(F.min("index").alias("a"), F.max("index").alias("b")).first()
+        found[dimension] = (0, -1) if edge["a"] is None else (edge["a"], edge["b"])
+    return found
+
+
+def read_arrays(spark: SparkSession, root: str, ranges: Mapping[str, tuple] | None = None) -> DataFrame:
     """A group as a stream table: ``_pos``, ``time`` decoded, one column per variable.
 
-    Two-dimensional variables become array columns; NaN becomes null.
+    Two-dimensional variables become array columns; NaN becomes null; whole numbers
+    and text keep their type. ``ranges`` cuts second dimensions by their coordinates:
+    ``{"wavelength": (400, 500)}`` keeps the elements from the first to the last inside.
+    ``read_coordinates`` gives the variables that do not lie along time.
     """
+    cut = _index_ranges(spark, root, ranges) if ranges else {}
     metas = [m for m in read_metadata(spark, root) if m.dims[:1] == ("time",)]
     if not any(m.name == "time" for m in metas):
         raise ValueError(f"{root} has no 'time' variable")
     pieces = decode_chunks(spark, root, metas)
     columns = []
     for m in metas:
-        mine = F.when(F.col("variable") == m.name, F.struct("column", "row", "width", "data"))
+        values = F.col(m.kept_in).alias("data")
+        mine = F.when(F.col("variable") == m.name, F.struct("column", "row", "width", values))
         columns.append(F.array_sort(F.collect_list(mine)).alias(m.name))
     # At most one block of each variable meets in a group.
     blocks = pieces.groupBy("block").agg(*columns)
@@ -205,8 +270,8 @@ def read_arrays(spark: SparkSession, root: str) -> DataFrame:
     units, calendar = time.attrs.get("units", DEFAULT_UNITS), time.attrs.get("calendar", DEFAULT_CALENDAR)
     return rows.select(
         "_pos",
-        decode_time(nan_to_null(F.col("time")), units, calendar).alias("time"),
-        *[_clean(m).alias(m.name) for m in metas if m.name != "time"],
+        decode_time(_clean(time), units, calendar).alias("time"),
+        *[_cut(_clean(m), m, cut).alias(m.name) for m in metas if m.name != "time"],
     )
 
 
@@ -234,7 +299,16 @@ def _block_rows(m: ArrayMeta):
     return F.transform(numbers, row_values)
 
 
+def _cut(values, m: ArrayMeta, ranges: Mapping[str, tuple[int, int]]):
+    if len(m.shape) == 1 or len(m.dims) < 2 or m.dims[1] not in ranges:
+        return values
+    first, last = ranges[m.dims[1]]
+    return F.slice(values, first + 1, last - first + 1)
+
+
 def _clean(m: ArrayMeta):
+    if m.kept_in != "data":
+        return F.col(m.name)
     if len(m.shape) == 1:
         return nan_to_null(F.col(m.name))
     return F.transform(F.col(m.name), nan_to_null)

@@ -70,7 +70,8 @@ def test_group(spark, tmp_path, monkeypatch, kind):
     assert [r["_pos"] for r in rows] == list(range(n))
     assert [r["time"] for r in rows] == [at(i / 2) for i in range(n)]
     assert [r["temperature"] for r in rows] == [None if i % 9 == 0 else i * 1.5 for i in range(n)]
-    assert [r["count"] for r in rows] == [-1.0 if kind is None else i * 3.0 for i in range(n)]
+    assert [r["count"] for r in rows] == [-1 if kind is None else i * 3 for i in range(n)]
+    assert dict(df.dtypes)["count"] == "bigint"
     assert [r["spectra"] for r in rows] == spectra.astype(float).tolist()
 
 
@@ -92,3 +93,26 @@ def test_refusals(spark, tmp_path):
     write_array(tmp_path / "c", "time", np.arange(3.0), (3,), ["time"], calendar="noleap")
     with pytest.raises(ValueError, match="calendar"):
         read_arrays(spark, str(tmp_path / "c"))
+
+
+def test_types_and_coordinates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "BLOCK_ROWS", 4)
+    n = 6
+    write_array(tmp_path, "time", EPOCH_1900 + np.arange(n, dtype="i8"), (4,), ["time"])
+    write_array(tmp_path, "big", np.arange(n, dtype="i8") + 2**60, (4,), ["time"], skip={(1,)})
+    write_array(tmp_path, "flag", np.array(["ok", "no", "é", "a", "b", "c"]), (3,), ["time"])
+    write_array(tmp_path, "spectra", np.arange(n * 5.0).reshape(n, 5), (4, 2), ["time", "wavelength"])
+    write_array(tmp_path, "wavelength", np.arange(400, 450, 10), (2,), ["wavelength"])
+    write_array(tmp_path, "label", np.array([b"x", b"y", b"z", b"u", b"v"]), (5,), ["wavelength"])
+    rows = sorted(read_arrays(spark, str(tmp_path), {"wavelength": (405, 430)}).collect(), key=lambda r: r["_pos"])
+    assert [r["time"] for r in rows] == [at(i) for i in range(n)]
+    assert [r["big"] for r in rows] == [*(2**60 + i for i in range(4)), None, None]
+    assert [r["flag"] for r in rows] == ["ok", "no", "é", "a", "b", "c"]
+    assert [r["spectra"] for r in rows] == [[5.0 * i + 1, 5.0 * i + 2, 5.0 * i + 3] for i in range(n)]
+    found = arrays.read_coordinates(spark, str(tmp_path)).collect()
+    assert {(r.variable, r.dimension, r["index"], r.value, r.text) for r in found} == {
+        *(("wavelength", "wavelength", i, 400.0 + 10 * i, None) for i in range(5)),
+        *(("label", "wavelength", i, None, t) for i, t in enumerate("xyzuv")),
+    }
+    with pytest.raises(ValueError, match="no coordinates"):
+        read_arrays(spark, str(tmp_path), {"depth": (0, 1)})
