@@ -38,7 +38,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class _Numbering(dict):
+class Numbering(dict):
     """Numbers new keys in the order of their first use."""
 
     def __missing__(self, key):
@@ -166,7 +166,7 @@ def ragged(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[n
 def encode_stretches(stretches: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all stretches one after another, and the bounds of each; ``("special", s)`` is a special string."""
     split = regex.compile(SPLIT_PATTERN)
-    words = _Numbering()
+    words = Numbering()
     special: dict[int, int] = {}
     parts: list[list[int]] = []  # numbers of the pre-tokens of each stretch
     for stretch in stretches:
@@ -194,7 +194,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     runs = regex.compile(r"\s\s")
     names = sorted(vocab.special, key=len, reverse=True)
     special = regex.compile("|".join(map(regex.escape, names))) if names else None
-    number = _Numbering()
+    number = Numbering()
 
     def stretch_numbers(part: str) -> list[int]:
         if runs.search(part):

@@ -5,12 +5,12 @@ match when the Jaccard similarity of their sets is ``threshold`` or more, and a
 line with an earlier match goes.
 
 1. Lines of the same text form a class with one representative, its first line, so a line that a third of the corpus shares is one row from here on.
-2. The shingles of a representative are ordered by rarity (the corpus counts of
-   their words, kept in a table of fixed size), and only the first
-   ``n - ceil(t * n) + 1`` are indexed (prefix filter): two sets that match share one.
+2. The shingles of a representative are ordered by the rarity of their first words
+   (corpus counts, kept in a table of fixed size), and only a prefix of at least
+   ``n - ceil(t * n) + 1`` is indexed (prefix filter): two sets that match share one.
 3. Candidates meet on a shared shingle if sizes allow a match (length filter) and
    enough shingles follow the shared one in both sets (positional filter).
-4. Jaccard is verified on the words themselves.
+4. Jaccard is verified on the whole sets of the candidates, split anew from their text.
 
 Candidates are sought in two rounds. First every line is compared with two leaders
 of each of its shingles, the earliest line and the one with most copies, so a group
@@ -28,10 +28,15 @@ from sensorframe.llm.tables import stored
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Entries of the table of word counts, and of the table that tells which documents to read again.
+#: Entries of the table of word counts.
 BUCKETS = 1 << 14
-MARKS = 1 << 16
+#: Bits for the place of a word in its line.
+PLACE_BITS = 24
+#: Rows (of a few dozen bytes) up to which a side is broadcast.
+BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
+#: What is known of a line that shares a shingle.
+LINE = ("id", "pos", "key", "most", "least", "at")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,7 +69,7 @@ def word_counts(documents: DataFrame) -> list[int]:
     """Occurrences of words in all lines, by hash bucket."""
     lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(F.explode(F.split("line", " ")).alias("word"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = [0] * BUCKETS
     for row in words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["bucket"]] = row["n"]
@@ -72,32 +77,42 @@ def word_counts(documents: DataFrame) -> list[int]:
 
 
 def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
-    """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
-
-    A shingle is a number: the upper bits tell how frequent its first word is, the
-    lower ones are a hash. Numeric order is thus an order of rarity. Lines with fewer
-    words than a shingle have size 0 (a filter here would split every line twice).
+    """``(id, doc, pos, key, check, most, least, prefix)``: every line with its indexed shingles.
+
+    Shingles are ordered by the rarity of their first word; those of one first word are
+    a group. A line has ``most`` shingles at most and ``least`` different ones at least
+    (its groups). Of its shingles in order, ``most - ceil(t * most) + 2`` and as many more as
+    first words repeat are indexed: they hold as many whole groups as the filter asks
+    for shingles, and only they have to be hashed. Lines with fewer words than a
+    shingle have ``most`` 0 (a filter here would split every line twice).
     """
     logs = _literal([c.bit_length() for c in counts])
+    place = (1 << PLACE_BITS) - 1
 
-    def code(word: Column) -> Column:
+    def first(word: Column, i: Column) -> Column:
         hashed = F.xxhash64(word)
-        level = F.get(logs, F.pmod(hashed, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+        level = F.get(logs, hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        order = F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8)).bitwiseAND(F.lit(~place))
+        return F.coalesce(order.bitwiseOR(i.cast("bigint")), F.lit(0).cast("bigint"))
 
-    def shingle(part: Column) -> Column:
-        level = F.shiftleft(F.shiftrightunsigned(part.getField("0"), 56), 56)
-        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
+    def shingle(x: Column) -> Column:
+        i = x.bitwiseAND(F.lit(place)).cast("int")
+        return F.xxhash64(*[F.get("words", i + j) for j in range(words)])
 
     own = ["id", "doc", "pos", "key", "check"]
-    coded = lines.select(*own, F.transform(_words("line"), code).alias("codes"))
-    runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
-    moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
-    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), shingle)))
-    coded = coded.select(*own, shingles.alias("shingles"))
-    size = F.size("shingles")
-    indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
-    return coded.select(*own, size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix"))
+    coded = lines.select(*own, _words("line").alias("words"))
+    starts = F.greatest(F.size("words") - (words - 1), F.lit(0))
+    # A line of more words than places can tell matches equal lines only.
+    starts = F.when(F.size("words") <= place, starts).otherwise(F.lit(0))
+    firsts = F.transform(F.slice("words", F.lit(1), starts), first)
+    coded = coded.select(*own, "words", firsts.alias("firsts"))
+    groups = F.size(F.array_distinct(F.transform("firsts", lambda x: F.shiftrightunsigned(x, PLACE_BITS))))
+    most = F.size("firsts")
+    coded = coded.select(*own, "words", "firsts", most.alias("most"), groups.alias("least"))
+    indexed = F.ceil(F.col("most") * threshold - 1e-9).cast("int")
+    indexed = F.col("most") - indexed + 2 + F.col("most") - F.col("least")
+    chosen = F.slice(F.sort_array("firsts"), F.lit(1), indexed)
+    return coded.select(*own, "most", "least", F.array_distinct(F.transform(chosen, shingle)).alias("prefix"))
 
 
 def _classes(coded: DataFrame, *more: Column) -> DataFrame:
@@ -106,69 +121,80 @@ def _classes(coded: DataFrame, *more: Column) -> DataFrame:
 
 
 def shared_prefixes(coded: DataFrame) -> DataFrame:
-    """Indexed shingles that several classes share, each row with the two leaders of its shingle.
+    """``(code, rank)`` and ``LINE`` of the indexed shingles that several classes share.
 
     Most shingles stand in one class only; they are told by their number and the key
     of the class alone, and what the others need is joined to them.
     """
-    classes = _classes(coded, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = _classes(coded, *[F.first(c).alias(c) for c in ("most", "least", "prefix")])
     classes = stored(
         classes.select(
             "key",
             F.col("first.id").alias("id"),
             F.col("first.pos").alias("pos"),
-            "size",
+            "most",
+            "least",
             (-F.floor(F.log2("n"))).cast("int").alias("rank"),
             "prefix",
         )
     )
     group = Window.partitionBy("code")
     indexed = classes.select(F.explode("prefix").alias("code"), "key")
-    common = stored(indexed.withColumn("rows", F.count(F.lit(1)).over(group)).filter("rows > 1").select("code", "key"))
-    rows = common.join(classes, "key").withColumn("at", (F.array_position("prefix", F.col("code")) - 1).cast("int"))
-    return rows.select(
-        "code",
-        "key",
-        "id",
-        "pos",
-        "size",
-        "at",
-        F.min(F.struct("id", "pos", "key", "size", "at")).over(group).alias("earliest"),
-        F.min(F.struct("rank", "id", "pos", "key", "size", "at")).over(group).alias("largest"),
+    common = indexed.withColumn("rows", F.count(F.lit(1)).over(group)).filter("rows > 1").select("code", "key")
+    rows = stored(common).join(classes, "key")
+    # At least so many different shingles lie in the groups before.
+    before = F.array_position("prefix", F.col("code")).cast("int") - 1 - (F.col("most") - F.col("least"))
+    rows = rows.withColumn("at", F.greatest(before, F.lit(0)))
+    return rows.select("code", "rank", *LINE)
+
+
+def _with_leaders(shared: DataFrame) -> DataFrame:
+    """The lines of every shingle with the two that lead it: the earliest, and the one with most copies."""
+    group = Window.partitionBy("code")
+    return shared.select(
+        "*",
+        F.min(F.struct(*LINE)).over(group).alias("earliest"),
+        F.min(F.struct("rank", *LINE)).over(group).alias("largest"),
     )
 
 
 def _may_match(threshold: float) -> Column:
-    """Length and positional filter of line ``x`` and line ``y`` that share a shingle."""
-    nx, ny = F.col("x.size"), F.col("y.size")
-    least = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
-    left = F.least(nx - F.col("x.at"), ny - F.col("y.at"))
-    return (nx >= ny * threshold - 1e-9) & (ny >= nx * threshold - 1e-9) & (left >= least)
+    """Length and positional filter of line ``x`` and line ``y`` that share a shingle, by the bounds of their sizes."""
+    x, y = F.col("x"), F.col("y")
+    shared = F.least(x["most"] - x["at"], y["most"] - y["at"])
+    wanted = F.ceil((x["least"] + y["least"]) * (threshold / (1 + threshold)) - 1e-9)
+    return (
+        (x["most"] >= y["least"] * threshold - 1e-9)
+        & (y["most"] >= x["least"] * threshold - 1e-9)
+        & (shared >= wanted)
+    )
 
 
 def _earlier() -> Column:
     return F.struct("y.id", "y.pos", "y.key") < F.struct("x.id", "x.pos", "x.key")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """A table as the small side of a join: broadcast up to ``BROADCAST_ROWS`` rows, else hashed after a shuffle."""
+    small = df.count() <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df.hint("shuffle_hash")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
     """The keys ``x`` of ``pairs (x, y)`` whose sets have the similarity asked for.
 
-    Only documents that fall on a mark of a table of fixed size are read again;
-    when there are too many candidates for the table to tell, all are.
+    Only the candidate lines are split again, one for each key. Whole sets are
+    compared, their shingles as 64-bit hashes.
     """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    places = needed.join(coded.groupBy("key").agg(F.min(F.struct("id", "doc")).alias("first")), "key")
-    places = stored(places.select("key", F.col("first.doc").alias("doc")))
-    mark = F.pmod("doc", F.lit(MARKS)).cast("int")
-    marks = [0] * MARKS
-    for row in places.select(mark.alias("mark")).distinct().collect():
-        marks[row["mark"]] = 1
-    lines = _lines(documents.filter(F.get(_literal(marks), mark) == 1))
-    texts = lines.select("doc", "key", "line").join(places, ["doc", "key"], "left_semi")
-    texts = texts.groupBy("key").agg(F.first("line").alias("line")).select("key", _words("line").alias("words"))
+    places = needed.join(coded.groupBy("key").agg(F.min(F.struct("id", "doc", "pos")).alias("first")), "key")
+    places = stored(places.select("key", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")))
+    texts = _lines(documents).select("doc", "pos", "key", "line")
+    texts = texts.join(_side(places), ["doc", "pos", "key"], "left_semi").dropDuplicates(["key"])
     parts = F.transform(
-        F.sequence(F.lit(1), F.size("words") - words + 1), lambda i: F.array_join(F.slice("words", i, words), " ")
+        F.sequence(F.lit(0), F.size("words") - words), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(words)])
     )
+    texts = texts.select("key", _words("line").alias("words"))
     texts = stored(texts.select("key", F.array_distinct(parts).alias("set")))
     both = pairs.join(texts.select(F.col("key").alias("x"), F.col("set").alias("set_x")), "x")
     both = both.join(texts.select(F.col("key").alias("y"), F.col("set").alias("set_y")), "y")
@@ -181,22 +207,17 @@ def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold:
     """``(key,)`` of the classes that match an earlier line of another class."""
     shared = stored(shared_prefixes(coded))
 
-    led = shared.select(
-        F.struct("id", "pos", "key", "size", "at").alias("x"),
-        F.explode(
-            F.array(
-                "earliest",
-                F.struct("largest.id", "largest.pos", "largest.key", "largest.size", "largest.at"),
-            )
-        ).alias("y"),
+    led = _with_leaders(shared).select(
+        F.struct(*LINE).alias("x"),
+        F.explode(F.array("earliest", F.struct(*[f"largest.{c}" for c in LINE]))).alias("y"),
     )
     led = led.filter(_earlier() & _may_match(threshold)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
     led = stored(led.distinct())
     first = stored(verified(led, documents, coded, words, threshold))
 
-    open_lines = shared.select("code", F.struct("id", "pos", "key", "size", "at").alias("x"))
+    open_lines = shared.select("code", F.struct(*LINE).alias("x"))
     open_lines = open_lines.join(first.withColumnRenamed("x", "done"), F.col("x.key") == F.col("done"), "left_anti")
-    others = shared.select("code", F.struct("id", "pos", "key", "size", "at").alias("y"))
+    others = shared.select("code", F.struct(*LINE).alias("y"))
     pairs = open_lines.join(others, "code").filter(_earlier() & _may_match(threshold))
     pairs = pairs.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     pairs = stored(pairs.join(led, ["x", "y"], "left_anti"))
@@ -223,7 +244,7 @@ def line_dedup(
     table gives no rows.
     """
     documents = _documents(docs, id_col, text_col)
-    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("size > 0")
+    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("most > 0")
     matched = stored(later_matches(documents, coded, words, threshold))
     # Classes of one line without a match lose nothing.
     found = _classes(coded).join(matched.withColumn("matched", F.lit(True)), "key", "left").filter("n > 1 or matched")
@@ -238,7 +259,7 @@ def line_dedup(
         "__doc": F.xxhash64(F.col(id_col).cast("bigint"), text),
     }
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(columns).withColumns(keys).join(stored(gone).hint("shuffle_hash"), ["__id", "__doc"], "left")
+    joined = docs.select(columns).withColumns(keys).join(_side(stored(gone)), ["__id", "__doc"], "left")
     joined = joined.withColumn("__lines", F.split(text, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")

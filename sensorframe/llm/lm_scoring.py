@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm import attention as A
-from sensorframe.llm.bpe import Vocabulary, encode_stretches, ragged
+from sensorframe.llm.bpe import Numbering, Vocabulary, encode_stretches, ragged
 from sensorframe.llm.tables import Shared, stored
 
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 12_000_000
 #: One training document in so many is used for the parameters of the model.
-TRAIN_SHARE = 24
+TRAIN_SHARE = 32
 SHARD_TOKENS = 1_000_000
 ROUNDS = 4
 AVERAGED_AT_ONCE = 16
@@ -48,10 +48,11 @@ def words_of(text: str) -> list[bytes]:
 
 
 def _number(texts) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    number: dict[bytes, int] = {}
+    number = Numbering()
     rows = []
     for text in texts:
-        rows.append(np.fromiter((number.setdefault(w, len(number)) for w in words_of(text)), np.int64))
+        words = words_of(text)
+        rows.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
     return number, rows
 
 
@@ -79,10 +80,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         number, words = _number(frame["text"])
-        n = np.zeros(len(number), np.int64)
-        for mine, held in zip(words, frame["held_out"]):
-            if not held:
-                np.add.at(n, mine, 1)
+        taught = [mine for mine, held in zip(words, frame["held_out"]) if not held]
+        n = np.bincount(np.concatenate(taught), minlength=len(number)) if taught else np.zeros(len(number), np.int64)
         return pd.DataFrame({"chunk": frame["chunk"].iloc[0], "word": list(number), "n": n})
 
     pairs = rows.groupBy("chunk").applyInPandas(count, "chunk bigint, word binary, n bigint")
@@ -197,7 +196,8 @@ def train_model(rows: DataFrame, vocab, spelling, counts: np.ndarray, share: int
             return pd.DataFrame({"shard": [frame["shard"].min()], "weight": [weights.sum()], "params": [packed]})
 
         schema = "shard bigint, weight double, params binary"
-        trained = dealt.groupBy("shard").applyInPandas(steps, schema)
+        # A number of its own keeps the shards apart, small as they are in bytes.
+        trained = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(steps, schema)
         left = shards
         while left > 1:
             left = math.ceil(left / AVERAGED_AT_ONCE)

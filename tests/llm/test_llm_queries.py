@@ -1,5 +1,6 @@
 """Registered pipeline queries: SQL where there is some, and the pipeline against brute force."""
 
+import numpy as np
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         i: (t, rows[i].lang, rows[i].source, len(t)) for i, t in texts.items()
     }
     for r in found[:20]:
-        assert bpe.decode_ids(__import__("numpy").array(r.ids), vocab) == r.text
+        assert bpe.decode_ids(np.array(r.ids), vocab) == r.text
     assert decontaminate.MIN_WORDS == 12
 
 
