@@ -73,15 +73,15 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             # What has not ended by now goes round in a circle.
             break
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("far"))
-        now = stored(
-            now.join(above, ["tree", "up"], "left").select(
-                "tree",
-                "node",
-                F.col("next").alias("up"),
-                (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("far", F.lit(0))).alias("depth"),
-            )
+        # Only messages that still have someone above are joined; the others are done.
+        further = now.filter("up is not null").join(above, ["tree", "up"]).select(
+            "tree",
+            "node",
+            F.col("next").alias("up"),
+            (F.col("total") + F.col("more")).alias("total"),
+            (F.col("depth") + F.col("far")).alias("depth"),
         )
+        now = stored(further.unionByName(now.filter("up is null")))
     return now.filter("up is null"), rounds
 
 
