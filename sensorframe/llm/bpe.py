@@ -173,6 +173,8 @@ def encode_stretches(stretches: list, vocab: Vocabulary) -> tuple[np.ndarray, np
         if isinstance(stretch, tuple):
             special[words[stretch]] = vocab.special[stretch[1]]
             parts.append([words[stretch]])
+        elif (stretch[1:] if stretch[:1] == " " else stretch).isalpha() and stretch.isascii():
+            parts.append([words[stretch]])
         else:
             parts.append([words[w] for w in split.findall(stretch)])
     pieces = [b"" if isinstance(w, tuple) else w.encode("utf-8", "surrogatepass") for w in words]

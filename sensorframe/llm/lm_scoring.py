@@ -29,11 +29,12 @@ from sensorframe.llm import attention as A
 from sensorframe.llm.bpe import Numbering, Vocabulary, encode_stretches, ragged
 from sensorframe.llm.tables import Shared, stored
 
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 #: One training document in so many is used for the parameters of the model.
 TRAIN_SHARE = 32
 SHARD_TOKENS = 1_000_000
 ROUNDS = 4
+WORDS_AT_ONCE = 200_000
 AVERAGED_AT_ONCE = 16
 
 
@@ -90,7 +91,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         "chunk",
         "word",
         F.sum("n").over(same).alias("c"),
-        (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"),
+        (F.min("chunk").over(same) == F.col("chunk")).alias("first"),
     )
 
 
@@ -106,11 +107,23 @@ def model_vocabulary(words: DataFrame, vocab, end_count: int) -> tuple[np.ndarra
     """
 
     def count(batches):
-        for batch in batches:
-            ids, bounds = _word_ids(batch["word"].tolist(), vocab.value)
-            n = np.bincount(ids, np.repeat(batch["c"].to_numpy(float), np.diff(bounds)))
+        words, totals = [], []
+
+        def counted():
+            ids, bounds = _word_ids(words, vocab.value)
+            n = np.bincount(ids, np.repeat(np.array(totals, float), np.diff(bounds)))
             at = np.flatnonzero(n)
-            yield pd.DataFrame({"id": at, "n": n[at].astype(np.int64)})
+            return pd.DataFrame({"id": at, "n": n[at].astype(np.int64)})
+
+        for batch in batches:
+            words += batch["word"].tolist()
+            totals += batch["c"].tolist()
+            # Many words at once, as every rank of the merges is met once for all of them.
+            if len(words) >= WORDS_AT_ONCE:
+                yield counted()
+                words, totals = [], []
+        if words:
+            yield counted()
 
     counted = words.filter("first and c > 0").select("word", "c").mapInPandas(count, "id bigint, n bigint")
     found = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
