@@ -6,8 +6,8 @@ line with an earlier match goes.
 
 1. Lines of the same text form a class with one representative, its first line, so a line that a third of the corpus shares is one row from here on.
 2. The shingles of a representative are ordered by the rarity of their first words
-   (corpus counts, kept in a table of fixed size), and only a prefix of at least
-   ``n - ceil(t * n) + 1`` is indexed (prefix filter): two sets that match share one.
+   (corpus counts, kept in a table of fixed size), and only the first
+   ``n - ceil(t * n) + 1`` are indexed (prefix filter): two sets that match share one.
 3. Candidates meet on a shared shingle if sizes allow a match (length filter) and
    enough shingles follow the shared one in both sets (positional filter).
 4. Jaccard is verified on the whole sets of the candidates, split anew from their text.
@@ -30,13 +30,11 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Entries of the table of word counts.
 BUCKETS = 1 << 14
-#: Bits for the place of a word in its line.
-PLACE_BITS = 24
 #: Rows (of a few dozen bytes) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 #: What is known of a line that shares a shingle.
-LINE = ("id", "pos", "key", "most", "least", "at")
+LINE = ("id", "pos", "key", "size", "at")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,42 +75,32 @@ def word_counts(documents: DataFrame) -> list[int]:
 
 
 def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
-    """``(id, doc, pos, key, check, most, least, prefix)``: every line with its indexed shingles.
-
-    Shingles are ordered by the rarity of their first word; those of one first word are
-    a group. A line has ``most`` shingles at most and ``least`` different ones at least
-    (its groups). Of its shingles in order, ``most - ceil(t * most) + 2`` and as many more as
-    first words repeat are indexed: they hold as many whole groups as the filter asks
-    for shingles, and only they have to be hashed. Lines with fewer words than a
-    shingle have ``most`` 0 (a filter here would split every line twice).
+    """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
+
+    A shingle is a number: the upper bits tell how frequent its first word is, the
+    lower ones are a hash. Numeric order is thus an order of rarity. Lines with fewer
+    words than a shingle have size 0 (a filter here would split every line twice).
     """
     logs = _literal([c.bit_length() for c in counts])
-    place = (1 << PLACE_BITS) - 1
 
-    def first(word: Column, i: Column) -> Column:
+    def code(word: Column) -> Column:
         hashed = F.xxhash64(word)
         level = F.get(logs, hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        order = F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8)).bitwiseAND(F.lit(~place))
-        return F.coalesce(order.bitwiseOR(i.cast("bigint")), F.lit(0).cast("bigint"))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    def shingle(x: Column) -> Column:
-        i = x.bitwiseAND(F.lit(place)).cast("int")
-        return F.xxhash64(*[F.get("words", i + j) for j in range(words)])
+    def shingle(part: Column) -> Column:
+        level = F.shiftleft(F.shiftrightunsigned(part.getField("0"), 56), 56)
+        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
 
     own = ["id", "doc", "pos", "key", "check"]
-    coded = lines.select(*own, _words("line").alias("words"))
-    starts = F.greatest(F.size("words") - (words - 1), F.lit(0))
-    # A line of more words than places can tell matches equal lines only.
-    starts = F.when(F.size("words") <= place, starts).otherwise(F.lit(0))
-    firsts = F.transform(F.slice("words", F.lit(1), starts), first)
-    coded = coded.select(*own, "words", firsts.alias("firsts"))
-    groups = F.size(F.array_distinct(F.transform("firsts", lambda x: F.shiftrightunsigned(x, PLACE_BITS))))
-    most = F.size("firsts")
-    coded = coded.select(*own, "words", "firsts", most.alias("most"), groups.alias("least"))
-    indexed = F.ceil(F.col("most") * threshold - 1e-9).cast("int")
-    indexed = F.col("most") - indexed + 2 + F.col("most") - F.col("least")
-    chosen = F.slice(F.sort_array("firsts"), F.lit(1), indexed)
-    return coded.select(*own, "most", "least", F.array_distinct(F.transform(chosen, shingle)).alias("prefix"))
+    coded = lines.select(*own, F.transform(_words("line"), code).alias("codes"))
+    runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
+    moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
+    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), shingle)))
+    coded = coded.select(*own, shingles.alias("shingles"))
+    size = F.size("shingles")
+    indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
+    return coded.select(*own, size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix"))
 
 
 def _classes(coded: DataFrame, *more: Column) -> DataFrame:
@@ -126,14 +114,13 @@ def shared_prefixes(coded: DataFrame) -> DataFrame:
     Most shingles stand in one class only; they are told by their number and the key
     of the class alone, and what the others need is joined to them.
     """
-    classes = _classes(coded, *[F.first(c).alias(c) for c in ("most", "least", "prefix")])
+    classes = _classes(coded, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     classes = stored(
         classes.select(
             "key",
             F.col("first.id").alias("id"),
             F.col("first.pos").alias("pos"),
-            "most",
-            "least",
+            "size",
             (-F.floor(F.log2("n"))).cast("int").alias("rank"),
             "prefix",
         )
@@ -142,9 +129,7 @@ def shared_prefixes(coded: DataFrame) -> DataFrame:
     indexed = classes.select(F.explode("prefix").alias("code"), "key")
     common = indexed.withColumn("rows", F.count(F.lit(1)).over(group)).filter("rows > 1").select("code", "key")
     rows = stored(common).join(classes, "key")
-    # At least so many different shingles lie in the groups before.
-    before = F.array_position("prefix", F.col("code")).cast("int") - 1 - (F.col("most") - F.col("least"))
-    rows = rows.withColumn("at", F.greatest(before, F.lit(0)))
+    rows = rows.withColumn("at", (F.array_position("prefix", F.col("code")) - 1).cast("int"))
     return rows.select("code", "rank", *LINE)
 
 
@@ -159,15 +144,11 @@ def _with_leaders(shared: DataFrame) -> DataFrame:
 
 
 def _may_match(threshold: float) -> Column:
-    """Length and positional filter of line ``x`` and line ``y`` that share a shingle, by the bounds of their sizes."""
-    x, y = F.col("x"), F.col("y")
-    shared = F.least(x["most"] - x["at"], y["most"] - y["at"])
-    wanted = F.ceil((x["least"] + y["least"]) * (threshold / (1 + threshold)) - 1e-9)
-    return (
-        (x["most"] >= y["least"] * threshold - 1e-9)
-        & (y["most"] >= x["least"] * threshold - 1e-9)
-        & (shared >= wanted)
-    )
+    """Length and positional filter of line ``x`` and line ``y`` that share a shingle."""
+    nx, ny = F.col("x.size"), F.col("y.size")
+    least = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
+    left = F.least(nx - F.col("x.at"), ny - F.col("y.at"))
+    return (nx >= ny * threshold - 1e-9) & (ny >= nx * threshold - 1e-9) & (left >= least)
 
 
 def _earlier() -> Column:
@@ -244,7 +225,7 @@ def line_dedup(
     table gives no rows.
     """
     documents = _documents(docs, id_col, text_col)
-    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("most > 0")
+    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("size > 0")
     matched = stored(later_matches(documents, coded, words, threshold))
     # Classes of one line without a match lose nothing.
     found = _classes(coded).join(matched.withColumn("matched", F.lit(True)), "key", "left").filter("n > 1 or matched")
