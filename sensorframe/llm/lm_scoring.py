@@ -7,9 +7,9 @@
 2. The distinct words are written as public subword ids. The most frequent ids and
    all bytes form the vocabulary of the model; rarer ids are split back into the
    two parts they were merged from. The number of ids is that of the vocabulary file.
-3. The model is trained by rounds of local steps: every shard of the training sample
-   (a fixed share of the training documents, so it grows with the corpus) trains on
-   its windows, and the parameters are averaged over the shards in a tree.
+3. The model is trained by rounds of local steps: all documents that are not held out
+   are dealt into shards, every shard trains on its windows, a part of them in each
+   round and all of them once, and the parameters are averaged over the shards in a tree.
 4. Every chunk is scored with its own words and the final parameters. The probability
    of a word is the mean of two: that of its spelling under the attention model, and
    its smoothed share of the training tokens. Both are distributions over all words,
@@ -30,8 +30,8 @@ from sensorframe.llm.bpe import Numbering, Vocabulary, encode_stretches, ragged
 from sensorframe.llm.tables import Shared, stored
 
 CHUNK_CHARS = 8_000_000
-#: One training document in so many is used for the parameters of the model.
-TRAIN_SHARE = 32
+#: Characters of texts that are written as ids at once.
+ENCODED_CHARS = 4_000_000
 SHARD_TOKENS = 1_000_000
 ROUNDS = 4
 WORDS_AT_ONCE = 200_000
@@ -167,55 +167,75 @@ def _document_ids(texts, vocab: Vocabulary, spelling) -> tuple[dict, list, np.nd
     return number, rows, np.insert(out, ends[1:], A.END), ends + np.arange(len(ends)), sizes
 
 
-def train_model(rows: DataFrame, vocab, spelling, counts: np.ndarray, share: int = TRAIN_SHARE) -> dict:
-    """Parameters of the model, trained on one in ``share`` of the documents that are not held out."""
-    spark = rows.sparkSession
+def training_shards(rows: DataFrame, vocab, spelling, shards: int) -> DataFrame:
+    """``(shard, n, ids)``: the ids of all documents that are not held out, one row for each shard."""
 
     def encode(batches):
         for batch in batches:
-            _, _, ids, bounds, _ = _document_ids(batch["text"], vocab.value, spelling.value)
-            lists = np.split(ids.astype("<i2"), bounds[1:-1])
-            yield pd.DataFrame(
-                {"key": batch["key"], "n": np.diff(bounds), "ids": [x.tobytes() for x in lists]}
-            )
-
-    chosen = rows.filter(~F.col("held_out")).withColumn("key", F.xxhash64("doc_id", "text"))
-    chosen = chosen.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("key", "text")
-    samples = stored(chosen.mapInPandas(encode, "key bigint, n bigint, ids binary"))
-    tokens = samples.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(tokens / SHARD_TOKENS))
+            keys, texts = batch["key"].to_numpy(), batch["text"].tolist()
+            part = np.cumsum([len(t) for t in texts]) // ENCODED_CHARS
+            for mine in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+                _, _, ids, bounds, _ = _document_ids([texts[i] for i in mine], vocab.value, spelling.value)
+                lists = np.split(ids.astype("<i2"), bounds[1:-1])
+                yield pd.DataFrame({"key": keys[mine], "ids": [x.tobytes() for x in lists]})
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "ids"], kind="stable")
+        n = np.array([len(x) // 2 for x in frame["ids"]], "<i8")
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "n": [n.tobytes()], "ids": [b"".join(frame["ids"])]})
+
+    taught = rows.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    taught = taught.mapInPandas(encode, "key bigint, ids binary").withColumn("shard", F.pmod("key", F.lit(shards)))
+    # A number of its own keeps the shards apart, small as they are in bytes.
+    dealt = taught.repartition(shards, "shard").groupBy("shard")
+    return dealt.applyInPandas(together, "shard bigint, n binary, ids binary")
+
+
+def train_model(rows: DataFrame, vocab, spelling, counts: np.ndarray) -> dict:
+    """Parameters of the model, trained on all documents that are not held out; ``counts`` are those of their ids."""
+    spark = rows.sparkSession
     params = A.initial(counts)
+    tokens = int(counts.sum())
     if not tokens:
         return params
+    shards = math.ceil(tokens / SHARD_TOKENS)
+    samples = stored(training_shards(rows, vocab, spelling, shards))
     shape = {k: v for k, v in params.items()}
-    dealt = samples.withColumn("shard", F.pmod("key", F.lit(shards)))
+
+    def mean(numbers, weights, packed) -> pd.DataFrame:
+        total = sum(w * np.frombuffer(x, np.float32).astype(float) for w, x in zip(weights, packed))
+        one = (total / sum(weights)).astype(np.float32).tobytes()
+        return pd.DataFrame({"shard": [min(numbers)], "weight": [float(sum(weights))], "params": [one]})
+
     for number in range(ROUNDS):
         now = Shared(spark, params)
 
-        def steps(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["key", "n"], kind="stable")
-            ids = np.frombuffer(b"".join(frame["ids"]), "<i2").astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(frame["n"].to_numpy())])
-            rate = 0.01 if number < ROUNDS // 2 else 0.003
-            done = A.train(now.value, ids, bounds, rate=rate, seed=number, part=(number, ROUNDS))
-            return pd.DataFrame(
-                {"shard": [frame["shard"].iloc[0]], "weight": [float(len(ids))], "params": [A.pack(done)]}
-            )
-
-        def mean(frame: pd.DataFrame) -> pd.DataFrame:
-            weights = frame["weight"].to_numpy()
-            total = sum(w * np.frombuffer(x, np.float32).astype(float) for w, x in zip(weights, frame["params"]))
-            packed = (total / weights.sum()).astype(np.float32).tobytes()
-            return pd.DataFrame({"shard": [frame["shard"].min()], "weight": [weights.sum()], "params": [packed]})
+        def steps(batches):
+            numbers, weights, packed = [], [], []
+            for batch in batches:
+                for shard, n, ids in zip(batch["shard"], batch["n"], batch["ids"]):
+                    ids = np.frombuffer(ids, "<i2").astype(np.int64)
+                    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(n, "<i8"))])
+                    rate = 0.01 if number < ROUNDS // 2 else 0.003
+                    done = A.train(now.value, ids, bounds, rate=rate, seed=number, part=(number, ROUNDS))
+                    numbers.append(shard)
+                    weights.append(float(len(ids)))
+                    packed.append(A.pack(done))
+                    if len(packed) == AVERAGED_AT_ONCE:
+                        yield mean(numbers, weights, packed)
+                        numbers, weights, packed = [], [], []
+            if packed:
+                yield mean(numbers, weights, packed)
 
         schema = "shard bigint, weight double, params binary"
-        # A number of its own keeps the shards apart, small as they are in bytes.
-        trained = dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(steps, schema)
+        trained = samples.mapInPandas(steps, schema)
         left = shards
         while left > 1:
             left = math.ceil(left / AVERAGED_AT_ONCE)
-            trained = trained.groupBy(F.pmod("shard", F.lit(left)).alias("part")).applyInPandas(mean, schema)
-        params = A.unpack(trained.first()["params"], shape)
+            trained = trained.groupBy(F.pmod("shard", F.lit(left)).alias("part")).applyInPandas(
+                lambda frame: mean(frame["shard"], frame["weight"], frame["params"]), schema
+            )
+        params = A.unpack(stored(trained).first()["params"], shape)
     return params
 
 

@@ -396,5 +396,24 @@ def test_lm_odd_rows(spark):
     assert lm_scoring.score(docs.limit(0), PATH, split("doc_id", 7)).count() == 0
 
 
+def test_model_trains_on_every_document(spark):
+    rows = [(i, f"text {i} of " + " ".join(f"w{i}x{j}" for j in range(20)), i == 9) for i in (1, 2, 3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean")
+    vocab = lm_scoring.Shared(spark, lm_scoring.Vocabulary(PATH))
+    chunks, train_docs = lm_scoring.chunked(docs, "doc_id", "text", F.col("held"))
+    values, bounds, counts = lm_scoring.model_vocabulary(lm_scoring.word_counts(chunks), vocab, train_docs)
+    spelling = lm_scoring.Shared(spark, (values, bounds))
+    trained = {
+        out: attention.pack(lm_scoring.train_model(chunks.filter(F.col("doc_id") != out), vocab, spelling, counts))
+        for out in (0, 1, 2, 3, 9)
+    }
+    # Every training document has a part in the parameters, the one held out has none.
+    assert len(set(trained.values())) == 4 and trained[0] == trained[9]
+    assert attention.pack(attention.initial(counts)) not in trained.values()
+    shards = lm_scoring.training_shards(chunks, vocab, spelling, 2).collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<i2") for r in shards])
+    assert (np.bincount(ids, minlength=len(counts)) == counts).all()
+
+
 def test_digest_of_empty_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
