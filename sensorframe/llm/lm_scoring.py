@@ -10,10 +10,9 @@
 3. The model is trained by rounds of local steps: all documents that are not held out
    are dealt into shards, every shard trains on its windows, a part of them in each
    round and all of them once, and the parameters are averaged over the shards in a tree.
-4. Every chunk is scored with its own words and the final parameters. The probability
-   of a word is the mean of two: that of its spelling under the attention model, and
-   its smoothed share of the training tokens. Both are distributions over all words,
-   and so is their mean; the second holds rare known words, the first all others.
+4. Every chunk is scored with its own words and the final parameters. The score of a
+   text is the probability of its ids, up to and with the end of the text, under the
+   attention model alone. The counts give the base score, which has no part in it.
 """
 
 from __future__ import annotations
@@ -153,8 +152,8 @@ def model_vocabulary(words: DataFrame, vocab, end_count: int) -> tuple[np.ndarra
     return values, np.concatenate([[0], np.cumsum(sizes)]), new_counts
 
 
-def _document_ids(texts, vocab: Vocabulary, spelling) -> tuple[dict, list, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, words of each text, the model ids of all texts with their bounds, and ids per word and end."""
+def _document_ids(texts, vocab: Vocabulary, spelling) -> tuple[dict, list, np.ndarray, np.ndarray]:
+    """Distinct words, words of each text, and the model ids of all texts with their bounds."""
     number, rows = _number(texts)
     ids, bounds = _word_ids(list(number), vocab)
     values, sizes = ragged(*spelling, ids)
@@ -163,8 +162,7 @@ def _document_ids(texts, vocab: Vocabulary, spelling) -> tuple[dict, list, np.nd
     out, sizes = ragged(values, word_bounds, every)
     last = np.cumsum([len(x) for x in rows], dtype=np.int64)
     ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[last]])
-    sizes = np.insert(sizes, last, 1)
-    return number, rows, np.insert(out, ends[1:], A.END), ends + np.arange(len(ends)), sizes
+    return number, rows, np.insert(out, ends[1:], A.END), ends + np.arange(len(ends))
 
 
 def training_shards(rows: DataFrame, vocab, spelling, shards: int) -> DataFrame:
@@ -175,7 +173,7 @@ def training_shards(rows: DataFrame, vocab, spelling, shards: int) -> DataFrame:
             keys, texts = batch["key"].to_numpy(), batch["text"].tolist()
             part = np.cumsum([len(t) for t in texts]) // ENCODED_CHARS
             for mine in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
-                _, _, ids, bounds, _ = _document_ids([texts[i] for i in mine], vocab.value, spelling.value)
+                _, _, ids, bounds = _document_ids([texts[i] for i in mine], vocab.value, spelling.value)
                 lists = np.split(ids.astype("<i2"), bounds[1:-1])
                 yield pd.DataFrame({"key": keys[mine], "ids": [x.tobytes() for x in lists]})
 
@@ -249,7 +247,8 @@ def score(
     """Base and model log10 probability of every whole text.
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    spelling_score)``; the last is the attention model's alone. The model learns from the rows where ``held_out`` is false. Tokens are the words
+    spelling_score)``; the last two are the same, the log10 probability of the whole
+    text under the attention model alone. The model learns from the rows where ``held_out`` is false. Tokens are the words
     between ASCII white space and one end of text; the base is a smoothed unigram
     over them. A null text is empty (one token, its end); a null id counts as an
     empty text in the split and stays null in the result. Repeated rows are scored
@@ -272,7 +271,7 @@ def score(
 
     def one(docs_of: pd.DataFrame, words_of_chunk: pd.DataFrame) -> pd.DataFrame:
         total = dict(zip(words_of_chunk["word"], words_of_chunk["c"]))
-        number, picks, ids, at, sizes = _document_ids(docs_of["text"], vocab.value, spelling.value)
+        number, picks, ids, at = _document_ids(docs_of["text"], vocab.value, spelling.value)
         c = np.fromiter((total[w] for w in number), np.int64, len(number))
         # One more word: the end of a text.
         c = np.append(c, train_docs)
@@ -280,9 +279,7 @@ def score(
         tokens = np.concatenate([np.append(x, len(number)) for x in picks])
         n = np.array([len(x) + 1 for x in picks])
         first = np.cumsum(n) - n
-        logs = A.token_logs(params.value, ids, at) / np.log(10)
-        spelled = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-        mixed = np.logaddexp(spelled * np.log(10), base[tokens] * np.log(10)) / np.log(10) - np.log10(2)
+        logs = np.add.reduceat(A.token_logs(params.value, ids, at), at[:-1]) / np.log(10)
         return pd.DataFrame(
             {
                 "doc_id": docs_of["doc_id"],
@@ -291,8 +288,8 @@ def score(
                 "n_known": np.add.reduceat(known[tokens].astype(np.int64), first),
                 "train_tokens": train_tokens,
                 "base_score": np.add.reduceat(base[tokens], first),
-                "score": np.add.reduceat(mixed, first),
-                "spelling_score": np.add.reduceat(logs, at[:-1]),
+                "score": logs,
+                "spelling_score": logs,
             }
         )
 

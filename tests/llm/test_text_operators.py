@@ -415,5 +415,15 @@ def test_model_trains_on_every_document(spark):
     assert (np.bincount(ids, minlength=len(counts)) == counts).all()
 
 
+def test_score_is_the_models_alone(spark):
+    rows = [(i, "foo " * 30) for i in range(20)] + [(100, "foo"), (101, "foobar"), (102, " ".join(f"q{i}z" for i in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in lm_scoring.score(docs, PATH, F.col("doc_id") >= 100).collect()}
+    assert all(r.score == r.spelling_score for r in found.values())
+    # Words that were never seen do not all get the same share of their own.
+    r = found[102]
+    assert r.n_known == 1 and r.score < r.base_score - r.n_tokens * math.log10(2)
+
+
 def test_digest_of_empty_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
