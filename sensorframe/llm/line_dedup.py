@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its five-word shingles. Lines of one document or of several
+A line is the set of its five-word shingles; one of fewer words is one shingle as a
+whole, and only blank lines have none. Lines of one document or of several
 match when the Jaccard similarity of their sets is ``threshold`` or more, and a
 line with an earlier match goes.
 
@@ -78,8 +79,9 @@ def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: floa
     """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
 
     A shingle is a number: the upper bits tell how frequent its first word is, the
-    lower ones are a hash. Numeric order is thus an order of rarity. Lines with fewer
-    words than a shingle have size 0 (a filter here would split every line twice).
+    lower ones are a hash. Numeric order is thus an order of rarity. All words of a line
+    with fewer are one shingle. Blank lines have size 0 (a filter here would split
+    every line twice).
     """
     logs = _literal([c.bit_length() for c in counts])
 
@@ -88,15 +90,17 @@ def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: floa
         level = F.get(logs, hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    def shingle(part: Column) -> Column:
-        level = F.shiftleft(F.shiftrightunsigned(part.getField("0"), 56), 56)
+    def shingle(part: Column, first: Column | None = None) -> Column:
+        level = F.shiftleft(F.shiftrightunsigned(part.getField("0") if first is None else first, 56), 56)
         return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
 
     own = ["id", "doc", "pos", "key", "check"]
     coded = lines.select(*own, F.transform(_words("line"), code).alias("codes"))
     runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
     moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
-    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), shingle)))
+    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), lambda part: shingle(part))))
+    short = (F.size("codes") > 0) & (F.size("codes") < words)
+    shingles = F.when(short, F.array(shingle(F.col("codes"), F.get("codes", F.lit(0))))).otherwise(shingles)
     coded = coded.select(*own, shingles.alias("shingles"))
     size = F.size("shingles")
     indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
@@ -176,7 +180,9 @@ def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: in
         F.sequence(F.lit(0), F.size("words") - words), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(words)])
     )
     texts = texts.select("key", _words("line").alias("words"))
-    texts = stored(texts.select("key", F.array_distinct(parts).alias("set")))
+    whole = F.array(F.xxhash64("words"))
+    texts = texts.select("key", F.when(F.size("words") < words, whole).otherwise(F.array_distinct(parts)).alias("set"))
+    texts = stored(texts)
     both = pairs.join(texts.select(F.col("key").alias("x"), F.col("set").alias("set_x")), "x")
     both = both.join(texts.select(F.col("key").alias("y"), F.col("set").alias("set_y")), "y")
     shared = F.size(F.array_intersect("set_x", "set_y"))
@@ -219,7 +225,8 @@ def line_dedup(
     come last. Equal lines match, and so do lines whose sets of
     ``words``-word shingles have a Jaccard similarity of ``threshold`` or more,
     whether or not the earlier line stays. Words lie between ASCII white space. Lines
-    with fewer words (empty ones too) always stay. A null text is empty: one line.
+    with fewer words match where all their words are the same; blank lines always
+    stay. A null text is empty: one line.
     Rows that repeat an id and its text count as one document and lose the same
     lines; a document may lose all its lines and is then an empty text. An empty
     table gives no rows.

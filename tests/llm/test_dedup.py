@@ -205,3 +205,9 @@ def test_line_dedup_odd_rows(spark):
     assert by_id[5] == [("own line of the pair here", 1, 0)] * 2
     assert by_id[6][0][2] == 0
     assert line_dedup.line_dedup(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "all rights\nx y z\n\n  ", "k"), (2, "all  rights\nown\n\n  ", "k"), (3, "x y z\nx y z w\nx y z w\nx z y", "k")]
+    found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("own\n\n  ", 1), 3: ("x y z w\nx z y", 2)}
