@@ -2,11 +2,11 @@
 
 A seed is a mask over consecutive words: positions marked 1 are hashed, the others
 are ignored, so a changed word there does not hide a hit. The masks below are such
-that every aligned stretch of 12 words with two substitutions or fewer has a hit
-(checked over all patterns in the tests). Hits only propose an alignment: around
+that every aligned stretch of 12 to 23 words, a fifth of them or fewer substituted,
+has a hit (checked over all patterns in the tests). Hits only propose an alignment: around
 each one the words are compared, and a leak is an aligned stretch of ``MIN_WORDS``
-words or more of which ``SIMILARITY`` are equal. Any such stretch holds 12 words
-with two substitutions at most, so none is missed. Items with fewer words must occur
+words or more of which ``SIMILARITY`` are equal. Of a stretch of 24 words or more one
+half is no worse than the whole, so none is missed. Items with fewer words must occur
 whole and unchanged.
 
 The seeds of the benchmark reach the tasks as a bit table of fixed size. Words
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm.tables import Shared, stored
 
-MASKS = ("111111", "1010001111", "1101011001", "110010111")
+MASKS = ("111111", "1010001111", "1101011001", "110010111", "1110011")
 MIN_WORDS = 12
 SIMILARITY = 0.8
 #: Bits of the table that documents are looked up in; its size does not depend on the benchmark.

@@ -80,6 +80,14 @@ def test_masks_hit_every_stretch_of_twelve_words():
         assert any((m << p) & bad == 0 for m, span in masks for p in range(12 - span + 1))
 
 
+def test_masks_hit_every_stretch_with_a_fifth_changed():
+    masks = [(int(m[::-1], 2), len(m)) for m in decontaminate.MASKS]
+    for n in range(12, 24):
+        for changed in itertools.combinations(range(n), n // 5):
+            bad = sum(1 << i for i in changed)
+            assert any((m << p) & bad == 0 for m, span in masks for p in range(n - span + 1)), (n, changed)
+
+
 def brute_leaks(docs, items):
     out = {}
     for (i, text), (j, item) in itertools.product(docs, items):
