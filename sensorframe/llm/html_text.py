@@ -6,7 +6,8 @@ with a Gaussian along the page; lines above a threshold form the clusters of con
 The smallest element that is meant to hold an article and holds most of the
 clustered text is the content region, and all of its lines belong to the text, short
 ones too, but for parts that are marked as something else (menus, adverts, notices,
-forms, comments of readers).
+forms, comments of readers). A marked element that holds the region or nearly all of
+the clustered text is a wrapper of the article and is taken as if it were not marked.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video select button textarea"
-    " form nav footer aside menu dialog".split()
+    " nav footer aside menu dialog".split()
 )
 REGIONS = frozenset("article main section div td body".split())
 CLOSES_P = BLOCKS - frozenset("body html option".split())
@@ -55,6 +56,7 @@ class Element:
     parent: Element | None
     skipped: bool
     region: bool
+    marked: bool = False
 
 
 @dataclass
@@ -87,15 +89,21 @@ class Events(HTMLParser):
         else:
             self.line.element = self.stack[-1]
 
-    def _marked(self, name: str, attrs) -> bool:
+    def _skipped(self, name: str, attrs) -> bool:
+        """Whether an element never holds text of the article."""
         if name in NO_TEXT:
             return True
         if name == "header":
             # The heading of an article may stand in a header of its own.
             return not any(e.name in ("article", "main") for e in self.stack)
         given = dict(attrs)
-        if "hidden" in given or given.get("aria-hidden") == "true":
+        return "hidden" in given or given.get("aria-hidden") == "true"
+
+    def _marked(self, name: str, attrs) -> bool:
+        """Whether an element names itself as something else; a wrapper of the article may do so too."""
+        if name == "form":
             return True
+        given = dict(attrs)
         words = " ".join(given.get(k) or "" for k in ("class", "id", "role")).lower()
         return name not in ("html", "body") and not OTHER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", words))
 
@@ -118,8 +126,8 @@ class Events(HTMLParser):
         if name == "a":
             self.links += 1
         above = self.stack[-1]
-        skipped = above.skipped or self._marked(name, attrs)
-        self.stack.append(Element(name, self.count, above, skipped, name in REGIONS))
+        skipped = above.skipped or self._skipped(name, attrs)
+        self.stack.append(Element(name, self.count, above, skipped, name in REGIONS, self._marked(name, attrs)))
         self.count += 1
         if name in BLOCKS:
             self.line.element = self.stack[-1]
@@ -164,7 +172,7 @@ class Events(HTMLParser):
 
 
 def lines_of(html: str) -> list[Line]:
-    """Lines with text, in page order; parts that are marked as something else give none."""
+    """Lines with text, in page order; elements that never hold text of the article give none."""
     events = Events()
     for i in range(0, len(html), PIECE):
         events.feed(html[i : i + PIECE])
@@ -214,9 +222,55 @@ def _region(lines: list[Line], most: float = MOST) -> int:
     return max(fit) if fit else 0
 
 
+def _wrappers(lines: list[Line], most: float = MOST) -> set[int]:
+    """Numbers of the marked elements that lie round the article."""
+    weight: dict[int, int] = {}
+    named: dict[int, int] = {}
+    held: dict[int, Element] = {}
+    total = inside_named = 0
+    for line, inside in zip(lines, content_lines(lines)):
+        if not inside:
+            continue
+        size, element, below, counted = len(line.text()), line.element, False, False
+        total += size
+        while element is not None:
+            held[element.number] = element
+            weight[element.number] = weight.get(element.number, 0) + size
+            below = below or element.marked
+            # Comments of readers may be article elements; what is marked inside one is not its text.
+            if element.name in ("article", "main") and not below:
+                named[element.number] = named.get(element.number, 0) + size
+                counted = True
+            element = element.parent
+        inside_named += size * counted
+    for name in ("article", "main"):
+        fit = [n for n, w in named.items() if held[n].name == name and w >= most * inside_named]
+        if fit:
+            found, element = set(), held[min(fit)]
+            while element is not None:
+                found.add(element.number)
+                element = element.parent
+            return found
+    return {n for n, w in weight.items() if w >= 0.9 * total and held[n].marked}
+
+
+def _unmarked(lines: list[Line]) -> list[Line]:
+    """The lines that lie in no marked element but wrappers of the article."""
+
+    def stays(element: Element | None) -> bool:
+        while element is not None:
+            if element.marked and element.number not in wrappers:
+                return False
+            element = element.parent
+        return True
+
+    wrappers = _wrappers(lines)
+    return [line for line in lines if stays(line.element)]
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, joined by an empty line; empty if there is none."""
-    lines = lines_of(html)
+    lines = _unmarked(lines_of(html))
     if not lines:
         return ""
     region, out = _region(lines), []

@@ -310,6 +310,22 @@ def test_page_texts(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='content-sidebar-wrap'>", "<div class='layout with-sidebar'>", "<section class=no-comments>", "<div id=ad-free>", "<form>"],
+)
+@pytest.mark.parametrize("inner", ["<article>", "<div>", ""])
+def test_marked_wrappers_of_the_article(wrapper, inner):
+    text = ["A long text that says much about it and goes on for a while.", "More of the long text, which goes on for a while too."]
+    body = "".join(f"<p>{t}</p>" for t in text) + "<div class=ads>Buy</div><form>name</form>"
+    page = f"<body><div id=menu><a href=1>m</a></div>{wrapper}{inner}{body}"
+    assert html_text.main_text(page) == "\n\n".join(text)
+    comments = "<div class=comments>" + "<article class=comment><p>What a reader has to say on it.</p></article>" * 9 + "</div>"
+    if inner == "<article>":
+        end = "</article></form>" if wrapper == "<form>" else "</article>"
+        assert html_text.main_text(f"{page}{end}{comments}") == "\n\n".join(text)
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html as entities
 
