@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
@@ -13,10 +13,13 @@ from sensorframe.llm import (
     html_text,
     line_dedup,
     lm_scoring,
+    periodic_runs,
+    personal_data,
     quality,
     reply_trees,
     secret_ledger,
     simhash,
+    whitening,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -104,6 +107,62 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+    strict = F.filter("spans", lambda s: s["strict"])
+    counts = [F.size(F.filter("spans", lambda s: s["strict"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(personal_data.span_list(strict), 256).alias("base_sha256"),
+        personal_data.span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth by hash with a tail whose words repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w[0]), F.floor(w[1] / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        bound = F.struct(w[0].alias("w"), a.alias("a"), p.alias("p"))
+        return personal_data.let(
+            bound,
+            lambda b: F.array_join(
+                F.transform(b["w"], lambda x, i: F.when(i < b["a"], x).otherwise(F.get(b["w"], b["a"] + (i - b["a"]) % b["p"]))), " "
+            ),
+        )
+
+    pair = F.struct(words.alias("w"), h.alias("h"))
+    changed = personal_data.let(pair, lambda w: F.when(F.size(w["w"]) > 0, repeated((w["w"], w["h"]))).otherwise(""))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_periods(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("a"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.a")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
@@ -115,6 +174,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_text": op9_html_text,
     "op10_simhash": op10_simhash,
+    "op11_pii": op11_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 #: Texts are equal after white space: every run of it is one space.

@@ -15,7 +15,7 @@ from test_text_operators import brute_leaks
 def test_entry_registers_all():
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
