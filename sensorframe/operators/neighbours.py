@@ -67,3 +67,22 @@ def with_neighbours(
 
 def _running(name: str, window: W) -> Column:
     return F.last(name, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, -1))
+
+
+def running_totals(df: DataFrame, by: Sequence[str], bucket: str, order: str, values: Mapping[str, Column]) -> DataFrame:
+    """Add, per output name, the sum of a value over all rows of the group before each row.
+
+    ``bucket`` and ``order`` are those of ``with_neighbours``: windows run inside a
+    bucket, and over one row per bucket.
+    """
+    keys = [*by, bucket]
+    staged = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    local = staged.withColumns({f"_l_{n}": _sum_before(f"_v_{n}", W.partitionBy(*keys).orderBy(order)) for n in values})
+    summary = staged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in values])
+    carried = summary.select(*keys, *[_sum_before(f"_e_{n}", W.partitionBy(*by).orderBy(bucket)).alias(f"_c_{n}") for n in values])
+    joined = join_on_keys(local, carried, keys)
+    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in values])
+
+
+def _sum_before(name: str, window: W) -> Column:
+    return F.coalesce(F.sum(name).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import bound_column, parse_datetime, to_micros
 from sensorframe.functions.values import fingerprint, size_text
-from sensorframe.operators.joins import fits_broadcast, join_on_keys, sized_join
+from sensorframe.operators.joins import join_on_keys
+from sensorframe.operators.ranks import range_counts
 from sensorframe.operators.select import axis_columns_of, coverage, stream_extents
 from sensorframe.plans.export import EXPORT_FORMATS
 from sensorframe.plans.limits import FINISHED, NO_DATA, REFUSED, csv_parts, slice_count
@@ -101,30 +102,28 @@ def selected_rows(
 ) -> DataFrame:
     """Per request and stream: matching rows, and rows left by the positional cut.
 
-    The samples are scanned with the batch's outer time range pushed down; the
-    requests are the small side of the join, and the counts are partially
-    aggregated before they are shuffled. A stream with no match has no row.
+    The bounds of all requests are ranked in the time order of their stream, and in the
+    order of positions for the cut (see ``range_counts``): samples are never joined with
+    the requests that cover them. The batch's outer time range is pushed to
+    the scan. A stream with no match has no row.
     """
     batch = expanded.select("request_id", "stream", "start", "end")
-    fits = fits_broadcast(batch)
     span = batch.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
-    rows = samples.select("stream", F.col(time).alias("_time"), F.col(position).alias("_at"))
+    rows = samples.select("stream", F.col(time).alias("_time"), F.col(position).cast("bigint").alias("_place"))
     in_span = rows
     if span["low"] is not None and span["high"] is not None:
         in_span = rows.where(F.col("_time").between(bound_column(span["low"]), bound_column(span["high"])))
-    inside = F.col("_time").between(F.col("start"), F.col("end"))
-    matched = sized_join(in_span, batch, ["stream"], "inner", inside, fits)
-    counted = matched.groupBy("request_id", "stream").agg(
-        F.count(F.lit(1)).alias("n_match"), F.min("_at").alias("_from"), F.max("_at").alias("_to")
+    bounds = batch.select(
+        "request_id", "stream", to_micros(F.col("start")).alias("low"), (to_micros(F.col("end")) + 1).alias("high")
     )
+    at = to_micros(F.col("_time"))
     if time_ordered:
-        return counted.select("request_id", "stream", "n_match", (F.col("n_match") - 1).alias("n_rows"))
-    cut = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    # At most one row per row of the batch, so the batch's measurement holds for it.
-    kept = sized_join(rows, counted, ["stream"], "inner", cut, fits)
-    n_rows = kept.groupBy("request_id", "stream").agg(F.count(F.lit(1)).alias("n_rows"))
-    joined = counted.select("request_id", "stream", "n_match").join(n_rows, ["request_id", "stream"], "left")
-    return joined.withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
+        counted = range_counts(bounds, in_span, ["stream"], at, "low", "high").where("n > 0")
+        return counted.select("request_id", "stream", F.col("n").alias("n_match"), (F.col("n") - 1).alias("n_rows"))
+    counted = range_counts(bounds, in_span, ["stream"], at, "low", "high", F.col("_place")).where("n > 0")
+    cuts = counted.select("request_id", "stream", F.col("n").alias("n_match"), "least", "greatest")
+    kept = range_counts(cuts, rows, ["stream"], F.col("_place"), "least", "greatest")
+    return kept.select("request_id", "stream", "n_match", F.col("n").alias("n_rows"))
 
 
 def request_outcomes(

@@ -81,7 +81,7 @@ def test_matches_without_broadcast(spark, samples, monkeypatch):
     expanded = expand_requests(batch(spark, ("A,B", 5, 25), ("A", 0, 5), ("B", -5, 100)))
     fast = sorted(map(tuple, selected_rows(expanded, samples).collect()))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr("sensorframe.plans.requests.fits_broadcast", lambda small: False)
+    monkeypatch.setattr("sensorframe.operators.ranks.fits_broadcast", lambda small: False)
     assert sorted(map(tuple, selected_rows(expanded, samples).collect())) == fast
 
 
