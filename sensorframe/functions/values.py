@@ -65,6 +65,12 @@ def size_text(size: Column) -> Column:
     return F.when(size.isNotNull(), text)
 
 
+def readable_size(size: int) -> str:
+    """``size_text`` of one number."""
+    power = next((p for p in range(len(SIZE_UNITS) - 1) if size < 1024 ** (p + 1)), len(SIZE_UNITS) - 1)
+    return f"{round(size / 1024**power, 1):.1f} {SIZE_UNITS[power]}"
+
+
 def fingerprint(fields: Sequence[str]) -> Column:
     """md5 over the JSON of the named columns in the given order."""
     return F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))

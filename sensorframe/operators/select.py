@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import bound_column, time_text
+from sensorframe.functions.cftime import bound_column, parse_bound, time_text
 from sensorframe.functions.values import nans_to_null
 from sensorframe.operators.joins import join_on_keys, sized_join
 
@@ -134,6 +134,18 @@ def covers(start: Column, end: Column, first: Column, last: Column, mode: str =
     return F.coalesce(found, F.lit(False))
 
 
+def spans_meet(start, end, first: datetime | None, last: datetime | None, mode: str = "reference") -> bool:
+    """``covers`` for one request and one stream with a known extent."""
+    start, end = parse_bound(start), parse_bound(end)
+    if mode not in ("reference", "overlap"):
+        raise ValueError("mode is 'reference' or 'overlap'")
+    if None in (start, end, first, last):
+        return False
+    if mode == "overlap":
+        return start <= end and start <= last and end >= first
+    return first <= start < last or first <= end < last
+
+
 def coverage(
     requests: DataFrame, extents: DataFrame, mode: str = "reference", start: str = "start", end: str = "end"
 ) -> DataFrame:

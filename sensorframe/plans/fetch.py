@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import bound_column
-from sensorframe.functions.values import size_text, value_bytes
+from sensorframe.functions.values import readable_size, value_bytes
 from sensorframe.operators.merge import tagged_union, union_by_name
 from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
-from sensorframe.operators.select import axis_columns, covers
+from sensorframe.operators.select import axis_columns, spans_meet
 from sensorframe.plans.export import EXPORT_FORMATS, ExportResult, export
 from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED, TOO_LARGE, UNKNOWN_FORMAT
 from sensorframe.plans.plot import PlotResult, plot
@@ -28,6 +27,11 @@ class Prepared:
     merged: DataFrame | None
     msg: str = ""
     status: str = "completed"
+    #: Looks why the merged rows turned out to be none.
+    empty_reason: Callable[[], Prepared | None] | None = None
+
+    def reason(self) -> Prepared | None:
+        return self.empty_reason() if self.empty_reason is not None else None
 
 
 def select_streams(
@@ -58,19 +62,26 @@ def merge_selected(
 
 
 def uncovered_streams(streams: Mapping[str, Stream], start, end, mode: str = "reference") -> list[str]:
-    """Names of the streams that do not cover the request; one job, one row per stream."""
-    extents = union_by_name(
-        [
-            s.base.agg(F.min("time").alias("a"), F.max("time").alias("b")).withColumn("stream", F.lit(name))
-            for name, s in streams.items()
-        ]
-    )
-    found = covers(bound_column(start), bound_column(end), F.col("a"), F.col("b"), mode)
-    return sorted(r["stream"] for r in extents.where(~found).select("stream").collect())
+    """Names of the streams that do not cover the request.
+
+    Recorded extents decide without a job; the extents of streams without a record are
+    scanned in one, with one row per stream.
+    """
+    known, scanned = {}, []
+    for name, s in streams.items():
+        if s.statistics is not None:
+            known[name] = (s.statistics.first_time, s.statistics.last_time)
+        else:
+            scanned.append(s.base.agg(F.min("time").alias("a"), F.max("time").alias("b")).withColumn("stream", F.lit(name)))
+    if scanned:
+        known |= {r["stream"]: (r["a"], r["b"]) for r in union_by_name(scanned).collect()}
+    return sorted(n for n, (a, b) in known.items() if not spans_meet(start, end, a, b, mode))
 
 
 def _present(frames: Mapping[str, DataFrame]) -> set[str]:
     """Names of the frames with at least one row; one job."""
+    if not frames:
+        return set()
     tagged = union_by_name([df.limit(1).select(F.lit(name).alias("stream")) for name, df in frames.items()])
     return {r["stream"] for r in tagged.collect()}
 
@@ -88,37 +99,61 @@ def prepare(
 ) -> Prepared:
     """Admission (only with ``max_dimension_bytes``), coverage and emptiness checks, then selection and merge.
 
+    Sizes and coverage come from the records of stored streams. A single stream is not looked
+    into here: only if its result turns out empty does ``Prepared.reason`` look why.
     A merge of several streams is stored, as every result reads it more than once.
     """
     if max_dimension_bytes is not None:
         dimensions = dimension_size(streams)
-        if dimensions["size"] > max_dimension_bytes:
-            return Prepared(None, TOO_LARGE.format(size=dimensions["text"]))
+        if dimensions.size > max_dimension_bytes:
+            return Prepared(None, TOO_LARGE.format(size=dimensions.text))
     missing = set(uncovered_streams(streams, start, end))
-    matched = _present(select_streams(streams, x, y, color, start, end, "inclusive"))
-    unmatched = [name for name in streams if name not in missing and name not in matched]
-    if unmatched:
-        return Prepared(None, f"No sample of {','.join(unmatched)} lies between {start} and {end}.", "failed")
-    if missing:
-        return Prepared(None, NOT_COVERED)
-    selected = select_streams(streams, x, y, color, start, end)
+    within = {name: s for name, s in streams.items() if name not in missing}
+    selected = select_streams(within, x, y, color, start, end)
+
+    def empty_reason(empty: list[str]) -> Prepared | None:
+        """Why streams without a selected row have none, and what else stands in the way."""
+        matched = _present(select_streams({n: streams[n] for n in empty}, x, y, color, start, end, "inclusive"))
+        unmatched = [name for name in empty if name not in matched]
+        if unmatched:
+            return Prepared(None, f"No sample of {','.join(unmatched)} lies between {start} and {end}.", "failed")
+        if missing:
+            return Prepared(None, NOT_COVERED)
+        return Prepared(None, EMPTY_STREAMS.format(streams=",".join(empty))) if empty else None
+
+    if len(streams) == 1 and not missing:
+        return Prepared(selected[next(iter(streams))].drop("_pos"), empty_reason=lambda: empty_reason(list(streams)))
     present = _present(selected)
-    empty = [name for name in streams if name not in present]
-    if empty:
-        return Prepared(None, EMPTY_STREAMS.format(streams=",".join(empty)))
-    merged = merge_selected(selected, start, end, step, suffix=suffix)
-    return Prepared(materialize(merged) if len(selected) > 1 else merged)
+    reason = empty_reason([name for name in within if name not in present])
+    if reason is not None:
+        return reason
+    unique = all(s.statistics is not None and s.statistics.unique for s in streams.values())
+    merged = merge_selected(selected, start, end, step, suffix=suffix, duplicates="unique" if unique else "error")
+    return Prepared(materialize(merged))
 
 
-def dimension_size(streams: Mapping[str, Stream]) -> Row:
-    """``size`` in bytes, and as ``text``, of all dimension coordinates of whole streams; only those columns are read."""
-    sizes = []
+@dataclass(frozen=True)
+class DimensionSize:
+    size: int
+    text: str
+
+
+def dimension_size(streams: Mapping[str, Stream]) -> DimensionSize:
+    """``size`` in bytes, and as ``text``, of all dimension coordinates of whole streams.
+
+    Taken from the records of stored streams; of others only those columns are read.
+    """
+    size, scanned = 0, []
     for stream in streams.values():
+        if stream.statistics is not None:
+            size += stream.statistics.bytes_of(stream.dims)
+            continue
         fields = [f for f in stream.base.schema if f.name in stream.dims]
         width = sum((value_bytes(f) for f in fields), F.lit(0).cast("bigint"))
-        sizes.append(stream.base.agg(F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("n")))
-    total = union_by_name(sizes).agg(F.sum("n").alias("size"))
-    return total.select("size", size_text(F.col("size")).alias("text")).first()
+        scanned.append(stream.base.agg(F.coalesce(F.sum(width), F.lit(0)).cast("bigint").alias("n")))
+    if scanned:
+        size += union_by_name(scanned).agg(F.sum("n").alias("size")).first()["size"]
+    return DimensionSize(size, readable_size(size))
 
 
 def plot_request(
@@ -135,7 +170,9 @@ def plot_request(
     ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes)
     if ready.merged is None:
         return PlotResult(None, 0, False, ready.msg, ready.status)
-    return plot(ready.merged, x, y, color, **options)
+    result = plot(ready.merged, x, y, color, **options)
+    why = ready.reason() if result.count == 0 else None
+    return result if why is None else PlotResult(None, 0, False, why.msg, why.status)
 
 
 def download_request(
@@ -157,7 +194,9 @@ def download_request(
     if ready.merged is None:
         return ExportResult(None, 0, 0, ready.status, ready.msg)
     axes = {"x": x, "y": y, "z": color}
-    return export(ready.merged, root, start, end, download_format, list(streams), axes, **options)
+    result = export(ready.merged, root, start, end, download_format, list(streams), axes, **options)
+    why = ready.reason() if result.n_rows == 0 else None
+    return result if why is None else ExportResult(None, 0, 0, why.status, why.msg)
 
 
 def fetch(

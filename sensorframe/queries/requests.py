@@ -21,7 +21,8 @@ from sensorframe.plans.requests import (
 from sensorframe.queries.bindings import NATION_REQUESTS_SQL, event_streams, nation_requests, table
 from sensorframe.session import shared_folder
 from sensorframe.sources.samples import to_records
-from sensorframe.sources.streams import build_manifest, open_stream, write_stream
+from sensorframe.plans.fetch import fetch
+from sensorframe.sources.streams import build_manifest, open_stream, recorded_manifest, write_stream
 
 FOLDER_BYTES = 400_000
 
@@ -225,6 +226,37 @@ def stored_stream(spark, sf_dir):
     return cut.df.select("time", "value", "_pos")
 
 
+def _stored_events(spark, sf_dir, name):
+    root = _folder(spark, name)
+    write_stream(event_streams(spark, sf_dir).drop("stream"), root, "events")
+    return open_stream(spark, root, "events")
+
+
+def stream_record(spark, sf_dir):
+    """What is recorded of a stream as it is written, one row per variable."""
+    known = _stored_events(spark, sf_dir, "record").statistics
+    whole = (known.rows, known.first_time, known.last_time, known.ordered, known.unique)
+    rows = [(*whole, v.variable, v.dtype, v.n_present, v.n_values, v.n_bytes) for v in known.variables]
+    return spark.createDataFrame(
+        rows,
+        "rows bigint, first_time timestamp_ntz, last_time timestamp_ntz, ordered boolean, unique boolean, "
+        "variable string, dtype string, n_present bigint, n_values bigint, n_bytes bigint",
+    )
+
+
+def recorded_manifest_rows(spark, sf_dir):
+    """The manifest of a stored stream, from its record alone."""
+    found = recorded_manifest(spark, {"events": _stored_events(spark, sf_dir, "recorded")})
+    return found.withColumns({"dims": F.array_join("dims", ","), "attrs": F.size("attrs")})
+
+
+def stored_plot(spark, sf_dir):
+    """A plot request on a stored stream: its record decides on size and coverage."""
+    request = {"ref": "events", "x": "time", "y": "value", "color": "user_id", "start_dt": "2024-01-05", "end_dt": "2024-01-19T18:00:00"}
+    done = fetch(request, {"events": _stored_events(spark, sf_dir, "plot")}, max_dimension_bytes=1 << 40)
+    return done.data.withColumn("count", F.lit(done.count))
+
+
 def json_records(spark, sf_dir):
     return to_records(table(spark, sf_dir, "customer"))
 
@@ -251,6 +283,9 @@ QUERIES = {
     "stored_results": stored_results,
     "stored_results_mixed": stored_results_mixed,
     "stored_stream": stored_stream,
+    "stream_record": stream_record,
+    "recorded_manifest": recorded_manifest_rows,
+    "stored_plot": stored_plot,
     "json_records": json_records,
 }
 
@@ -391,6 +426,20 @@ ORACLES = {
              WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 06:00:00')
   SELECT ts AS time, value, event_id AS _pos FROM events, b
   WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 06:00:00' AND event_id < z""",
+    "stream_record": """
+  SELECT n AS rows, a AS first_time, b AS last_time, TRUE AS ordered, n = u AS "unique", variable, dtype, n AS n_present,
+         n AS n_values, 8 * n AS n_bytes
+  FROM (SELECT count(*) AS n, min(ts) AS a, max(ts) AS b, count(DISTINCT ts) AS u FROM events),
+       (VALUES ('time', 'timestamp_ntz'), ('value', 'double'), ('user_id', 'bigint'), ('_pos', 'bigint')) v(variable, dtype)""",
+    "recorded_manifest": """
+  SELECT 'events' AS stream, variable, 'time' AS dims, 0::INTEGER AS attrs, dtype, 8::INTEGER AS item_bytes, n AS n_values,
+         8 * n AS n_bytes, variable = 'time' AS is_dim
+  FROM (SELECT count(*) AS n FROM events),
+       (VALUES ('time', 'timestamp_ntz'), ('value', 'double'), ('user_id', 'bigint')) v(variable, dtype)""",
+    "stored_plot": """
+  WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 18:00:00')
+  SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, user_id, (SELECT count(*) - 1 FROM m) AS count
+  FROM m WHERE event_id < (SELECT max(event_id) FROM m)""",
     "json_records": """
   SELECT CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_acctbal: c_acctbal,
                        c_mktsegment: c_mktsegment})

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sensorframe.functions.values import fixed_width, nans_to_null, value_bytes
 from sensorframe.operators.select import check_dimensions, project, range_bounds, select_ranges
+from sensorframe.sources.statistics import StreamStatistics, observed, order_of, read_statistics, write_statistics
 
 DAY = "stream_day"
 
@@ -27,6 +28,8 @@ class Stream:
     current: DataFrame | None = None
     #: Column of day folders, if the table lies in some.
     day: str | None = None
+    #: What was recorded of the whole stream when it was written.
+    statistics: StreamStatistics | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -64,23 +67,41 @@ def open_stream(
     name: str,
     dims: Sequence[str] = ("time",),
     attrs: Mapping[str, str] | None = None,
-    time_ordered: bool = False,
+    time_ordered: bool | None = None,
 ) -> Stream:
-    """A stream stored as a Parquet table under ``root``, NaN read as null."""
+    """A stream stored as a Parquet table under ``root``, NaN read as null.
+
+    Its statistics are read with it, if it was written with some; they also tell whether
+    positions grow with time, unless ``time_ordered`` does.
+    """
     table = nans_to_null(spark.read.parquet(f"{root}/{name}"))
+    known = read_statistics(spark, f"{root}/{name}")
+    if time_ordered is None:
+        time_ordered = known is not None and known.ordered
     day = DAY if DAY in table.columns else None
-    return Stream(name, table, tuple(dims), dict(attrs or {}), time_ordered, day=day)
+    return Stream(name, table, tuple(dims), dict(attrs or {}), time_ordered, day=day, statistics=known)
 
 
-def write_stream(samples: DataFrame, root: str, name: str, time: str = "time") -> None:
+def write_stream(samples: DataFrame, root: str, name: str, time: str = "time", statistics: bool = True) -> None:
     """Store a stream in day folders, sorted, so that a time range prunes files and row groups.
 
     Range partitions keep the number of files per day small and cut a day with
-    many samples into several; ties are split by input position.
+    many samples into several; ties are split by input position. Rows, extent and sizes are observed
+    as the rows are written; the order is checked on the written times and positions.
     """
+    spark, path = samples.sparkSession, f"{root}/{name}"
     days = samples.withColumn(DAY, F.to_date(time)).withColumn("_tie", F.monotonically_increasing_id())
     placed = days.repartitionByRange(DAY, time, "_tie").sortWithinPartitions(DAY, time, "_tie").drop("_tie")
-    placed.write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/{name}")
+    if not statistics:
+        placed.write.mode("overwrite").partitionBy(DAY).parquet(path)
+        return
+    # What readers see: NaN is null.
+    fields = samples.schema.fields
+    watched, seen = observed(nans_to_null(placed), fields, time)
+    watched.write.mode("overwrite").partitionBy(DAY).parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    ordered, unique = order_of(stored, time, "_pos" if "_pos" in samples.columns else None)
+    write_statistics(spark, path, fields, seen.get, ordered, unique)
 
 
 def split_stream(samples: DataFrame, stream: str, tag: str = "stream", **handle) -> Stream:
@@ -125,6 +146,29 @@ def build_manifest(
     return counted.select(F.col(by).alias("stream"), F.explode(F.array(*rows)).alias("v")).select("stream", "v.*")
 
 
+def recorded_manifest(spark: SparkSession, streams: Mapping[str, Stream]) -> DataFrame:
+    """``build_manifest`` of stored streams from their statistics; no sample is read."""
+    rows = []
+    for name, stream in streams.items():
+        if stream.statistics is None:
+            raise ValueError(f"stream '{name}' was written without statistics")
+        kinds = {f.name: f.dataType for f in stream.base.schema}
+        for v in stream.statistics.variables:
+            if v.variable == "_pos":
+                continue
+            kind = kinds[v.variable]
+            is_array = isinstance(kind, T.ArrayType)
+            item = kind.elementType if is_array else kind
+            along = ["time", f"{v.variable}_index"] if is_array else ["time"]
+            width = None if isinstance(item, T.StringType) else fixed_width(item)
+            rows.append((name, v.variable, along, {}, v.dtype, width, v.n_values, v.n_bytes, v.variable in along))
+    schema = (
+        "stream string, variable string, dims array<string>, attrs map<string,string>, dtype string, "
+        "item_bytes int, n_values bigint, n_bytes bigint, is_dim boolean"
+    )
+    return spark.createDataFrame(rows, schema)
+
+
 def catalog_names(manifest: DataFrame) -> DataFrame:
     return manifest.select("stream").distinct()
 
