@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions.cftime import parse_bound
+from sensorframe.functions.cftime import parse_bound, to_micros
 from sensorframe.functions.values import value_bytes
 from sensorframe.operators.flatten import flatten_arrays
-from sensorframe.operators.ranges import row_index
+from sensorframe.operators.ranges import with_slices
+from sensorframe.operators.resample import Grid
 from sensorframe.plans.limits import (
     CSV_PART_BYTES,
     FINISHED,
@@ -58,9 +59,12 @@ def export(
     time: str = "time",
     part_bytes: int | None = None,
     max_files: int | None = None,
+    grid: Grid | None = None,
 ) -> ExportResult:
     """Write ``df`` in the asked format below ``root`` with a manifest beside it.
 
+    ``grid``: the times of ``df``, if it has one row for each tick.
+
     With ``max_files``, more parts than that are refused with a message; without
     it any size is written. The table is read once to measure it and once to write it.
     """
@@ -81,7 +85,8 @@ def export(
 
     path = f"{root}/{export_name(start, end)}"
     if chosen == "netcdf":
-        write_slices(df, f"{path}/data", plan["rows_per_slice"], plan["n_files"], time)
+        whole = grid is not None and grid.ticks == plan["rows"]
+        write_slices(df, f"{path}/data", plan["rows_per_slice"], plan["n_files"], time, grid if whole else None)
     else:
         write_parts(df, f"{path}/data", chosen, plan["n_files"], time)
     n_files = count_files(df.sparkSession, f"{path}/data")
@@ -108,11 +113,21 @@ def write_parts(df: DataFrame, path: str, kind: str, n_files: int, time: str = "
         writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(path)
 
 
-def write_slices(df: DataFrame, path: str, rows_per_slice: int, n_files: int, time: str = "time") -> None:
-    """Contiguous slices of ``rows_per_slice`` rows in time order, one file each."""
-    indexed = row_index(df, [time], "_row")
-    sliced = indexed.withColumn("slice_id", F.floor(F.col("_row") / F.lit(rows_per_slice)).cast("bigint"))
-    placed = sliced.repartition(n_files, "slice_id").sortWithinPartitions("slice_id", "_row").drop("_row")
+def write_slices(
+    df: DataFrame, path: str, rows_per_slice: int, n_files: int, time: str = "time", grid: Grid | None = None
+) -> None:
+    """Contiguous slices of ``rows_per_slice`` rows in time order, one file each.
+
+    The slice of a row is known before rows move: on a ``grid`` that has one row for
+    each tick it is that of the tick, else ``with_slices`` finds it. Rows then go straight to
+    the task that writes their slice, in one exchange.
+    """
+    if grid is None:
+        sliced = with_slices(df, time, rows_per_slice)
+    else:
+        tick = F.call_function("div", to_micros(F.col(time)) - F.lit(grid.start), F.lit(grid.step * rows_per_slice))
+        sliced = df.withColumn("slice_id", tick)
+    placed = sliced.repartitionById(n_files, F.col("slice_id").cast("int")).sortWithinPartitions("slice_id", time)
     placed.write.mode("overwrite").partitionBy("slice_id").parquet(path)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions.values import readable_size, value_bytes
 from sensorframe.operators.merge import tagged_union, union_by_name
-from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, align
+from sensorframe.operators.resample import ONE_DAY, ONE_SECOND, Grid, align
 from sensorframe.operators.select import axis_columns, spans_meet
 from sensorframe.plans.export import EXPORT_FORMATS, ExportResult, export
 from sensorframe.plans.limits import EMPTY_STREAMS, NOT_COVERED, TOO_LARGE, UNKNOWN_FORMAT
@@ -27,6 +27,8 @@ class Prepared:
     merged: DataFrame | None
     msg: str = ""
     status: str = "completed"
+    #: The grid of several merged streams: one row for each tick.
+    grid: Grid | None = None
     #: Looks why the merged rows turned out to be none.
     empty_reason: Callable[[], Prepared | None] | None = None
 
@@ -129,7 +131,7 @@ def prepare(
         return reason
     unique = all(s.statistics is not None and s.statistics.unique for s in streams.values())
     merged = merge_selected(selected, start, end, step, suffix=suffix, duplicates="unique" if unique else "error")
-    return Prepared(materialize(merged))
+    return Prepared(materialize(merged), grid=Grid.of(start, end, step))
 
 
 @dataclass(frozen=True)
@@ -194,7 +196,7 @@ def download_request(
     if ready.merged is None:
         return ExportResult(None, 0, 0, ready.status, ready.msg)
     axes = {"x": x, "y": y, "z": color}
-    result = export(ready.merged, root, start, end, download_format, list(streams), axes, **options)
+    result = export(ready.merged, root, start, end, download_format, list(streams), axes, grid=ready.grid, **options)
     why = ready.reason() if result.n_rows == 0 else None
     return result if why is None else ExportResult(None, 0, 0, why.status, why.msg)
 

@@ -185,6 +185,13 @@ def sliced_roundtrip(spark, sf_dir):
     )
 
 
+def sliced_events(spark, sf_dir):
+    """Every row of an export with the slice it lies in."""
+    rows = table(spark, sf_dir, "events").withColumnRenamed("ts", "time")
+    done = export(rows, _folder(spark, "events"), "2024-01-01", "2024-02-01", "netcdf", part_bytes=30_000)
+    return spark.read.parquet(f"{done.path}/data").withColumn("slice_id", F.col("slice_id").cast("bigint"))
+
+
 def export_manifest(spark, sf_dir):
     done = _export(spark, sf_dir, "netcdf", "manifest")
     meta = spark.read.json(f"{done.path}/meta")
@@ -279,6 +286,7 @@ QUERIES = {
     "csv_quoted_roundtrip": csv_quoted_roundtrip,
     "json_roundtrip": json_roundtrip,
     "sliced_roundtrip": sliced_roundtrip,
+    "sliced_events": sliced_events,
     "export_manifest": export_manifest,
     "stored_results": stored_results,
     "stored_results_mixed": stored_results_mixed,
@@ -414,6 +422,11 @@ ORACLES = {
   r AS (SELECT l_shipdate AS time, row_number() OVER (ORDER BY l_shipdate) - 1 AS i FROM lineitem)
   SELECT i // step AS slice_id, count(*) AS rows, min(time) AS first_time, max(time) AS last_time
   FROM r, plan GROUP BY 1""",
+    "sliced_events": """
+  WITH p AS (SELECT CAST(ceil(count(*) / (sum(32 + strlen(event_type) + strlen(props)) / 30000.0::DOUBLE)) AS BIGINT) AS step
+             FROM events)
+  SELECT event_id, ts AS time, user_id, event_type, value, props, (row_number() OVER (ORDER BY ts) - 1) // step AS slice_id
+  FROM events, p""",
     "export_manifest": f"""
   WITH {_LINE_PLAN}
   SELECT 'lineitem' AS streams, 'time' AS x, 'l_quantity' AS y, '1995-01-01' AS start_datetime,
