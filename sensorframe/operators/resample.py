@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import bound_micros, from_micros, to_micros
+from sensorframe.operators.joins import fits_broadcast, sized_join
 from sensorframe.operators.merge import merged_of, merged_value
 from sensorframe.operators.neighbours import with_neighbours
+from sensorframe.session import materialize
 
 ONE_SECOND = timedelta(seconds=1)
 ONE_DAY = timedelta(days=1)
@@ -123,8 +125,8 @@ def resample(
     that long (earlier value on a tie, edges included).
 
     ``duplicates``: what to do with several samples of one instant in a group:
-    ``error``, ``first`` (lowest ``position``), or ``unique`` when the caller
-    knows there are none, which saves a shuffle of all samples.
+    ``error`` (found before anything is returned; see ``_checked``), ``first``
+    (lowest ``position``), or ``unique`` when the caller knows there are none.
     ``categorical``: other columns are dropped, or ``previous`` keeps the value
     of the last sample.
     """
@@ -204,7 +206,10 @@ def _runs(samples, grid, by, time, variables, max_gap, duplicates, position, cat
         *([position] if position else []),
     )
     clean = _one_per_instant(clean, by, [*numeric, *labels], duplicates, position)
-    runs = _lines(_segments(_cells(clean, grid, by, numeric, labels), grid, by, numeric, labels), grid, numeric)
+    cells = _cells(clean, grid, by, numeric, labels)
+    if duplicates == "error":
+        cells = _checked(clean, cells, grid, by)
+    runs = _lines(_segments(cells, grid, by, numeric, labels), grid, numeric)
     if max_gap is not None:
         runs = _with_fills(runs, grid, by, numeric, max_gap // timedelta(microseconds=1))
     return runs, numeric, labels
@@ -213,21 +218,36 @@ def _runs(samples, grid, by, time, variables, max_gap, duplicates, position, cat
 def _one_per_instant(clean, by, values, duplicates, position) -> DataFrame:
     if duplicates not in DUPLICATES:
         raise ValueError(f"duplicates is one of {', '.join(DUPLICATES)}")
-    if duplicates == "unique":
+    if duplicates != "first":
         return clean
-    if duplicates == "first":
-        if position is None:
-            raise ValueError("duplicates='first' needs a position column")
-        kept = [F.min_by(c, position).alias(c) for c in values]
-        return clean.groupBy(*by, "_t").agg(*kept) if kept else clean.select(*by, "_t").distinct()
-    once = clean.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
-    message = F.concat(F.lit("several samples at one time: "), from_micros(F.col("_t")).cast("string"))
-    checked = F.when(F.col("_n") > 1, F.raise_error(message).cast("bigint")).otherwise(F.col("_t"))
-    return once.select(*by, checked.alias("_t"), *values)
+    if position is None:
+        raise ValueError("duplicates='first' needs a position column")
+    kept = [F.min_by(c, position).alias(c) for c in values]
+    return clean.groupBy(*by, "_t").agg(*kept) if kept else clean.select(*by, "_t").distinct()
+
+
+def _checked(clean, cells, grid, by) -> DataFrame:
+    """The cells, stored, after a look for several samples of one instant.
+
+    A cell of one sample has none, and one of two has some only if both times agree.
+    The instants of fuller cells are counted; of those samples only the time is exchanged,
+    added up before it is.
+    """
+    cells = materialize(cells)
+    full = cells.where("_n > 2 or (_n = 2 and _ft = _lt)").select(*by, "_cell")
+    if not full.isEmpty():
+        times = clean.select(*by, "_t", grid.cell_of(F.col("_t")).alias("_cell"))
+        if fits_broadcast(full):
+            times = sized_join(times, full, [*by, "_cell"], fits=True)
+        again = times.groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").first()
+        if again is not None:
+            at = datetime(1970, 1, 1) + timedelta(microseconds=again["_t"])
+            raise ValueError(f"several samples at one time: {at}")
+    return cells.drop("_n")
 
 
 def _cells(clean, grid, by, numeric, labels) -> DataFrame:
-    """First and last sample of each non-empty cell. All buffers are fixed-width, so it hashes."""
+    """First and last sample of each non-empty cell, and their number. All buffers are fixed-width, so it hashes."""
     names = [*numeric, *labels]
     staged = clean.withColumn("_cell", grid.cell_of(F.col("_t")))
     # Last before first, as in _segments: the optimizer merges the two, and only
@@ -237,6 +257,7 @@ def _cells(clean, grid, by, numeric, labels) -> DataFrame:
         *[F.max_by(c, "_t").alias(f"_l_{c}") for c in names],
         F.min("_t").alias("_ft"),
         *[F.min_by(c, "_t").alias(f"_f_{c}") for c in names],
+        F.count(F.lit(1)).alias("_n"),
     )
 
 

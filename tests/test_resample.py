@@ -7,6 +7,8 @@ from conftest import at, seconds
 from pyspark.sql import functions as F
 
 from sensorframe.operators import resample as module
+from test_ranks import max_rows
+
 from sensorframe.operators.resample import Grid, align, grid_ticks, resample
 
 A = [(0, 0), (10, 10), (20, 20), (30, 30)]
@@ -206,3 +208,19 @@ def test_one_scan_and_no_shuffle_of_ticks(spark, sf_dir):
     pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
     assert "IsNotNull(ts)" in pushed and "In(event_type, [click,view])" in pushed
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
+
+
+def test_duplicates_are_found_in_any_cell(series):
+    crowd = [(5 + i / 100, i) for i in range(90)]
+    for extra in ([(5.25, 0)], [(40, 1), (40, 2)], [(-9, 1), (-9.5, 2), (-9, 3)], [(300, 1), (300, 1)]):
+        with pytest.raises(ValueError, match="several samples at one time"):
+            resample(series(A=crowd + extra, B=[(1, 1)]), at(0), at(100))
+    # The same instant in two streams is no duplicate, nor are close ones.
+    found = resample(series(A=crowd, B=crowd), at(5), at(7)).where("stream = 'A'").collect()
+    assert len(found) == 2
+
+
+def test_samples_are_not_exchanged(spark, series):
+    """What the grid is made from has one row for a cell, whatever the number of samples."""
+    df = resample(series(A=[(i / 50, i) for i in range(5_000)]), at(0), at(100))
+    assert max_rows(df) <= 3 * 101
