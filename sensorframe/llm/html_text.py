@@ -6,14 +6,17 @@ with a Gaussian along the page; lines above a threshold form the clusters of con
 The smallest element that is meant to hold an article and holds most of the
 clustered text is the content region, and all of its lines belong to the text, short
 ones too, but for parts that are marked as something else (menus, adverts, notices,
-forms, comments of readers). A marked element that holds the region or nearly all of
-the clustered text is a wrapper of the article and is taken as if it were not marked.
+forms, comments of readers). A marked element round the title and clustered text of
+its own is a wrapper of the article and is taken as if it were not marked; how much
+text a part holds never makes it one. Time and memory are linear in the page, however
+deep or malformed it is.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -32,6 +35,7 @@ NO_TEXT = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video select button textarea"
     " nav footer aside menu dialog".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article main section div td body".split())
 CLOSES_P = BLOCKS - frozenset("body html option".split())
 #: Words in a class, id or role that tell that an element is not part of the article.
@@ -57,6 +61,15 @@ class Element:
     skipped: bool
     region: bool
     marked: bool = False
+    #: The innermost marked element, this one included.
+    mark: Element | None = None
+    #: Whether an element made for articles lies round it, with no mark between.
+    article: bool = False
+
+    def __post_init__(self):
+        self.mark = self if self.marked else self.parent and self.parent.mark
+        above = self.parent is not None and self.parent.article and not self.marked
+        self.article = above or self.name in ("article", "main")
 
 
 @dataclass
@@ -78,10 +91,32 @@ class Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("", 0, None, False, True)
-        self.stack, self.count, self.lines = [self.root], 1, []
+        self.stack, self.elements, self.lines = [self.root], [self.root], []
+        #: Where open elements of a name, and of all blocks, lie in the stack.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         self.line = Line(self.root)
         self.links = 0
 
+    def _push(self, element: Element) -> None:
+        self.places[element.name].append(len(self.stack))
+        if element.name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+        self.elements.append(element)
+
+    def _cut(self, place: int) -> None:
+        """Close the open elements from a place of the stack on."""
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.places[element.name].pop()
+            if element.name in BLOCKS:
+                self.blocks.pop()
+
+    def _last(self, names) -> int:
+        """Place of the innermost open element of ``names``; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
     def _break(self) -> None:
         if self.line.parts:
             self.lines.append(self.line)
@@ -95,7 +130,7 @@ class Events(HTMLParser):
             return True
         if name == "header":
             # The heading of an article may stand in a header of its own.
-            return not any(e.name in ("article", "main") for e in self.stack)
+            return not self._last(("article", "main"))
         given = dict(attrs)
         return "hidden" in given or given.get("aria-hidden") == "true"
 
@@ -119,7 +154,9 @@ class Events(HTMLParser):
             else:
                 self.line.parts.append(" ")
         if name == "body":
-            self.stack = [e for e in self.stack if e.name not in ("head", "title")]
+            inside = [self.places[n][0] for n in ("head", "title") if self.places[n]]
+            if inside:
+                self._cut(min(inside))
         self.line.tags += 1
         if name in VOID:
             return
@@ -127,19 +164,15 @@ class Events(HTMLParser):
             self.links += 1
         above = self.stack[-1]
         skipped = above.skipped or self._skipped(name, attrs)
-        self.stack.append(Element(name, self.count, above, skipped, name in REGIONS, self._marked(name, attrs)))
-        self.count += 1
+        self._push(Element(name, len(self.elements), above, skipped, name in REGIONS, self._marked(name, attrs)))
         if name in BLOCKS:
             self.line.element = self.stack[-1]
 
     def _close_open(self, names, until) -> None:
         """Close the innermost open element of ``names`` if none of ``until`` lies above it."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name in names:
-                del self.stack[i:]
-                return
-            if self.stack[i].name in until:
-                return
+        place = self._last(names)
+        if place > self._last(until):
+            self._cut(place)
 
     def handle_startendtag(self, name, attrs):
         self.handle_starttag(name, attrs)
@@ -151,12 +184,10 @@ class Events(HTMLParser):
             self._break()
         if name == "a":
             self.links = max(0, self.links - 1)
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name:
-                del self.stack[i:]
-                break
-            if name not in BLOCKS and self.stack[i].name in BLOCKS:
-                break  # an inline element does not end a block
+        place = self._last((name,))
+        # An inline element does not end a block.
+        if place and (name in BLOCKS or not self.blocks or self.blocks[-1] < place):
+            self._cut(place)
         if name in BLOCKS:
             self.line.element = self.stack[-1]
         self.line.tags += 1
@@ -171,14 +202,14 @@ class Events(HTMLParser):
             self.line.link_chars += len(data.strip())
 
 
-def lines_of(html: str) -> list[Line]:
-    """Lines with text, in page order; elements that never hold text of the article give none."""
+def lines_of(html: str) -> tuple[list[Line], list[Element]]:
+    """Lines with text, in page order, and all elements; elements that never hold text of the article give no line."""
     events = Events()
     for i in range(0, len(html), PIECE):
         events.feed(html[i : i + PIECE])
     events.close()
     events._break()
-    return [line for line in events.lines if line.text()]
+    return [line for line in events.lines if line.text()], events.elements
 
 
 def content_lines(lines: list[Line], sigma: float = SIGMA, reach: int = REACH) -> list[bool]:
@@ -197,90 +228,90 @@ def content_lines(lines: list[Line], sigma: float = SIGMA, reach: int = REACH) -
     return [s >= threshold for s in smooth]
 
 
-def _region(lines: list[Line], most: float = MOST) -> int:
+def _region(lines: list[Line], elements: list[Element], most: float = MOST) -> int:
     """Number of the element that holds the article."""
-    weight: dict[int, int] = {}
-    held: dict[int, Element] = {}
-    total = 0
+    weight = [0] * len(elements)
     for line, inside in zip(lines, content_lines(lines)):
-        if not inside:
-            continue
-        size = len(line.text())
-        total += size
-        element = line.element
-        while element is not None:
-            if element.region:
-                weight[element.number] = weight.get(element.number, 0) + size
-                held[element.number] = element
-            element = element.parent
+        if inside:
+            weight[line.element.number] += len(line.text())
+    # Elements are numbered as they open, so an inner one comes before those round it here.
+    for element in reversed(elements):
+        if element.parent is not None:
+            weight[element.parent.number] += weight[element.number]
+    total = weight[0]
+    held = [e for e in elements if e.region and weight[e.number]]
     # An element made for articles, the outermost one, before any that may hold one.
-    for names in (("article",), ("main",)):
-        fit = [n for n, e in held.items() if e.name in names and weight[n] >= most * total]
+    for name in ("article", "main"):
+        fit = [e.number for e in held if e.name == name and weight[e.number] >= most * total]
         if fit:
             return min(fit)
-    fit = [n for n, w in weight.items() if w >= 0.9 * total]
-    return max(fit) if fit else 0
+    return max((e.number for e in held if weight[e.number] >= 0.9 * total), default=0)
+
+
+def _first_large(places: list[int], text: dict[int, int], free: float, most: float) -> list[int]:
+    """The place without a mark if it has a share ``free`` of the largest, else the first that has ``most``."""
+    top = max((text[p] for p in places), default=0)
+    if 0 in places and text[0] >= free * top:
+        return [0]
+    return [p for p in places if text[p] and text[p] >= most * top][:1]
 
 
 def _wrappers(lines: list[Line], most: float = MOST) -> set[int]:
-    """Numbers of the marked elements that lie round the article."""
-    weight: dict[int, int] = {}
-    named: dict[int, int] = {}
-    held: dict[int, Element] = {}
-    total = inside_named = 0
+    """Numbers of the marked elements that lie round the article.
+
+    Lines belong to their innermost mark, if they have one. The article is where a title
+    (h1) and clustered text belong to the same mark, or to none: of several such places, the one
+    with the most. Without a title another heading will do; then no mark comes before all
+    marks, and of those the first that is not much smaller than the rest. Without a heading it
+    is the first place with text in an element made for articles, and without one no mark, or the first mark
+    that is not much smaller than the rest.
+    """
+    text: defaultdict[int, int] = defaultdict(int)
+    marks: dict[int, Element | None] = {}
+    titled: dict[int, None] = {}
+    headed: dict[int, None] = {}
+    named: dict[int, None] = {}
     for line, inside in zip(lines, content_lines(lines)):
-        if not inside:
-            continue
-        size, element, below, counted = len(line.text()), line.element, False, False
-        total += size
-        while element is not None:
-            held[element.number] = element
-            weight[element.number] = weight.get(element.number, 0) + size
-            below = below or element.marked
-            # Comments of readers may be article elements; what is marked inside one is not its text.
-            if element.name in ("article", "main") and not below:
-                named[element.number] = named.get(element.number, 0) + size
-                counted = True
-            element = element.parent
-        inside_named += size * counted
-    for name in ("article", "main"):
-        fit = [n for n, w in named.items() if held[n].name == name and w >= most * inside_named]
-        if fit:
-            found, element = set(), held[min(fit)]
-            while element is not None:
-                found.add(element.number)
-                element = element.parent
-            return found
-    return {n for n, w in weight.items() if w >= 0.9 * total and held[n].marked}
+        mark = line.element.mark
+        place = 0 if mark is None else mark.number
+        marks[place] = mark
+        if line.element.name in HEADINGS:
+            headed[place] = None
+            if line.element.name == "h1":
+                titled[place] = None
+        elif inside:
+            text[place] += len(line.text())
+            if line.element.article:
+                named[place] = None
+    places = [p for p in titled if text[p]]
+    if not places:
+        places = _first_large([p for p in headed if text[p]], text, 0.0, most)
+    places = places or list(named)[:1] or _first_large(list(text), text, 0.1, most)
+    found: set[int] = set()
+    mark = marks[max(places, key=lambda p: (text[p], -p))] if places else None
+    while mark is not None:
+        found.add(mark.number)
+        mark = mark.parent and mark.parent.mark
+    return found
 
 
 def _unmarked(lines: list[Line]) -> list[Line]:
     """The lines that lie in no marked element but wrappers of the article."""
-
-    def stays(element: Element | None) -> bool:
-        while element is not None:
-            if element.marked and element.number not in wrappers:
-                return False
-            element = element.parent
-        return True
-
     wrappers = _wrappers(lines)
-    return [line for line in lines if stays(line.element)]
+    return [x for x in lines if x.element.mark is None or x.element.mark.number in wrappers]
 
 
 def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, joined by an empty line; empty if there is none."""
-    lines = _unmarked(lines_of(html))
+    lines, elements = lines_of(html)
+    lines = _unmarked(lines)
     if not lines:
         return ""
-    region, out = _region(lines), []
-    for line in lines:
-        element = line.element
-        while element is not None and element.number != region:
-            element = element.parent
-        if element is not None:
-            out.append(line.text())
-    return "\n\n".join(out)
+    region = _region(lines, elements)
+    within = [False] * len(elements)
+    for element in elements:
+        within[element.number] = element.number == region or (element.parent is not None and within[element.parent.number])
+    return "\n\n".join(line.text() for line in lines if within[line.element.number])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -288,7 +319,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null html is empty; a page without text gives an empty text. Ids and urls come
     back as they are, nulls and repeats too. Pages are independent of each other,
-    so nothing is shuffled. An empty table gives no rows.
+    so nothing is shuffled. An empty table gives no rows. Pages of any length and depth are taken
+    whole, in time linear in their length. Other columns are not read.
     """
 
     def run(batches):

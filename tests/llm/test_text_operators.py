@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -326,6 +327,32 @@ def test_marked_wrappers_of_the_article(wrapper, inner):
         assert html_text.main_text(f"{page}{end}{comments}") == "\n\n".join(text)
 
 
+def test_comments_never_become_the_article():
+    said = "<p>" + "comment words go on and on here " * 12 + "</p>"
+    text = "A short paragraph of the article itself, with some words in it."
+    article = f"<p>{text}</p>"
+    pages = [
+        f"<div><article><h1>Title</h1>{article}</article><div class='comments'>" + f"<article>{said}</article>" * 20 + "</div></div>",
+        f"<div id=post><h1>Title</h1>{article}<div class='comments'>{said * 20}</div></div>",
+        f"<div id=post><h1>Title</h1>{article}</div><div class='comment-list'>{said * 20}</div>",
+        f"<div id=post><h2>Title</h2>{article}</div><div class='comment-list'><h3>Comments</h3>{said * 20}</div>",
+        f"<div class='content-sidebar-wrap'><h1>Title</h1>{article}<div class=comments>{said * 20}</div></div>",
+        f"<div class='cookie notice'>{article}</div><div class='no-comments'><h1>Title</h1>{article}</div>",
+        f"<div class=menu><ul><li>a<li>b</ul></div><div class='ad-free layout'><h2>Title</h2>{article}</div>",
+    ]
+    for page in pages:
+        assert html_text.main_text(page) == f"Title\n\n{text}", page
+
+
+def test_malformed_pages_take_linear_time():
+    n = 100_000
+    began = time.time()
+    assert html_text.main_text("<b>" * n + "<p>word</p>" * n).count("word") == n
+    assert html_text.main_text("<ul><li>x<ul>" + "<div>" * n + "<li>y</li>" * n).count("y") == n
+    assert html_text.main_text("<head><body>" * n + "z") == "z"
+    assert time.time() - began < 120
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html as entities
 
@@ -391,12 +418,20 @@ def test_each_token_is_scored_once_and_causally():
     assert abs(total - 1) < 1e-3
 
 
-def test_base_scores_of_the_table(spark, sf_dir):
+def test_scores_of_the_table(spark, sf_dir, monkeypatch):
     docs = table(spark, sf_dir, "documents")
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     texts = {r.doc_id: [*r.text.encode().lower().split(), None] for r in docs.collect()}
     counts = Counter(w for i, words in texts.items() if not held(i) for w in words)
     n, v = sum(counts.values()), len(counts)
+    train, kept = lm_scoring.train_model, []
+
+    def watched(rows, vocab, spelling, ids):
+        kept.extend([train(rows, vocab, spelling, ids), vocab.value, spelling.value])
+        return kept[0]
+
+    monkeypatch.setattr(lm_scoring, "train_model", watched)
+    whole = {r.doc_id: r.text for r in docs.collect()}
     found = {r.doc_id: r for r in lm_scoring.score(docs, PATH, split("doc_id", 7)).collect()}
     assert set(found) == set(texts)
     for i, words in texts.items():
@@ -404,8 +439,13 @@ def test_base_scores_of_the_table(spark, sf_dir):
         assert r.held_out == held(i) and r.n_tokens == len(words) and r.train_tokens == n
         assert r.n_known == sum(counts[w] > 0 for w in words)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert r.base_score - len(words) * math.log10(2) - 1e-6 <= r.score < 0
-        assert r.spelling_score < 0
+        assert r.score == r.spelling_score < 0
+    # The model's score, document by document, with the parameters that were trained.
+    (params, vocab, spelling), logs = kept, []
+    for i in sorted(texts)[::9]:
+        _, _, ids, bounds = lm_scoring._document_ids([whole[i] or ""], vocab, spelling)
+        logs.append((attention.token_logs(params, ids, bounds).sum() / math.log(10), found[i].score))
+    assert len(logs) > 20 and all(math.isclose(a, b, rel_tol=1e-4) for a, b in logs)
 
 
 def test_lm_odd_rows(spark):
