@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.functions.values import nans_to_null
+
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows of all frames; a column a frame lacks is null there."""
+    if not frames:
+        raise ValueError("a union needs at least one frame")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -45,17 +49,17 @@ def merge_on(frames: Sequence[DataFrame], key: str = "time", on_conflict: str =
     """Full outer merge of any number of frames on ``key`` in a single shuffle.
 
     Equal to a chain of full outer joins that coalesce same-named columns, for
-    frames with one row per key. Two different non-null values are an error;
+    frames with one row per key. NaN is no value, as null is none. Two different values are an error;
     ``merge_conflicts`` lists them instead.
     """
-    rows = union_by_name(frames)
+    rows = nans_to_null(union_by_name(frames))
     names = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(*[merged_value(n, on_conflict).alias(n) for n in names])
 
 
 def merge_conflicts(frames: Sequence[DataFrame], key: str = "time") -> DataFrame:
-    """The (key, variable) pairs with more than one value, with the extremes as text."""
-    rows = union_by_name(frames)
+    """The (key, variable) pairs with more than one value, with the extremes as text; NaN is no value."""
+    rows = nans_to_null(union_by_name(frames))
     names = [c for c in rows.columns if c != key]
     extremes = rows.groupBy(key).agg(
         *[F.min(n).alias(f"low_{n}") for n in names], *[F.max(n).alias(f"high_{n}") for n in names]

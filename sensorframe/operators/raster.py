@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import from_micros, to_micros
+from sensorframe.functions.values import nan_to_null
 
 # Canvas in pixels and the row count above which a plot is rasterised.
 CANVAS = (888, 450)
@@ -24,10 +25,10 @@ class Bounds:
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """An axis as a double; timestamps count in microseconds."""
+    """An axis as a double, NaN as null; timestamps count in microseconds."""
     if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)):
         return to_micros(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    return nan_to_null(F.col(name).cast("double"))
 
 
 def bounds_struct(df: DataFrame, x: str, y: str) -> Column:
@@ -61,8 +62,8 @@ def rasterize(
     else:
         edge = {k: F.lit(v) for k, v in vars(bounds).items()}
     xs, ys = as_number(points, x), as_number(points, y)
-    value = F.col(color or y).cast("double")
-    # Points outside given bounds lie on no pixel; a null axis value lies nowhere.
+    value = as_number(points, color or y)
+    # Points outside given bounds lie on no pixel; a null or NaN axis value lies nowhere.
     inside = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     if bounds is not None:
         inside = F.col("_x").between(edge["x_low"], edge["x_high"]) & F.col("_y").between(edge["y_low"], edge["y_high"])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions.cftime import bound_micros, from_micros, to_micros
+from sensorframe.functions.values import nan_to_null
 from sensorframe.operators.joins import fits_broadcast, sized_join
 from sensorframe.operators.merge import merged_of, merged_value
 from sensorframe.operators.neighbours import with_neighbours
@@ -120,7 +121,7 @@ def resample(
     """Samples to a regular grid, per group of ``by``.
 
     Numeric variables are interpolated linearly between neighbouring samples
-    and are null outside them or next to a null. With ``max_gap`` the nulls are
+    and are null outside them or next to a null; NaN counts as null. With ``max_gap`` the nulls are
     then filled with the nearest non-null grid value when the gap is at most
     that long (earlier value on a tie, edges included).
 
@@ -201,7 +202,7 @@ def _runs(samples, grid, by, time, variables, max_gap, duplicates, position, cat
     clean = samples.where(reduce(and_, present)).select(
         *by,
         to_micros(F.col(time)).alias("_t"),
-        *[F.col(c).cast("double").alias(c) for c in numeric],
+        *[nan_to_null(F.col(c).cast("double")).alias(c) for c in numeric],
         *labels,
         *([position] if position else []),
     )

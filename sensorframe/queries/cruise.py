@@ -23,6 +23,7 @@ from sensorframe.plans.cruise import clean_samples, load_cruises, store_cruises
 from sensorframe.queries.bindings import CLEAN_SAMPLES_SQL, raw_samples, table
 from sensorframe.session import shared_folder
 from sensorframe.sources.samples import (
+    read_cruises,
     read_labels,
     read_samples,
     read_sources,
@@ -248,6 +249,21 @@ def cruise_labels(spark, sf_dir):
     return read_labels(spark, f"{_stored_cruises(spark, sf_dir)}/labels")
 
 
+def cruise_quoted_header(spark, sf_dir):
+    """Files whose headers and cells hold line breaks, commas and quotes, as they are read."""
+    root = _folder(spark, "quoted")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("part"),
+        F.concat(F.lit("C"), "o_orderkey").alias("Cruise"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Start\nTime [UTC]"),
+        F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\nthen\n'), "o_custkey").alias("Remark of\ncrew [text]"),
+    )
+    rows.write.option("header", True).option("escape", '"').partitionBy("part").csv(f"{root}/files")
+    found = spark.read.format("binaryFile").load(f"{root}/files")
+    sources = found.select(F.col("part").alias("cruise_id"), F.lit("RS").alias("array_rd"), F.col("path").alias("summary_url"))
+    return read_cruises(spark, sources)[0]
+
+
 def label_roundtrip(spark, sf_dir):
     root = _folder(spark, "labels")
     write_labels(_part_labels(spark, sf_dir), root)
@@ -262,6 +278,7 @@ def sample_roundtrip(spark, sf_dir):
 
 QUERIES = {
     "header_parse": header_parse,
+    "cruise_quoted_header": cruise_quoted_header,
     "clean_samples": cleaned_samples,
     "strict_cast": strict_cast,
     "sentinel_nulls": sentinel_nulls,
@@ -301,6 +318,10 @@ _LABEL_ROWS = ", ".join(
 )
 
 ORACLES = {
+    "cruise_quoted_header": """
+  SELECT o_orderstatus AS cruise_id, 'RS' AS array_rd, 'C' || o_orderkey AS cruise,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS start_time,
+         'said "' || o_orderpriority || '",' || chr(10) || 'then' || chr(10) || o_custkey AS remark_of_crew FROM orders""",
     "header_parse": f"""
   WITH w AS (SELECT p_partkey, p_partkey % 9 AS k, {_PART_WORDS} AS w, p_brand, lower(p_type) AS t FROM part),
   h AS (

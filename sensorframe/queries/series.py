@@ -240,6 +240,14 @@ def merge_coalesce(spark, sf_dir):
     return merge_on([a, b])
 
 
+def merge_nan(spark, sf_dir):
+    """Two frames of hourly peaks; where one holds a NaN the other has the value."""
+    odd = F.hour("time") % 2 == 1
+    peaks = _hourly(spark, sf_dir, None, peak=F.max("value"))
+    a, b = (peaks.withColumn("peak", F.when(c, F.lit(float("nan"))).otherwise(F.col("peak"))) for c in (odd, ~odd))
+    return merge_on([a, b])
+
+
 def merge_conflict_rows(spark, sf_dir):
     a = _hourly(spark, sf_dir, "click", peak=F.max("user_id"), kind=F.lit("peak"))
     b = _hourly(spark, sf_dir, "view", peak=F.max("user_id"), kind=F.lit("peak"))
@@ -276,6 +284,13 @@ def raster_mean(spark, sf_dir):
     return _rounded(rasterize(event_streams(spark, sf_dir), "time", "value"), "y_center", "value")
 
 
+def raster_nan(spark, sf_dir):
+    """A tenth of the values is NaN: they lie on no pixel and move no bound."""
+    rows = event_streams(spark, sf_dir)
+    noisy = rows.withColumn("value", F.when(F.col("user_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return _rounded(rasterize(noisy, "time", "value"), "y_center", "value")
+
+
 def plot_raster(spark, sf_dir):
     """A plot request that asks for a raster above a number of rows."""
     click = split_stream(event_streams(spark, sf_dir), "click", time_ordered=True)
@@ -397,12 +412,14 @@ QUERIES = {
     "categorical_previous": categorical_previous,
     "align_merge": align_merge,
     "merge_coalesce": merge_coalesce,
+    "merge_nan": merge_nan,
     "merge_conflicts": merge_conflict_rows,
     "asof_backward": _asof("backward"),
     "asof_forward": _asof("forward"),
     "asof_nearest": _asof("nearest"),
     "asof_by_stream": asof_by_stream,
     "raster_mean": raster_mean,
+    "raster_nan": raster_nan,
     "plot_raster": plot_raster,
     "raster_color": raster_color,
     "raster_dense": raster_dense,
@@ -462,6 +479,9 @@ def _reference_sql(low: str, high: str) -> str:
   SELECT s.* FROM s JOIN b USING (stream) WHERE _pos >= a AND _pos < z"""
 
 
+_NO_TENTH = "CASE WHEN user_id % 10 <> 0 THEN value END"
+
+
 def _raster_sql(source: str, x: str, y: str, v: str, w: int, h: int, x_out: str) -> str:
     return f"""
   WITH p AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({v} AS DOUBLE) AS v FROM {source}),
@@ -615,6 +635,11 @@ ORACLES = {
          CASE WHEN abs(epoch_us(due) - epoch_us(mt)) <= 1800000000 THEN mt END AS matched_time,
          CASE WHEN abs(epoch_us(due) - epoch_us(mt)) <= 1800000000 THEN mv END AS value FROM c""",
     "plot_raster": _raster_sql(_CLICK_CUT, "epoch_us(ts)", "value", "value", 888, 450, _TIME_CENTER) + " FROM g, b",
+    "raster_nan": _raster_sql("events", "epoch_us(ts)", _NO_TENTH, _NO_TENTH, 888, 450, _TIME_CENTER).replace(
+        "FROM p, b)", "FROM p, b WHERE y IS NOT NULL)"
+    )
+    + " FROM g, b",
+    "merge_nan": "SELECT date_trunc('hour', ts) AS time, max(value) AS peak FROM events GROUP BY 1",
     "raster_mean": _raster_sql("events", "epoch_us(ts)", "value", "value", 888, 450, _TIME_CENTER) + " FROM g, b",
     "raster_color": _raster_sql("events", "epoch_us(ts)", "value", "user_id", 888, 450, _TIME_CENTER) + " FROM g, b",
     "raster_dense": f"""

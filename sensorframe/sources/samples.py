@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sensorframe.functions.values import SENTINEL_TEXT
 from sensorframe.operators.joins import sized_join
 from sensorframe.operators.labels import LABEL_COLUMNS, parse_headers
-from sensorframe.operators.merge import union_by_name
+from sensorframe.operators.neighbours import running_totals
 from sensorframe.session import materialize
 
 SAMPLE_TABLES = ("profile", "discrete")
@@ -22,25 +22,6 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_text_csv(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """CSV with a header, every column text, empty cells and the missing-data marker as null.
-
-    Quotes are doubled inside quotes, and quoted cells may hold commas and line breaks;
-    a file is therefore read in one piece.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return (
-        spark.read.schema(_text_schema(names))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("nullValue", SENTINEL_TEXT[0])
-        .csv(paths)
-    )
-
-
 def plain_path(path: Column) -> Column:
     """A path without the ``file:`` scheme, as the two spellings of a local file must match."""
     return F.regexp_replace(path, r"^file:/+", "/")
@@ -52,22 +33,50 @@ def read_path() -> Column:
     return plain_path(F.url_decode(encoded))
 
 
-def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, position, header`` for the header cells of every file.
+def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, record_no, record``: the records of CSV files, in which quoted cells may hold line breaks.
 
-    Only the rows of each file's first block take part, and the first of them
-    is found by an aggregate over their read order.
+    Files are read in splits, by lines. A line begins a record if the quotes before it in
+    its file are even in number: that is a running total inside a split plus the
+    totals of the splits before. Only lines of records that span several
+    are brought together. ``record_no`` grows from 0 with the place in the file; blank lines between
+    records are none. A quote that is never closed makes the rest of its file one record.
     """
-    first_block = spark.read.text(list(paths)).where(F.col("_metadata.file_block_start") == 0)
-    lines = first_block.select(
-        read_path().alias("file"), F.monotonically_increasing_id().alias("order"), "value"
+    lines = spark.read.text(list(paths)).select(
+        read_path().alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
     )
-    first = lines.groupBy("file").agg(F.min_by("value", "order").alias("line"))
-    cells = F.split(F.regexp_replace("line", "^\ufeff", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    closed = quotes % 2 == 0
+    # The text moves once: both running totals are windows over the same splits of files.
+    counted = running_totals(lines, ["file"], "block", "line", {"before": quotes.cast("bigint")})
+    begins = F.col("before") % 2 == 0
+    marked = counted.where(~begins | (F.trim("value") != "")).withColumn("begins", begins.cast("bigint"))
+    numbered = running_totals(marked, ["file"], "block", "line", {"earlier": F.col("begins")})
+    numbered = numbered.withColumn("record_no", F.col("earlier") + F.col("begins") - 1)
+    whole = begins & closed
+    single = numbered.where(whole).select("file", "record_no", F.col("value").alias("record"))
+    parts = numbered.where(~whole).groupBy("file", "record_no").agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts")
+    )
+    several = parts.select("file", "record_no", F.array_join("parts.value", "\n").alias("record"))
+    records = single.unionByName(several)
+    bare = F.when(F.col("record_no") == 0, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
+    return records.withColumn("record", bare)
+
+
+def header_cells(records: DataFrame) -> DataFrame:
+    """``file, position, header`` for the cells of the first record of every file; line breaks are spaces."""
+    cells = F.split("record", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     unquoted = F.transform(
-        cells, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))
+        cells,
+        lambda c: F.regexp_replace(
+            F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')), r"\s*[\r\n]+\s*", " "
+        ),
     )
-    return first.select("file", F.posexplode(unquoted).alias("position", "header"))
+    return records.where("record_no = 0").select("file", F.posexplode(unquoted).alias("position", "header"))
 
 
 def read_cruises(
@@ -75,9 +84,11 @@ def read_cruises(
 ) -> tuple[DataFrame, DataFrame]:
     """All files of a source list (``cruise_id, array_rd, summary_url``) as (samples, labels).
 
-    Files are grouped by header set: one scan per set, whatever the number of
-    files. Rows get ``cruise_id`` and ``array_rd`` from their source, and the path of
-    their file in ``file_column`` if that is named. Labels carry ``array_rd`` and ``source_order`` (the place in the list).
+    One scan of all files, whatever headers they have: every cell finds its column through
+    the header table of its file, which is joined on the executors. Cells are text, empty ones
+    and the missing-data marker null; cells beyond the header are left out. Rows get ``cruise_id`` and ``array_rd`` from their source, and the path of
+    their file in ``file_column`` if that is named. Labels carry ``array_rd`` and
+    ``source_order`` (the place in the list). A file without a header has no rows.
     """
     listed = number_sources(sources).select(
         plain_path(F.col("summary_url")).alias("file"), "cruise_id", "array_rd", "source_order", "summary_url"
@@ -87,32 +98,33 @@ def read_cruises(
     wrong = sorted(u for u in urls if not u.lower().endswith(".csv"))
     if wrong:
         raise ValueError(f"only .csv sources can be read: {', '.join(wrong)}")
-    # Stored once, as labels, schemas and label maps all read this small table.
-    headers = materialize(parse_headers(read_headers(spark, urls)))
+    records = materialize(read_records(spark, urls)) if urls else spark.createDataFrame([], "file string, record_no bigint, record string")
+    # Stored once, as labels, columns and label maps all read this small table.
+    headers = materialize(parse_headers(header_cells(records)))
     per_file = headers.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("cells"))
-    files_of: dict[tuple[str, ...], list[str]] = {}
-    for row in per_file.collect():
-        names = tuple(c["name"] for c in row["cells"])
-        twice = sorted({n for n in names if names.count(n) > 1})
-        if twice:
-            raise ValueError(f"headers of {row['file']} give the same column twice: {', '.join(twice)}")
-        files_of.setdefault(names, []).append(row["file"])
-    by_plain = {_plain(u): u for u in urls}
-    tables = []
-    for names, files in sorted(files_of.items()):
-        table = read_text_csv(spark, [by_plain[f] for f in sorted(files)], names)
-        tables.append(table.withColumn("file", read_path()))
-    rows = union_by_name(tables)
-    samples = sized_join(rows, listed.select("file", "cruise_id", "array_rd"), ["file"])
-    samples = samples.withColumnRenamed("file", file_column) if file_column else samples.drop("file")
+    per_file = per_file.select("file", F.col("cells.name").alias("names"))
+    twice = per_file.where(F.size(F.array_distinct("names")) < F.size("names")).first()
+    if twice is not None:
+        again = sorted({n for n in twice["names"] if twice["names"].count(n) > 1})
+        raise ValueError(f"headers of {twice['file']} give the same column twice: {', '.join(again)}")
+    # The columns of the result: one entry for each name, however many files and headers there are.
+    columns = [r["name"] for r in headers.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy("name").collect()]
+    width = (headers.agg(F.max("position").alias("p")).first()["p"] or 0) + 1
+    all_names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
+    places = per_file.select("file", F.transform(all_names, lambda n: F.array_position("names", n).cast("int")).alias("at"))
+    about = places.join(listed.select("file", "cruise_id", "array_rd"), "file")
+    rows = sized_join(records.where("record_no > 0"), about, ["file"], costly=True)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    options = {"quote": '"', "escape": '"', "nullValue": SENTINEL_TEXT[0]}
+    parsed = rows.withColumn("_cells", F.from_csv("record", F.lit(schema), options))
+    parsed = parsed.withColumn("_cells", F.array(*[F.col(f"_cells._c{i}") for i in range(width)]))
+    cells = [F.get("_cells", F.get("at", F.lit(i)) - 1).alias(c) for i, c in enumerate(columns)]
+    kept = [F.col("file").alias(file_column)] if file_column else []
+    samples = parsed.select(*cells, *kept, "cruise_id", "array_rd")
     labels = headers.join(listed.select("file", "array_rd", "source_order"), "file")
     return samples, labels.select("array_rd", "source_order", *LABEL_COLUMNS)
 
 
-def _plain(url: str) -> str:
-    return "/" + url[len("file:") :].lstrip("/") if url.startswith("file:") else url
-
-
 def number_sources(sources: DataFrame) -> DataFrame:
     """``source_order`` from the list's own order, unless it already has one."""
     if "source_order" in sources.columns:
