@@ -34,12 +34,12 @@ def read_path() -> Column:
 
 
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``file, record_no, record``: the records of CSV files, in which quoted cells may hold line breaks.
+    """``file, place, record``: the records of CSV files, in which quoted cells may hold line breaks.
 
     Files are read in splits, by lines. A line begins a record if the quotes before it in
     its file are even in number: that is a running total inside a split plus the
     totals of the splits before. Only lines of records that span several
-    are brought together. ``record_no`` grows from 0 with the place in the file; blank lines between
+    are brought together. ``place`` (split, line) grows along the file; blank lines between
     records are none. A quote that is never closed makes the rest of its file one record.
     """
     lines = spark.read.text(list(paths)).select(
@@ -48,27 +48,32 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    closed = quotes % 2 == 0
-    # The text moves once: both running totals are windows over the same splits of files.
-    counted = running_totals(lines, ["file"], "block", "line", {"before": quotes.cast("bigint")})
-    begins = F.col("before") % 2 == 0
-    marked = counted.where(~begins | (F.trim("value") != "")).withColumn("begins", begins.cast("bigint"))
-    numbered = running_totals(marked, ["file"], "block", "line", {"earlier": F.col("begins")})
-    numbered = numbered.withColumn("record_no", F.col("earlier") + F.col("begins") - 1)
-    whole = begins & closed
-    single = numbered.where(whole).select("file", "record_no", F.col("value").alias("record"))
-    parts = numbered.where(~whole).groupBy("file", "record_no").agg(
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("bigint")
+    lines = lines.withColumn("quotes", quotes)
+    counted = running_totals(lines, ["file"], "block", "line", {"before": F.col("quotes")})
+    begins, closed = F.col("before") % 2 == 0, F.col("quotes") % 2 == 0
+    place = F.struct("block", "line")
+    single = counted.where(begins & closed & (F.trim("value") != "")).select("file", place.alias("place"), F.col("value").alias("record"))
+    open_lines = counted.where(~(begins & closed)).withColumn("begins", begins.cast("bigint"))
+    numbered = running_totals(open_lines, ["file"], "block", "line", {"earlier": F.col("begins")})
+    parts = numbered.groupBy("file", (F.col("earlier") + F.col("begins")).alias("number")).agg(
         F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts")
     )
-    several = parts.select("file", "record_no", F.array_join("parts.value", "\n").alias("record"))
-    records = single.unionByName(several)
-    bare = F.when(F.col("record_no") == 0, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
-    return records.withColumn("record", bare)
+    first = F.get("parts", F.lit(0))
+    several = parts.select(
+        "file", F.struct(first["block"].alias("block"), first["line"].alias("line")).alias("place"), F.array_join("parts.value", "\n").alias("record")
+    )
+    return single.unionByName(several)
+
+
+def header_records(records: DataFrame) -> DataFrame:
+    """``file, first, record``: the first record of every file and its place."""
+    first = records.groupBy("file").agg(F.min("place").alias("first"), F.min_by("record", "place").alias("record"))
+    return first.withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
 
 
-def header_cells(records: DataFrame) -> DataFrame:
-    """``file, position, header`` for the cells of the first record of every file; line breaks are spaces."""
+def header_cells(headers: DataFrame) -> DataFrame:
+    """``file, position, header`` for the cells of header records; line breaks are spaces."""
     cells = F.split("record", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     unquoted = F.transform(
         cells,
@@ -76,7 +81,7 @@ def header_cells(records: DataFrame) -> DataFrame:
             F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')), r"\s*[\r\n]+\s*", " "
         ),
     )
-    return records.where("record_no = 0").select("file", F.posexplode(unquoted).alias("position", "header"))
+    return headers.select("file", F.posexplode(unquoted).alias("position", "header"))
 
 
 def read_cruises(
@@ -98,9 +103,13 @@ def read_cruises(
     wrong = sorted(u for u in urls if not u.lower().endswith(".csv"))
     if wrong:
         raise ValueError(f"only .csv sources can be read: {', '.join(wrong)}")
-    records = materialize(read_records(spark, urls)) if urls else spark.createDataFrame([], "file string, record_no bigint, record string")
-    # Stored once, as labels, columns and label maps all read this small table.
-    headers = materialize(parse_headers(header_cells(records)))
+    if urls:
+        records = materialize(read_records(spark, urls))
+    else:
+        records = spark.createDataFrame([], "file string, place struct<block:bigint,line:bigint>, record string")
+    # Stored once, as labels, columns and label maps all read these small tables.
+    firsts = materialize(header_records(records))
+    headers = materialize(parse_headers(header_cells(firsts)))
     per_file = headers.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("cells"))
     per_file = per_file.select("file", F.col("cells.name").alias("names"))
     twice = per_file.where(F.size(F.array_distinct("names")) < F.size("names")).first()
@@ -112,8 +121,8 @@ def read_cruises(
     width = (headers.agg(F.max("position").alias("p")).first()["p"] or 0) + 1
     all_names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
     places = per_file.select("file", F.transform(all_names, lambda n: F.array_position("names", n).cast("int")).alias("at"))
-    about = places.join(listed.select("file", "cruise_id", "array_rd"), "file")
-    rows = sized_join(records.where("record_no > 0"), about, ["file"], costly=True)
+    about = places.join(firsts.select("file", "first"), "file").join(listed.select("file", "cruise_id", "array_rd"), "file")
+    rows = sized_join(records, about, ["file"], "inner", F.col("place") > F.col("first"), costly=True)
     schema = ", ".join(f"_c{i} string" for i in range(width))
     options = {"quote": '"', "escape": '"', "nullValue": SENTINEL_TEXT[0]}
     parsed = rows.withColumn("_cells", F.from_csv("record", F.lit(schema), options))
