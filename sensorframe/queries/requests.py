@@ -22,6 +22,7 @@ from sensorframe.queries.bindings import NATION_REQUESTS_SQL, event_streams, nat
 from sensorframe.session import shared_folder
 from sensorframe.sources.samples import to_records
 from sensorframe.plans.fetch import fetch
+from sensorframe.plans.results import fetch_once
 from sensorframe.sources.streams import build_manifest, open_stream, recorded_manifest, write_stream
 
 FOLDER_BYTES = 400_000
@@ -264,6 +265,15 @@ def stored_plot(spark, sf_dir):
     return done.data.withColumn("count", F.lit(done.count))
 
 
+def reused_result(spark, sf_dir):
+    """The same request twice: both answers, and whether they were kept ones."""
+    root, catalog = _folder(spark, "kept"), {"events": _stored_events(spark, sf_dir, "reused")}
+    request = {"ref": "events", "x": "time", "y": "value", "start_dt": "2024-01-05", "end_dt": "2024-01-19T18:00:00"}
+    answers = [fetch_once(spark, request, catalog, root) for _ in range(2)]
+    shown = [a.data.withColumns({"reused": F.lit(a.reused), "count": F.lit(a.count)}) for a in answers]
+    return shown[0].unionByName(shown[1])
+
+
 def json_records(spark, sf_dir):
     return to_records(table(spark, sf_dir, "customer"))
 
@@ -294,6 +304,7 @@ QUERIES = {
     "stream_record": stream_record,
     "recorded_manifest": recorded_manifest_rows,
     "stored_plot": stored_plot,
+    "reused_result": reused_result,
     "json_records": json_records,
 }
 
@@ -453,6 +464,10 @@ ORACLES = {
   WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 18:00:00')
   SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, user_id, (SELECT count(*) - 1 FROM m) AS count
   FROM m WHERE event_id < (SELECT max(event_id) FROM m)""",
+    "reused_result": """
+  WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 18:00:00')
+  SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, reused, (SELECT count(*) - 1 FROM m) AS count
+  FROM m, (VALUES (FALSE), (TRUE)) v(reused) WHERE event_id < (SELECT max(event_id) FROM m)""",
     "json_records": """
   SELECT CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey, c_acctbal: c_acctbal,
                        c_mktsegment: c_mktsegment})

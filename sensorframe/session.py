@@ -61,3 +61,62 @@ def release(spark: SparkSession) -> None:
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class SharedFiles:
+    """Small text files on the file system of a path, through Spark's own file access."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        place = self._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._conf), place
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that does not exist; False if it does."""
+        files, place = self._at(path)
+        try:
+            out = files.create(place, False)
+        except Exception as error:
+            if files.exists(place):
+                return False
+            raise error
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def read(self, path: str) -> str:
+        files, place = self._at(path)
+        stream = files.open(place)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def age(self, path: str) -> float | None:
+        """Seconds since a file was written; None without the file."""
+        files, place = self._at(path)
+        if not files.exists(place):
+            return None
+        return (self._jvm.java.lang.System.currentTimeMillis() - files.getFileStatus(place).getModificationTime()) / 1000
+
+    def listed(self, path: str) -> list[tuple[float, str]]:
+        """``(age in seconds, path)`` of the files in a folder, all at one reading of the clock."""
+        files, place = self._at(path)
+        if not files.exists(place):
+            return []
+        now = self._jvm.java.lang.System.currentTimeMillis()
+        return [((now - s.getModificationTime()) / 1000, s.getPath().toString()) for s in files.listStatus(place) if s.isFile()]
+
+    def folders(self, path: str) -> list[str]:
+        files, place = self._at(path)
+        if not files.exists(place):
+            return []
+        return [s.getPath().toString() for s in files.listStatus(place) if s.isDirectory()]
+
+    def delete(self, path: str) -> None:
+        files, place = self._at(path)
+        files.delete(place, True)
