@@ -38,10 +38,11 @@ class ExportResult:
     msg: str
 
 
-def measure(df: DataFrame) -> DataFrame:
-    """One row: ``rows`` and ``size`` in bytes of the stored values."""
+def measure(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` and ``size`` in bytes of the stored values, in one row, or in one for each group of ``by``."""
     width = sum((value_bytes(f) for f in df.schema), F.lit(0).cast("bigint"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0).cast("bigint")).alias("size"))
+    grouped = df.groupBy(*by) if by else df
+    return grouped.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0).cast("bigint")).alias("size"))
 
 
 def export_name(start: str, end: str) -> str:

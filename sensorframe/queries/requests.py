@@ -17,6 +17,7 @@ from sensorframe.plans.requests import (
     request_totals,
     selected_rows,
     stream_sizes,
+    with_request_id,
 )
 from sensorframe.queries.bindings import NATION_REQUESTS_SQL, event_streams, nation_requests, table
 from sensorframe.session import shared_folder
@@ -88,6 +89,50 @@ def outcomes(spark, sf_dir):
     return _numbered(spark, sf_dir, found, "n_streams", "merged_rows", "outcome", "reason", "status", "msg")
 
 
+def outcomes_whole(spark, sf_dir):
+    """Every way a request can end, in all columns: more requests and streams are made from the events.
+
+    One instant of a single stream leaves no row after the cut; the same instant of two
+    streams that hold samples twice leaves rows, but no tick of a grid.
+    """
+    events = event_streams(spark, sf_dir)
+    doubled = F.explode(F.array([F.struct(F.lit(s).alias("stream"), F.lit(k).alias("k")) for s in ("pair", "pair2") for k in (0, 1)]))
+    middle = events.agg(F.expr("percentile(_pos, 0.5, 1)").cast("bigint").alias("m"))
+    near = events.join(F.broadcast(middle), F.col("_pos") % 10 == F.col("m") % 10)
+    pairs = near.withColumn("d", doubled).select("d.stream", "time", "value", "user_id", (F.col("_pos") * 2 + F.col("d.k")).alias("_pos"))
+    streams = events.union(pairs)
+    one = events.join(F.broadcast(middle), F.col("_pos") == F.col("m"))
+    at = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    more = one.select(
+        F.explode(F.array(F.struct(F.lit(100).alias("no"), F.col("stream").alias("ref")), F.struct(F.lit(101).alias("no"), F.lit("pair,pair2").alias("ref")))).alias("r"),
+        at.alias("start_dt"),
+    ).select(
+        F.col("r.no").alias("request_no"),
+        F.col("r.ref").alias("ref"),
+        F.lit("time").alias("x"),
+        F.lit("value").alias("y"),
+        "start_dt",
+        F.col("start_dt").alias("end_dt"),
+        F.lit("").alias("z"),
+        F.lit("").alias("color"),
+        F.lit("netcdf").alias("download_format"),
+        F.lit(False).alias("download"),
+    )
+    requests = nation_requests(spark, sf_dir).drop("request_id").unionByName(with_request_id(more).drop("request_id"))
+    requests = with_request_id(requests)
+    limit = 4 * events.count()
+    found = request_outcomes(
+        requests,
+        streams,
+        build_manifest(streams),
+        time_ordered=True,
+        max_dimension_bytes=limit,
+        part_bytes={"csv": 20_000},
+        max_files=100,
+    )
+    return found.join(requests.select("request_id", "request_no"), "request_id").drop("request_id")
+
+
 def request_dedupe(spark, sf_dir):
     """Requests made from every order; many of them agree in all fields."""
     month = F.date_format("o_orderdate", "yyyy-MM")
@@ -103,10 +148,7 @@ def request_dedupe(spark, sf_dir):
 
 
 def _line_sizes(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * 66).alias("size")
-    )
+    return measure(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
 def slice_plan(spark, sf_dir):
@@ -287,6 +329,7 @@ QUERIES = {
     "size_check": size_check,
     "stream_size_check": stream_size_check,
     "request_outcomes": outcomes,
+    "request_outcomes_whole": outcomes_whole,
     "request_dedupe": request_dedupe,
     "slice_plan": slice_plan,
     "slice_bounds": slice_plan_bounds,
@@ -329,11 +372,12 @@ _COVERED = {
     "overlap": "st <= en AND st <= last_time AND en >= first_time",
 }
 _WIDE = "8 * n + CASE WHEN color = '' THEN 8 * n ELSE 16 * n END"
-_LINES_SIZE = "SELECT l_returnflag, l_linestatus, count(*) AS rows, 66 * count(*) AS size FROM lineitem GROUP BY 1, 2"
-_SLICED = f"SELECT *, CAST(ceil(rows / (size / 100000.0::DOUBLE)) AS BIGINT) AS rows_per_slice FROM ({_LINES_SIZE})"
-_LINE_TABLE = "SELECT * EXCLUDE (l_shipdate), l_shipdate AS time FROM lineitem"
 # Width of a line item: 3 ids, a line number, 4 amounts, 2 flags of one letter, a time.
 _LINE_BYTES = "sum(3 * 8 + 4 + 4 * 8 + strlen(l_returnflag) + strlen(l_linestatus) + 8)"
+_LINES_SIZE = f"""
+  SELECT l_returnflag, l_linestatus, count(*) AS rows, CAST({_LINE_BYTES} AS BIGINT) AS size FROM lineitem GROUP BY 1, 2"""
+_SLICED = f"SELECT *, CAST(ceil(rows / (size / 100000.0::DOUBLE)) AS BIGINT) AS rows_per_slice FROM ({_LINES_SIZE})"
+_LINE_TABLE = "SELECT * EXCLUDE (l_shipdate), l_shipdate AS time FROM lineitem"
 _LINE_PLAN = f"""
 plan AS (SELECT count(*) AS n, CAST(ceil(count(*) / ({_LINE_BYTES} / {float(FOLDER_BYTES)}::DOUBLE)) AS BIGINT) AS step
          FROM lineitem)"""
@@ -392,6 +436,57 @@ ORACLES = {
          CASE split_part(found, ':', 1) WHEN 'no data' THEN 'No data found for ' || start_dt || ' to ' || end_dt
               WHEN 'refused' THEN 'The amount of data to be downloaded is too large for CSV data format. Please make a smaller request.'
               WHEN 'failed' THEN 'Request failed: ' || split_part(found, ':', 2) ELSE 'Result finished.' END AS msg
+  FROM told""",
+    "request_outcomes_whole": f"""
+  WITH {NATION_REQUESTS_SQL},
+  samples AS (SELECT event_type AS stream, ts, event_id FROM events
+              UNION ALL SELECT s, ts, 2 * event_id + k FROM events, (VALUES ('pair'), ('pair2')) a(s), (VALUES (0), (1)) b(k)
+              WHERE event_id % 10 = (SELECT CAST(floor(quantile_cont(event_id, 0.5)) AS BIGINT) FROM events) % 10),
+  middle AS (SELECT event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS moment FROM events
+             WHERE event_id = (SELECT CAST(floor(quantile_cont(event_id, 0.5)) AS BIGINT) FROM events)),
+  asked AS (SELECT * FROM requests
+            UNION ALL SELECT 100, event_type, moment, moment, '', 'netcdf', FALSE FROM middle
+            UNION ALL SELECT 101, 'pair,pair2', moment, moment, '', 'netcdf', FALSE FROM middle),
+  each AS (SELECT DISTINCT request_no, unnest(string_split(ref, ',')) AS stream, color, TRY_CAST(start_dt AS TIMESTAMP) AS st,
+                  TRY_CAST(end_dt AS TIMESTAMP) AS en FROM asked),
+  spans AS (SELECT stream, min(ts) AS first_time, max(ts) AS last_time, count(*) AS n FROM samples GROUP BY 1),
+  found AS (SELECT request_no, e.stream, count(event_id) AS n_match,
+                   CAST(greatest(count(event_id) - 1, 0) AS BIGINT) AS n_rows
+            FROM each e LEFT JOIN samples s ON e.stream = s.stream AND ts BETWEEN st AND en GROUP BY 1, 2),
+  per AS (
+    SELECT request_no, count(*) AS n_streams, bool_or(n IS NULL) AS unknown, bool_or(st IS NULL OR en IS NULL) AS undated,
+           CAST(sum(coalesce({_WIDE}, 0)) AS BIGINT) AS total_size, CAST(sum(coalesce(8 * n, 0)) AS BIGINT) AS total_dim_size,
+           bool_or(coalesce({_COVERED["reference"]}, FALSE) AND n_match = 0) AS unmatched,
+           bool_or(NOT coalesce({_COVERED["reference"]}, FALSE)) AS uncovered,
+           coalesce(string_agg(CASE WHEN n_rows = 0 THEN stream END, ',' ORDER BY stream), '') AS empty_streams,
+           CAST(sum(n_rows) AS BIGINT) AS n_selected, first(color) AS color, bool_or(n IS NOT NULL) AS is_known,
+           first(CAST(greatest(ceil((epoch_us(en) - epoch_us(st)) / 1e6), 0) AS BIGINT)) AS ticks
+    FROM each LEFT JOIN spans USING (stream) JOIN found USING (request_no, stream) GROUP BY 1),
+  sized AS (
+    SELECT *, CASE WHEN n_streams = 1 THEN n_selected ELSE ticks END AS merged_rows,
+           CASE WHEN color = '' THEN 16 ELSE 24 END AS width,
+           CASE WHEN coalesce(download_format, '') = '' THEN 'netcdf' ELSE download_format END AS format
+    FROM per JOIN (SELECT request_no, start_dt, end_dt, download, download_format FROM asked) USING (request_no)),
+  planned AS (SELECT *, merged_rows * CASE WHEN n_streams = 1 AND NOT is_known THEN 0 ELSE width END AS merged_bytes FROM sized),
+  counted AS (
+    SELECT *, CAST(CASE WHEN NOT download THEN 0
+                   WHEN format = 'netcdf' THEN ceil(merged_rows / nullif(ceil(merged_rows / nullif(merged_bytes / 1e8, 0)), 0))
+                   WHEN format IN ('csv', 'json') THEN greatest(ceil(merged_bytes / 20000.0), 1) END AS BIGINT) AS n_files
+    FROM planned),
+  told AS (
+    SELECT *, CASE WHEN unknown THEN 'failed:unknown stream' WHEN undated THEN 'failed:unreadable time'
+                   WHEN total_dim_size > 4 * (SELECT count(*) FROM events) THEN 'no data:too large'
+                   WHEN unmatched THEN 'failed:no matching rows' WHEN uncovered THEN 'no data:not covered'
+                   WHEN empty_streams <> '' THEN 'no data:empty streams' WHEN merged_rows = 0 THEN 'no data:merged empty'
+                   WHEN download AND n_files > 100 THEN 'refused:too many files'
+                   WHEN download AND format NOT IN ('csv', 'json', 'netcdf') THEN 'failed:unknown format'
+                   WHEN download THEN 'file:download' ELSE 'plot:plot' END AS result FROM counted)
+  SELECT request_no, n_streams, total_size, total_dim_size, empty_streams, merged_rows, merged_bytes, n_files,
+         split_part(result, ':', 1) AS outcome, split_part(result, ':', 2) AS reason,
+         CASE WHEN result LIKE 'failed%' THEN 'failed' ELSE 'completed' END AS status,
+         CASE split_part(result, ':', 1) WHEN 'no data' THEN 'No data found for ' || start_dt || ' to ' || end_dt
+              WHEN 'refused' THEN 'The amount of data to be downloaded is too large for CSV data format. Please make a smaller request.'
+              WHEN 'failed' THEN 'Request failed: ' || split_part(result, ':', 2) ELSE 'Result finished.' END AS msg
   FROM told""",
     "request_dedupe": """
   SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'click,view' ELSE 'error' END AS ref, 'time' AS x, 'value' AS y,

@@ -118,7 +118,7 @@ def catalog_describe(spark, sf_dir):
 
 def stream_profile(spark, sf_dir):
     streams = event_streams(spark, sf_dir).withColumn("time", time_text(F.col("time")))
-    return profile_variables(streams).drop("dtype", "n_bytes")
+    return profile_variables(streams)
 
 
 def extents(spark, sf_dir):
@@ -341,8 +341,7 @@ def nan_cleaning(spark, sf_dir):
 
 
 def sliced_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(*LINE_KEY)
-    return row_slices(rows, LINE_KEY, 7_000)
+    return row_slices(table(spark, sf_dir, "lineitem"), LINE_KEY, 7_000)
 
 
 CHUNK = 1_000
@@ -554,12 +553,13 @@ ORACLES = {
   FROM events, (VALUES ('time'), ('value'), ('user_id')) AS v(variable)""",
     "stream_profile": """
   SELECT event_type AS stream, 'time' AS variable, count(ts) AS n_values, count(*) - count(ts) AS n_nulls,
-         strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS low, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS high
+         strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS low, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS high,
+         'string' AS dtype, CAST(sum(strlen(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'))) AS BIGINT) AS n_bytes
   FROM events GROUP BY 1
   UNION ALL SELECT event_type, 'value', count(value), count(*) - count(value), CAST(min(value) AS VARCHAR),
-         CAST(max(value) AS VARCHAR) FROM events GROUP BY 1
+         CAST(max(value) AS VARCHAR), 'double', 8 * count(*) FROM events GROUP BY 1
   UNION ALL SELECT event_type, 'user_id', count(user_id), count(*) - count(user_id), CAST(min(user_id) AS VARCHAR),
-         CAST(max(user_id) AS VARCHAR) FROM events GROUP BY 1""",
+         CAST(max(user_id) AS VARCHAR), 'bigint', 8 * count(*) FROM events GROUP BY 1""",
     "stream_extents": "SELECT event_type AS stream, min(ts) AS first_time, max(ts) AS last_time FROM events GROUP BY 1",
     "project_axes": "SELECT event_type AS stream, ts AS time, value FROM events",
     "time_select_reference": _reference_sql("2024-01-05", "2024-01-20 12:00:00"),
@@ -672,7 +672,7 @@ ORACLES = {
   SELECT l_returnflag, count(q) AS n, round(avg(q), 6) AS mean, count(*) AS rows
   FROM (SELECT l_returnflag, CASE WHEN l_quantity <= 25 THEN l_quantity END AS q FROM lineitem) GROUP BY 1""",
     "sliced_rows": f"""
-  SELECT {", ".join(LINE_KEY)}, row_index, row_index // 7000 AS slice_id
-  FROM (SELECT {", ".join(LINE_KEY)}, row_number() OVER (ORDER BY {", ".join(LINE_KEY)}) - 1 AS row_index
+  SELECT *, row_index // 7000 AS slice_id
+  FROM (SELECT *, row_number() OVER (ORDER BY {", ".join(LINE_KEY)}) - 1 AS row_index
         FROM lineitem)""",
 }
