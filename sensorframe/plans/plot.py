@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.operators.ranges import row_index
 from sensorframe.operators.raster import CANVAS, Bounds, bounds_struct, rasterize
 from sensorframe.operators.select import plot_points, swap_key
 from sensorframe.plans.limits import FINISHED, MERGED_EMPTY
@@ -48,6 +50,22 @@ def plot(
     return PlotResult(pixels.withColumnRenamed("value", color or y), count, True, FINISHED)
 
 
+def list_pages(result: PlotResult, rows_per_page: int, order_by: Sequence[str]) -> DataFrame:
+    """A result as pages of lists: ``page``, and for each column the list of its values, in order.
+
+    Rows are numbered by ``order_by`` over range partitions, ties in an order of their own.
+    A page holds ``rows_per_page`` rows, the last one what is left; no value is longer, whatever
+    the size of the result.
+    """
+    if rows_per_page < 1:
+        raise ValueError("a page holds at least one row")
+    names = result.data.columns
+    numbered = row_index(result.data, order_by, "_row")
+    page = F.floor(F.col("_row") / F.lit(rows_per_page)).cast("bigint").alias("page")
+    packed = numbered.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("_row", *names))).alias("p"))
+    return packed.select("page", *[F.col("p")[n].alias(n) for n in names])
+
+
 def column_lists(result: PlotResult, limit: int | None = None) -> DataFrame:
     """A result as one row of lists, in the order of its columns.
 

@@ -23,6 +23,7 @@ from sensorframe.queries.bindings import NATION_REQUESTS_SQL, event_streams, nat
 from sensorframe.session import shared_folder
 from sensorframe.sources.samples import to_records
 from sensorframe.plans.fetch import fetch
+from sensorframe.plans.plot import list_pages, plot
 from sensorframe.plans.results import fetch_once
 from sensorframe.sources.streams import build_manifest, open_stream, recorded_manifest, write_stream
 
@@ -316,6 +317,13 @@ def reused_result(spark, sf_dir):
     return shown[0].unionByName(shown[1])
 
 
+def list_page_rows(spark, sf_dir):
+    """A plot of all clicks as pages of 150 rows; lists are shown as text."""
+    rows = event_streams(spark, sf_dir).where(F.col("stream") == "click").select("time", "user_id")
+    pages = list_pages(plot(rows, "time", "user_id"), 150, ["time"])
+    return pages.select("page", *[F.array_join(c, ",").alias(c) for c in ("time", "user_id")], F.size("time").alias("n"))
+
+
 def json_records(spark, sf_dir):
     return to_records(table(spark, sf_dir, "customer"))
 
@@ -346,6 +354,7 @@ QUERIES = {
     "stored_stream": stored_stream,
     "stream_record": stream_record,
     "recorded_manifest": recorded_manifest_rows,
+    "list_pages": list_page_rows,
     "stored_plot": stored_plot,
     "reused_result": reused_result,
     "json_records": json_records,
@@ -559,6 +568,10 @@ ORACLES = {
   WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 18:00:00')
   SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, user_id, (SELECT count(*) - 1 FROM m) AS count
   FROM m WHERE event_id < (SELECT max(event_id) FROM m)""",
+    "list_pages": """
+  WITH r AS (SELECT ts, user_id, row_number() OVER (ORDER BY ts) - 1 AS i FROM events WHERE event_type = 'click')
+  SELECT i // 150 AS page, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ',' ORDER BY i) AS time,
+         string_agg(user_id, ',' ORDER BY i) AS user_id, CAST(count(*) AS INTEGER) AS n FROM r GROUP BY 1""",
     "reused_result": """
   WITH m AS (SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 18:00:00')
   SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, value, reused, (SELECT count(*) - 1 FROM m) AS count

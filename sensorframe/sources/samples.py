@@ -84,6 +84,31 @@ def header_cells(headers: DataFrame) -> DataFrame:
     return headers.select("file", F.posexplode(unquoted).alias("position", "header"))
 
 
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, position, header`` for the header cells of every file."""
+    return header_cells(header_records(read_records(spark, paths)))
+
+
+def _parsed(record: Column, width: int) -> Column:
+    """The cells of a record as an array; empty ones and the missing-data marker are null."""
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    options = {"quote": '"', "escape": '"', "nullValue": SENTINEL_TEXT[0]}
+    row = F.from_csv(record, F.lit(schema), options)
+    return F.get(F.transform(F.array(row), lambda r: F.array(*[r[f"_c{i}"] for i in range(width)])), F.lit(0))
+
+
+def read_text_csv(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """CSV files with one header, every column text, empty cells and the missing-data marker as null.
+
+    Quotes are doubled inside quotes, and quoted cells may hold commas and line breaks.
+    """
+    records = materialize(read_records(spark, [paths] if isinstance(paths, str) else list(paths)))
+    first = header_records(records).select("file", "first")
+    rows = sized_join(records, first, ["file"], "inner", F.col("place") > F.col("first"), costly=True)
+    cells = rows.select(_parsed(F.col("record"), len(names)).alias("_cells"))
+    return cells.select(*[F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def read_cruises(
     spark: SparkSession, sources: DataFrame, file_column: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +148,7 @@ def read_cruises(
     places = per_file.select("file", F.transform(all_names, lambda n: F.array_position("names", n).cast("int")).alias("at"))
     about = places.join(firsts.select("file", "first"), "file").join(listed.select("file", "cruise_id", "array_rd"), "file")
     rows = sized_join(records, about, ["file"], "inner", F.col("place") > F.col("first"), costly=True)
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    options = {"quote": '"', "escape": '"', "nullValue": SENTINEL_TEXT[0]}
-    parsed = rows.withColumn("_cells", F.from_csv("record", F.lit(schema), options))
-    parsed = parsed.withColumn("_cells", F.array(*[F.col(f"_cells._c{i}") for i in range(width)]))
+    parsed = rows.withColumn("_cells", _parsed(F.col("record"), width))
     cells = [F.get("_cells", F.get("at", F.lit(i)) - 1).alias(c) for i, c in enumerate(columns)]
     kept = [F.col("file").alias(file_column)] if file_column else []
     samples = parsed.select(*cells, *kept, "cruise_id", "array_rd")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators.select import axis_columns, covers, project, select_ranges, select_time, swap_key
 from sensorframe.plans.fetch import download_request, fetch, plot_request
-from sensorframe.plans.plot import column_lists
+from sensorframe.plans.plot import PlotResult, column_lists, list_pages
 from sensorframe.sources.streams import Stream, build_manifest, describe_stream, open_stream, write_stream
 
 A = [(0, 0), (10, 10), (20, 20), (30, 30)]
@@ -116,6 +116,17 @@ def test_lists(stream):
         column_lists(result, limit=1)
 
 
+def test_list_pages(spark):
+    df = spark.range(1_000).select((999 - F.col("id")).alias("v"), (F.col("id") % 7).alias("w")).repartition(6)
+    result = PlotResult(df, 1_000, False, "")
+    pages = {r.page: (r.v, r.w) for r in list_pages(result, 300, ["v"]).collect()}
+    assert sorted(pages) == [0, 1, 2, 3] and [v for p in range(4) for v in pages[p][0]] == list(range(1_000))
+    assert all(w == [(999 - v) % 7 for v in vs] for vs, w in pages.values())
+    assert list_pages(PlotResult(df.limit(0), 0, False, ""), 10, ["v"]).count() == 0
+    with pytest.raises(ValueError, match="at least one row"):
+        list_pages(result, 0, ["v"])
+
+
 def test_stored_stream_prunes_days(spark, series, tmp_path):
     df = series(A=[(i * 3600, i) for i in range(96)])
     write_stream(df.drop("stream"), str(tmp_path), "A")
