@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.tables import Shared, stored
+from sensorframe.llm.tables import Shared, free_name, stored
 
 MASKS = ("111111", "1010001111", "1101011001", "110010111", "1110011")
 MIN_WORDS = 12
@@ -38,23 +37,67 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+#: Weights of the places of a seed; a mask marks at most as many.
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INSIDE = np.ones(256, np.int8)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = 0
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts that are hashed at once, unless one text is longer.
+BLOCK_BYTES = 1 << 18
+
+
 def _factors(n: int) -> np.ndarray:
-    rng = np.random.default_rng(5)
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """The weights of ``n`` marked places: the fixed ones, then as many more as a long item needs."""
+    if n <= len(_FACTORS):
+        return _FACTORS[:n]
+    more = np.random.default_rng(6).integers(1, 1 << 63, n - len(_FACTORS), dtype=np.uint64)
+    return np.concatenate([_FACTORS, more * np.uint64(2) + np.uint64(1)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_BASE)
     return x ^ (x >> np.uint64(29))
 
 
-def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the marked positions at every place of a row of word hashes."""
+class WordHashes:
+    """Places and hashes of all words of lower-case bytes, from running sums of weighted bytes.
+
+    Byte ``k`` weighs ``base ** k``; the sum over a word, divided by the power of its
+    start (the base is odd, so it has an inverse), does not depend on where it stands.
+    """
+
+    def __init__(self):
+        self._up = self._down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self._up) < n:
+            first = np.ones(1, np.uint64)
+            self._up = np.concatenate([first, np.cumprod(np.full(n, _BASE, np.uint64))])
+            self._down = np.concatenate([first, np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))])
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(data, np.uint8)
+        self._powers(len(raw))
+        edges = np.diff(_INSIDE[raw], prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUES[raw] * self._up[: len(raw)], out=sums[1:])
+        return starts, ends, _mixed((sums[ends] - sums[starts]) * self._down[starts])
+
+
+def products_of(words: np.ndarray, n: int) -> list[np.ndarray]:
+    """Word hashes times each of the first ``n`` weights; all masks add up the same products."""
+    return [words * factor for factor in _factors(n)]
+
+
+def seed_hashes(products: list[np.ndarray], mask: str) -> np.ndarray:
+    """Hash of the marked positions at every place of a row of words."""
     at = [i for i, c in enumerate(mask) if c == "1"]
-    n = max(len(words) - len(mask) + 1, 0)
-    total = np.full(n, len(mask) * 1_000_003 + int(mask, 2), np.uint64)
-    for factor, i in zip(_factors(len(at)), at):
-        total += words[i : i + n] * factor
+    n = max(len(products[0]) - len(mask) + 1, 0)
+    total = np.full(n, (len(mask) * 1_000_003 + int(mask, 2)) & ((1 << 64) - 1), np.uint64)
+    for product, i in zip(products, at):
+        total += product[i : i + n]
     return _mixed(total)
 
 
@@ -64,14 +107,18 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(TABLE_BITS)) & mask).astype(np.int64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def _word_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _blocks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts as lower-case bytes, in blocks of bounded size, each with the number of its first text."""
+    first, block, size = 0, [], 0
+    for i, text in enumerate(texts):
+        data = text.encode().lower()
+        if block and size + len(data) > BLOCK_BYTES:
+            yield first, block
+            first, block, size = i, [], 0
+        block.append(data)
+        size += len(data) + 1
+    if block:
+        yield first, block
 
 
 def longest_stretch(equal: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -105,12 +152,15 @@ def _seeds(items: DataFrame, masks: tuple[str, ...], min_words: int) -> DataFram
     """``(hash, item, item_pos)``; short items are one seed as a whole."""
 
     def run(batches):
+        hashes_of = WordHashes()
         for batch in batches:
             out = []
             for item, words in zip(batch["item"], batch["words"]):
-                hashes = _word_hashes([w.encode() for w in words], _Hashes())
-                for mask in masks if len(hashes) >= min_words else ("1" * len(hashes),):
-                    found = seed_hashes(hashes, mask)
+                hashes = hashes_of(" ".join(words).encode())[2]
+                chosen = masks if len(hashes) >= min_words else ("1" * len(hashes),)
+                products = products_of(hashes, max(m.count("1") for m in chosen))
+                for mask in chosen:
+                    found = seed_hashes(products, mask)
                     out.append(pd.DataFrame({"hash": found.astype(np.int64), "item": item, "item_pos": np.arange(len(found))}))
             if out:
                 yield pd.concat(out)
@@ -138,36 +188,46 @@ def _passages(docs: DataFrame, table, masks: tuple[str, ...], longest: int) -> D
 
     def run(batches):
         seen = np.unpackbits(table.value.view(np.uint8), bitorder="little").view(bool)
-        known = _Hashes()
+        hashes_of = WordHashes()
+        lengths = np.array([len(m) for m in masks])
         for batch in batches:
-            if len(known) > 1_000_000:
-                known.clear()
             out: dict[str, list] = {c: [] for c in ("doc_id", "doc", "start", "words", "hash", "pos")}
-            for doc_id, doc, text in zip(batch["doc_id"], batch["doc"], batch["text"]):
-                words = words_of(text)
-                hashes = _word_hashes(words, known)
-                at, found = [], []
-                for mask in masks:
-                    seeds = seed_hashes(hashes, mask)
-                    one, two = _bits(seeds)
-                    hit = np.flatnonzero(seen[one])
-                    hit = hit[seen[two[hit]]]
+            ids, docs_here = batch["doc_id"].tolist(), batch["doc"].tolist()
+            for first_text, block in _blocks(batch["text"].tolist()):
+                data = b" ".join(block)
+                starts, ends, hashes = hashes_of(data)
+                products = products_of(hashes, max(m.count("1") for m in masks))
+                at, found, number = [], [], []
+                for k, mask in enumerate(masks):
+                    seeds = seed_hashes(products, mask)
+                    hit = np.flatnonzero(seen[_bits(seeds)[0]])
+                    hit = hit[seen[_bits(seeds[hit])[1]]]
                     at.append(hit)
                     found.append(seeds[hit])
-                at, found = np.concatenate(at), np.concatenate(found)
+                    number.append(np.full(len(hit), k))
+                at, found, number = np.concatenate(at), np.concatenate(found), np.concatenate(number)
                 if not len(at):
                     continue
+                # Words of text t of the block are those from bounds[t] on; a seed must not cross into the next text.
+                offsets = np.cumsum([0, *(len(t) + 1 for t in block)])
+                bounds = np.searchsorted(starts, offsets)
+                owner = np.searchsorted(bounds, at, side="right") - 1
+                inside = at + lengths[number] <= bounds[owner + 1]
+                at, found, owner = at[inside], found[inside], owner[inside]
                 order = np.argsort(at, kind="stable")
-                at, found = at[order], found[order]
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * longest) + 1):
-                    first = max(int(at[part[0]]) - longest, 0)
-                    last = int(at[part[-1]]) + 2 * longest
-                    out["doc_id"].append(doc_id)
-                    out["doc"].append(doc)
-                    out["start"].append(first)
-                    out["words"].append([w.decode() for w in words[first:last]])
+                at, found, owner = at[order], found[order], owner[order]
+                apart = (np.diff(at) > 2 * longest) | (np.diff(owner) > 0)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(apart) + 1) if len(at) else ():
+                    text = int(owner[part[0]])
+                    low, high = int(bounds[text]), int(bounds[text + 1])
+                    first = max(int(at[part[0]]) - longest, low)
+                    last = min(int(at[part[-1]]) + 2 * longest, high)
+                    out["doc_id"].append(ids[first_text + text])
+                    out["doc"].append(docs_here[first_text + text])
+                    out["start"].append(first - low)
+                    out["words"].append([w.decode() for w in data[starts[first] : ends[last - 1]].split()])
                     out["hash"].append(found[part].astype(np.int64))
-                    out["pos"].append(at[part])
+                    out["pos"].append(at[part] - low)
             if out["doc"]:
                 yield pd.DataFrame(out)
 
@@ -256,6 +316,6 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that leak an item; columns stay as they are."""
     found = stored(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc").distinct())
-    key = F.xxhash64(id_col, F.coalesce(text_col, F.lit("")))
-    marked = docs.withColumn("__doc", key)
-    return marked.join(found.withColumnRenamed("doc", "__doc"), "__doc", "left_anti").select(docs.columns)
+    name = free_name(docs.columns)
+    marked = docs.withColumn(name, F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))))
+    return marked.join(found.withColumnRenamed("doc", name), name, "left_anti").select(docs.columns)

@@ -14,7 +14,6 @@ dealt into blocks, and every two blocks are compared in a task of their own.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm.components import components
-from sensorframe.llm.tables import stored
+from sensorframe.llm.tables import free_name, stored
 
 SEED = 42
 CELL_ROWS = 20_000
@@ -204,12 +203,11 @@ def _large_cells(found: DataFrame, distance: int, cell_rows: int) -> DataFrame |
     most = sizes.agg(F.max("n")).first()[0]
     if most is None:
         return None
-    blocks = math.ceil(most / cell_rows) * 2
     # Every cell in as many blocks as its own size asks for.
-    sized = given.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("n") / cell_rows) * 2)
+    sized = given.join(sizes, "cell").withColumn("blocks", (F.ceil(F.col("n") / cell_rows) * 2).cast("bigint"))
     mine = sized.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other")
-    meet = mine.select("cell", "fp", "block", "blocks", other).filter("other < blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    meet = mine.select("cell", "fp", "block", other)
     meet = meet.select("cell", "fp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +294,9 @@ def representatives(
     rows = stored(fingerprints(docs, id_col, text_col, size))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc"))
     rooted = _rooted(rows, distance, cell_rows, order)
-    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc").alias("__doc")))
-    marked = docs.withColumn("__doc", row_key(id_col, text_col)).join(kept, "__doc", "left_semi")
-    one = Window.partitionBy("__doc").orderBy("__doc")
-    return marked.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(docs.columns)
+    key = free_name(docs.columns)
+    number = free_name([*docs.columns, key])
+    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc").alias(key)))
+    marked = docs.withColumn(key, row_key(id_col, text_col)).join(kept, key, "left_semi")
+    one = Window.partitionBy(key).orderBy(key)
+    return marked.withColumn(number, F.row_number().over(one)).filter(F.col(number) == 1).select(docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark import cloudpickle
@@ -24,6 +25,14 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def free_name(taken: Iterable[str], name: str = "key") -> str:
+    """A column name that no column of ``taken`` has, in whatever case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Shared:
     """A broadcast value of bounded size; its classes travel with it, so executors need no copy of the package."""
 

@@ -491,3 +491,21 @@ def test_score_is_the_models_alone(spark):
 
 def test_digest_of_empty_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    hashes_of = decontaminate.WordHashes()
+    data = "  one two\tone é\n\nx one".encode()
+    starts, ends, found = hashes_of(data)
+    words = [data[a:b] for a, b in zip(starts, ends)]
+    assert words == data.split()
+    assert found[0] == found[2] == found[5] and len(set(found.tolist())) == 4
+    assert hashes_of(b"one")[2][0] == found[0] and len(hashes_of(b" \n ")[2]) == len(hashes_of(b"")[2]) == 0
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(1, "a b c d", "k", 7, "h"), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string, Key_ int, __doc string")
+    items = spark.createDataFrame([("i", "no such words")], "item_id string, text string")
+    assert sorted(map(tuple, decontaminate.without_leaks(docs, items).collect())) == rows
+    assert sorted(map(tuple, simhash.representatives(docs).collect())) == rows
