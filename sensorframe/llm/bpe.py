@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,14 +239,7 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
     return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def _blocks(frame: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
-    """Cut a batch into blocks of bounded text, one text at least."""
-    sizes = frame[text_col].str.len().cumsum() // BLOCK_CHARS
-    for _, block in frame.groupby(sizes.to_numpy(), sort=True):
-        yield block
-
-
-def encode_blocks(texts: list[str | None], vocab: Vocabulary) -> Iterator[list[np.ndarray]]:
+def encode_blocks(texts: Iterable[str | None], vocab: Vocabulary) -> Iterator[list[np.ndarray]]:
     """The ids of each text, worked out in blocks of bounded text (one text at least)."""
     block: list[str] = []
     size = 0
@@ -278,7 +271,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     def run(batches):
         for batch in batches:
             done = 0
-            for lists in encode_blocks(batch.column(text_col).to_pylist(), shared.value):
+            for lists in encode_blocks((t.as_py() for t in batch.column(text_col)), shared.value):
                 part = batch.slice(done, len(lists))
                 done += len(lists)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])

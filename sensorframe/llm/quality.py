@@ -108,13 +108,15 @@ def features(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> D
 
     def run(batches):
         for batch in batches:
-            yield batch[["doc_id", "held_out"]].assign(x=[statistics(t or "") for t in batch["text"]])
+            # One text at a time: those of a whole batch are never Python strings together.
+            x = pa.array([statistics(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), x], ["doc_id", "held_out", "x"])
 
     # Ids travel as text: integers beside nulls would become floats in pandas.
     rows = docs.select(
         F.col(id_col).cast("string").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text")
     )
-    return rows.mapInPandas(run, "doc_id string, held_out boolean, x array<double>")
+    return rows.mapInArrow(run, "doc_id string, held_out boolean, x array<double>")
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -215,13 +217,14 @@ def accepted(
     accept: float = ACCEPT,
 ) -> DataFrame:
     """The rows of ``docs`` that ``classify`` predicts 1, columns as they are; texts are never shuffled."""
-    rows = features(docs, held_out, id_col, text_col)
+    # Rows that are held out teach nothing, so their statistics are worked out once, when they are scored.
+    rows = features(docs.filter(~held_out), held_out, id_col, text_col)
     found = Discriminant(moments(_labelled(rows, labels, id_col, label_col)))
     model = Shared(docs.sparkSession, found)
 
     def run(batches):
         for batch in batches:
-            x = [statistics(t or "") for t in batch.column(text_col).to_pylist()]
+            x = [statistics(t.as_py() or "") for t in batch.column(text_col)]
             score = model.value.score(np.array(x, float).reshape(-1, len(FEATURES)))
             yield batch.filter(pa.array(score >= accept))
 

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.llm import attention, decontaminate, html_text, lm_scoring, quality, reply_trees, secret_ledger
+from sensorframe.llm import attention, decontaminate, html_text, lm_scoring, quality, reply_trees, secret_ledger, simhash
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
