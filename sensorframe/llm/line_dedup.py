@@ -1,20 +1,20 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only.
+"""Line dedup by an exact set-similarity join over the words of lines, in DataFrame operations only.
 
-A line is the set of its five-word shingles; one of fewer words is one shingle as a
-whole, and only blank lines have none. Lines of one document or of several
-match when the Jaccard similarity of their sets is ``threshold`` or more, and a
+A line is the set of its words; only blank lines have none. Lines of one document or of
+several match when the Jaccard similarity of their sets is ``threshold`` or more, and a
 line with an earlier match goes.
 
-1. Lines of the same text form a class with one representative, its first line, so a line that a third of the corpus shares is one row from here on.
-2. The shingles of a representative are ordered by the rarity of their first words
-   (corpus counts, kept in a table of fixed size), and only the first
-   ``n - ceil(t * n) + 1`` are indexed (prefix filter): two sets that match share one.
-3. Candidates meet on a shared shingle if sizes allow a match (length filter) and
-   enough shingles follow the shared one in both sets (positional filter).
+1. Lines of the same set form a class with one representative, its first line, so a line that a third of the corpus shares is one row from here on.
+2. The words of a representative are ordered by rarity (corpus counts, kept in a table
+   of fixed size), and only the first ``n - ceil(t * n) + 1`` are indexed (prefix
+   filter): two sets that match share one.
+3. Candidates meet on a shared word if sizes allow a match (length filter), enough
+   words follow the shared one in both sets (positional filter), and the parities
+   of 64 groups of words differ in no more groups than the sets may differ in words.
 4. Jaccard is verified on the whole sets of the candidates, split anew from their text.
 
 Candidates are sought in two rounds. First every line is compared with two leaders
-of each of its shingles, the earliest line and the one with most copies, so a group
+of each of its words, the earliest line and the one with most copies, so a group
 of near copies costs its size, not its square. Then the lines that found no
 match are compared with all earlier lines that pass the filters, which makes
 the join complete.
@@ -22,20 +22,18 @@ the join complete.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.tables import stored
+from sensorframe.llm.tables import free_name, stored
+from sensorframe.operators.joins import fits_broadcast
 
-WORDS = 5
 THRESHOLD = 0.8
-#: Entries of the table of word counts.
-BUCKETS = 1 << 14
-#: Rows (of a few dozen bytes) up to which a side is broadcast.
-BROADCAST_ROWS = 500_000
+#: Entries of the table of word counts, one byte each.
+BUCKETS = 1 << 18
 LAST = (1 << 63) - 1
-#: What is known of a line that shares a shingle.
-LINE = ("id", "pos", "key", "size", "at")
+#: What is known of a line that shares a word.
+LINE = ("id", "pos", "key", "size", "at", "parity")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,9 +46,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """``(id, doc, pos, line, key, check)``: every line; two hashes of its text name its class."""
-    rows = documents.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("id", "doc", "pos", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("check"))
+    """``(id, doc, pos, line)``: every line."""
+    return documents.select("id", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _words(line: str) -> Column:
@@ -59,52 +56,51 @@ def _words(line: str) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _literal(values: list[int]) -> Column:
-    """A constant array; its size is fixed and does not grow with the data."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def word_counts(documents: DataFrame) -> list[int]:
-    """Occurrences of words in all lines, by hash bucket."""
+def word_levels(documents: DataFrame) -> bytes:
+    """For each hash bucket of words, how often they occur in all lines: the bits of the count, as a character from ``0`` on."""
     lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(F.explode(F.split("line", " ")).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    counts = [0] * BUCKETS
-    for row in words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[row["bucket"]] = row["n"]
-    return counts
-
-
-def coded_lines(lines: DataFrame, counts: list[int], words: int, threshold: float) -> DataFrame:
-    """``(id, doc, pos, key, check, size, prefix)``: every line with its indexed shingles.
-
-    A shingle is a number: the upper bits tell how frequent its first word is, the
-    lower ones are a hash. Numeric order is thus an order of rarity. All words of a line
-    with fewer are one shingle. Blank lines have size 0 (a filter here would split
+    counts = words.groupBy(bucket.alias("bucket")).agg(F.length(F.bin(F.count(F.lit(1)))).alias("level"))
+    levels = bytearray(b"0" * BUCKETS)
+    # As many rows as buckets at most, packed a thousand to a row.
+    packed = counts.groupBy(F.shiftright("bucket", 10).alias("part")).agg(F.collect_list(F.col("bucket") * 64 + F.col("level")).alias("all"))
+    for row in packed.collect():
+        for value in row["all"]:
+            levels[value >> 6] = 48 + (value & 63)
+    return bytes(levels)
+
+
+def coded_lines(lines: DataFrame, levels: bytes, threshold: float) -> DataFrame:
+    """``(id, doc, pos, key, check, size, parity, prefix)``: every line with its indexed words.
+
+    A word is a number: the upper bits tell how frequent it is, the lower ones are a
+    hash. Numeric order is thus an order of rarity. Two hashes of the ordered set name
+    the class of the line. Blank lines have size 0 (a filter here would split
     every line twice).
     """
-    logs = _literal([c.bit_length() for c in counts])
+    table = F.lit(levels)
 
     def code(word: Column) -> Column:
         hashed = F.xxhash64(word)
-        level = F.get(logs, hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        place = hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+        level = F.ascii(F.substr(table, place, F.lit(1)).cast("string")).cast("bigint") - 48
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    def shingle(part: Column, first: Column | None = None) -> Column:
-        level = F.shiftleft(F.shiftrightunsigned(part.getField("0") if first is None else first, 56), 56)
-        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 8)), F.lit(0).cast("bigint"))
-
-    own = ["id", "doc", "pos", "key", "check"]
-    coded = lines.select(*own, F.transform(_words("line"), code).alias("codes"))
-    runs = F.greatest(F.size("codes") - (words - 1), F.lit(0))
-    moved = [F.slice("codes", F.lit(i + 1), runs).alias(str(i)) for i in range(words)]
-    shingles = F.sort_array(F.array_distinct(F.transform(F.arrays_zip(*moved), lambda part: shingle(part))))
-    short = (F.size("codes") > 0) & (F.size("codes") < words)
-    shingles = F.when(short, F.array(shingle(F.col("codes"), F.get("codes", F.lit(0))))).otherwise(shingles)
-    coded = coded.select(*own, shingles.alias("shingles"))
-    size = F.size("shingles")
+    own = ["id", "doc", "pos"]
+    coded = lines.select(*own, F.sort_array(F.transform(F.array_distinct(_words("line")), code)).alias("codes"))
+    size = F.size("codes")
     indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
-    return coded.select(*own, size.alias("size"), F.slice("shingles", F.lit(1), indexed).alias("prefix"))
+    one = F.lit(1).cast("bigint")
+    parity = F.aggregate("codes", F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    return coded.select(
+        *own,
+        F.xxhash64("codes").alias("key"),
+        F.hash("codes").alias("check"),
+        size.alias("size"),
+        parity.alias("parity"),
+        F.slice("codes", F.lit(1), indexed).alias("prefix"),
+    )
 
 
 def _classes(coded: DataFrame, *more: Column) -> DataFrame:
@@ -113,46 +109,47 @@ def _classes(coded: DataFrame, *more: Column) -> DataFrame:
 
 
 def shared_prefixes(coded: DataFrame) -> DataFrame:
-    """``(code, rank)`` and ``LINE`` of the indexed shingles that several classes share.
+    """``(code, rank)`` and ``LINE`` of the indexed words that several classes share.
 
-    Most shingles stand in one class only; they are told by their number and the key
-    of the class alone, and what the others need is joined to them.
+    Most indexed words stand in one class only; they are told by their number and the
+    key of the class alone, and what the others need is joined to them. Counts are
+    added up before they move, so no task holds the lines of a frequent word.
     """
-    classes = _classes(coded, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    more = [F.first(c).alias(c) for c in ("size", "parity", "prefix")]
+    classes = _classes(coded, *more)
     classes = stored(
         classes.select(
             "key",
             F.col("first.id").alias("id"),
             F.col("first.pos").alias("pos"),
             "size",
+            "parity",
             (-F.floor(F.log2("n"))).cast("int").alias("rank"),
             "prefix",
         )
     )
-    group = Window.partitionBy("code")
     indexed = classes.select(F.explode("prefix").alias("code"), "key")
-    common = indexed.withColumn("rows", F.count(F.lit(1)).over(group)).filter("rows > 1").select("code", "key")
-    rows = stored(common).join(classes, "key")
+    several = indexed.groupBy("code").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("code")
+    rows = stored(indexed.join(several, "code")).join(classes, "key")
     rows = rows.withColumn("at", (F.array_position("prefix", F.col("code")) - 1).cast("int"))
     return rows.select("code", "rank", *LINE)
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
-    """The lines of every shingle with the two that lead it: the earliest, and the one with most copies."""
-    group = Window.partitionBy("code")
-    return shared.select(
-        "*",
-        F.min(F.struct(*LINE)).over(group).alias("earliest"),
-        F.min(F.struct("rank", *LINE)).over(group).alias("largest"),
+    """The lines of every word with the two that lead it: the earliest, and the one with most copies."""
+    leaders = shared.groupBy("code").agg(
+        F.min(F.struct(*LINE)).alias("earliest"), F.min(F.struct("rank", *LINE)).alias("largest")
     )
+    return shared.join(leaders, "code")
 
 
 def _may_match(threshold: float) -> Column:
-    """Length and positional filter of line ``x`` and line ``y`` that share a shingle."""
+    """Length, positional and parity filter of line ``x`` and line ``y`` that share a word."""
     nx, ny = F.col("x.size"), F.col("y.size")
     least = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
     left = F.least(nx - F.col("x.at"), ny - F.col("y.at"))
-    return (nx >= ny * threshold - 1e-9) & (ny >= nx * threshold - 1e-9) & (left >= least)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    return (nx >= ny * threshold - 1e-9) & (ny >= nx * threshold - 1e-9) & (left >= least) & (apart <= nx + ny - 2 * least)
 
 
 def _earlier() -> Column:
@@ -160,29 +157,23 @@ def _earlier() -> Column:
 
 
 def _side(df: DataFrame) -> DataFrame:
-    """A table as the small side of a join: broadcast up to ``BROADCAST_ROWS`` rows, else hashed after a shuffle."""
-    small = df.count() <= BROADCAST_ROWS
-    return F.broadcast(df) if small else df.hint("shuffle_hash")
+    """A table as the small side of a join: broadcast where its measured size allows, else hashed after a shuffle."""
+    return F.broadcast(df) if fits_broadcast(df) else df.hint("shuffle_hash")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
     """The keys ``x`` of ``pairs (x, y)`` whose sets have the similarity asked for.
 
-    Only the candidate lines are split again, one for each key. Whole sets are
-    compared, their shingles as 64-bit hashes.
+    Only the first lines of the candidate classes are split again. Whole sets are
+    compared, their words as 64-bit hashes.
     """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     places = needed.join(coded.groupBy("key").agg(F.min(F.struct("id", "doc", "pos")).alias("first")), "key")
     places = stored(places.select("key", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")))
-    texts = _lines(documents).select("doc", "pos", "key", "line")
-    texts = texts.join(_side(places), ["doc", "pos", "key"], "left_semi").dropDuplicates(["key"])
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size("words") - words), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(words)])
-    )
-    texts = texts.select("key", _words("line").alias("words"))
-    whole = F.array(F.xxhash64("words"))
-    texts = texts.select("key", F.when(F.size("words") < words, whole).otherwise(F.array_distinct(parts)).alias("set"))
-    texts = stored(texts)
+    texts = _lines(documents).select("doc", "pos", "line").join(_side(places), ["doc", "pos"])
+    # Rows that repeat an id and its text give the same line again.
+    texts = stored(texts.select("key", F.transform(F.array_distinct(_words("line")), lambda w: F.xxhash64(w)).alias("set")))
+    texts = texts.groupBy("key").agg(F.first("set").alias("set"))
     both = pairs.join(texts.select(F.col("key").alias("x"), F.col("set").alias("set_x")), "x")
     both = both.join(texts.select(F.col("key").alias("y"), F.col("set").alias("set_y")), "y")
     shared = F.size(F.array_intersect("set_x", "set_y"))
@@ -190,7 +181,7 @@ def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, words: in
     return both.filter(shared >= union * threshold - 1e-9).select("x").distinct()
 
 
-def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold: float) -> DataFrame:
+def later_matches(documents: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
     """``(key,)`` of the classes that match an earlier line of another class."""
     shared = stored(shared_prefixes(coded))
 
@@ -200,7 +191,7 @@ def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold:
     )
     led = led.filter(_earlier() & _may_match(threshold)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
     led = stored(led.distinct())
-    first = stored(verified(led, documents, coded, words, threshold))
+    first = stored(verified(led, documents, coded, threshold))
 
     open_lines = shared.select("code", F.struct(*LINE).alias("x"))
     open_lines = open_lines.join(first.withColumnRenamed("x", "done"), F.col("x.key") == F.col("done"), "left_anti")
@@ -208,7 +199,7 @@ def later_matches(documents: DataFrame, coded: DataFrame, words: int, threshold:
     pairs = open_lines.join(others, "code").filter(_earlier() & _may_match(threshold))
     pairs = pairs.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
     pairs = stored(pairs.join(led, ["x", "y"], "left_anti"))
-    rest = verified(pairs, documents, coded, words, threshold)
+    rest = verified(pairs, documents, coded, threshold)
     return first.union(rest).select(F.col("x").alias("key")).distinct()
 
 
@@ -216,43 +207,46 @@ def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    words: int = WORDS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``docs`` without the lines that match an earlier line; adds ``n_lines`` and ``n_removed``.
 
     Lines are split at line feeds and ordered by integer id, then position; null ids
-    come last. Equal lines match, and so do lines whose sets of
-    ``words``-word shingles have a Jaccard similarity of ``threshold`` or more,
-    whether or not the earlier line stays. Words lie between ASCII white space. Lines
-    with fewer words match where all their words are the same; blank lines always
-    stay. A null text is empty: one line.
+    come last. Lines match whose sets of words have a Jaccard similarity of
+    ``threshold`` or more, equal lines among them, whether or not the earlier line
+    stays. Words lie between ASCII white space, and upper and lower case differ. Blank
+    lines always stay. A null text is empty: one line.
     Rows that repeat an id and its text count as one document and lose the same
     lines; a document may lose all its lines and is then an empty text. An empty
-    table gives no rows.
+    table gives no rows. Columns named ``n_lines`` and ``n_removed`` are replaced, any
+    other comes back as it is.
     """
     documents = _documents(docs, id_col, text_col)
-    coded = stored(coded_lines(_lines(documents), word_counts(documents), words, threshold)).filter("size > 0")
-    matched = stored(later_matches(documents, coded, words, threshold))
+    coded = stored(coded_lines(_lines(documents), word_levels(documents), threshold)).filter("size > 0")
+    matched = stored(later_matches(documents, coded, threshold))
     # Classes of one line without a match lose nothing.
     found = _classes(coded).join(matched.withColumn("matched", F.lit(True)), "key", "left").filter("n > 1 or matched")
     gone = coded.select("id", "doc", "pos", "key", "check").join(found.drop("n"), ["key", "check"])
     gone = gone.filter(F.coalesce("matched", F.lit(False)) | (F.struct("id", "doc", "pos") != F.col("first")))
-    gone = gone.groupBy("id", "doc").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), "__gone")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names: list[str] = []
+    for name in ("id", "doc", "gone", "lines"):
+        names.append(free_name([*columns, *names, "n_lines", "n_removed"], name))
+    own_id, own_doc, own_gone, own_lines = names
+    gone = gone.groupBy("id", "doc").agg(F.collect_set("pos").alias("all"))
+    gone = gone.select(F.col("id").alias(own_id), F.col("doc").alias(own_doc), F.col("all").alias(own_gone))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {
-        "__id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)),
-        "__doc": F.xxhash64(F.col(id_col).cast("bigint"), text),
+        own_id: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)),
+        own_doc: F.xxhash64(F.col(id_col).cast("bigint"), text),
     }
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(columns).withColumns(keys).join(_side(stored(gone)), ["__id", "__doc"], "left")
-    joined = joined.withColumn("__lines", F.split(text, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
+    joined = docs.select(columns).withColumns(keys).join(_side(stored(gone)), [own_id, own_doc], "left")
+    joined = joined.withColumn(own_lines, F.split(text, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own_lines) - 1), F.col(own_gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(own_lines, i)), "\n")
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in columns],
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        *[F.when(F.col(own_gone).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in columns],
+        F.size(own_lines).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(own_gone), F.lit(0)).cast("bigint").alias("n_removed"),
     )

@@ -146,14 +146,12 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def brute_lines(docs, words=5, threshold=0.8):
+def brute_lines(docs, threshold=0.8):
     out, sets, index = {}, [], defaultdict(list)
     for i, text in docs:
         kept = []
         for line in text.split("\n"):
-            w = line.encode().split()
-            # A line of fewer words is one shingle as a whole; only blank lines have none.
-            part = frozenset(tuple(w[j : j + words]) for j in range(max(len(w) - words, 0) + 1)) if w else frozenset()
+            part = frozenset(line.encode().split())
             counts = defaultdict(int)
             for s in part:
                 for other in index[s]:
@@ -211,4 +209,15 @@ def test_line_dedup_odd_rows(spark):
 def test_line_dedup_short_lines(spark):
     rows = [(1, "all rights\nx y z\n\n  ", "k"), (2, "all  rights\nown\n\n  ", "k"), (3, "x y z\nx y z w\nx y z w\nx z y", "k")]
     found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
-    assert found == {1: (rows[0][1], 0), 2: ("own\n\n  ", 1), 3: ("x y z w\nx z y", 2)}
+    assert found == {1: (rows[0][1], 0), 2: ("own\n\n  ", 1), 3: ("x y z w", 3)}
+
+
+def test_line_dedup_one_word_changed_and_clashing_columns(spark):
+    line = [f"w{i}" for i in range(18)]
+    other = [*line[:9], "else", *line[10:]]
+    rows = [(1, " ".join(line), 7, "d", "g", None), (2, " ".join(other), 8, None, "h", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id int, doc string, `__gone` string, lines string")
+    found = sorted(map(tuple, line_dedup.line_dedup(docs).collect()))
+    assert found == [(*rows[0], 1, 0), (2, "", *rows[1][2:], 1, 1)]
+    odd = docs.selectExpr("doc_id", "text", "'n' AS n_lines", "'r' AS n_removed")
+    assert [tuple(r) for r in line_dedup.line_dedup(odd).orderBy("doc_id").collect()] == [(1, rows[0][1], 1, 0), (2, "", 1, 1)]
