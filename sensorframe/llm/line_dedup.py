@@ -25,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.tables import free_name, stored
+from sensorframe.llm.tables import drop_stored, free_name, stored
 from sensorframe.operators.joins import fits_broadcast
 
 THRESHOLD = 0.8
 #: Entries of the table of word counts, one byte each.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 LAST = (1 << 63) - 1
 #: What is known of a line that shares a word.
 LINE = ("id", "pos", "key", "size", "at", "parity")
@@ -128,11 +128,12 @@ def shared_prefixes(coded: DataFrame) -> DataFrame:
             "prefix",
         )
     )
-    indexed = classes.select(F.explode("prefix").alias("code"), "key")
+    indexed = classes.select(F.posexplode("prefix").alias("at", "code"), "key")
     several = indexed.groupBy("code").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("code")
-    rows = stored(indexed.join(several, "code")).join(classes, "key")
-    rows = rows.withColumn("at", (F.array_position("prefix", F.col("code")) - 1).cast("int"))
-    return rows.select("code", "rank", *LINE)
+    common = stored(indexed.join(several, "code"))
+    rows = stored(common.join(classes.drop("prefix"), "key").select("code", "rank", *LINE))
+    drop_stored(common, classes)
+    return rows
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, threshold
 
 def later_matches(documents: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
     """``(key,)`` of the classes that match an earlier line of another class."""
-    shared = stored(shared_prefixes(coded))
+    shared = shared_prefixes(coded)
 
     led = _with_leaders(shared).select(
         F.struct(*LINE).alias("x"),

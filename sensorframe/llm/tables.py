@@ -9,7 +9,7 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.session import materialize
+from sensorframe.session import SharedFiles, materialize
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -25,6 +25,14 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that nothing reads any more: all that was made of them is stored itself."""
+    for table in tables:
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        for folder in folders:
+            SharedFiles(table.sparkSession).delete(folder)
+
+
 def free_name(taken: Iterable[str], name: str = "key") -> str:
     """A column name that no column of ``taken`` has, in whatever case."""
     taken = {c.lower() for c in taken}
