@@ -385,8 +385,83 @@ def array_stream(spark, sf_dir):
     return read_arrays(spark, root)
 
 
+SPECTRA_ROWS, SPECTRA_COLUMNS, SPECTRA_WIDTH = 128, 24, 64
+#: Coordinates of the second dimension: 400, 402.5, ...
+FIRST_WAVELENGTH, WAVELENGTH_STEP = 400.0, 2.5
+ARRAY_RANGES = {"time": ("2024-01-01 00:50:00", "2024-01-01 02:50:00"), "wavelength": (455.0, 541.0)}
+
+
+def _write_spectra(root: str):
+    """Writes the chunk files of one stretch of rows, time and several columns of spectra; runs on the executors."""
+
+    def write(rows):
+        files, base = arrow_fs.FileSystem.from_uri(root)
+        number = int(rows["vec_id"].iloc[0]) // SPECTRA_ROWS
+        at = rows["vec_id"].to_numpy() % SPECTRA_ROWS
+        time = np.full(SPECTRA_ROWS, -1, "<i8")
+        time[at] = rows["vec_id"]
+        wide = -(-SPECTRA_WIDTH // SPECTRA_COLUMNS) * SPECTRA_COLUMNS
+        values = np.full((SPECTRA_ROWS, wide), np.nan, "<f4")
+        for i, vector in zip(at, rows["embedding"]):
+            if vector is not None:
+                values[i, :SPECTRA_WIDTH] = vector
+        blocks = {f"time/{number}": time}
+        for j in range(wide // SPECTRA_COLUMNS):
+            blocks[f"spectra/{number}.{j}"] = values[:, j * SPECTRA_COLUMNS : (j + 1) * SPECTRA_COLUMNS]
+        for name, block in blocks.items():
+            with files.open_output_stream(f"{base}/{name}") as out:
+                out.write(zlib.compress(block.tobytes()))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    return write
+
+
+def _stored_spectra(spark, sf_dir) -> str:
+    """Embeddings as a group of time, wavelength and two-dimensional spectra; its path."""
+    folder = f"{shared_folder(spark)}/sensorframe-arrays-{uuid.uuid4().hex}"
+    root = folder if ":/" in folder else f"file://{folder}"
+    files, base = arrow_fs.FileSystem.from_uri(root)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = rows.agg(F.max("vec_id")).first()[0] + 1
+    shapes = {
+        "time": ([n], [SPECTRA_ROWS], "<i8", ["time"]),
+        "spectra": ([n, SPECTRA_WIDTH], [SPECTRA_ROWS, SPECTRA_COLUMNS], "<f4", ["time", "wavelength"]),
+        "wavelength": ([SPECTRA_WIDTH], [16], "<f8", ["wavelength"]),
+    }
+    for name, (shape, chunks, kind, dims) in shapes.items():
+        files.create_dir(f"{base}/{name}", recursive=True)
+        array = {"shape": shape, "chunks": chunks, "dtype": kind, "compressor": {"id": "zlib"}, "fill_value": None}
+        attrs = {"_ARRAY_DIMENSIONS": dims, **({"units": "minutes since 2024-01-01"} if name == "time" else {})}
+        for file, content in ((".zarray", array), (".zattrs", attrs)):
+            with files.open_output_stream(f"{base}/{name}/{file}") as out:
+                out.write(json.dumps(content).encode())
+    wavelength = FIRST_WAVELENGTH + WAVELENGTH_STEP * np.arange(SPECTRA_WIDTH)
+    for number, part in enumerate(np.split(wavelength, range(16, SPECTRA_WIDTH, 16))):
+        with files.open_output_stream(f"{base}/wavelength/{number}") as out:
+            out.write(zlib.compress(part.tobytes()))
+    chunk = F.floor(F.col("vec_id") / SPECTRA_ROWS)
+    rows.groupBy(chunk).applyInPandas(_write_spectra(root), "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
+def _long_spectra(rows: DataFrame) -> DataFrame:
+    return rows.select("_pos", "time", F.posexplode("spectra").alias("place", "value"))
+
+
+def array_spectra(spark, sf_dir):
+    """Two-dimensional chunks read as an array column, one row for each element."""
+    return _long_spectra(read_arrays(spark, _stored_spectra(spark, sf_dir)))
+
+
+def array_range(spark, sf_dir):
+    """The same group cut in both dimensions: only chunks that hold a part of the cut are opened."""
+    return _long_spectra(read_arrays(spark, _stored_spectra(spark, sf_dir), ARRAY_RANGES))
+
+
 QUERIES = {
     "array_stream": array_stream,
+    "array_spectra": array_spectra,
+    "array_range": array_range,
     "single_plot": single_plot,
     "two_stream_download": two_stream_download,
     "catalog_list": catalog_list,
@@ -515,7 +590,16 @@ def _asof_sql(direction: str) -> str:
 
 
 _SPECTRA = "SELECT vec_id, embedding, label FROM embeddings"
+_SPECTRA_SQL = f"""WITH k AS (SELECT vec_id, embedding, unnest(range({SPECTRA_WIDTH})) AS i FROM embeddings),
+  e AS (SELECT vec_id AS _pos, TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS time, CAST(i AS INTEGER) AS place,
+        CASE WHEN isnan(embedding[i + 1]) THEN NULL ELSE CAST(embedding[i + 1] AS DOUBLE) END AS value FROM k)"""
+
 ORACLES = {
+    "array_spectra": f"{_SPECTRA_SQL} SELECT _pos, time, place, value FROM e",
+    "array_range": f"""{_SPECTRA_SQL},
+  w AS (SELECT min(place) AS low, max(place) AS high FROM e WHERE {FIRST_WAVELENGTH} + {WAVELENGTH_STEP} * place BETWEEN 455 AND 541)
+  SELECT _pos, time, CAST(place - low AS INTEGER) AS place, value FROM e, w
+  WHERE time BETWEEN TIMESTAMP '2024-01-01 00:50:00' AND TIMESTAMP '2024-01-01 02:50:00' AND place BETWEEN low AND high""",
     "array_stream": "SELECT event_id AS _pos, ts AS time, value, user_id FROM events",
     "single_plot": """
   WITH s AS (SELECT * FROM events WHERE event_type = 'click'),

@@ -8,6 +8,9 @@ chunk files ``<variable>/<i>`` or ``<variable>/<i>.<j>``. The first dimension is
 Chunks are decoded by the executors that read them. Decoded rows travel as
 blocks of ``BLOCK_ROWS`` rows per variable, so aligning the variables shuffles
 arrays, not single values, and no group holds more than one block per variable.
+
+A cut is decided on the coordinates alone: they give ranges of indexes, these give
+ranges of chunk numbers, and only the files of such names are listed and opened.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import json
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,14 +53,6 @@ class ArrayMeta:
         kind = np.dtype(self.dtype).kind
         return "ints" if kind in "iub" else "texts" if kind in "US" else "data"
 
-    @property
-    def chunk_rows(self) -> int:
-        return -(-self.shape[0] // self.chunks[0])
-
-    @property
-    def chunk_cols(self) -> int:
-        return -(-self.shape[1] // self.chunks[1]) if len(self.shape) > 1 else 1
-
 
 def read_metadata(spark: SparkSession, root: str) -> list[ArrayMeta]:
     """Metadata of every variable of a group: two small JSON files each.
@@ -130,7 +126,48 @@ def _decompress(content: bytes, meta: ArrayMeta) -> bytes:
     return pa.Codec("zstd").decompress(content, decompressed_size=size).to_pybytes()
 
 
-def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Iterator[dict]:
+#: First index of a dimension and the one after the last.
+Span = tuple[int, int]
+
+
+def _spans(meta: ArrayMeta, cut: Mapping[str, Span]) -> tuple[Span, Span]:
+    """The rows and the columns of a variable that are kept."""
+    whole = [(0, n) for n in (*meta.shape, 1)][:2]
+    kept = [cut.get(dimension, span) for dimension, span in zip(meta.dims, whole)]
+    rows, columns = [*kept, *whole[len(kept) :]]
+    return rows, columns
+
+
+def _chunks_of(meta: ArrayMeta, cut: Mapping[str, Span]) -> tuple[Span, Span]:
+    """The chunk numbers that hold them, along rows and along columns."""
+    sizes = (*meta.chunks, 1)
+    rows, columns = ((a // n, -(-b // n)) if a < b else (0, 0) for (a, b), n in zip(_spans(meta, cut), sizes))
+    return rows, columns
+
+
+def number_glob(first: int, last: int) -> str:
+    """A glob for the decimal numbers from ``first`` to ``last``; it grows with their digits only."""
+    parts = []
+    while first <= last:
+        step = 1
+        while first >= step * 10 and first % (step * 10) == 0 and first + step * 10 - 1 <= last:
+            step *= 10
+        digit = first // step % 10
+        more = min(9 - digit, (last - first + 1) // step - 1)
+        head = str(first // (step * 10)) if first >= step * 10 else ""
+        parts.append(f"{head}[{digit}-{digit + more}]" + "[0-9]" * (len(str(step)) - 1))
+        first += (more + 1) * step
+    return "{" + ",".join(parts) + "}"
+
+
+def _name_glob(meta: ArrayMeta, cut: Mapping[str, Span]) -> str:
+    """A glob for the names of the chunk files that are needed; any name where that is all of them."""
+    if not any(dimension in cut for dimension in meta.dims):
+        return "*"
+    return ".".join(number_glob(a, b - 1) for a, b in _chunks_of(meta, cut)[: len(meta.shape)])
+
+
+def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None, cut: Mapping[str, Span]) -> Iterator[dict]:
     """One chunk as pieces that do not cross a block edge; a missing chunk is all fill value."""
     kind = {"ints": "int64", "texts": "object", "data": "float64"}[meta.kept_in]
     if content is None:
@@ -141,11 +178,17 @@ def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Ite
         values = np.frombuffer(_decompress(content, meta), dtype=meta.dtype)
         if values.dtype.kind == "S":
             values = np.char.decode(values, "utf-8")
-        values = values.reshape(meta.chunks, order=meta.order).astype(kind)
-    start = i * meta.chunks[0]
-    values = values[: meta.shape[0] - start]
+        values = values.reshape(meta.chunks, order=meta.order)
+    rows, columns = _spans(meta, cut)
+    start, column = i * meta.chunks[0], 0
+    values = values[max(rows[0] - start, 0) : max(rows[1] - start, 0)]
+    start = max(start, rows[0])
     if values.ndim > 1:
-        values = values[:, : meta.shape[1] - j * meta.chunks[1]]
+        column = j * meta.chunks[1]
+        values = values[:, max(columns[0] - column, 0) : max(columns[1] - column, 0)]
+        column = max(column, columns[0])
+    if content is not None:
+        values = values.astype(kind)
     at = 0
     while at < len(values):
         block, inside = divmod(start + at, BLOCK_ROWS)
@@ -154,7 +197,7 @@ def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Ite
             "variable": meta.name,
             "block": block,
             "row": inside,
-            "column": j * meta.chunks[1] if values.ndim > 1 else 0,
+            "column": column,
             "width": values.shape[1] if values.ndim > 1 else 1,
             **{field: None for field in ("data", "ints", "texts")},
             meta.kept_in: values[at : at + take].reshape(-1).tolist(),
@@ -162,13 +205,33 @@ def _chunk_blocks(meta: ArrayMeta, i: int, j: int, content: bytes | None) -> Ite
         at += take
 
 
-def decode_chunks(spark: SparkSession, root: str, metas: list[ArrayMeta]) -> DataFrame:
-    """Pieces ``(variable, block, row, column, width, data, ints, texts)`` of all chunks of the variables.
+PIECES = (
+    "variable string, block bigint, row int, column int, width int, data array<double>, ints array<bigint>,"
+    " texts array<string>"
+)
 
-    A variable's values lie in the one field that fits its type.
+
+def decode_chunks(
+    spark: SparkSession, root: str, metas: list[ArrayMeta], cut: Mapping[str, Span] | None = None
+) -> DataFrame:
+    """Pieces ``(variable, block, row, column, width, data, ints, texts)`` of the variables.
+
+    A variable's values lie in the one field that fits its type. ``cut`` keeps a span
+    of indexes of each dimension it names; chunks outside are neither listed nor opened.
     """
+    cut = dict(cut or {})
     by_name = {m.name: m for m in metas}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{root}/{n}" for n in by_name])
+    needed = {m.name: _chunks_of(m, cut) for m in metas}
+    needed = {name: spans for name, spans in needed.items() if all(a < b for a, b in spans)}
+    if not needed:
+        return spark.createDataFrame([], PIECES)
+    folders: dict[str, list[str]] = {}
+    for name in needed:
+        folders.setdefault(_name_glob(by_name[name], cut), []).append(f"{root}/{name}")
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reduce(
+        DataFrame.unionByName, [source.option("pathGlobFilter", glob).load(paths) for glob, paths in folders.items()]
+    )
     parts = F.split(F.col("path"), "/")
     chunk = F.split(F.element_at(parts, -1), r"\.")
     named = files.select(
@@ -178,14 +241,11 @@ def decode_chunks(spark: SparkSession, root: str, metas: list[ArrayMeta]) -> Dat
         "content",
     ).where(F.col("i").isNotNull())
     shapes = spark.createDataFrame(
-        [(m.name, m.chunk_rows, m.chunk_cols) for m in metas], "variable string, n_i bigint, n_j bigint"
-    )
-    one = F.lit(1).cast("bigint")
-    expected = (
-        shapes.where((F.col("n_i") > 0) & (F.col("n_j") > 0))
-        .select("variable", "n_j", F.explode(F.sequence(one - 1, F.col("n_i") - one)).alias("i"))
-        .select("variable", "i", F.explode(F.sequence(one - 1, F.col("n_j") - one)).alias("j"))
+        [(name, i[0], i[1] - 1, j[0], j[1] - 1) for name, (i, j) in needed.items()],
+        "variable string, i_first bigint, i_last bigint, j_first bigint, j_last bigint",
     )
+    expected = shapes.select("variable", "j_first", "j_last", F.explode(F.sequence("i_first", "i_last")).alias("i"))
+    expected = expected.select("variable", "i", F.explode(F.sequence("j_first", "j_last")).alias("j"))
     # Only names are compared, so the contents are not read here.
     missing = expected.join(named.select("variable", "i", "j"), ["variable", "i", "j"], "left_anti")
     todo = named.unionByName(missing.withColumn("content", F.lit(None).cast("binary")))
@@ -193,15 +253,11 @@ def decode_chunks(spark: SparkSession, root: str, metas: list[ArrayMeta]) -> Dat
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                pieces = list(_chunk_blocks(by_name[row.variable], int(row.i), int(row.j), row.content))
+                pieces = list(_chunk_blocks(by_name[row.variable], int(row.i), int(row.j), row.content, cut))
                 if pieces:
                     yield pd.DataFrame(pieces)
 
-    schema = (
-        "variable string, block bigint, row int, column int, width int, data array<double>, ints array<bigint>,"
-        " texts array<string>"
-    )
-    return todo.mapInPandas(decode, schema)
+    return todo.mapInPandas(decode, PIECES)
 
 
 def read_coordinates(spark: SparkSession, root: str) -> DataFrame:
@@ -226,84 +282,101 @@ def read_coordinates(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("variable", along[F.col("variable")].alias("dimension"), index.alias("index"), "item.*")
 
 
-def _index_ranges(spark: SparkSession, root: str, ranges: Mapping[str, tuple]) -> dict[str, tuple[int, int]]:
-    """First and last index of each dimension whose coordinate lies in its range; one row per dimension comes back."""
-    coordinates = read_coordinates(spark, root).where(F.col("variable") == F.col("dimension"))
-    known = {r["dimension"] for r in coordinates.select("dimension").distinct().collect()}
-    found = {}
+def _index_spans(
+    spark: SparkSession, root: str, metas: list[ArrayMeta], ranges: Mapping[str, tuple]
+) -> dict[str, Span]:
+    """From the first index of each dimension whose coordinate lies in its range to the last; one job, one row each."""
+    own = {m.name: m for m in metas if len(m.shape) == 1 and m.dims[:1] == (m.name,)}
+    edges = []
     for dimension, (low, high) in ranges.items():
-        if dimension not in known:
+        if dimension not in own:
             raise ValueError(f"'{dimension}' has no coordinates in this group")
-        inside = coordinates.where((F.col("dimension") == dimension) & F.col("value").between(low, high))
-        edge = inside.agg(F.min("index").alias("a"), F.max("index").alias("b")).first()
-        found[dimension] = (0, -1) if edge["a"] is None else (edge["a"], edge["b"])
-    return found
+        m = own[dimension]
+        pieces = decode_chunks(spark, root, [m])
+        items = pieces.select("block", "row", F.posexplode(m.kept_in).alias("at", dimension))
+        value = _clean(m)
+        if dimension == "time":
+            value = decode_time(value, *_calendar(m))
+            low, high = (None if x is None else F.lit(x).cast("timestamp") for x in (low, high))
+        inside = F.lit(True)
+        inside = inside if low is None else inside & (value >= low)
+        inside = inside if high is None else inside & (value <= high)
+        index = F.col("block") * F.lit(BLOCK_ROWS) + F.col("row") + F.col("at")
+        found = items.where(inside & value.isNotNull()).agg(F.min(index).alias("a"), F.max(index).alias("b"))
+        edges.append(found.select(F.lit(dimension).alias("dimension"), "a", "b"))
+    found = reduce(DataFrame.unionByName, edges).collect()
+    return {r["dimension"]: (0, 0) if r["a"] is None else (r["a"], r["b"] + 1) for r in found}
+
+
+def _calendar(time: ArrayMeta) -> tuple[str, str]:
+    return time.attrs.get("units", DEFAULT_UNITS), time.attrs.get("calendar", DEFAULT_CALENDAR)
 
 
 def read_arrays(spark: SparkSession, root: str, ranges: Mapping[str, tuple] | None = None) -> DataFrame:
     """A group as a stream table: ``_pos``, ``time`` decoded, one column per variable.
 
     Two-dimensional variables become array columns; NaN becomes null; whole numbers
-    and text keep their type. ``ranges`` cuts second dimensions by their coordinates:
-    ``{"wavelength": (400, 500)}`` keeps the elements from the first to the last inside.
+    and text keep their type. ``ranges`` cuts dimensions by their coordinates, time
+    included, and only the chunks that are needed are read: ``{"wavelength": (400, 500),
+    "time": ("2024-01-01", None)}`` keeps what lies from the first coordinate inside to
+    the last; None leaves a side open. ``_pos`` is the position in the whole group. A
+    range without any coordinate gives no rows for time, empty arrays for another dimension.
     ``read_coordinates`` gives the variables that do not lie along time.
     """
-    cut = _index_ranges(spark, root, ranges) if ranges else {}
-    metas = [m for m in read_metadata(spark, root) if m.dims[:1] == ("time",)]
-    if not any(m.name == "time" for m in metas):
+    every = read_metadata(spark, root)
+    metas = [m for m in every if m.dims[:1] == ("time",)]
+    time = next((m for m in metas if m.name == "time"), None)
+    if time is None:
         raise ValueError(f"{root} has no 'time' variable")
-    pieces = decode_chunks(spark, root, metas)
+    cut = _index_spans(spark, root, every, ranges) if ranges else {}
+    empty = {m.name for m in metas if len(m.shape) > 1 and _spans(m, cut)[1][0] >= _spans(m, cut)[1][1]}
+    read = [m for m in metas if m.name not in empty]
+    pieces = decode_chunks(spark, root, read, cut)
     columns = []
-    for m in metas:
+    for m in read:
         values = F.col(m.kept_in).alias("data")
         mine = F.when(F.col("variable") == m.name, F.struct("column", "row", "width", values))
         columns.append(F.array_sort(F.collect_list(mine)).alias(m.name))
     # At most one block of each variable meets in a group.
     blocks = pieces.groupBy("block").agg(*columns)
-    aligned = blocks.select("block", *[_block_rows(m).alias(m.name) for m in metas])
-    zipped = F.posexplode(F.arrays_zip(*[m.name for m in metas])).alias("_row", "_z")
-    rows = aligned.select("block", zipped).select(
-        (F.col("block") * F.lit(BLOCK_ROWS) + F.col("_row")).alias("_pos"),
-        *[F.col("_z")[m.name].alias(m.name) for m in metas],
+    aligned = blocks.select(
+        "block", F.array_min(F.col("time")["row"]).alias("_first"), *[_block_rows(m, cut).alias(m.name) for m in read]
+    )
+    zipped = F.posexplode(F.arrays_zip(*[m.name for m in read])).alias("_row", "_z")
+    rows = aligned.select("block", "_first", zipped).select(
+        (F.col("block") * F.lit(BLOCK_ROWS) + F.col("_first") + F.col("_row")).alias("_pos"),
+        *[F.col("_z")[m.name].alias(m.name) for m in read],
     )
-    time = next(m for m in metas if m.name == "time")
-    units, calendar = time.attrs.get("units", DEFAULT_UNITS), time.attrs.get("calendar", DEFAULT_CALENDAR)
+    types = {"data": "array<double>", "ints": "array<bigint>", "texts": "array<string>"}
     return rows.select(
         "_pos",
-        decode_time(_clean(time), units, calendar).alias("time"),
-        *[_cut(_clean(m), m, cut).alias(m.name) for m in metas if m.name != "time"],
+        decode_time(_clean(time), *_calendar(time)).alias("time"),
+        *[
+            (F.array().cast(types[m.kept_in]) if m.name in empty else _clean(m)).alias(m.name)
+            for m in metas
+            if m.name != "time"
+        ],
     )
 
 
-def _block_rows(m: ArrayMeta):
+def _block_rows(m: ArrayMeta, cut: Mapping[str, Span]):
     """The pieces of one variable in a block as one array with an entry per row."""
     pieces = F.col(m.name)
     if len(m.shape) == 1:
         return F.flatten(F.transform(pieces, lambda p: p["data"]))
-    # Pieces are ordered by column, then row; cut each into rows and join the columns of a row.
-    rows = F.transform(
-        F.filter(pieces, lambda p: p["column"] == 0),
-        lambda p: F.struct(p["row"].alias("row"), (F.size(p["data"]) / p["width"]).cast("int").alias("n")),
-    )
-    numbers = F.flatten(F.transform(rows, lambda r: F.sequence(r["row"], r["row"] + r["n"] - 1)))
-
-    def row_values(number):
-        holding = F.filter(
-            pieces,
-            lambda p: (p["row"] <= number) & (number < p["row"] + (F.size(p["data"]) / p["width"]).cast("int")),
+    # Pieces are ordered by column, then row. Those of the first column begin the rows; the
+    # others of the same rows are looked up once for all of these.
+    first = F.lit(_spans(m, cut)[1][0])
+
+    def piece_rows(begin):
+        beside = F.filter(pieces, lambda p: p["row"] == begin["row"])
+        n = (F.size(begin["data"]) / begin["width"]).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda k: F.flatten(F.transform(beside, lambda p: F.slice(p["data"], k * p["width"] + 1, p["width"]))),
         )
-        return F.flatten(
-            F.transform(holding, lambda p: F.slice(p["data"], (number - p["row"]) * p["width"] + 1, p["width"]))
-        )
-
-    return F.transform(numbers, row_values)
 
-
-def _cut(values, m: ArrayMeta, ranges: Mapping[str, tuple[int, int]]):
-    if len(m.shape) == 1 or len(m.dims) < 2 or m.dims[1] not in ranges:
-        return values
-    first, last = ranges[m.dims[1]]
-    return F.slice(values, first + 1, last - first + 1)
+    return F.flatten(F.transform(F.filter(pieces, lambda p: p["column"] == first), piece_rows))
 
 
 def _clean(m: ArrayMeta):
@@ -312,5 +385,3 @@ def _clean(m: ArrayMeta):
     if len(m.shape) == 1:
         return nan_to_null(F.col(m.name))
     return F.transform(F.col(m.name), nan_to_null)
-
-

@@ -1,3 +1,4 @@
+import fnmatch
 import gzip
 import json
 import zlib
@@ -116,3 +117,41 @@ def test_types_and_coordinates(spark, tmp_path, monkeypatch):
     }
     with pytest.raises(ValueError, match="no coordinates"):
         read_arrays(spark, str(tmp_path), {"depth": (0, 1)})
+
+
+@pytest.mark.parametrize("first,last", [(0, 0), (0, 9), (7, 23), (37, 152), (95, 1204), (100, 100), (999, 1000), (0, 1500)])
+def test_number_glob(first, last):
+    pattern = arrays.number_glob(first, last)
+    assert [i for i in range(2000) if any(fnmatch.fnmatchcase(str(i), p) for p in pattern[1:-1].split(","))] == list(
+        range(first, last + 1)
+    )
+    assert len(pattern) < 150
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_cuts_open_only_their_chunks(spark, tmp_path, monkeypatch, order):
+    monkeypatch.setattr(arrays, "BLOCK_ROWS", 7)
+    n, width = 60, 30
+    spectra = np.arange(n * width, dtype="f8").reshape(n, width)
+    write_array(tmp_path, "time", EPOCH_1900 + np.arange(n, dtype="f8"), (5,), ["time"], "zlib")
+    write_array(tmp_path, "v", np.arange(n, dtype="i4"), (11,), ["time"], "zlib")
+    write_array(tmp_path, "spectra", spectra, (4, 2), ["time", "wavelength"], "zlib", skip={(6, 5)}, fill=-1.0, order=order)
+    write_array(tmp_path, "wavelength", np.arange(400.0, 430), (10,), ["wavelength"], "zlib")
+    ranges = {"time": ("2024-01-01 00:00:17", "2024-01-01 00:00:33"), "wavelength": (406.5, 413)}
+    df = read_arrays(spark, str(tmp_path), ranges)
+    opened = {"/".join(f.rsplit("/", 2)[1:]) for f in df.inputFiles()}
+    assert opened == {
+        *(f"time/{i}" for i in range(3, 7)),
+        *(f"v/{i}" for i in range(1, 4)),
+        *(f"spectra/{i}.{j}" for i in range(4, 9) for j in range(3, 7) if (i, j) != (6, 5)),
+    }
+    spectra[24:28, 10:12] = -1
+    rows = sorted(df.collect(), key=lambda r: r["_pos"])
+    assert [(r["_pos"], r["time"], r["v"]) for r in rows] == [(i, at(i), i) for i in range(17, 34)]
+    assert [r["spectra"] for r in rows] == spectra[17:34, 7:14].tolist()
+
+    late = sorted(read_arrays(spark, str(tmp_path), {"time": ("2024-01-01 00:00:58", None)}).collect())
+    assert [r["_pos"] for r in late] == [58, 59] and late[0]["spectra"] == spectra[58].tolist()
+    assert read_arrays(spark, str(tmp_path), {"time": (None, "2023-01-01")}).count() == 0
+    none = read_arrays(spark, str(tmp_path), {"wavelength": (500, 600)}).collect()
+    assert len(none) == n and all(r["spectra"] == [] and r["v"] == r["_pos"] for r in none)
