@@ -9,6 +9,11 @@ the last round slot ``s`` holds the whole of digest range ``s``, so no round bri
 more than a range together, and a large group of copies shrinks to one record a
 run before anything is exchanged.
 
+Runs are streamed. A digest range is cut into pages; a slot reads page after page, in
+each one run after the other, and merges the runs of a page before it reads the next.
+Spark orders the pages and runs of a slot, and spills where it must, so a task
+holds one page, whatever the size of a slot. The number of slots follows the rows.
+
 Digests are verified at every merge: records are one only if the SHA-256, the
 length and a second independent hash of the text agree.
 """
@@ -17,7 +22,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,10 +33,13 @@ from pyspark.sql import functions as F
 from sensorframe.llm.tables import stored
 
 FAN = 4
-SLOT_ROWS = 50_000
+SLOT_ROWS = 200_000
+#: Pages of a slot; one holds about SLOT_ROWS / PAGES distinct texts, with a record for each run that has it.
+PAGES = 64
+FRAME_ROWS = 10_000
 KEY = ("digest", "size", "check")
 BEST = ("no_id", "id", "row")
-RUN = "slot bigint, run bigint, digest string, size bigint, check bigint, no_id int, id bigint, row bigint, n bigint"
+RUN = "slot bigint, page bigint, run bigint, digest string, size bigint, check bigint, no_id int, id bigint, row bigint, n bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -67,25 +77,37 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
         yield last
 
 
-def _records(frame: pd.DataFrame) -> list[tuple]:
-    return list(zip(*(frame[c].tolist() for c in (*KEY, *BEST, "n"))))
+def merged_pages(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """One sorted run for each slot, from rows ``(slot, page, run, *record)`` in this order.
+
+    The new run has the number of its slot. Only the records of one page are held.
+    """
+    for (slot, page), of_page in groupby(rows, itemgetter(0, 1)):
+        runs = [[row[3:] for row in of_run] for _, of_run in groupby(of_page, itemgetter(2))]
+        for record in merge_runs([iter(run) for run in runs]):
+            yield (slot, page, slot, *record)
+
+
+def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[c].tolist() for c in batch.columns))
 
 
-def _frames(slot: int, run: list[tuple]) -> Iterator[pd.DataFrame]:
-    for i in range(0, len(run), 100_000):
-        part = pd.DataFrame(run[i : i + 100_000], columns=[*KEY, *BEST, "n"])
-        part.insert(0, "run", slot)
-        part.insert(0, "slot", slot)
-        yield part
+def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(part, columns=["slot", "page", "run", *KEY, *BEST, "n"])
 
 
-def smallest(found: DataFrame, slots: int, fan: int = FAN) -> DataFrame:
+def smallest(found: DataFrame, slots: int, fan: int = FAN, pages: int = PAGES) -> DataFrame:
     """One record per distinct text of ``digests`` rows; ``slots`` is a power of ``fan``."""
     rounds = round(math.log(slots, fan))
-    area = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") * slots / F.lit(2.0**32)).cast("bigint")
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint")
+    area = F.floor(place * slots / F.lit(2.0**32)).cast("bigint")
+    task = F.spark_partition_id().cast("bigint")
     first = found.select(
-        F.pmod(F.spark_partition_id(), F.lit(slots)).cast("bigint").alias("slot"),
-        F.lit(0).cast("bigint").alias("run"),
+        F.pmod(task, F.lit(slots)).alias("slot"),
+        F.floor(place * F.lit(float(slots * pages)) / F.lit(2.0**32)).cast("bigint").alias("page"),
+        task.alias("run"),
         "digest",
         "size",
         "check",
@@ -96,39 +118,28 @@ def smallest(found: DataFrame, slots: int, fan: int = FAN) -> DataFrame:
     )
 
     def build(batches):
-        """A sorted run of each task's own rows."""
-        slot, runs = 0, []
-        for batch in batches:
-            if len(batch):
-                slot = int(batch["slot"].iloc[0])
-                runs.append(list(merge_runs([iter(sorted(_records(batch)))])))
-        yield from _frames(slot, list(merge_runs([iter(r) for r in runs])))
-
-    def merge(batches):
-        """One run of the parts that came from several slots."""
-        parts: dict[tuple[int, int], list[tuple]] = {}
-        for batch in batches:
-            for key, part in batch.groupby(["slot", "run"], sort=False):
-                parts.setdefault(key, []).extend(_records(part))
-        # Several tasks may share a first slot number; their rows then need sorting.
-        for slot in sorted({s for s, _ in parts}):
-            runs = [iter(sorted(p)) for (s, _), p in sorted(parts.items()) if s == slot]
-            yield from _frames(slot, list(merge_runs(runs)))
-
-    runs = first.mapInPandas(build, RUN)
+        """One sorted run of a task's own rows; it has the number of the task."""
+        for (slot, page, run), rows in groupby(_rows(batches), itemgetter(0, 1, 2)):
+            yield from ((slot, page, run, *record) for record in merge_runs([(row[3:] for row in rows)]))
+
+    order = ("page", "run", *KEY, *BEST)
+    runs = first.sortWithinPartitions(*order).mapInPandas(lambda batches: _frames(build(batches)), RUN)
     for digit in range(rounds):
         step = fan**digit
         own = F.floor(F.col("slot") / step) % fan
         wanted = F.floor(area / step) % fan
         sent = runs.withColumn("slot", (F.col("slot") + (wanted - own) * step).cast("bigint"))
-        runs = sent.repartitionById(slots, F.col("slot").cast("int")).mapInPandas(merge, RUN)
+        dealt = sent.repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("slot", *order)
+        runs = dealt.mapInPandas(lambda batches: _frames(merged_pages(_rows(batches))), RUN)
     return runs
 
 
-def slots_for(spark, rows: int, fan: int, slot_rows: int) -> int:
-    """The power of ``fan`` with about ``slot_rows`` rows a slot, about as many as shuffle partitions at most."""
-    wanted = min(math.ceil(max(rows, 1) / slot_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return fan ** max(1, math.ceil(math.log(max(wanted, 1), fan) - 1e-9))
+def slots_for(rows: int, fan: int, slot_rows: int) -> int:
+    """The power of ``fan`` with ``slot_rows`` rows a slot at most."""
+    slots = fan
+    while slots * slot_rows < rows:
+        slots *= fan
+    return slots
 
 
 def exact_dedup(
@@ -143,7 +154,7 @@ def exact_dedup(
     gives no rows.
     """
     found = stored(digests(docs, id_col, text_col))
-    slots = slots_for(docs.sparkSession, found.count(), fan, slot_rows)
+    slots = slots_for(found.count(), fan, slot_rows)
     best = smallest(found, slots, fan).select(
         *KEY,
         F.when(F.col("no_id") == 0, F.col("id")).alias("keep_id"),

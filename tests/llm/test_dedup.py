@@ -56,6 +56,27 @@ def test_merge_keeps_unequal_texts_of_one_digest_apart():
     assert list(exact_dedup.merge_runs([iter([one]), iter([two]), iter([one])])) == [("d", 1, 1, 0, 5, 0, 2), two]
 
 
+def test_runs_are_merged_page_by_page():
+    read = 0
+
+    def rows():
+        nonlocal read
+        for page in range(50):
+            for run in (3, 8, 11):
+                for digest in ("a", "b"):
+                    read += 1
+                    yield (2, page, run, f"{page:02}{digest}", 1, 1, 0, 100 - run, run, 2)
+
+    merged = exact_dedup.merged_pages(rows())
+    assert next(merged) == (2, 0, 2, "00a", 1, 1, 0, 89, 11, 6) and read <= 7
+    rest = list(merged)
+    assert len(rest) == 99 and [r[3] for r in rest] == sorted(r[3] for r in rest) and {r[-1] for r in rest} == {6}
+
+
+def test_slots_follow_the_rows():
+    assert [exact_dedup.slots_for(n, 4, 100) for n in (0, 400, 401, 10**6)] == [4, 4, 16, 16384]
+
+
 def brute_fingerprint(text, size=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
