@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -168,21 +169,23 @@ def test_components_of_chains_and_stars(spark):
 
 
 def brute_lines(docs, threshold=0.8):
-    out, sets, index = {}, [], defaultdict(list)
+    """Every line against all earlier ones: shared words are counted over lists of lines by word."""
+    out, sizes, index = {}, array("i"), defaultdict(lambda: array("i"))
     for i, text in docs:
         kept = []
         for line in text.split("\n"):
             part = frozenset(line.encode().split())
-            counts = defaultdict(int)
-            for s in part:
-                for other in index[s]:
-                    counts[other] += 1
-            if not any(n >= threshold * (len(part) + len(sets[o]) - n) - 1e-9 for o, n in counts.items()):
+            matched = False
+            if part:
+                holding = np.concatenate([np.array(index[s], np.int32) for s in part])
+                shared = np.bincount(holding, minlength=len(sizes))
+                matched = bool((shared >= threshold * (len(part) + np.array(sizes) - shared) - 1e-9).any())
+            if not matched:
                 kept.append(line)
+            for s in part:
+                index[s].append(len(sizes))
             if part:
-                sets.append(part)
-                for s in part:
-                    index[s].append(len(sets) - 1)
+                sizes.append(len(part))
         out[i] = ("\n".join(kept), len(text.split("\n")) - len(kept))
     return out
 
