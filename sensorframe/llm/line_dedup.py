@@ -13,6 +13,10 @@ line with an earlier match goes.
    of 64 groups of words differ in no more groups than the sets may differ in words.
 4. Jaccard is verified on the whole sets of the candidates, split anew from their text.
 
+Steps 3 and 4 move many rows, so they go over the words, and over the documents, in
+``PARTS`` passes: each word and each document is in one of them, and the shuffle files of
+a pass are dropped before the next begins.
+
 Candidates are sought in two rounds. First every line is compared with two leaders
 of each of its words, the earliest line and the one with most copies, so a group
 of near copies costs its size, not its square. Then the lines that found no
@@ -22,6 +26,8 @@ the join complete.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,9 @@ THRESHOLD = 0.8
 #: Entries of the table of word counts, one byte each.
 BUCKETS = 1 << 20
 LAST = (1 << 63) - 1
+#: Passes over the indexed words and over the texts, and the classes below which one pass does.
+PARTS = 4
+CLASSES_AT_ONCE = 1_000_000
 #: What is known of a line that shares a word.
 LINE = ("id", "pos", "key", "size", "at", "parity")
 
@@ -88,7 +97,7 @@ def coded_lines(lines: DataFrame, levels: bytes, threshold: float) -> DataFrame:
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
     own = ["id", "doc", "pos"]
-    coded = lines.select(*own, F.sort_array(F.transform(F.array_distinct(_words("line")), code)).alias("codes"))
+    coded = lines.select(*own, F.sort_array(F.array_distinct(F.transform(_words("line"), code))).alias("codes"))
     size = F.size("codes")
     indexed = F.when(size > 0, size - F.ceil(size * threshold - 1e-9) + 1).otherwise(0).cast("int")
     one = F.lit(1).cast("bigint")
@@ -108,36 +117,24 @@ def _classes(coded: DataFrame, *more: Column) -> DataFrame:
     return coded.groupBy("key", "check").agg(first, F.count(F.lit(1)).alias("n"), *more)
 
 
-def shared_prefixes(coded: DataFrame) -> DataFrame:
-    """``(code, rank)`` and ``LINE`` of the indexed words that several classes share.
+def line_classes(coded: DataFrame) -> DataFrame:
+    """``(id, doc, pos, key, size, parity, rank, prefix)``: the first line of every class; a low ``rank`` has many copies."""
+    classes = _classes(coded, *[F.first(c).alias(c) for c in ("size", "parity", "prefix")])
+    rank = (-F.floor(F.log2("n"))).cast("int").alias("rank")
+    return classes.select("first.*", "key", "size", "parity", rank, "prefix")
 
-    Most indexed words stand in one class only; they are told by their number and the
-    key of the class alone, and what the others need is joined to them. Counts are
-    added up before they move, so no task holds the lines of a frequent word.
-    """
-    more = [F.first(c).alias(c) for c in ("size", "parity", "prefix")]
-    classes = _classes(coded, *more)
-    classes = stored(
-        classes.select(
-            "key",
-            F.col("first.id").alias("id"),
-            F.col("first.pos").alias("pos"),
-            "size",
-            "parity",
-            (-F.floor(F.log2("n"))).cast("int").alias("rank"),
-            "prefix",
-        )
-    )
-    indexed = classes.select(F.posexplode("prefix").alias("at", "code"), "key")
-    several = indexed.groupBy("code").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("code")
-    common = stored(indexed.join(several, "code"))
-    rows = stored(common.join(classes.drop("prefix"), "key").select("code", "rank", *LINE))
-    drop_stored(common, classes)
-    return rows
+
+def indexed_words(classes: DataFrame, part: int, parts: int) -> DataFrame:
+    """``(code, rank)`` and ``LINE`` of the indexed words of one pass: those whose hash falls to ``part``."""
+    words = classes.select(F.posexplode("prefix").alias("at", "code"), "rank", *[c for c in LINE if c != "at"])
+    return words.filter(F.pmod("code", F.lit(parts)) == part).select("code", "rank", *LINE)
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
-    """The lines of every word with the two that lead it: the earliest, and the one with most copies."""
+    """The lines of every word with the two that lead it: the earliest, and the one with most copies.
+
+    Leaders are found before lines move, so no task holds the lines of a frequent word.
+    """
     leaders = shared.groupBy("code").agg(
         F.min(F.struct(*LINE)).alias("earliest"), F.min(F.struct("rank", *LINE)).alias("largest")
     )
@@ -162,45 +159,66 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df.hint("shuffle_hash")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, tables)
+
+
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, threshold: float, parts: int) -> DataFrame:
     """The keys ``x`` of ``pairs (x, y)`` whose sets have the similarity asked for.
 
-    Only the first lines of the candidate classes are split again. Whole sets are
-    compared, their words as 64-bit hashes.
+    Only the first lines of the candidate classes are looked up and split again. They
+    move as text, which is shorter than its hashes. Whole sets are compared, their
+    words as 64-bit hashes.
     """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    places = needed.join(coded.groupBy("key").agg(F.min(F.struct("id", "doc", "pos")).alias("first")), "key")
-    places = stored(places.select("key", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")))
-    texts = _lines(documents).select("doc", "pos", "line").join(_side(places), ["doc", "pos"])
-    # Rows that repeat an id and its text give the same line again.
-    texts = stored(texts.select("key", F.transform(F.array_distinct(_words("line")), lambda w: F.xxhash64(w)).alias("set")))
-    texts = texts.groupBy("key").agg(F.first("set").alias("set"))
-    both = pairs.join(texts.select(F.col("key").alias("x"), F.col("set").alias("set_x")), "x")
-    both = both.join(texts.select(F.col("key").alias("y"), F.col("set").alias("set_y")), "y")
+    places = stored(classes.select("key", "doc", "pos").join(_side(stored(needed)), "key"))
+    few, found = fits_broadcast(places), []
+    for part in range(1 if few else parts):
+        mine = F.lit(True) if few else F.pmod("doc", F.lit(parts)) == part
+        wanted = F.broadcast(places) if few else places.filter(mine).hint("shuffle_hash")
+        lines = _lines(documents.filter(mine)).select("doc", "pos", "line").join(wanted, ["doc", "pos"])
+        # Rows that repeat an id and its text give the same line again.
+        found.append(stored(lines.select("key", "line")))
+    texts = _union(found).groupBy("key").agg(F.first("line").alias("line"))
+    both = pairs.join(texts.select(F.col("key").alias("x"), F.col("line").alias("line_x")), "x")
+    both = both.join(texts.select(F.col("key").alias("y"), F.col("line").alias("line_y")), "y")
+    sets = [F.array_distinct(F.transform(_words(f"line_{c}"), lambda w: F.xxhash64(w))).alias(f"set_{c}") for c in "xy"]
+    both = both.select("x", *sets)
     shared = F.size(F.array_intersect("set_x", "set_y"))
     union = F.size("set_x") + F.size("set_y") - shared
-    return both.filter(shared >= union * threshold - 1e-9).select("x").distinct()
+    out = stored(both.filter(shared >= union * threshold - 1e-9).select("x").distinct())
+    drop_stored(places, *found)
+    return out
 
 
 def later_matches(documents: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
     """``(key,)`` of the classes that match an earlier line of another class."""
-    shared = shared_prefixes(coded)
-
-    led = _with_leaders(shared).select(
-        F.struct(*LINE).alias("x"),
-        F.explode(F.array("earliest", F.struct(*[f"largest.{c}" for c in LINE]))).alias("y"),
-    )
-    led = led.filter(_earlier() & _may_match(threshold)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
-    led = stored(led.distinct())
-    first = stored(verified(led, documents, coded, threshold))
-
-    open_lines = shared.select("code", F.struct(*LINE).alias("x"))
-    open_lines = open_lines.join(first.withColumnRenamed("x", "done"), F.col("x.key") == F.col("done"), "left_anti")
-    others = shared.select("code", F.struct(*LINE).alias("y"))
-    pairs = open_lines.join(others, "code").filter(_earlier() & _may_match(threshold))
-    pairs = pairs.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()
-    pairs = stored(pairs.join(led, ["x", "y"], "left_anti"))
-    rest = verified(pairs, documents, coded, threshold)
+    classes = stored(line_classes(coded))
+    parts = min(PARTS, -(-classes.count() // CLASSES_AT_ONCE)) or 1
+
+    found = []
+    for part in range(parts):
+        led = _with_leaders(indexed_words(classes, part, parts)).select(
+            F.struct(*LINE).alias("x"),
+            F.explode(F.array("earliest", F.struct(*[f"largest.{c}" for c in LINE]))).alias("y"),
+        )
+        led = led.filter(_earlier() & _may_match(threshold)).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
+        found.append(stored(led.distinct()))
+    led = stored(_union(found).distinct()) if parts > 1 else found[0]
+    first = verified(led, documents, classes, threshold, parts)
+
+    done = first.select(F.col("x").alias("key"), F.lit(True).alias("done"))
+    marked = stored(classes.join(_side(done), "key", "left"))
+    drop_stored(classes)
+    found = []
+    for part in range(parts):
+        open_lines = indexed_words(marked.filter("done IS NULL"), part, parts).select("code", F.struct(*LINE).alias("x"))
+        others = indexed_words(marked, part, parts).select("code", F.struct(*LINE).alias("y"))
+        pairs = open_lines.join(others, "code").filter(_earlier() & _may_match(threshold))
+        found.append(stored(pairs.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).distinct()))
+    pairs = stored(_union(found).distinct().join(led, ["x", "y"], "left_anti"))
+    rest = verified(pairs, documents, marked, threshold, parts)
+    drop_stored(marked)
     return first.union(rest).select(F.col("x").alias("key")).distinct()
 
 

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -245,3 +245,22 @@ def test_line_dedup_one_word_changed_and_clashing_columns(spark):
     assert found == [(*rows[0], 1, 0), (2, "", *rows[1][2:], 1, 1)]
     odd = docs.selectExpr("doc_id", "text", "'n' AS n_lines", "'r' AS n_removed")
     assert [tuple(r) for r in line_dedup.line_dedup(odd).orderBy("doc_id").collect()] == [(1, rows[0][1], 1, 0), (2, "", 1, 1)]
+
+
+def test_line_dedup_in_passes(spark, sf_dir, monkeypatch):
+    docs = sample_docs(spark, sf_dir)
+    documents = line_dedup._documents(docs, "doc_id", "text")
+    coded = line_dedup.coded_lines(line_dedup._lines(documents), line_dedup.word_levels(documents), 0.8)
+    classes = line_dedup.line_classes(coded.filter("size > 0")).persist()
+    whole = Counter(map(tuple, line_dedup.indexed_words(classes, 0, 1).collect()))
+    parts = [Counter(map(tuple, line_dedup.indexed_words(classes, i, 4).collect())) for i in range(4)]
+    # Every indexed word is in one pass, with all lines that hold it, and no pass has much more than its share.
+    assert sum(parts, Counter()) == whole
+    assert sum(len({r[0] for r in part}) for part in parts) == len({r[0] for r in whole})
+    assert max(part.total() for part in parts) < whole.total() / 2
+    classes.unpersist()
+
+    monkeypatch.setattr(line_dedup, "CLASSES_AT_ONCE", 1)
+    monkeypatch.setattr(line_dedup, "fits_broadcast", lambda df: False)
+    expected = brute_lines(sorted((r.doc_id, r.text) for r in docs.collect()))
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == expected
