@@ -11,6 +11,8 @@ line with an earlier match goes.
 3. Candidates meet on a shared word if sizes allow a match (length filter), enough
    words follow the shared one in both sets (positional filter), and the parities
    of 64 groups of words differ in no more groups than the sets may differ in words.
+   The pairs that are left meet on their whole prefixes, which bound what two sets
+   can share: the same words up to the smaller end, and all that follows it.
 4. Jaccard is verified on the whole sets of the candidates, split anew from their text.
 
 Steps 3 and 4 move many rows, so they go over the words, and over the documents, in
@@ -40,7 +42,7 @@ BUCKETS = 1 << 20
 LAST = (1 << 63) - 1
 #: Passes over the indexed words and over the texts, and the classes below which one pass does.
 PARTS = 4
-CLASSES_AT_ONCE = 1_000_000
+CLASSES_AT_ONCE = 500_000
 #: What is known of a line that shares a word.
 LINE = ("id", "pos", "key", "size", "at", "parity")
 
@@ -163,6 +165,23 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, tables)
 
 
+def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``pairs (x, y)`` whose prefixes allow a match, with the places of both lines.
+
+    All words of a set up to the end of its prefix are in it. Up to the smaller end of two
+    prefixes the shared words are thus known; of those behind it all may be shared.
+    """
+    for c in "xy":
+        side = classes.select(F.col("key").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in ("doc", "pos", "size", "prefix")])
+        pairs = pairs.join(side, c)
+    end = F.least(F.element_at("prefix_x", -1), F.element_at("prefix_y", -1))
+    behind = [F.col(f"size_{c}") - F.size(F.filter(f"prefix_{c}", lambda w: w <= F.col("end"))) for c in "xy"]
+    most = F.size(F.array_intersect("prefix_x", "prefix_y")) + F.least(*behind)
+    least = F.ceil((F.col("size_x") + F.col("size_y")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = pairs.withColumn("end", end).filter(most >= least)
+    return pairs.select("x", "doc_x", "pos_x", "y", "doc_y", "pos_y")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, threshold: float, parts: int) -> DataFrame:
     """The keys ``x`` of ``pairs (x, y)`` whose sets have the similarity asked for.
 
@@ -170,8 +189,9 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, thresho
     move as text, which is shorter than its hashes. Whole sets are compared, their
     words as 64-bit hashes.
     """
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    places = stored(classes.select("key", "doc", "pos").join(_side(stored(needed)), "key"))
+    pairs = stored(_close(pairs, classes, threshold))
+    ends = [F.struct(F.col(c).alias("key"), F.col(f"doc_{c}").alias("doc"), F.col(f"pos_{c}").alias("pos")) for c in "xy"]
+    places = stored(pairs.select(F.explode(F.array(*ends)).alias("place")).select("place.*").distinct())
     few, found = fits_broadcast(places), []
     for part in range(1 if few else parts):
         mine = F.lit(True) if few else F.pmod("doc", F.lit(parts)) == part
@@ -180,14 +200,14 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, thresho
         # Rows that repeat an id and its text give the same line again.
         found.append(stored(lines.select("key", "line")))
     texts = _union(found).groupBy("key").agg(F.first("line").alias("line"))
-    both = pairs.join(texts.select(F.col("key").alias("x"), F.col("line").alias("line_x")), "x")
+    both = pairs.select("x", "y").join(texts.select(F.col("key").alias("x"), F.col("line").alias("line_x")), "x")
     both = both.join(texts.select(F.col("key").alias("y"), F.col("line").alias("line_y")), "y")
     sets = [F.array_distinct(F.transform(_words(f"line_{c}"), lambda w: F.xxhash64(w))).alias(f"set_{c}") for c in "xy"]
     both = both.select("x", *sets)
     shared = F.size(F.array_intersect("set_x", "set_y"))
     union = F.size("set_x") + F.size("set_y") - shared
     out = stored(both.filter(shared >= union * threshold - 1e-9).select("x").distinct())
-    drop_stored(places, *found)
+    drop_stored(pairs, places, *found)
     return out
 
 

@@ -24,6 +24,8 @@ from sensorframe.llm.tables import Shared, stored
 SHRINKAGE = 0.02
 RIDGE = 1e-3
 ACCEPT = 0.7
+#: Rows of a batch that are worked on and returned at once.
+PIECE_ROWS = 500
 ZLIB_PIECE = 1 << 16
 
 FEATURES = (
@@ -103,14 +105,25 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def _by_piece(batches, work):
+    """``work`` on pieces of ``PIECE_ROWS`` rows; what the texts took goes back to the machine, as idle workers keep it otherwise."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PIECE_ROWS):
+            yield work(batch.slice(i, PIECE_ROWS))
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def features(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id string, held_out, x array<double>)``, one row per input row; a null text is empty."""
 
     def run(batches):
-        for batch in batches:
+        def one(batch):
             # One text at a time: those of a whole batch are never Python strings together.
             x = pa.array([statistics(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), x], ["doc_id", "held_out", "x"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), x], ["doc_id", "held_out", "x"])
+
+        yield from _by_piece(batches, one)
 
     # Ids travel as text: integers beside nulls would become floats in pandas.
     rows = docs.select(
@@ -133,7 +146,8 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
         for k in (0, 1):
             yield pd.DataFrame({"label": k, "at": np.arange(sums.shape[1]), "v": sums[k]})
 
-    parts = labelled.mapInPandas(run, "label int, at int, v double")
+    # An exchange ends the stage that makes the vectors: two Python functions in one stage keep two workers a core.
+    parts = labelled.repartition(F.xxhash64("x")).mapInPandas(run, "label int, at int, v double")
     total = np.zeros((2, 1 + d + d * d))
     for row in parts.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():
         total[row["label"], row["at"]] = row["v"]
@@ -223,9 +237,11 @@ def accepted(
     model = Shared(docs.sparkSession, found)
 
     def run(batches):
-        for batch in batches:
+        def one(batch):
             x = [statistics(t.as_py() or "") for t in batch.column(text_col)]
             score = model.value.score(np.array(x, float).reshape(-1, len(FEATURES)))
-            yield batch.filter(pa.array(score >= accept))
+            return batch.filter(pa.array(score >= accept))
+
+        yield from _by_piece(batches, one)
 
     return docs.mapInArrow(run, docs.schema)

@@ -264,3 +264,21 @@ def test_line_dedup_in_passes(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(line_dedup, "fits_broadcast", lambda df: False)
     expected = brute_lines(sorted((r.doc_id, r.text) for r in docs.collect()))
     assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs).collect()} == expected
+
+
+def test_line_dedup_pairs_far_apart_are_not_looked_up(spark):
+    rng = random.Random(5)
+    # Long lines that share one rare word and otherwise nothing, and one real match.
+    lines = [" ".join(["rare", *(f"a{i}b{rng.randrange(10**9)}" for _ in range(149))]) for i in range(30)]
+    near = lines[0].split()
+    near[70:80] = [f"n{i}" for i in range(10)]
+    rows = [(i, t, "x") for i, t in enumerate([*lines, " ".join(near)])]
+    documents = line_dedup._documents(docs_of(spark, rows), "doc_id", "text")
+    coded = line_dedup.coded_lines(line_dedup._lines(documents), line_dedup.word_levels(documents), 0.8).persist()
+    classes = line_dedup.line_classes(coded).persist()
+    key = {r.id: r.key for r in classes.collect()}
+    pairs = spark.createDataFrame([(key[x], key[y]) for x in range(31) for y in range(x)], "x bigint, y bigint")
+    left = [(r.x, r.y) for r in line_dedup._close(pairs, classes, 0.8).collect()]
+    assert left == [(key[30], key[0])]
+    coded.unpersist()
+    classes.unpersist()

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +510,18 @@ def test_columns_of_any_name_come_back(spark):
     items = spark.createDataFrame([("i", "no such words")], "item_id string, text string")
     assert sorted(map(tuple, decontaminate.without_leaks(docs, items).collect())) == rows
     assert sorted(map(tuple, simhash.representatives(docs).collect())) == rows
+
+
+def test_quality_works_on_pieces_and_in_one_stage_each(spark, sf_dir, monkeypatch):
+    sizes = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_203))], ["n"])
+    out = list(quality._by_piece(iter([batch, batch.slice(0, 0)]), lambda b: sizes.append(b.num_rows) or b))
+    assert sizes == [500, 500, 203] and pa.Table.from_batches(out).column("n").to_pylist() == list(range(1_203))
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen, plan = [], type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda df, *a, **k: seen.append(df) or plan(df, *a, **k))
+    quality.accepted(docs, labels, split("doc_id", 4))
+    text = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    # An exchange lies between the two functions.
+    assert text.index("RepartitionByExpression") < text.index("MapInArrow")
