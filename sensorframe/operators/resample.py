@@ -39,7 +39,7 @@ MIN_BUCKET_TICKS = 4096
 HOME_TICKS = 262_144
 TICKS_PER_TASK = 1_000_000
 WIDEST_MERGE = 64
-DUPLICATES = ("error", "first", "unique")
+DUPLICATES = ("error", "first", "unique", "all")
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -127,7 +127,8 @@ def resample(
 
     ``duplicates``: what to do with several samples of one instant in a group:
     ``error`` (found before anything is returned; see ``_checked``), ``first``
-    (lowest ``position``), or ``unique`` when the caller knows there are none.
+    (lowest ``position``), ``all`` (see ``_cells_of_all``), or ``unique`` when the
+    caller knows there are none.
     ``categorical``: other columns are dropped, or ``previous`` keeps the value
     of the last sample.
     """
@@ -207,7 +208,10 @@ def _runs(samples, grid, by, time, variables, max_gap, duplicates, position, cat
         *([position] if position else []),
     )
     clean = _one_per_instant(clean, by, [*numeric, *labels], duplicates, position)
-    cells = _cells(clean, grid, by, numeric, labels)
+    if duplicates == "all":
+        cells = _cells_of_all(clean, grid, by, numeric, labels, position)
+    else:
+        cells = _cells(clean, grid, by, numeric, labels)
     if duplicates == "error":
         cells = _checked(clean, cells, grid, by)
     runs = _lines(_segments(cells, grid, by, numeric, labels), grid, numeric)
@@ -262,6 +266,29 @@ def _cells(clean, grid, by, numeric, labels) -> DataFrame:
     )
 
 
+def _cells_of_all(clean, grid, by, numeric, labels, position) -> DataFrame:
+    """``_cells`` of samples that may share an instant: they all stand, in order of ``position`` and value.
+
+    The line before an instant ends in the first of its samples, the line after it begins in the
+    last, and a tick at the instant (``_h_``) has the last.
+    """
+    names = [*numeric, *labels]
+    staged = clean.withColumn("_cell", grid.cell_of(F.col("_t")))
+    place = F.struct("_t", *([position] if position else []), *numeric)
+    on_tick = F.when(F.col("_t") == grid.time_of(F.col("_cell")), place)
+    values = F.struct(*[c for c in ("_t", *names)])
+    edges = staged.groupBy(*by, "_cell").agg(
+        F.max_by(values, place).alias("_l"), F.min_by(values, place).alias("_f"), F.max_by(values, on_tick).alias("_h")
+    )
+    return edges.select(
+        *by,
+        "_cell",
+        F.col("_l._t").alias("_lt"),
+        F.col("_f._t").alias("_ft"),
+        *[F.col(f"_{side}")[c].alias(f"_{side}_{c}") for side in "lfh" for c in names],
+    )
+
+
 def _segments(cells, grid, by, numeric, labels) -> DataFrame:
     """Runs of ticks ``_lo.._hi`` with a sample before (a) and a sample after (b) them.
 
@@ -290,6 +317,7 @@ def _segments(cells, grid, by, numeric, labels) -> DataFrame:
     zero, last = F.lit(0).cast("bigint"), F.lit(grid.ticks - 1).cast("bigint")
     cell, nxt = F.col("_cell"), F.col("_next")
     own = {c: F.col(f"_f_{c}") for c in names}
+    held = {c: F.col(f"_h_{c}") if f"_h_{c}" in cells.columns else own[c] for c in names}
     end = {c: F.col(f"_l_{c}") for c in names}
     after = {c: nxt[c] for c in names}
     nothing = {c: F.lit(None).cast(kinds[f"_f_{c}"]) for c in names}
@@ -307,7 +335,7 @@ def _segments(cells, grid, by, numeric, labels) -> DataFrame:
     at_hit = F.when(own_hit, cell).otherwise(F.lit(-1).cast("bigint"))
     runs = F.array(
         run(zero, leading.cast("bigint"), no_time, nothing, F.col("_ft"), own),
-        run(F.greatest(at_hit, zero), at_hit, F.col("_ft"), own, F.col("_ft"), own),
+        run(F.greatest(at_hit, zero), at_hit, F.col("_ft"), held, F.col("_ft"), held),
         run(cell + 1, reach, F.col("_lt"), end, nxt["t"], after),
     )
     return (

@@ -182,8 +182,8 @@ def ticks(spark, sf_dir):
 
 
 def interp_linear(spark, sf_dir):
-    rows = event_streams(spark, sf_dir).drop("_pos", "user_id")
-    return _rounded(resample(rows, START, END, FIVE_MINUTES), "value")
+    rows = event_streams(spark, sf_dir).drop("user_id")
+    return _rounded(resample(rows, START, END, FIVE_MINUTES, duplicates="all", position="_pos"), "value")
 
 
 def _gappy(spark, sf_dir):
