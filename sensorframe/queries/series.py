@@ -192,7 +192,9 @@ def _gappy(spark, sf_dir):
 
 
 def gap_fill_short(spark, sf_dir):
-    filled = resample(_gappy(spark, sf_dir), START, END, FIVE_MINUTES, max_gap=timedelta(hours=1), position="_pos")
+    filled = resample(
+        _gappy(spark, sf_dir), START, END, FIVE_MINUTES, max_gap=timedelta(hours=1), duplicates="all", position="_pos"
+    )
     return _rounded(filled, "value")
 
 

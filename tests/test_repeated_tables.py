@@ -65,3 +65,7 @@ def test_unknown_kinds_of_duplicates_are_refused(series):
 def test_interp_linear_of_repeated_events(spark, sf_dir, repeated):
     """Copies of a sample at its own instant change no line."""
     assert compare(found(spark, "interp_linear", repeated), expected("interp_linear", sf_dir)) is None
+
+
+def test_gap_fill_short_of_repeated_events(spark, sf_dir, repeated):
+    assert compare(found(spark, "gap_fill_short", repeated), expected("gap_fill_short", sf_dir)) is None
