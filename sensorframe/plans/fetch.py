@@ -53,13 +53,17 @@ def merge_selected(
     suffix: bool = False,
     duplicates: str = "error",
 ) -> DataFrame:
-    """One stream passes through as it is; several are resampled and merged on time."""
+    """One stream passes through as it is; several are resampled and merged on time.
+
+    Positions order the samples of an instant where ``duplicates`` asks for an order.
+    """
     if len(selected) == 1:
         (only,) = selected.values()
         return only.drop("_pos")
-    samples = tagged_union({name: df.drop("_pos") for name, df in selected.items()}, "stream")
+    position = "_pos" if duplicates in ("first", "all") else None
+    samples = tagged_union({name: df if position else df.drop("_pos") for name, df in selected.items()}, "stream")
     return align(
-        samples, start, end, step, max_gap=max_gap, duplicates=duplicates, streams=list(selected), suffix=suffix
+        samples, start, end, step, max_gap=max_gap, duplicates=duplicates, position=position, streams=list(selected), suffix=suffix
     )
 
 
@@ -98,9 +102,13 @@ def prepare(
     step: timedelta = ONE_SECOND,
     suffix: bool = False,
     max_dimension_bytes: int | None = None,
+    duplicates: str | None = None,
 ) -> Prepared:
     """Admission (only with ``max_dimension_bytes``), coverage and emptiness checks, then selection and merge.
 
+    ``duplicates`` is that of ``resample``; without one, several samples of one instant are an
+    error unless the records of the streams tell that there are none.
+
     Sizes and coverage come from the records of stored streams. A single stream is not looked
     into here: only if its result turns out empty does ``Prepared.reason`` look why.
     A merge of several streams is stored, as every result reads it more than once.
@@ -130,7 +138,7 @@ def prepare(
     if reason is not None:
         return reason
     unique = all(s.statistics is not None and s.statistics.unique for s in streams.values())
-    merged = merge_selected(selected, start, end, step, suffix=suffix, duplicates="unique" if unique else "error")
+    merged = merge_selected(selected, start, end, step, suffix=suffix, duplicates="unique" if unique else duplicates or "error")
     return Prepared(materialize(merged), grid=Grid.of(start, end, step))
 
 
@@ -166,10 +174,11 @@ def plot_request(
     end: str,
     color: str = "",
     max_dimension_bytes: int | None = None,
+    duplicates: str | None = None,
     **options,
 ) -> PlotResult:
     """``options`` go to ``plot``."""
-    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes)
+    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes, duplicates=duplicates)
     if ready.merged is None:
         return PlotResult(None, 0, False, ready.msg, ready.status)
     result = plot(ready.merged, x, y, color, **options)
@@ -187,12 +196,13 @@ def download_request(
     color: str = "",
     download_format: str = "netcdf",
     max_dimension_bytes: int | None = None,
+    duplicates: str | None = None,
     **options,
 ) -> ExportResult:
     """``options`` go to ``export``. A format that is not on offer fails before anything is read."""
     if (download_format or "netcdf") not in EXPORT_FORMATS:
         return ExportResult(None, 0, 0, "failed", UNKNOWN_FORMAT.format(kind=download_format))
-    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes)
+    ready = prepare(streams, x, y, start, end, color, max_dimension_bytes=max_dimension_bytes, duplicates=duplicates)
     if ready.merged is None:
         return ExportResult(None, 0, 0, ready.status, ready.msg)
     axes = {"x": x, "y": y, "z": color}
@@ -207,7 +217,8 @@ def fetch(
     """Run one request given by its fields; ``catalog`` finds the streams, ``root`` takes downloads.
 
     Limits are the caller's choice: ``max_dimension_bytes`` for both kinds, ``shade_threshold``
-    for plots, ``max_files`` and ``part_bytes`` for downloads.
+    for plots, ``max_files`` and ``part_bytes`` for downloads. So is what several samples of one
+    instant mean where streams are merged: ``duplicates`` (see ``prepare``).
     """
     fields = {**REQUEST_DEFAULTS, **request}
     names = list(dict.fromkeys(fields["ref"].split(",")))

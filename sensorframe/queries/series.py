@@ -61,8 +61,12 @@ FETCH_START, FETCH_END = "2024-01-03T00:00:00", "2024-01-27T00:00:00"
 
 
 def two_stream_download(spark, sf_dir):
-    """Download request on two streams: cut, 1-second grid, merge, slices; shown as hourly means."""
-    rows = event_streams(spark, sf_dir).drop("user_id")
+    """Download request on two streams: cut, 1-second grid, merge, slices; shown as hourly means.
+
+    Several events may share an instant: they lie at one position, and the cut leaves out
+    the last instant.
+    """
+    rows = event_streams(spark, sf_dir).drop("user_id").withColumn("_pos", to_micros(F.col("time")))
     streams = {
         s: Stream(s, rows.where(F.col("stream") == s).drop("stream").withColumnRenamed("value", s), time_ordered=True)
         for s in ("click", "view")
@@ -76,7 +80,7 @@ def two_stream_download(spark, sf_dir):
         "end_dt": FETCH_END,
         "download": True,
     }
-    done = fetch(request, streams, f"{shared_folder(spark)}/sensorframe-fetch-{uuid.uuid4().hex}")
+    done = fetch(request, streams, f"{shared_folder(spark)}/sensorframe-fetch-{uuid.uuid4().hex}", duplicates="all")
     data = spark.read.parquet(f"{done.path}/data")
     hour = whole_hour(F.col("time")).alias("hour")
     return data.groupBy(hour).agg(

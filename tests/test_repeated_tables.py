@@ -8,6 +8,8 @@ from conftest import at
 from oracle import compare
 
 from sensorframe.operators.resample import align, resample
+from sensorframe.plans.fetch import fetch
+from sensorframe.sources.streams import split_stream
 from test_resample import second, values
 
 COPIES = 3
@@ -69,3 +71,20 @@ def test_interp_linear_of_repeated_events(spark, sf_dir, repeated):
 
 def test_gap_fill_short_of_repeated_events(spark, sf_dir, repeated):
     assert compare(found(spark, "gap_fill_short", repeated), expected("gap_fill_short", sf_dir)) is None
+
+
+def test_two_stream_download_of_repeated_events(spark, sf_dir, repeated):
+    """All samples of the last instant are cut, and those of one instant stand together."""
+    assert compare(found(spark, "two_stream_download", repeated), expected("two_stream_download", sf_dir)) is None
+
+
+def test_fetch_takes_the_choice_and_errs_without_one(spark, series, tmp_path):
+    rows = series(A=[(0, 0), (5, 20), (5, 30), (20, 0), (25, 0)], B=[(0, 1), (20, 1), (25, 1)])
+    streams = {s: split_stream(rows.withColumnRenamed("v", f"v_{s}"), s) for s in "AB"}
+    request = {"ref": "A,B", "x": "time", "y": "v_A", "color": "v_B", "start_dt": at(0).isoformat(), "end_dt": at(25).isoformat()}
+    with pytest.raises(ValueError, match="several samples at one time"):
+        fetch(request, streams)
+    points = fetch(request, streams, duplicates="all").data.toPandas().set_index("time")["v_A"]
+    assert [points.iloc[i] for i in (4, 5, 8)] == pytest.approx([16, 30, 24])
+    done = fetch({**request, "download": True}, streams, str(tmp_path), duplicates="all")
+    assert done.n_rows == 25
