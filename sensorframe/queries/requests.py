@@ -186,7 +186,7 @@ def _export(spark, sf_dir, kind, name):
     root = _folder(spark, name)
     rows = _timed_lines(spark, sf_dir)
     axes = {"x": "time", "y": "l_quantity", "z": ""}
-    return export(rows, root, "1995-01-01", "2003-01-01", kind, ["lineitem"], axes, part_bytes=FOLDER_BYTES, max_files=2_000)
+    return export(rows, root, "1995-01-01", "2003-01-01", kind, ["lineitem"], axes, part_bytes=FOLDER_BYTES)
 
 
 def csv_roundtrip(spark, sf_dir):

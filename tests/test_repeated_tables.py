@@ -9,6 +9,7 @@ from oracle import compare
 
 from sensorframe.operators.resample import align, resample
 from sensorframe.plans.fetch import fetch
+from sensorframe.queries import requests
 from sensorframe.sources.streams import split_stream
 from test_resample import second, values
 
@@ -88,3 +89,13 @@ def test_fetch_takes_the_choice_and_errs_without_one(spark, series, tmp_path):
     assert [points.iloc[i] for i in (4, 5, 8)] == pytest.approx([16, 30, 24])
     done = fetch({**request, "download": True}, streams, str(tmp_path), duplicates="all")
     assert done.n_rows == 25
+
+
+@pytest.fixture
+def many_files(monkeypatch):
+    """Folders of a small size, so that an export has more than 2,000 of them."""
+    monkeypatch.setattr(requests, "FOLDER_BYTES", 200)
+
+
+def test_csv_roundtrip_in_many_files(spark, sf_dir, many_files):
+    assert compare(found(spark, "csv_roundtrip", sf_dir), expected("csv_roundtrip", sf_dir)) is None
