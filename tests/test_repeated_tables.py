@@ -99,3 +99,7 @@ def many_files(monkeypatch):
 
 def test_csv_roundtrip_in_many_files(spark, sf_dir, many_files):
     assert compare(found(spark, "csv_roundtrip", sf_dir), expected("csv_roundtrip", sf_dir)) is None
+
+
+def test_json_roundtrip_in_many_files(spark, sf_dir, many_files):
+    assert compare(found(spark, "json_roundtrip", sf_dir), expected("json_roundtrip", sf_dir)) is None
