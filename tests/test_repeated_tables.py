@@ -8,7 +8,9 @@ from conftest import at
 from oracle import compare
 
 from sensorframe.operators.resample import align, resample
+from sensorframe.plans.export import measure
 from sensorframe.plans.fetch import fetch
+from sensorframe.plans.limits import plan_slices
 from sensorframe.queries import requests
 from sensorframe.sources.streams import split_stream
 from test_resample import second, values
@@ -103,3 +105,24 @@ def test_csv_roundtrip_in_many_files(spark, sf_dir, many_files):
 
 def test_json_roundtrip_in_many_files(spark, sf_dir, many_files):
     assert compare(found(spark, "json_roundtrip", sf_dir), expected("json_roundtrip", sf_dir)) is None
+
+
+def planned_files(spark, monkeypatch, name, folder):
+    """Files that the export of a query plans, or None where it refuses them; nothing is written."""
+
+    class Planned(Exception):
+        pass
+
+    def only_planned(df, *_, part_bytes, max_files=None):
+        plan = plan_slices(measure(df), part_bytes, max_files).first()
+        raise Planned(plan["n_files"] if plan["allowed"] else None)
+
+    monkeypatch.setattr(requests, "export", only_planned)
+    monkeypatch.setattr(requests, "FOLDER_BYTES", 140)
+    with pytest.raises(Planned) as planned:
+        found(spark, name, folder)
+    return planned.value.args[0]
+
+
+def test_sliced_roundtrip_refuses_no_number_of_files(spark, sf_dir, monkeypatch):
+    assert planned_files(spark, monkeypatch, "sliced_roundtrip", sf_dir) == 3_000
