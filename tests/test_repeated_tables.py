@@ -126,3 +126,7 @@ def planned_files(spark, monkeypatch, name, folder):
 
 def test_sliced_roundtrip_refuses_no_number_of_files(spark, sf_dir, monkeypatch):
     assert planned_files(spark, monkeypatch, "sliced_roundtrip", sf_dir) == 3_000
+
+
+def test_export_manifest_refuses_no_number_of_files(spark, sf_dir, monkeypatch):
+    assert planned_files(spark, monkeypatch, "export_manifest", sf_dir) == 3_000
